@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,14 +61,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and cut its lineage.
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and continue from that table.
 
     Used between feed steps (each step reads the picks of the previous one),
     so the plan does not grow with the number of steps, and recomputation after
-    a lost executor restarts from the checkpoint rather than from the scan.
+    a lost executor restarts from the written table rather than from the scans.
+    One write job (``Dataset.checkpoint`` would compute its input twice), and
+    the re-read carries real file sizes for AQE's join planning.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/deckflow-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

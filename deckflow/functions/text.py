@@ -105,9 +105,7 @@ def sections_map(body) -> Column:
                  .otherwise(F.lit(""))).alias("v")))
     # last occurrence of a heading wins; no reliance on the session's map-key dedup policy
     last = F.filter(secs, lambda x, i: (x["k"] != "") & ~F.exists(
-        F.slice(F.concat(secs, F.array(F.struct(F.lit(None).cast("string").alias("k"),
-                                                  F.lit(None).cast("string").alias("v")))),
-                i + 2, 1 << 30), lambda y: y["k"] == x["k"]))
+        F.slice(secs, i + 2, 1 << 30), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 
 

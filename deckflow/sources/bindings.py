@@ -60,3 +60,86 @@ def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("card_id"), F.col("source").alias("title"),
                     F.col("lang").alias("topic"), F.col("text").alias("idea"),
                     F.lit("").alias("example"), F.lit("").alias("probe"))
+
+
+def bookmark_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One export document per conversation: the first turn is the tweet, the
+    second its quoted tweet, the roles its hashtags; the document shape
+    (array / {data} / {tweets}) rotates with conv_id."""
+    c = table(spark, sf_dir, "conversations")
+    g = c.groupBy("conv_id").agg(
+        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("t0"),
+        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("t1"),
+        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("roles"))
+    tweet = F.to_json(F.struct(
+        F.col("conv_id").alias("id"), F.col("t0").alias("full_text"),
+        F.struct(F.col("t1").alias("full_text")).alias("quoted_status"),
+        F.struct(F.transform("roles", lambda r: F.struct(r["role"].alias("tag"))).alias("hashtags")).alias("entities")))
+    shape = F.col("conv_id") % 3
+    doc = (F.when(shape == 0, F.concat(F.lit("["), tweet, F.lit("]")))
+           .when(shape == 1, F.concat(F.lit('{"data":['), tweet, F.lit("]}")))
+           .otherwise(F.concat(F.lit('{"tweets":['), tweet, F.lit("]}"))))
+    return g.select(F.col("conv_id").alias("export_id"), doc.alias("doc"))
+
+
+def _slug():
+    return F.concat(F.lower(F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit("-"))), F.lit("-"),
+                    F.col("o_orderkey").cast("string"))
+
+
+def research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RESEARCH records from orders / lineitem / documents."""
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem")
+    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") < 200).select(
+        F.col("doc_id").alias("_doc"), F.col("text").alias("fundamentals"))
+    key = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
+    ex = (li.filter(F.col("l_linenumber") % 2 == 1).groupBy(F.col("l_orderkey").alias("o_orderkey"))
+          .agg(F.array_sort(F.collect_list(F.struct(*key, F.struct(F.col("l_returnflag").alias("title"),
+                                                                 F.col("l_linestatus").alias("body")).alias("x")))).alias("_e"))
+          .select("o_orderkey", F.transform("_e", lambda s: s["x"]).alias("examples")))
+    pr = (li.filter(F.col("l_linenumber") % 2 == 0).groupBy(F.col("l_orderkey").alias("o_orderkey"))
+          .agg(F.array_sort(F.collect_list(F.struct(*key, F.struct(
+              F.col("l_shipdate").cast("date").cast("string").alias("question"),
+              F.col("l_returnflag").alias("hint")).alias("x")))).alias("_p"))
+          .select("o_orderkey", F.transform("_p", lambda s: s["x"]).alias("probes")))
+    return (o.join(ex, "o_orderkey", "left").join(pr, "o_orderkey", "left")
+            .join(docs, F.col("o_orderkey") % 200 == F.col("_doc"), "left")
+            .select(F.col("o_orderkey"), _slug().alias("concept"),
+                    F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("cluster"),
+                    "fundamentals", "examples", "probes",
+                    F.array(F.struct(F.concat(F.lit("status-"), F.lower("o_orderstatus")).alias("slug"),
+                                     F.col("o_orderstatus").alias("name"),
+                                     F.col("o_orderpriority").alias("relationship"))).alias("connections_discovered")))
+
+
+def concept_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CONCEPT_EXTRACT rows (what the model would return) from orders."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(_slug().alias("slug"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("name"),
+                    F.col("o_orderstatus").alias("cluster"), (F.lit(1) + F.col("o_orderkey") % 3).cast("int").alias("depth"),
+                    F.array(F.concat(F.lit("status-"), F.lower("o_orderstatus"))).alias("connections"),
+                    F.col("o_orderpriority").alias("description"))
+
+
+def existing_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concept documents already on disk (every third order), some with an empty name or cluster."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == 0)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 28).cast("int"))
+    return o.select(_slug().alias("slug"),
+                    F.when(F.col("o_orderkey") % 2 == 0, F.lit("")).otherwise(
+                        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).alias("name"),
+                    F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).otherwise(F.col("o_orderstatus")).alias("cluster"),
+                    (F.lit(1) + F.col("o_orderkey") % 5).cast("int").alias("depth"),
+                    F.lit("old").alias("description"),
+                    F.array().cast("array<struct<to:string,weight:double,relationship:string>>").alias("connections"),
+                    day.alias("created"), day.alias("updated"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model responses: even events carry the JSON inside a fence after a line, odd ones bare."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("response_id"),
+                    F.when(F.col("event_id") % 2 == 0,
+                           F.concat(F.lit("x\n```json\n"), F.col("props"), F.lit("\n```"))).otherwise(F.col("props"))
+                    .alias("response"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deckflow.session import shuffle_partitions
+from deckflow.session import cut, shuffle_partitions
 
 _PID_SHIFT = 33  # monotonically_increasing_id puts the partition id above bit 33
 
@@ -37,6 +37,9 @@ def global_rank(df: DataFrame, order: list, name: str = "rank",
                   .withColumn("_pid", F.spark_partition_id())
                   .withColumn("_local", F.monotonically_increasing_id()
                               - F.shiftleft(F.spark_partition_id().cast("long"), _PID_SHIFT)))
+    # Offsets and local numbers must come from one evaluation of the range
+    # partitioning: materialise it once, then both branches read the same rows.
+    numbered = cut(numbered)
     # One row per partition: the running total runs in one task over n rows.
     offsets = (numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_off", F.coalesce(F.sum("_n").over(

@@ -143,3 +143,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("event_id") % 2 == 0,
                            F.concat(F.lit("x\n```json\n"), F.col("props"), F.lit("\n```"))).otherwise(F.col("props"))
                     .alias("response"))
+
+
+# Fixed values of the navigation binding: event type -> viewer action.
+NAV_ACTIONS = {"click": "next", "view": "next", "purchase": "next", "error": "prev", "signup": "reset"}
+DECK_SIZE = 14
+
+
+def nav_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    op = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in NAV_ACTIONS.items()])
+    return e.select("user_id", "ts", "event_id", op.alias("op"), F.lit("all").alias("topic"))

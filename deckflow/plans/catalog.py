@@ -24,4 +24,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register keys (idempotent)."""
-    from deckflow.plans import q_engagement, q_feed, q_functions, q_ingest, q_search, q_viewer  # noqa: F401
+    from deckflow.plans import q_engagement, q_feed, q_functions, q_ingest, q_search, q_stream, q_viewer  # noqa: F401

@@ -102,7 +102,9 @@ class BlendedFeed:
                                 ["concept"], ["card_id"], "brank")
             else:
                 raise KeyError(name)
-            self._ranks[name] = cut(r)
+            # ranks derive from one materialised range partitioning plus a
+            # broadcast of per-partition offsets; recomputing them is cheap
+            self._ranks[name] = r
         return self._ranks[name]
 
     # ---- helpers ------------------------------------------------------------

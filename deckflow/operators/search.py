@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from deckflow.functions.text import tokens
 from deckflow.operators.ranking import top_n
+from deckflow.session import cut
 
 # The indexed columns, in index order (concept is not indexed).
 FIELDS = ["id", "title", "topic", "idea", "example", "probe"]
@@ -114,7 +115,8 @@ def batch_all_terms(post: DataFrame, queries: DataFrame, limit: int = DEFAULT_LI
     equi-join on (card_id, token) against the distinct document-token set."""
     qt = queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("token"))
     nq = qt.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    dt = post.select("card_id", "token").distinct()
+    # the document-token set is read three times: tokenise the corpus once
+    dt = cut(post.select("card_id", "token").distinct())
     freq = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rare = (qt.join(freq, "token", "left").fillna(0, ["df"])
             .groupBy("qid").agg(F.min(F.struct("df", "token")).alias("_r"))

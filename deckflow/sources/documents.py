@@ -55,13 +55,17 @@ def parse_cards(docs: DataFrame, as_of: str) -> DataFrame:
     skipped (see ``card_rejects``). Defaults: topic '', depth 1,
     connections [], source '' unless a map, created = as_of."""
     content = F.regexp_replace("content", "\r\n", "\n")
-    meta = F.regexp_extract(content, FRONT, 1)
-    body = F.regexp_extract(content, FRONT, 2)
-    sec = sections_map(body)
+    # stage 1: split each document once (kept as columns, so the document
+    # regex is not re-evaluated for every key below)
+    split = (docs.filter(F.regexp_like(content, F.lit(FRONT)))
+             .select("path", F.regexp_extract(content, FRONT, 1).alias("_meta"),
+                     F.regexp_extract(content, FRONT, 2).alias("_body")))
+    meta = F.col("_meta")
+    sec = sections_map(F.col("_body"))
     src_raw = _key(meta, "source")
     src = F.when(src_raw.startswith("{"), F.from_json(src_raw, "struct<type:string,id:string>"))
     conns = _key(meta, "connections")
-    return (docs.filter(F.regexp_like(content, F.lit(FRONT)))
+    return (split
             .select(
                 file_stem("path").alias("card_id"),
                 F.coalesce(_scalar(_key(meta, "concept")), F.lit("")).alias("concept"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deckflow.operators.ranking import global_rank, rank_within, top_n
@@ -27,8 +27,7 @@ def topic_filter(cards: DataFrame, topic: str) -> DataFrame:
 def topics_in_order(cards: DataFrame) -> DataFrame:
     """Topics in first-appearance order (cards ordered by id), 'all' first."""
     first = cards.groupBy("topic").agg(F.min("card_id").alias("_first"))
-    # one row per topic: the ordering window runs over a table of distinct topics
-    ranked = first.select("topic", F.row_number().over(Window.orderBy("_first")).cast("int").alias("rank"))
+    ranked = global_rank(first, ["_first"], "rank").select("topic", F.col("rank").cast("int").alias("rank"))
     return ranked.unionByName(cards.sparkSession.range(1).select(F.lit("all").alias("topic"),
                                                                  F.lit(0).alias("rank")))
 

@@ -1,13 +1,16 @@
-"""Card viewer replay (N01-N03) and page helpers (H18-H19 live in functions).
+"""Card viewer replay (N01-N03); the page helpers H18-H19 live in functions.
 
 The viewer position is p = 3 * index + phase over a deck of N cards:
 next -> (p + 1) mod 3N, prev -> max(p - 1, 0), topic change -> 0.
 
 Each event is a function on the 3N positions, and function composition is
-associative, so a user's ordered events are folded in chunks of bounded size
-(each chunk -> one composed function, an array of 3N positions), and the chunk
-functions are then composed in order per user. No user's whole history is
-collected into one row or task.
+associative. A user's ordered events are therefore folded in two levels of
+bounded size: events -> chunks of ``chunk`` events (each one composed function,
+an array of 3N positions), chunks -> super-chunks of ``chunk`` chunks, then the
+super-chunk functions are composed per user. A user with 10^10 events yields
+~600 super-chunk arrays; no user's history lands in one row or task. The
+shown positions (N02) come from the start position of every super-chunk, then
+of every chunk inside it, then a scan inside each chunk.
 """
 
 from __future__ import annotations
@@ -27,43 +30,53 @@ def _step(op, p, size: int):
 
 
 def _chunked(events: DataFrame, chunk: int) -> DataFrame:
-    """Number each user's events in (ts, event_id) order, distributed."""
+    """Number each user's events in (ts, event_id) order (distributed rank)."""
     r = global_rank(events.select("user_id", "ts", "event_id", "op"), ["user_id", "ts", "event_id"], "_g")
     first = r.groupBy("user_id").agg(F.min("_g").alias("_g0"))
+    seq = F.col("_g") - F.col("_g0")
     return (r.join(first, "user_id")
-            .select("user_id", "ts", "event_id", "op", (F.col("_g") - F.col("_g0")).alias("seq"))
-            .withColumn("chunk", (F.col("seq") / chunk).cast("long")))
+            .select("user_id", "ts", "event_id", "op", seq.alias("seq"),
+                    (seq / chunk).cast("long").alias("chunk"),
+                    (seq / (chunk * chunk)).cast("long").alias("sup")))
 
 
-def _chunk_functions(c: DataFrame, size: int) -> DataFrame:
-    """(user, chunk) -> composed function of the chunk's events (array of size 3N)."""
+def _compose(fns, size: int):
+    """Compose an ordered array of position functions (first applied first)."""
     ident = F.sequence(F.lit(0), F.lit(size - 1))
-    return (c.groupBy("user_id", "chunk")
-            .agg(F.array_sort(F.collect_list(F.struct("seq", "op"))).alias("_ev"))
-            .select("user_id", "chunk", F.aggregate("_ev", ident, lambda fn, e: F.transform(
-                fn, lambda p: _step(e["op"], p, size))).alias("fn")))
+    return F.aggregate(fns, ident, lambda acc, f: F.transform(acc, lambda p: F.element_at(f, p + 1)))
 
 
-def _compose_prefix(fns: DataFrame, size: int) -> DataFrame:
-    """Per user: start position of every chunk (prefix of chunk functions on p=0)
-    and the final position. One row per user holding one small struct per chunk."""
-    per_user = fns.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "fn"))).alias("_c"))
-    starts = F.aggregate("_c", F.array().cast("array<int>"),
-                         lambda acc, c: F.concat(acc, F.array(
-                             F.when(F.size(acc) == 0, F.lit(0))
-                              .otherwise(F.element_at(F.element_at("_c", F.size(acc))["fn"], F.element_at(acc, -1) + 1)))))
-    return per_user.select("user_id", "_c", starts.alias("starts"))
+def _starts(fns, p0):
+    """Start position before each function of an ordered array, from ``p0``."""
+    return F.aggregate(fns, F.array().cast("array<int>"), lambda acc, f: F.concat(acc, F.array(
+        F.when(F.size(acc) == 0, p0).otherwise(
+            F.element_at(F.element_at(fns, F.size(acc)), F.element_at(acc, -1) + 1)))))
+
+
+def _levels(c: DataFrame, size: int):
+    """(user, sup, chunk) -> chunk function; (user, sup) -> super-chunk function."""
+    ident = F.sequence(F.lit(0), F.lit(size - 1))
+    chunk_fn = (c.groupBy("user_id", "sup", "chunk")
+                .agg(F.array_sort(F.collect_list(F.struct("seq", "op"))).alias("_ev"))
+                .select("user_id", "sup", "chunk", F.aggregate("_ev", ident, lambda fn, e: F.transform(
+                    fn, lambda p: _step(e["op"], p, size))).alias("fn")))
+    sup_fn = (chunk_fn.groupBy("user_id", "sup")
+              .agg(F.array_sort(F.collect_list(F.struct("chunk", "fn"))).alias("_c"))
+              .select("user_id", "sup", "_c", _compose(F.transform("_c", lambda x: x["fn"]), size).alias("fn")))
+    per_user = (sup_fn.groupBy("user_id")
+                .agg(F.array_sort(F.collect_list(F.struct("sup", "fn"))).alias("_s"))
+                .select("user_id", F.transform("_s", lambda x: x["fn"]).alias("fns")))
+    return sup_fn, per_user
 
 
 def replay_final(events: DataFrame, deck_size: int, chunk: int = 4096) -> DataFrame:
     """Final (index, phase) per user. events: user_id, ts, event_id, op."""
     size = 3 * deck_size
     c = _chunked(events, chunk)
-    pre = _compose_prefix(_chunk_functions(c, size), size)
-    last = F.element_at("_c", -1)
-    final = F.element_at(last["fn"], F.element_at("starts", -1) + 1)
+    _, per_user = _levels(c, size)
+    final = F.element_at(_compose(F.col("fns"), size), 1)  # start position 0
     n = c.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
-    return (pre.select("user_id", final.alias("p")).join(n, "user_id")
+    return (per_user.select("user_id", final.alias("p")).join(n, "user_id")
             .select("user_id", (F.col("p") / 3).cast("int").alias("idx"), (F.col("p") % 3).cast("int").alias("phase"),
                     "n_events"))
 
@@ -72,11 +85,16 @@ def replay_views(events: DataFrame, deck_size: int, chunk: int = 4096) -> DataFr
     """The (index, phase) shown after every event."""
     size = 3 * deck_size
     c = _chunked(events, chunk)
-    pre = _compose_prefix(_chunk_functions(c, size), size)
-    starts = pre.select("user_id", F.posexplode("starts").alias("chunk", "p0"))
+    sup_fn, per_user = _levels(c, size)
+    sup_start = per_user.select("user_id", F.posexplode(_starts(F.col("fns"), F.lit(0))).alias("_i", "p_sup"))
+    # super-chunk ids are consecutive from 0 per user, so they equal the start positions' index
+    chunk_start = (sup_fn.join(sup_start.withColumnRenamed("_i", "sup"), ["user_id", "sup"])
+                   .select("user_id", F.inline(F.arrays_zip(
+                       F.transform("_c", lambda x: x["chunk"]).alias("chunk"),
+                       _starts(F.transform("_c", lambda x: x["fn"]), F.col("p_sup")).alias("p0")))))
     per_chunk = (c.groupBy("user_id", "chunk")
                  .agg(F.array_sort(F.collect_list(F.struct("seq", "event_id", "op"))).alias("_ev"))
-                 .join(starts, ["user_id", "chunk"]))
+                 .join(chunk_start, ["user_id", "chunk"]))
     scan = F.aggregate("_ev", F.array().cast("array<struct<event_id:bigint,p:int>>"),
                        lambda acc, e: F.concat(acc, F.array(F.struct(
                            e["event_id"].alias("event_id"),

@@ -81,7 +81,9 @@ class BlendedFeed:
         # need; everything below reads this, so it is materialised once.
         self.pairs = cut(eng.engaged_pairs(accepted)
                          .join(cards.select("card_id", "concept", "depth", "connections"), "card_id"))
-        self.users = self.pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("m"))
+        self.users = cut(self.pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("m")))
+        # picks per user never exceed the sum of all slots (continue <= limit)
+        self.max_picks = max(self.inp.limit, 0) + sum(v for k, v in self.slots.items() if k != "continue")
         self._ranks: dict[str, DataFrame] = {}
         self._steps: dict[str, DataFrame] = {}
 
@@ -155,7 +157,7 @@ class BlendedFeed:
         adj = self.pairs.select("user_id", F.explode("connections").alias("concept")).distinct()
         req = adj.join(self._picked_count(picks), "user_id").select(
             "user_id", "concept", (F.col("c") + q).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank").join(
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", max_bound=self.max_picks + q).join(
             self.rank("concept"), ["concept", "crank"])
         cand = self._not_picked(cand, picks)
         return self._emit(top_n(cand, ["user_id"], ["depth", "card_id"], q), "bridge", "rn")
@@ -189,7 +191,8 @@ class BlendedFeed:
         limit = self.inp.limit
         req = self._picked_count(picks).filter(F.col("c") < limit).select(
             "user_id", (F.lit(limit) - F.col("c")).alias("remaining"), F.lit(limit).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "remaining"], "bound", "mrank").join(self.rank("random"), "mrank")
+        cand = expand_ranks(req, ["user_id", "remaining"], "bound", "mrank", max_bound=limit).join(
+            self.rank("random"), "mrank")
         cand = self._not_picked(cand, picks)
         return self._emit(top_n(cand, ["user_id"], ["mrank"], F.col("remaining")), FILL, "rn")
 

@@ -59,11 +59,15 @@ def rank_within(df: DataFrame, group: list[str], order: list, name: str = "rank"
 
 
 def expand_ranks(req: DataFrame, keys: list[str], bound: str, name: str,
-                 chunk: int = 4096) -> DataFrame:
-    """One row (keys..., name) for every rank 1..bound of each request row."""
+                 chunk: int = 4096, max_bound: int | None = None) -> DataFrame:
+    """One row (keys..., name) for every rank 1..bound of each request row.
+    ``max_bound``: a known upper limit of ``bound`` (then no chunking is needed
+    when it is at most ``chunk``)."""
     live = req.filter(F.col(bound) > 0)
     small = live.filter(F.col(bound) <= chunk).select(
         *keys, F.explode(F.sequence(F.lit(1).cast("long"), F.col(bound).cast("long"))).alias(name))
+    if max_bound is not None and max_bound <= chunk:
+        return small
     big = (live.filter(F.col(bound) > chunk)
            .select(*keys, F.col(bound).cast("long").alias("_b"),
                    F.explode(F.sequence(F.lit(0).cast("long"),

@@ -31,6 +31,14 @@ def postings(corpus: DataFrame) -> DataFrame:
             .select("card_id", "field", F.posexplode(tokens("val")).alias("pos", "token")))
 
 
+def doc_tokens(corpus: DataFrame) -> DataFrame:
+    """Distinct (card_id, token) over all indexed fields, built per row (one
+    row per card, so no shuffle is needed for the distinct)."""
+    toks = F.array_distinct(F.flatten(F.array(*[
+        tokens((F.col("card_id") if f == "id" else F.col(f)).cast("string")) for f in FIELDS])))
+    return corpus.select("card_id", F.explode(toks).alias("token"))
+
+
 def write_postings(post: DataFrame, path: str, partitions: int) -> None:
     """Persist the index sorted by token, so token filters skip row groups."""
     (post.repartitionByRange(partitions, "token").sortWithinPartitions("token", "card_id")
@@ -56,19 +64,27 @@ def any_terms(post: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def not_terms(post: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
-    """``a NOT b``."""
-    return all_terms(post, include).join(any_terms(post, exclude), "card_id", "left_anti")
+    """``a NOT b`` in one pass over the postings of the query tokens."""
+    inc, exc = sorted(set(include)), sorted(set(exclude))
+    hits = (post.filter(F.col("token").isin(inc + exc)).groupBy("card_id")
+            .agg(F.count_distinct(F.when(F.col("token").isin(inc), F.col("token"))).alias("_i"),
+                 F.max(F.col("token").isin(exc).cast("int")).alias("_x")))
+    return hits.filter((F.col("_i") == len(inc)) & (F.col("_x") == 0)).select("card_id")
 
 
 def phrase(post: DataFrame, words: list[str]) -> DataFrame:
     """Consecutive tokens in one field. Each occurrence of word i votes
     for the phrase start pos - i; a start with all offsets voted is a match
-    (repeated words such as "the the" are handled by the offsets)."""
-    votes = None
+    (a repeated word such as "the the" votes once per offset it can fill).
+    One pass over the postings of the phrase's tokens."""
+    offsets: dict[str, list[int]] = {}
     for i, w in enumerate(words):
-        v = post.filter(F.col("token") == w).select("card_id", "field", (F.col("pos") - i).alias("start"),
-                                                   F.lit(i).alias("off"))
-        votes = v if votes is None else votes.unionByName(v)
+        offsets.setdefault(w, []).append(i)
+    table = F.create_map(*[x for w, offs in offsets.items()
+                           for x in (F.lit(w), F.array(*[F.lit(o) for o in offs]))])
+    votes = (post.filter(F.col("token").isin(list(offsets)))
+             .select("card_id", "field", "pos", F.explode(table[F.col("token")]).alias("off"))
+             .select("card_id", "field", (F.col("pos") - F.col("off")).alias("start"), "off"))
     return (votes.groupBy("card_id", "field", "start").agg(F.count_distinct("off").alias("_k"))
             .filter(F.col("_k") == len(words)).select("card_id").distinct())
 
@@ -86,19 +102,16 @@ def in_fields(post: DataFrame, fields: list[str], term: str) -> DataFrame:
 
 def near(post: DataFrame, a: str, b: str, n: int = 10) -> DataFrame:
     """``NEAR(a b, n)``: at most n tokens between an a and a b in one field.
-    Every a occurrence proposes the positions within n+1 of it; an equi-join
-    with the b occurrences on (card, field, pos) replaces a range self-join."""
-    pa = post.filter(F.col("token") == a).select(
-        "card_id", "field", F.explode(F.sequence(F.col("pos") - (n + 1), F.col("pos") + (n + 1))).alias("pos"))
-    pa = pa.filter(F.col("pos") >= 0)
-    pb = post.filter(F.col("token") == b).select("card_id", "field", "pos")
-    if a == b:
-        pb = pb.withColumnRenamed("pos", "_pb")
-        pa = post.filter(F.col("token") == a).select("card_id", "field", F.col("pos").alias("_pa"))
-        return (pa.join(pb, ["card_id", "field"]).filter(
-            (F.col("_pa") != F.col("_pb")) & (F.abs(F.col("_pa") - F.col("_pb")) <= n + 1))
-            .select("card_id").distinct())
-    return pa.join(pb, ["card_id", "field", "pos"], "left_semi").select("card_id").distinct()
+    The postings of the two tokens are materialised once; every a occurrence
+    proposes the positions within n+1 of it, and an equi-join with the b
+    occurrences on (card, field, pos) replaces a range self-join."""
+    both = cut(post.filter(F.col("token").isin([a, b])).select("card_id", "field", "pos", "token"))
+    occ_a = both.filter(F.col("token") == a)
+    prop = occ_a.select("card_id", "field", F.col("pos").alias("_p"), F.explode(
+        F.sequence(F.col("pos") - (n + 1), F.col("pos") + (n + 1))).alias("pos")).filter(
+        (F.col("pos") >= 0) & (F.col("pos") != F.col("_p")))
+    occ_b = both.filter(F.col("token") == b).select("card_id", "field", "pos")
+    return prop.join(occ_b, ["card_id", "field", "pos"], "left_semi").select("card_id").distinct()
 
 
 def initial(post: DataFrame, term: str) -> DataFrame:
@@ -106,17 +119,20 @@ def initial(post: DataFrame, term: str) -> DataFrame:
     return post.filter((F.col("pos") == 0) & (F.col("token") == term)).select("card_id").distinct()
 
 
-def batch_all_terms(post: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def batch_all_terms(dtok: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """AND-search for a table of queries (qid, text) at once; empty
     query -> no rows; per query the first ``limit`` cards by card_id.
 
     Each query starts from its rarest token, so a query made of frequent words
     costs the postings of one word; the other tokens are then checked by an
-    equi-join on (card_id, token) against the distinct document-token set."""
+    equi-join on (card_id, token) against the distinct document-token set
+    (``doc_tokens``: one row per distinct token of a card)."""
     qt = queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("token"))
     nq = qt.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    # the document-token set is read three times: tokenise the corpus once
-    dt = cut(post.select("card_id", "token").distinct())
+    # only the batch's own tokens matter; the document-token set is read three
+    # times, so it is materialised once (after the semi join it is small)
+    qtok = qt.select("token").distinct()
+    dt = cut(dtok.join(qtok, "token", "left_semi").select("card_id", "token"))
     freq = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rare = (qt.join(freq, "token", "left").fillna(0, ["df"])
             .groupBy("qid").agg(F.min(F.struct("df", "token")).alias("_r"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from deckflow.operators import search as S
 from deckflow.plans.catalog import register
 from deckflow.plans.oracle_views import CORPUS, with_views
-from deckflow.session import cut
 from deckflow.sources import bindings as B
 
 POST_SQL = with_views(CORPUS, r"""post AS (
@@ -26,11 +25,6 @@ def _post(spark, sf):
     return S.postings(B.search_corpus(spark, sf))
 
 
-def _post_index(spark, sf):
-    """Postings materialised once (the index), for clauses that read them twice."""
-    return cut(_post(spark, sf))
-
-
 @register("search_postings", POST_SQL + "SELECT card_id, field, pos, token FROM post")
 def search_postings(spark, sf):
     return _post(spark, sf)
@@ -55,7 +49,7 @@ def search_any(spark, sf):
 SELECT DISTINCT card_id FROM post WHERE token = 'the'
 EXCEPT SELECT DISTINCT card_id FROM post WHERE token = 'of'""")
 def search_not(spark, sf):
-    return S.not_terms(_post_index(spark, sf), ["the"], ["of"])
+    return S.not_terms(_post(spark, sf), ["the"], ["of"])
 
 
 @register("search_phrase", POST_SQL + """
@@ -63,7 +57,7 @@ SELECT DISTINCT a.card_id FROM post a JOIN post b
   ON a.card_id = b.card_id AND a.field = b.field AND b.pos = a.pos + 1
 WHERE a.token = 'of' AND b.token = 'the'""")
 def search_phrase(spark, sf):
-    return S.phrase(_post_index(spark, sf), ["of", "the"])
+    return S.phrase(_post(spark, sf), ["of", "the"])
 
 
 @register("search_phrase_repeat", POST_SQL + """
@@ -72,7 +66,7 @@ SELECT DISTINCT a.card_id FROM post a JOIN post b
 WHERE a.token = 'the' AND b.token = 'the'""")
 def search_phrase_repeat(spark, sf):
     """B12 with a repeated word ("the the")."""
-    return S.phrase(_post_index(spark, sf), ["the", "the"])
+    return S.phrase(_post(spark, sf), ["the", "the"])
 
 
 @register("search_prefix", POST_SQL + "SELECT DISTINCT card_id FROM post WHERE starts_with(token, 'th')")
@@ -91,7 +85,7 @@ SELECT DISTINCT a.card_id FROM post a JOIN post b ON a.card_id = b.card_id AND a
 WHERE a.token = 'in' AND b.token = 'that' AND abs(a.pos - b.pos) <= 3""")
 def search_near(spark, sf):
     """NEAR(in that, 2)."""
-    return S.near(_post_index(spark, sf), "in", "that", 2)
+    return S.near(_post(spark, sf), "in", "that", 2)
 
 
 @register("search_initial", POST_SQL + "SELECT DISTINCT card_id FROM post WHERE pos = 0 AND token = 'the'")
@@ -115,4 +109,4 @@ def search_batch(spark, sf):
     """Every benchmark passage as an AND query over all documents (which
     documents contain every word of the passage), first 20 per query."""
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return S.batch_all_terms(_post(spark, sf), q)
+    return S.batch_all_terms(S.doc_tokens(B.search_corpus(spark, sf)), q)

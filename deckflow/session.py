@@ -45,19 +45,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     unset value is an error, since a machine-local folder would not survive
     the loss of the executor that wrote it.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (no JVM context handle, e.g. a Connect session)
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        master = sc.master
+    else:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        master = spark.conf.get("spark.master", "")
     if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+        if sc is not None:
+            sc.setCheckpointDir(configured)
+            return sc.getCheckpointDir()
+        return configured
+    if not str(master).startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS)")
     path = tempfile.mkdtemp(prefix="deckflow-ckpt-")
-    sc.setCheckpointDir(path)
-    return sc.getCheckpointDir()
+    if sc is not None:
+        sc.setCheckpointDir(path)
+        return sc.getCheckpointDir()
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -79,3 +91,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parallelism(spark: SparkSession) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return shuffle_partitions(spark)

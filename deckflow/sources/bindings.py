@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckflow.session import parallelism
+
 # Fixed parameters of the checked workload (same in the SQL oracle).
 AS_OF = "2024-01-31"
 SEED = "42"
@@ -28,8 +30,12 @@ SPREAD = {"documents", "lineitem", "conversations", "pages", "events", "part", "
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in SPREAD:
-        n = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < n:
+        n = parallelism(spark)
+        try:
+            few = df.rdd.getNumPartitions() < n
+        except Exception:  # noqa: BLE001  (no RDD view, e.g. a Connect session)
+            few = True
+        if few:
             df = df.repartition(n)
     return df
 

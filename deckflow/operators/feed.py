@@ -91,8 +91,9 @@ class BlendedFeed:
     def rank(self, name: str) -> DataFrame:
         if name not in self._ranks:
             c = self.cards
-            if name == "concept":      # within concept by (depth, card_id)
-                r = rank_within(c.select("card_id", "concept", "depth"), ["concept"], ["depth", "card_id"], "crank")
+            if name == "concept":      # within concept by (depth, card_id); read by three steps
+                r = cut(rank_within(c.select("card_id", "concept", "depth"), ["concept"], ["depth", "card_id"],
+                                    "crank"))
             elif name == "fresh":      # newest first, nulls last
                 r = global_rank(c.select("card_id", "created_at"),
                                 [F.col("created_at").desc_nulls_last(), F.col("card_id")], "frank")
@@ -100,8 +101,12 @@ class BlendedFeed:
                 r = global_rank(c.select("card_id", seeded_order(self.inp.seed, "card_id").alias("h")),
                                 ["h", "card_id"], "mrank")
             elif name == "backfill":   # depth-1 cards within concept by card_id
-                r = rank_within(c.filter(F.col("depth") == 1).select("card_id", "concept"),
-                                ["concept"], ["card_id"], "brank")
+                # depth-1 cards are contiguous in the (depth, card_id) order of a
+                # concept, so their rank is the concept rank minus the first one
+                d1 = self.rank("concept").filter(F.col("depth") == 1)
+                first = d1.groupBy("concept").agg(F.min("crank").alias("_c0"))
+                r = d1.join(first, "concept").select(
+                    "card_id", "concept", (F.col("crank") - F.col("_c0") + 1).alias("brank"))
             else:
                 raise KeyError(name)
             # ranks derive from one materialised range partitioning plus a

@@ -129,6 +129,13 @@ class BlendedFeed:
     def _not_engaged(self, cand: DataFrame) -> DataFrame:
         return cand.join(self.pairs.select("user_id", "card_id"), ["user_id", "card_id"], "left_anti")
 
+    @staticmethod
+    def _upto(ranked: DataFrame, rank_col: str, req: DataFrame) -> DataFrame:
+        """Rank-table rows a request can reach: rank <= max(bound). The max is
+        a scalar subquery (partial + final aggregate), so a global card order of
+        any size shrinks to the few leading ranks, which AQE can broadcast."""
+        return ranked.filter(F.col(rank_col) <= req.select(F.max("bound")).scalar())
+
     @staticmethod
     def _emit(df: DataFrame, source: str, order_col: str) -> DataFrame:
         return df.select("user_id", "card_id", F.lit(source).alias("source"),
@@ -143,7 +150,7 @@ class BlendedFeed:
         req = lastc.join(n_in, ["user_id", "concept"], "left").select(
             "user_id", "concept", (F.coalesce("count", F.lit(0)) + q).alias("bound"))
         cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank").join(
-            self.rank("concept").select("concept", "crank", "card_id"), ["concept", "crank"])
+            self._upto(self.rank("concept"), "crank", req).select("concept", "crank", "card_id"), ["concept", "crank"])
         return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["crank"], q), "continue", "rn")
 
     def fresh(self, picks: DataFrame | None) -> DataFrame:
@@ -151,7 +158,8 @@ class BlendedFeed:
         q = self.slots["fresh"]
         req = self.users.join(self._picked_count(picks), "user_id").select(
             "user_id", (F.col("m") + F.col("c") + q).alias("bound"))
-        cand = expand_ranks(req, ["user_id"], "bound", "frank").join(self.rank("fresh"), "frank")
+        cand = expand_ranks(req, ["user_id"], "bound", "frank").join(self._upto(self.rank("fresh"), "frank", req),
+                                                                     "frank")
         cand = self._not_picked(self._not_engaged(cand), picks)
         return self._emit(top_n(cand, ["user_id"], ["frank"], q), "fresh", "rn")
 
@@ -163,7 +171,7 @@ class BlendedFeed:
         req = adj.join(self._picked_count(picks), "user_id").select(
             "user_id", "concept", (F.col("c") + q).alias("bound"))
         cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", max_bound=self.max_picks + q).join(
-            self.rank("concept"), ["concept", "crank"])
+            self._upto(self.rank("concept"), "crank", req), ["concept", "crank"])
         cand = self._not_picked(cand, picks)
         return self._emit(top_n(cand, ["user_id"], ["depth", "card_id"], q), "bridge", "rn")
 
@@ -186,7 +194,7 @@ class BlendedFeed:
         req = (deep.join(seen1, ["user_id", "concept"], "left").join(self._picked_count(picks), "user_id")
                .select("user_id", "concept", (F.coalesce("count", F.lit(0)) + F.col("c") + q).alias("bound")))
         cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank").join(
-            self.rank("backfill"), ["concept", "brank"])
+            self._upto(self.rank("backfill"), "brank", req), ["concept", "brank"])
         cand = self._not_picked(self._not_engaged(cand), picks)
         return self._emit(top_n(cand, ["user_id"], ["card_id"], q), "backfill", "rn")
 
@@ -197,7 +205,7 @@ class BlendedFeed:
         req = self._picked_count(picks).filter(F.col("c") < limit).select(
             "user_id", (F.lit(limit) - F.col("c")).alias("remaining"), F.lit(limit).alias("bound"))
         cand = expand_ranks(req, ["user_id", "remaining"], "bound", "mrank", max_bound=limit).join(
-            self.rank("random"), "mrank")
+            self.rank("random").filter(F.col("mrank") <= limit), "mrank")
         cand = self._not_picked(cand, picks)
         return self._emit(top_n(cand, ["user_id"], ["mrank"], F.col("remaining")), FILL, "rn")
 

@@ -142,9 +142,10 @@ class BlendedFeed:
                          F.col(order_col).cast("long").alias("ord"))
 
     # ---- K01 .. K06 -----------------------------------------------------------
-    def continue_(self) -> DataFrame:
-        """Unseen cards of the user's last concept, by depth."""
-        q = self.slots["continue"]
+    def continue_(self, q: int | None = None) -> DataFrame:
+        """Unseen cards of the user's last concept, by depth (first ``q``,
+        default the continue slot)."""
+        q = self.slots["continue"] if q is None else q
         lastc = eng.last_concept(self.pairs).select("user_id", "concept")
         n_in = self.pairs.join(lastc, ["user_id", "concept"], "left_semi").groupBy("user_id", "concept").count()
         req = lastc.join(n_in, ["user_id", "concept"], "left").select(

@@ -106,14 +106,17 @@ def engaged_cards(spark, sf):
 @register("unseen_cards", V + """,
 lastc AS (SELECT a.user_id, c.concept FROM acc a JOIN cards c ON c.card_id = a.card_id
           QUALIFY row_number() OVER (PARTITION BY a.user_id ORDER BY a.created_at DESC, c.concept DESC) = 1)
-SELECT l.user_id, c.card_id FROM lastc l JOIN cards c ON c.concept = l.concept
-WHERE NOT EXISTS (SELECT 1 FROM acc a WHERE a.user_id = l.user_id AND a.card_id = c.card_id)""")
+SELECT user_id, card_id, CAST(rn AS BIGINT) AS rn FROM (
+  SELECT l.user_id, c.card_id, row_number() OVER (PARTITION BY l.user_id ORDER BY c.depth, c.card_id) AS rn
+  FROM lastc l JOIN cards c ON c.concept = l.concept
+  WHERE NOT EXISTS (SELECT 1 FROM acc a WHERE a.user_id = l.user_id AND a.card_id = c.card_id))
+WHERE rn <= 20""")
 def unseen_cards(spark, sf):
-    """Cards of the user's last concept the user never engaged with."""
-    c = _cards(spark, sf)
-    pairs = eng.engaged_pairs(_acc(spark, sf)).join(c.select("card_id", "concept"), "card_id")
-    cand = eng.last_concept(pairs).select("user_id", "concept").join(c.select("concept", "card_id"), "concept")
-    return eng.unseen_cards(c, pairs, cand.select("user_id", "card_id"))
+    """Cards of the user's last concept the user never engaged with (anti
+    join), the first 20 by (depth, card_id). Candidates come from the bounded
+    rank expansion, so a large concept is never paired with all its users."""
+    f = _feed(spark, sf)
+    return f.continue_(B.LIMIT).select("user_id", "card_id", F.col("ord").alias("rn"))
 
 
 @register("seen_before", V + f"""

@@ -107,13 +107,14 @@ def _concepts(spark, sf):
 
 @register("concepts_scan", _CONCEPTS_SQL + """
 SELECT b.concept, CASE WHEN CAST(substr(b.concept, 7) AS INTEGER) % 5 = 0 THEN b.concept
-                      ELSE 'Concept ' || b.concept END AS name, b.cluster, b.depth, cc.connections
+                      ELSE 'Concept ' || b.concept END AS name, b.cluster, b.depth,
+       CAST(to_json(cc.connections) AS VARCHAR) AS connections
 FROM base b JOIN cc ON cc.concept = b.concept""")
 def concepts_scan(spark, sf):
     """Concept documents (every fifth without a name line) parsed back."""
     c = _concepts(spark, sf)
     docs = D.render_concepts(c, with_name=F.substring("concept", 7, 10).cast("int") % 5 != 0)
-    return D.parse_concepts(docs)
+    return D.parse_concepts(docs).withColumn("connections", F.to_json("connections"))
 
 
 @register("cards_export", with_views(CARDS) + """
@@ -245,14 +246,15 @@ SELECT coalesce(n.slug, ex.slug) AS slug,
        CASE WHEN n.slug IS NOT NULL THEN coalesce(nullif(ex.cluster, ''), n.n_cluster, '') ELSE ex.cluster END AS cluster,
        CASE WHEN n.slug IS NOT NULL THEN coalesce(ex.depth, 1) ELSE ex.depth END AS depth,
        CASE WHEN n.slug IS NOT NULL THEN n.n_desc ELSE ex.description END AS description,
-       CASE WHEN n.slug IS NOT NULL THEN n.n_conn ELSE [] END AS connections,
+       CAST(to_json(CASE WHEN n.slug IS NOT NULL THEN n.n_conn ELSE [] END) AS VARCHAR) AS connections,
        CAST(CASE WHEN n.slug IS NOT NULL THEN coalesce(ex.created, DATE '{B.AS_OF}') ELSE ex.created END AS VARCHAR) AS created,
        CAST(CASE WHEN n.slug IS NOT NULL THEN DATE '{B.AS_OF}' ELSE ex.created END AS VARCHAR) AS updated
 FROM n FULL OUTER JOIN ex ON ex.slug = n.slug""")
 def concept_merge(spark, sf):
     research = B.research(spark, sf).filter(F.col("o_orderkey") % 5 != 0)
     m = gen.concept_merge(research, B.existing_concepts(spark, sf), B.AS_OF)
-    return m.withColumn("created", F.col("created").cast("string")).withColumn("updated", F.col("updated").cast("string"))
+    return (m.withColumn("created", F.col("created").cast("string")).withColumn("updated", F.col("updated").cast("string"))
+            .withColumn("connections", F.to_json("connections")))
 
 
 @register("prompt_blocks", with_views(BOOKMARK_SIGNALS) + f""",

@@ -86,9 +86,26 @@ def cut(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/deckflow-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _CUTS.append(path)
     return spark.read.parquet(path)
 
 
+_CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote with ``cut`` (call it
+    once the results that read them have been written). Returns the count."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _CUTS:
+        p = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckflow.functions.text import day_cutoff, seeded_order
@@ -85,32 +85,53 @@ class BlendedFeed:
         # picks per user never exceed the sum of all slots (continue <= limit)
         self.max_picks = max(self.inp.limit, 0) + sum(v for k, v in self.slots.items() if k != "continue")
         self._ranks: dict[str, DataFrame] = {}
+        self._reach: int | None = None
         self._steps: dict[str, DataFrame] = {}
 
     # ---- ranked card tables (computed once, shared by all users) -------------
+    def reach(self) -> int:
+        """B* = the largest rank any user can need in any order: most engaged
+        cards of one user + most picks + largest quota (one scalar aggregate)."""
+        if self._reach is None:
+            m_max = self.users.agg(F.max("m")).first()[0] or 0
+            self._reach = int(m_max) + self.max_picks + max(max(self.slots.values()), self.inp.limit)
+        return self._reach
+
+    def _small(self) -> bool:
+        """Top-B* tables are used when B* is within Spark's partial window-limit
+        threshold: then ranking is a map-side top-k, not a sort of all cards."""
+        limit = int(self.cards.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+        return self.reach() <= limit
+
+    def _global(self, df: DataFrame, order: list, name: str) -> DataFrame:
+        if self._small():
+            # at most B* rows reach one task (TakeOrdered merges per-partition top-B*)
+            top = df.orderBy(*order).limit(self.reach())
+            return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+        return global_rank(df, order, name)
+
+    def _within(self, df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
+        if self._small():
+            return top_n(df, group, order, self.reach(), name).withColumn(name, F.col(name).cast("long"))
+        return rank_within(df, group, order, name)
+
     def rank(self, name: str) -> DataFrame:
         if name not in self._ranks:
             c = self.cards
             if name == "concept":      # within concept by (depth, card_id); read by three steps
-                r = cut(rank_within(c.select("card_id", "concept", "depth"), ["concept"], ["depth", "card_id"],
-                                    "crank"))
+                r = cut(self._within(c.select("card_id", "concept", "depth"), ["concept"], ["depth", "card_id"],
+                                     "crank"))
             elif name == "fresh":      # newest first, nulls last
-                r = global_rank(c.select("card_id", "created_at"),
-                                [F.col("created_at").desc_nulls_last(), F.col("card_id")], "frank")
+                r = self._global(c.select("card_id", "created_at"),
+                                 [F.col("created_at").desc_nulls_last(), F.col("card_id")], "frank")
             elif name == "random":     # seeded stand-in for ORDER BY RANDOM()
-                r = global_rank(c.select("card_id", seeded_order(self.inp.seed, "card_id").alias("h")),
-                                ["h", "card_id"], "mrank")
+                r = self._global(c.select("card_id", seeded_order(self.inp.seed, "card_id").alias("h")),
+                                 [F.col("h"), F.col("card_id")], "mrank")
             elif name == "backfill":   # depth-1 cards within concept by card_id
-                # depth-1 cards are contiguous in the (depth, card_id) order of a
-                # concept, so their rank is the concept rank minus the first one
-                d1 = self.rank("concept").filter(F.col("depth") == 1)
-                first = d1.groupBy("concept").agg(F.min("crank").alias("_c0"))
-                r = d1.join(first, "concept").select(
-                    "card_id", "concept", (F.col("crank") - F.col("_c0") + 1).alias("brank"))
+                r = self._within(c.filter(F.col("depth") == 1).select("card_id", "concept"),
+                                 ["concept"], ["card_id"], "brank")
             else:
                 raise KeyError(name)
-            # ranks derive from one materialised range partitioning plus a
-            # broadcast of per-partition offsets; recomputing them is cheap
             self._ranks[name] = r
         return self._ranks[name]
 

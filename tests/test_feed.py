@@ -90,3 +90,19 @@ def test_one_user_alone_equals_batch(spark):
     u = next(iter(batch))
     alone = spark_feed(spark, cards, [e for e in events if e[1] == u], 10)
     assert alone[u] == batch[u]
+
+
+@pytest.mark.parametrize("limit", [4, 20])
+def test_feed_large_reach_path_matches_model(spark, limit):
+    """With a tiny window-limit threshold the ranked card tables take the
+    distributed global-rank path; the answer must not change."""
+    cards, events = random_tables(17)
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+    try:
+        got = spark_feed(spark, cards, events, limit)
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    for u in sorted({u for _, u, c, _, _ in events if c in cards}):
+        ev = [(c, t) for _, uu, c, _, t in events if uu == u]
+        assert got.get(u, []) == feed_model.feed(cards, ev, limit, "2024-01-31", "7"), (u, limit)

@@ -150,11 +150,12 @@ class BlendedFeed:
     def _not_engaged(self, cand: DataFrame) -> DataFrame:
         return cand.join(self.pairs.select("user_id", "card_id"), ["user_id", "card_id"], "left_anti")
 
-    @staticmethod
-    def _upto(ranked: DataFrame, rank_col: str, req: DataFrame) -> DataFrame:
+    def _upto(self, ranked: DataFrame, rank_col: str, req: DataFrame) -> DataFrame:
         """Rank-table rows a request can reach: rank <= max(bound). The max is
         a scalar subquery (partial + final aggregate), so a global card order of
         any size shrinks to the few leading ranks, which AQE can broadcast."""
+        if self._small():       # already cut to the top B* per order
+            return ranked
         return ranked.filter(F.col(rank_col) <= req.select(F.max("bound")).scalar())
 
     @staticmethod
@@ -171,7 +172,7 @@ class BlendedFeed:
         n_in = self.pairs.join(lastc, ["user_id", "concept"], "left_semi").groupBy("user_id", "concept").count()
         req = lastc.join(n_in, ["user_id", "concept"], "left").select(
             "user_id", "concept", (F.coalesce("count", F.lit(0)) + q).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank").join(
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", max_bound=self.reach()).join(
             self._upto(self.rank("concept"), "crank", req).select("concept", "crank", "card_id"), ["concept", "crank"])
         return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["crank"], q), "continue", "rn")
 
@@ -180,8 +181,8 @@ class BlendedFeed:
         q = self.slots["fresh"]
         req = self.users.join(self._picked_count(picks), "user_id").select(
             "user_id", (F.col("m") + F.col("c") + q).alias("bound"))
-        cand = expand_ranks(req, ["user_id"], "bound", "frank").join(self._upto(self.rank("fresh"), "frank", req),
-                                                                     "frank")
+        cand = expand_ranks(req, ["user_id"], "bound", "frank", max_bound=self.reach()).join(
+            self._upto(self.rank("fresh"), "frank", req), "frank")
         cand = self._not_picked(self._not_engaged(cand), picks)
         return self._emit(top_n(cand, ["user_id"], ["frank"], q), "fresh", "rn")
 
@@ -215,7 +216,7 @@ class BlendedFeed:
         seen1 = self.pairs.filter(F.col("depth") == 1).groupBy("user_id", "concept").count()
         req = (deep.join(seen1, ["user_id", "concept"], "left").join(self._picked_count(picks), "user_id")
                .select("user_id", "concept", (F.coalesce("count", F.lit(0)) + F.col("c") + q).alias("bound")))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank").join(
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", max_bound=self.reach()).join(
             self._upto(self.rank("backfill"), "brank", req), ["concept", "brank"])
         cand = self._not_picked(self._not_engaged(cand), picks)
         return self._emit(top_n(cand, ["user_id"], ["card_id"], q), "backfill", "rn")

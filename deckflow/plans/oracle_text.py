@@ -52,12 +52,12 @@ CONCEPT_RECORDS = f"""cr AS (
   FROM orders o)"""
 
 EXISTING = f"""ex AS (
-  SELECT {SLUG} AS slug,
+  SELECT CASE WHEN o.o_orderkey % 3 = 0 THEN {SLUG} ELSE 'archived-' || CAST(o.o_orderkey AS VARCHAR) END AS slug,
          CASE WHEN o.o_orderkey % 2 = 0 THEN '' ELSE 'Order ' || CAST(o.o_orderkey AS VARCHAR) END AS name,
          CASE WHEN o.o_orderkey % 4 = 0 THEN '' ELSE o.o_orderstatus END AS cluster,
          CAST(1 + o.o_orderkey % 5 AS INTEGER) AS depth, 'old' AS description,
          CAST(DATE '2024-01-01' + CAST(o.o_orderkey % 28 AS INTEGER) AS DATE) AS created
-  FROM orders o WHERE o.o_orderkey % 3 = 0)"""
+  FROM orders o WHERE o.o_orderkey % 3 <> 2)"""
 
 BOOKMARK_SIGNALS = f"""conv AS (
   SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS t0, max(CASE WHEN turn = 1 THEN text END) AS t1,

@@ -13,11 +13,12 @@ from deckflow.sources import signals as S
 
 
 @register("fn_first_nonempty", """
-SELECT conv_id, turn, coalesce(nullif(substr(text, 1, CAST(turn % 3 AS INTEGER)), ''), role) AS v FROM conversations""")
+SELECT conv_id, turn, coalesce(nullif(CASE WHEN turn % 3 = 0 THEN '' ELSE text END, ''), role) AS v FROM conversations""")
 def fn_first_nonempty(spark, sf):
+    """H01 ``a or b``: a is the turn's text, emptied on every third turn."""
     c = B.table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", T.first_nonempty(F.substring("text", F.lit(1), (F.col("turn") % 3).cast("int")),
-                                                        "role").alias("v"))
+    a = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", T.first_nonempty(a, "role").alias("v"))
 
 
 @register("fn_strip", f"SELECT page_id, {strip('html')} AS v FROM pages")

@@ -240,7 +240,7 @@ def generate_cards(spark, sf):
 n AS (SELECT concept AS slug, cluster AS n_cluster, substr(coalesce(fundamentals, ''), 1, 300) AS n_desc,
              list_transform(connections_discovered, lambda c: struct_pack("to" := c.slug, weight := 1.0::DOUBLE,
                             relationship := coalesce(c.relationship, ''))) AS n_conn
-      FROM r WHERE o_orderkey % 5 <> 0)
+      FROM r)
 SELECT coalesce(n.slug, ex.slug) AS slug,
        CASE WHEN n.slug IS NOT NULL THEN coalesce(nullif(ex.name, ''), {tfs('n.slug')}) ELSE ex.name END AS name,
        CASE WHEN n.slug IS NOT NULL THEN coalesce(nullif(ex.cluster, ''), n.n_cluster, '') ELSE ex.cluster END AS cluster,
@@ -251,8 +251,7 @@ SELECT coalesce(n.slug, ex.slug) AS slug,
        CAST(CASE WHEN n.slug IS NOT NULL THEN DATE '{B.AS_OF}' ELSE ex.created END AS VARCHAR) AS updated
 FROM n FULL OUTER JOIN ex ON ex.slug = n.slug""")
 def concept_merge(spark, sf):
-    research = B.research(spark, sf).filter(F.col("o_orderkey") % 5 != 0)
-    m = gen.concept_merge(research, B.existing_concepts(spark, sf), B.AS_OF)
+    m = gen.concept_merge(B.research(spark, sf), B.existing_concepts(spark, sf), B.AS_OF)
     return (m.withColumn("created", F.col("created").cast("string")).withColumn("updated", F.col("updated").cast("string"))
             .withColumn("connections", F.to_json("connections")))
 

@@ -142,10 +142,14 @@ def concept_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def existing_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concept documents already on disk (every third order), some with an empty name or cluster."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 == 0)
+    """Concept documents already on disk: the concept of every third order
+    (some with an empty name or cluster), plus an archived concept for the
+    orders after those, which no research touches."""
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 != 2)
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 28).cast("int"))
-    return o.select(_slug().alias("slug"),
+    slug = F.when(F.col("o_orderkey") % 3 == 0, _slug()).otherwise(
+        F.concat(F.lit("archived-"), F.col("o_orderkey").cast("string")))
+    return o.select(slug.alias("slug"),
                     F.when(F.col("o_orderkey") % 2 == 0, F.lit("")).otherwise(
                         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).alias("name"),
                     F.when(F.col("o_orderkey") % 4 == 0, F.lit("")).otherwise(F.col("o_orderstatus")).alias("cluster"),

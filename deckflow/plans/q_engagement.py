@@ -172,7 +172,7 @@ def orphan_events(spark, sf):
 
 
 @register("concept_edges", VC + """
-SELECT DISTINCT concept AS src, unnest(connections) AS dst, 1.0 AS weight, '' AS relationship FROM cards""")
+SELECT DISTINCT concept AS src, unnest(connections) AS dst, 1.0::DOUBLE AS weight, '' AS relationship FROM cards""")
 def concept_edges(spark, sf):
     return eng.concept_edges(cops.concepts_from_cards(_cards(spark, sf)))
 
@@ -200,7 +200,7 @@ def engagement_stats(spark, sf):
 
 
 @register("engagement_stats_map", V + """
-SELECT card_id, to_json(map_from_entries(list(struct_pack(k := event, v := n) ORDER BY event))) AS stats
+SELECT card_id, CAST(to_json(map_from_entries(list(struct_pack(k := event, v := n) ORDER BY event))) AS VARCHAR) AS stats
 FROM (SELECT card_id, event, count(*) AS n FROM acc GROUP BY card_id, event) GROUP BY card_id""")
 def engagement_stats_map(spark, sf):
     """One event -> count map per card (as JSON text for a stable compare)."""

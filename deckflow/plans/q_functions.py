@@ -92,9 +92,9 @@ def fn_format_probe(spark, sf):
 
 
 @register("fn_zip_longest", with_views(RESEARCH) + """
-SELECT o_orderkey, greatest(coalesce(len(examples), 0), coalesce(len(probes), 0)) AS n,
-       greatest(coalesce(len(probes), 0) - coalesce(len(examples), 0), 0) AS pad_examples,
-       greatest(coalesce(len(examples), 0) - coalesce(len(probes), 0), 0) AS pad_probes FROM r""")
+SELECT o_orderkey, CAST(greatest(coalesce(len(examples), 0), coalesce(len(probes), 0)) AS INTEGER) AS n,
+       CAST(greatest(coalesce(len(probes), 0) - coalesce(len(examples), 0), 0) AS INTEGER) AS pad_examples,
+       CAST(greatest(coalesce(len(examples), 0) - coalesce(len(probes), 0), 0) AS INTEGER) AS pad_probes FROM r""")
 def fn_zip_longest(spark, sf):
     """Zip-longest of examples and probes; padding is a null element."""
     r = B.research(spark, sf)

@@ -23,6 +23,7 @@ def test_key_matches_oracle(results, key):
     r = results[key]
     assert "error" not in r, r
     assert r["match"], r
+    assert r["types_match"], r
 
 
 def test_entry_smoke(spark):

@@ -144,3 +144,29 @@ def test_nav_edges(spark):
     assert ps == [0, 1, 2, 3, 2, 0, 1, 2, 3, 4, 5, 0, 1]   # prev at start stays, wraps at 3N = 6
     final = V.replay_final(ev, 2, chunk=3).collect()[0]
     assert (final.idx, final.phase, final.n_events) == (0, 1, 13)
+
+
+def test_upsert_snapshots_and_partitioned_append(spark, tmp_path):
+    from deckflow.operators import upsert as U
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "card_id long, title string")
+    new = spark.createDataFrame([(2, "B"), (3, "c"), (3, "C")], "card_id long, title string").withColumn(
+        "_seq", F.monotonically_increasing_id())
+    merged = U.upsert(old, new, "card_id")
+    base = str(tmp_path / "cards")
+    p1 = U.write_snapshot(merged, base, 1)
+    snap = {r.card_id: r.title for r in spark.read.parquet(p1).collect()}
+    assert snap == {1: "a", 2: "B", 3: "C"}          # last write wins, no deletes
+    ev = spark.createDataFrame([(1, 7, 10, "seen", None, None, None),
+                                (2, 7, 11, "tap", 5, '{"a":1}', datetime(2024, 1, 3, 4, 5))],
+                               "id long, user_id long, card_id long, event string, duration_ms long, "
+                               "metadata string, created_at timestamp_ntz")
+    norm = U.normalise_events(ev, "2024-01-31 00:00:00")
+    rows = {r.id: r for r in norm.collect()}
+    assert (rows[1].duration_ms, rows[1].metadata, str(rows[1].created_at)) == (0, "{}", "2024-01-31 00:00:00")
+    U.append_events(norm, str(tmp_path / "log"))
+    U.append_events(norm, str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 4
+    assert sorted(str(r.day) for r in log.select("day").distinct().collect()) == ["2024-01-03", "2024-01-31"]
+    assert "PartitionFilters: [isnotnull(day" in log.filter(F.col("day") == "2024-01-03")._jdf.queryExecution() \
+        .executedPlan().toString()

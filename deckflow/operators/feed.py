@@ -136,17 +136,6 @@ class BlendedFeed:
         return self._ranks[name]
 
     # ---- helpers ------------------------------------------------------------
-    def _picked_count(self, picks: DataFrame | None) -> DataFrame:
-        if picks is None:
-            return self.users.select("user_id", F.lit(0).cast("long").alias("c"))
-        pc = picks.groupBy("user_id").agg(F.count(F.lit(1)).alias("c"))
-        return self.users.select("user_id").join(pc, "user_id", "left").fillna(0, ["c"])
-
-    def _not_picked(self, cand: DataFrame, picks: DataFrame | None) -> DataFrame:
-        if picks is None:
-            return cand
-        return cand.join(picks.select("user_id", "card_id"), ["user_id", "card_id"], "left_anti")
-
     def _not_engaged(self, cand: DataFrame) -> DataFrame:
         return cand.join(self.pairs.select("user_id", "card_id"), ["user_id", "card_id"], "left_anti")
 
@@ -158,15 +147,25 @@ class BlendedFeed:
             return ranked
         return ranked.filter(F.col(rank_col) <= req.select(F.max("bound")).scalar())
 
+    def _before(self, source: str) -> int:
+        """Most cards the sources served before ``source`` can have picked."""
+        i = SOURCES.index(source)
+        return sum(self.slots[s] for s in SOURCES[:i])
+
     @staticmethod
     def _emit(df: DataFrame, source: str, order_col: str) -> DataFrame:
         return df.select("user_id", "card_id", F.lit(source).alias("source"),
                          F.col(order_col).cast("long").alias("ord"))
 
-    # ---- K01 .. K06 -----------------------------------------------------------
+    # ---- candidates of K01 .. K06 ----------------------------------------------
+    # Each source needs at most quota + (picks of the earlier sources) of its
+    # own candidates, because only those picks can still exclude one. The
+    # candidate sets are therefore independent of each other and are built in
+    # one job; the sequential "skip what is picked" rule is applied afterwards
+    # by one per-user fold over at most ~6 x limit rows (``picks``).
     def continue_(self, q: int | None = None) -> DataFrame:
-        """Unseen cards of the user's last concept, by depth (first ``q``,
-        default the continue slot)."""
+        """K01 candidates: unseen cards of the user's last concept, by depth
+        (first ``q``, default the continue slot; nothing is picked before)."""
         q = self.slots["continue"] if q is None else q
         lastc = eng.last_concept(self.pairs).select("user_id", "concept")
         n_in = self.pairs.join(lastc, ["user_id", "concept"], "left_semi").groupBy("user_id", "concept").count()
@@ -176,84 +175,108 @@ class BlendedFeed:
             self._upto(self.rank("concept"), "crank", req).select("concept", "crank", "card_id"), ["concept", "crank"])
         return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["crank"], q), "continue", "rn")
 
-    def fresh(self, picks: DataFrame | None) -> DataFrame:
-        """Newest cards neither engaged nor picked."""
-        q = self.slots["fresh"]
-        req = self.users.join(self._picked_count(picks), "user_id").select(
-            "user_id", (F.col("m") + F.col("c") + q).alias("bound"))
+    def fresh(self) -> DataFrame:
+        """K02 candidates: newest cards the user never engaged with."""
+        n = self.slots["fresh"] + self._before("fresh")
+        req = self.users.select("user_id", (F.col("m") + n).alias("bound"))
         cand = expand_ranks(req, ["user_id"], "bound", "frank", max_bound=self.reach()).join(
             self._upto(self.rank("fresh"), "frank", req), "frank")
-        cand = self._not_picked(self._not_engaged(cand), picks)
-        return self._emit(top_n(cand, ["user_id"], ["frank"], q), "fresh", "rn")
+        return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["frank"], n), "fresh", "rn")
 
-    def bridge(self, picks: DataFrame | None) -> DataFrame:
-        """Cards of concepts adjacent to engaged cards, not picked, by depth.
+    def bridge(self) -> DataFrame:
+        """K03 candidates: cards of concepts adjacent to engaged cards, by depth.
         (Engaged cards may come back: the reference does not exclude them.)"""
-        q = self.slots["bridge"]
+        n = self.slots["bridge"] + self._before("bridge")
         adj = self.pairs.select("user_id", F.explode("connections").alias("concept")).distinct()
-        req = adj.join(self._picked_count(picks), "user_id").select(
-            "user_id", "concept", (F.col("c") + q).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", max_bound=self.max_picks + q).join(
+        req = adj.select("user_id", "concept", F.lit(n).cast("long").alias("bound"))
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", max_bound=n).join(
             self._upto(self.rank("concept"), "crank", req), ["concept", "crank"])
-        cand = self._not_picked(cand, picks)
-        return self._emit(top_n(cand, ["user_id"], ["depth", "card_id"], q), "bridge", "rn")
+        return self._emit(top_n(cand, ["user_id"], ["depth", "card_id"], n), "bridge", "rn")
 
-    def resurface(self, picks: DataFrame | None) -> DataFrame:
-        """Cards with any event before as_of - 3 days, not picked, seeded random."""
-        q = self.slots["resurface"]
+    def resurface(self) -> DataFrame:
+        """K04 candidates: cards with any event before as_of - 3 days, seeded random."""
+        n = self.slots["resurface"] + self._before("resurface")
         ts_type = dict(self.pairs.dtypes)["first_ts"]
         cutoff = day_cutoff(F.lit(self.inp.as_of)).cast(ts_type)
         cand = self.pairs.filter(F.col("first_ts") < cutoff).select(
             "user_id", "card_id", seeded_order(self.inp.seed, "card_id").alias("h"))
-        cand = self._not_picked(cand, picks)
-        return self._emit(top_n(cand, ["user_id"], ["h", "card_id"], q), "resurface", "rn")
+        return self._emit(top_n(cand, ["user_id"], ["h", "card_id"], n), "resurface", "rn")
 
-    def backfill(self, picks: DataFrame | None) -> DataFrame:
-        """Depth-1 cards, unseen and not picked, of concepts the user engaged
-        at depth > 1; by card_id."""
-        q = self.slots["backfill"]
+    def backfill(self) -> DataFrame:
+        """K05 candidates: unseen depth-1 cards of concepts the user engaged at
+        depth > 1; by card_id."""
+        n = self.slots["backfill"] + self._before("backfill")
         deep = self.pairs.filter(F.col("depth") > 1).select("user_id", "concept").distinct()
         seen1 = self.pairs.filter(F.col("depth") == 1).groupBy("user_id", "concept").count()
-        req = (deep.join(seen1, ["user_id", "concept"], "left").join(self._picked_count(picks), "user_id")
-               .select("user_id", "concept", (F.coalesce("count", F.lit(0)) + F.col("c") + q).alias("bound")))
+        req = deep.join(seen1, ["user_id", "concept"], "left").select(
+            "user_id", "concept", (F.coalesce("count", F.lit(0)) + n).alias("bound"))
         cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", max_bound=self.reach()).join(
             self._upto(self.rank("backfill"), "brank", req), ["concept", "brank"])
-        cand = self._not_picked(self._not_engaged(cand), picks)
-        return self._emit(top_n(cand, ["user_id"], ["card_id"], q), "backfill", "rn")
+        return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["card_id"], n), "backfill", "rn")
 
-    def fill(self, picks: DataFrame | None) -> DataFrame:
-        """When short of ``limit``, any cards not picked, seeded random.
-        (Engaged cards may come back: the reference only skips picks.)"""
+    def fill(self) -> DataFrame:
+        """K06 candidates: the first ``limit`` cards of the seeded random order
+        (a user takes at most limit - picks of them, skipping picks), the same
+        for every user. (Engaged cards may come back, as in the reference.)"""
         limit = self.inp.limit
-        req = self._picked_count(picks).filter(F.col("c") < limit).select(
-            "user_id", (F.lit(limit) - F.col("c")).alias("remaining"), F.lit(limit).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "remaining"], "bound", "mrank", max_bound=limit).join(
-            self.rank("random").filter(F.col("mrank") <= limit), "mrank")
-        cand = self._not_picked(cand, picks)
-        return self._emit(top_n(cand, ["user_id"], ["mrank"], F.col("remaining")), FILL, "rn")
+        top = self.rank("random").filter(F.col("mrank") <= limit).select("card_id", "mrank")
+        req = self.users.select("user_id", F.lit(limit).cast("long").alias("bound"))
+        cand = expand_ranks(req, ["user_id"], "bound", "mrank", max_bound=limit).join(top, "mrank")
+        return self._emit(cand, FILL, "mrank")
 
     # ---- K07 ------------------------------------------------------------------
     def picks(self) -> DataFrame:
-        """All picks in serving order (before the cut to ``limit``)."""
+        """All picks in serving order (before the cut to ``limit``): the
+        reference's sequential rule as one fold per user over its candidates,
+        sorted by (source, order): a candidate is taken when it is not picked
+        yet and its source still has quota (fill: while fewer than ``limit``)."""
         if "all" in self._steps:
             return self._steps["all"]
-        picks = cut(self.continue_())
-        for step in (self.fresh, self.bridge, self.resurface, self.backfill, self.fill):
-            picks = cut(picks.unionByName(step(picks)))
+        order = [*SOURCES, FILL]
+        cands = None
+        for c in (self.continue_(), self.fresh(), self.bridge(), self.resurface(), self.backfill(), self.fill()):
+            cands = c if cands is None else cands.unionByName(c)
+        src = (F.array_position(F.array(*[F.lit(x) for x in order]), F.col("source")) - 1).cast("int")
+        ct = dict(self.cards.dtypes)["card_id"]
+        items = (cands.select("user_id", F.struct(src.alias("src"), F.col("ord").alias("o"),
+                                                  F.col("card_id").cast(ct).alias("card_id")).alias("x"))
+                 .groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("items")))
+        quotas = F.array(*[F.lit(self.slots[x]) for x in SOURCES])
+        limit = self.inp.limit
+        init = F.struct(F.array().cast(f"array<{ct}>").alias("picked"),
+                        F.array().cast(f"array<struct<card_id:{ct},src:int,ord:int>>").alias("out"),
+                        F.array(*[F.lit(0) for _ in order]).alias("cnt"))
+
+        def take(acc, x):
+            used = F.element_at(acc["cnt"], x["src"] + 1)
+            room = F.when(x["src"] < len(SOURCES), used < F.element_at(quotas, x["src"] + 1)).otherwise(
+                F.size(acc["picked"]) < limit)
+            ok = ~F.array_contains(acc["picked"], x["card_id"]) & room
+            return F.when(ok, F.struct(
+                F.concat(acc["picked"], F.array(x["card_id"])).alias("picked"),
+                F.concat(acc["out"], F.array(F.struct(x["card_id"].alias("card_id"), x["src"].alias("src"),
+                                                      (used + 1).alias("ord")))).alias("out"),
+                F.transform(acc["cnt"], lambda v, i: F.when(i == x["src"], v + 1).otherwise(v)).alias("cnt"),
+            )).otherwise(acc)
+
+        folded = items.select("user_id", F.posexplode(F.aggregate("items", init, take, lambda a: a["out"]))
+                              .alias("idx", "p"))
+        picks = cut(folded.select(
+            "user_id", F.col("p.card_id").alias("card_id"),
+            F.element_at(F.array(*[F.lit(x) for x in order]), F.col("p.src") + 1).alias("source"),
+            F.col("p.ord").cast("long").alias("ord"), (F.col("idx") + 1).cast("int").alias("position")))
         self._steps["all"] = picks
         return picks
 
     def step(self, source: str) -> DataFrame:
         """One source's picks (given the sources served before it)."""
-        return self.picks().filter(F.col("source") == source)
+        return self.picks().filter(F.col("source") == source).drop("position")
 
     def feed(self, card_cols=("concept", "title", "topic", "depth")) -> DataFrame:
         """K07 = G01 + F06: ordered concatenation cut to ``limit``, card columns joined last."""
-        rank = F.array_position(F.array(*[F.lit(s) for s in [*SOURCES, FILL]]), F.col("source"))
-        ordered = top_n(self.picks().withColumn("_src", rank), ["user_id"], ["_src", "ord"],
-                        self.inp.limit, "position")
+        ordered = self.picks().filter(F.col("position") <= self.inp.limit)
         return (ordered.join(self.inp.cards.select("card_id", *card_cols), "card_id")
-                .select("user_id", F.col("position").cast("int").alias("position"), "source", "card_id", *card_cols))
+                .select("user_id", "position", "source", "card_id", *card_cols))
 
 
 def blended_feed(cards: DataFrame, events: DataFrame, limit: int = 20,

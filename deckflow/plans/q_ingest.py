@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from deckflow.functions.text import title_from_slug
 from deckflow.operators import cards as cops
 from deckflow.operators import generate as gen
 from deckflow.operators import upsert as ups

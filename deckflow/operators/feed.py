@@ -71,6 +71,9 @@ class FeedInputs:
 class BlendedFeed:
     """Builds the feed step by step; each public method is one inventory key."""
 
+    # requests with a bound above this are exploded in chunks spread over tasks
+    CHUNK = 4096
+
     def __init__(self, inp: FeedInputs):
         self.inp = inp
         self.slots = slot_quota(inp.limit)
@@ -171,7 +174,7 @@ class BlendedFeed:
         n_in = self.pairs.join(lastc, ["user_id", "concept"], "left_semi").groupBy("user_id", "concept").count()
         req = lastc.join(n_in, ["user_id", "concept"], "left").select(
             "user_id", "concept", (F.coalesce("count", F.lit(0)) + q).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", max_bound=self.reach()).join(
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", chunk=self.CHUNK, max_bound=self.reach()).join(
             self._upto(self.rank("concept"), "crank", req).select("concept", "crank", "card_id"), ["concept", "crank"])
         return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["crank"], q), "continue", "rn")
 
@@ -179,7 +182,7 @@ class BlendedFeed:
         """K02 candidates: newest cards the user never engaged with."""
         n = self.slots["fresh"] + self._before("fresh")
         req = self.users.select("user_id", (F.col("m") + n).alias("bound"))
-        cand = expand_ranks(req, ["user_id"], "bound", "frank", max_bound=self.reach()).join(
+        cand = expand_ranks(req, ["user_id"], "bound", "frank", chunk=self.CHUNK, max_bound=self.reach()).join(
             self._upto(self.rank("fresh"), "frank", req), "frank")
         return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["frank"], n), "fresh", "rn")
 
@@ -210,7 +213,7 @@ class BlendedFeed:
         seen1 = self.pairs.filter(F.col("depth") == 1).groupBy("user_id", "concept").count()
         req = deep.join(seen1, ["user_id", "concept"], "left").select(
             "user_id", "concept", (F.coalesce("count", F.lit(0)) + n).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", max_bound=self.reach()).join(
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", chunk=self.CHUNK, max_bound=self.reach()).join(
             self._upto(self.rank("backfill"), "brank", req), ["concept", "brank"])
         return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["card_id"], n), "backfill", "rn")
 

@@ -106,3 +106,27 @@ def test_feed_large_reach_path_matches_model(spark, limit):
     for u in sorted({u for _, u, c, _, _ in events if c in cards}):
         ev = [(c, t) for _, uu, c, _, t in events if uu == u]
         assert got.get(u, []) == feed_model.feed(cards, ev, limit, "2024-01-31", "7"), (u, limit)
+
+
+def test_feed_hot_user_chunked_expansion_matches_model(spark):
+    """A tiny chunk size sends every user through the chunked (hot-user)
+    rank expansion, together with the distributed-rank path."""
+    cards, events = random_tables(23, n_users=3, n_events=150)
+    cdf = spark.createDataFrame([(k, v["concept"], f"t{k}", "x", v["depth"], v["created_at"], v["connections"])
+                                 for k, v in cards.items()], CARD_SCHEMA)
+    edf = spark.createDataFrame(events, EVENT_SCHEMA)
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+    try:
+        f = BlendedFeed(FeedInputs(cdf, edf, 20, "2024-01-31", "7"))
+        f.CHUNK = 4
+        assert f.reach() > f.CHUNK
+        rows = f.feed().collect()
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.user_id, r.position)):
+        got.setdefault(r.user_id, []).append((r.card_id, r.source))
+    for u in sorted({u for _, u, c, _, _ in events if c in cards}):
+        ev = [(c, t) for _, uu, c, _, t in events if uu == u]
+        assert got.get(u, []) == feed_model.feed(cards, ev, 20, "2024-01-31", "7"), u

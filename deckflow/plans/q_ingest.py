@@ -56,7 +56,8 @@ def signals_by_type(spark, sf):
 # ---- A05-A07, A12, A14 documents ---------------------------------------------
 def _card_docs(spark, sf):
     """Rendered card documents; every 50th has lost its front matter."""
-    docs = D.render_cards(B.cards(spark, sf)).withColumn("_id", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
+    docs = D.render_cards(B.cards(spark, sf, spread=True)).withColumn(
+        "_id", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
     body_only = F.regexp_extract("content", r"(?s)\n---\n(.*)$", 1)
     return docs.select("path", F.when(F.col("_id") % 50 == 0, body_only).otherwise(F.col("content")).alias("content"))
 
@@ -73,7 +74,7 @@ _RENDER_SQL = f"""'---' || {NL} || 'concept: ' || {js('concept')} || {NL} || 'ti
 @register("cards_render", with_views(CARDS) + f"""
 SELECT 'cards/' || CAST(card_id AS VARCHAR) || '.md' AS path, {_RENDER_SQL} AS content FROM cards""")
 def cards_render(spark, sf):
-    return D.render_cards(B.cards(spark, sf))
+    return D.render_cards(B.cards(spark, sf, spread=True))
 
 
 @register("cards_scan", with_views(CARDS) + f"""

@@ -24,12 +24,12 @@ LIMIT = 20
 # are spread over the session's parallelism right after the scan (a
 # deterministic round-robin repartition). A production table of many files /
 # row groups is read in parallel anyway and needs no such step.
-SPREAD = {"documents", "lineitem", "conversations", "pages", "events", "part", "orders"}
+SPREAD = {"documents", "lineitem", "conversations", "pages", "orders"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in SPREAD:
+    if name in SPREAD if spread is None else spread:
         n = parallelism(spark)
         try:
             few = df.rdd.getNumPartitions() < n
@@ -40,8 +40,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+def cards(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``spread`` for callers with heavy per-row work (document render / parse)."""
+    p = table(spark, sf_dir, "part", spread)
     b = F.substring("p_brand", 7, 1 << 20).cast("int")
     brand = lambda n: F.concat(F.lit("Brand#"), n.cast("string"))
     return p.select(

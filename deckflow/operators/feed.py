@@ -166,25 +166,58 @@ class BlendedFeed:
     # candidate sets are therefore independent of each other and are built in
     # one job; the sequential "skip what is picked" rule is applied afterwards
     # by one per-user fold over at most ~6 x limit rows (``picks``).
-    def continue_(self, q: int | None = None) -> DataFrame:
-        """K01 candidates: unseen cards of the user's last concept, by depth
-        (first ``q``, default the continue slot; nothing is picked before)."""
-        q = self.slots["continue"] if q is None else q
+    def _raw_continue(self, q: int) -> DataFrame:
+        """Cards of the user's last concept, ranks 1..(engaged there + q)."""
         lastc = eng.last_concept(self.pairs).select("user_id", "concept")
         n_in = self.pairs.join(lastc, ["user_id", "concept"], "left_semi").groupBy("user_id", "concept").count()
         req = lastc.join(n_in, ["user_id", "concept"], "left").select(
             "user_id", "concept", (F.coalesce("count", F.lit(0)) + q).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", chunk=self.CHUNK, max_bound=self.reach()).join(
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", chunk=self.CHUNK,
+                            max_bound=self.reach()).join(
             self._upto(self.rank("concept"), "crank", req).select("concept", "crank", "card_id"), ["concept", "crank"])
-        return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["crank"], q), "continue", "rn")
+        return cand.select("user_id", "card_id", F.struct(F.col("crank").alias("k"), F.col("card_id").alias("id"))
+                           .alias("key"))
 
-    def fresh(self) -> DataFrame:
-        """K02 candidates: newest cards the user never engaged with."""
-        n = self.slots["fresh"] + self._before("fresh")
+    def _raw_fresh(self, n: int) -> DataFrame:
+        """Newest cards, ranks 1..(engaged + n)."""
         req = self.users.select("user_id", (F.col("m") + n).alias("bound"))
         cand = expand_ranks(req, ["user_id"], "bound", "frank", chunk=self.CHUNK, max_bound=self.reach()).join(
             self._upto(self.rank("fresh"), "frank", req), "frank")
-        return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["frank"], n), "fresh", "rn")
+        return cand.select("user_id", "card_id", F.struct(F.col("frank").alias("k"), F.col("card_id").alias("id"))
+                           .alias("key"))
+
+    def _raw_backfill(self, n: int) -> DataFrame:
+        """Depth-1 cards of concepts engaged at depth > 1, ranks 1..(engaged depth-1 + n)."""
+        deep = self.pairs.filter(F.col("depth") > 1).select("user_id", "concept").distinct()
+        seen1 = self.pairs.filter(F.col("depth") == 1).groupBy("user_id", "concept").count()
+        req = deep.join(seen1, ["user_id", "concept"], "left").select(
+            "user_id", "concept", (F.coalesce("count", F.lit(0)) + n).alias("bound"))
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", chunk=self.CHUNK,
+                            max_bound=self.reach()).join(
+            self._upto(self.rank("backfill"), "brank", req), ["concept", "brank"])
+        return cand.select("user_id", "card_id", F.struct(F.lit(0).cast("long").alias("k"),
+                                                          F.col("card_id").alias("id")).alias("key"))
+
+    def _unseen_sources(self, limits: dict[str, int]) -> DataFrame:
+        """Continue, fresh and backfill skip the cards the user engaged with:
+        their raw candidates are united and anti-joined with the engaged pairs
+        once (one shuffle of the largest table instead of three), then cut to
+        each source's own limit with one window per (user, source)."""
+        raw = {"continue": lambda n: self._raw_continue(n), "fresh": self._raw_fresh, "backfill": self._raw_backfill}
+        u = None
+        for name, n in limits.items():
+            part = raw[name](n).withColumn("source", F.lit(name))
+            u = part if u is None else u.unionByName(part)
+        u = self._not_engaged(u)
+        lim = F.create_map(*[x for name, n in limits.items() for x in (F.lit(name), F.lit(n))])
+        top = top_n(u, ["user_id", "source"], ["key"], max(limits.values()))   # partial WindowGroupLimit
+        return top.filter(F.col("rn") <= lim[F.col("source")]).select(
+            "user_id", "card_id", "source", F.col("rn").cast("long").alias("ord"))
+
+    def continue_(self, q: int | None = None) -> DataFrame:
+        """K01 candidates: unseen cards of the user's last concept, by depth
+        (first ``q``, default the continue slot; nothing is picked before)."""
+        return self._unseen_sources({"continue": self.slots["continue"] if q is None else q})
 
     def bridge(self) -> DataFrame:
         """K03 candidates: cards of concepts adjacent to engaged cards, by depth.
@@ -205,18 +238,6 @@ class BlendedFeed:
             "user_id", "card_id", seeded_order(self.inp.seed, "card_id").alias("h"))
         return self._emit(top_n(cand, ["user_id"], ["h", "card_id"], n), "resurface", "rn")
 
-    def backfill(self) -> DataFrame:
-        """K05 candidates: unseen depth-1 cards of concepts the user engaged at
-        depth > 1; by card_id."""
-        n = self.slots["backfill"] + self._before("backfill")
-        deep = self.pairs.filter(F.col("depth") > 1).select("user_id", "concept").distinct()
-        seen1 = self.pairs.filter(F.col("depth") == 1).groupBy("user_id", "concept").count()
-        req = deep.join(seen1, ["user_id", "concept"], "left").select(
-            "user_id", "concept", (F.coalesce("count", F.lit(0)) + n).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", chunk=self.CHUNK, max_bound=self.reach()).join(
-            self._upto(self.rank("backfill"), "brank", req), ["concept", "brank"])
-        return self._emit(top_n(self._not_engaged(cand), ["user_id"], ["card_id"], n), "backfill", "rn")
-
     def fill(self) -> DataFrame:
         """K06 candidates: the first ``limit`` cards of the seeded random order
         (a user takes at most limit - picks of them, skipping picks), the same
@@ -237,7 +258,10 @@ class BlendedFeed:
             return self._steps["all"]
         order = [*SOURCES, FILL]
         cands = None
-        for c in (self.continue_(), self.fresh(), self.bridge(), self.resurface(), self.backfill(), self.fill()):
+        unseen = self._unseen_sources({"continue": self.slots["continue"],
+                                       "fresh": self.slots["fresh"] + self._before("fresh"),
+                                       "backfill": self.slots["backfill"] + self._before("backfill")})
+        for c in (unseen, self.bridge(), self.resurface(), self.fill()):
             cands = c if cands is None else cands.unionByName(c)
         src = (F.array_position(F.array(*[F.lit(x) for x in order]), F.col("source")) - 1).cast("int")
         ct = dict(self.cards.dtypes)["card_id"]

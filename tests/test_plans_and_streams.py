@@ -30,7 +30,7 @@ def test_no_all_pairs_joins(spark):
 def test_feed_top_n_is_partial_and_scans_are_pruned(spark):
     from deckflow.operators.feed import BlendedFeed, FeedInputs
     f = BlendedFeed(FeedInputs(B.cards(spark, SF_SMALL), B.engagement(spark, SF_SMALL)))
-    p = f.fresh()._jdf.queryExecution().executedPlan().toString()
+    p = f._unseen_sources({"continue": 8, "fresh": 13})._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in p
     scan = B.engagement(spark, SF_SMALL).select("user_id", "card_id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:bigint,props:string>" in scan

@@ -140,7 +140,12 @@ class BlendedFeed:
 
     # ---- helpers ------------------------------------------------------------
     def _not_engaged(self, cand: DataFrame) -> DataFrame:
-        return cand.join(self.pairs.select("user_id", "card_id"), ["user_id", "card_id"], "left_anti")
+        """Candidates the user never engaged with. Written as a left outer join
+        on the distinct engaged pairs plus an IS NULL filter (an anti join): a
+        LeftAnti join over a Union would be pushed into every branch of the
+        Union by the optimizer, shuffling the engaged pairs once per branch."""
+        seen = self.pairs.select("user_id", "card_id", F.lit(True).alias("_seen"))
+        return cand.join(seen, ["user_id", "card_id"], "left").filter(F.col("_seen").isNull()).drop("_seen")
 
     def _upto(self, ranked: DataFrame, rank_col: str, req: DataFrame) -> DataFrame:
         """Rank-table rows a request can reach: rank <= max(bound). The max is
@@ -288,6 +293,7 @@ class BlendedFeed:
 
         folded = items.select("user_id", F.posexplode(F.aggregate("items", init, take, lambda a: a["out"]))
                               .alias("idx", "p"))
+        self._steps["uncut"] = folded
         picks = cut(folded.select(
             "user_id", F.col("p.card_id").alias("card_id"),
             F.element_at(F.array(*[F.lit(x) for x in order]), F.col("p.src") + 1).alias("source"),

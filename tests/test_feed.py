@@ -70,8 +70,13 @@ def test_feed_matches_single_user_model(spark, limit):
 def test_feed_invariants_and_partition_independence(spark):
     cards, events = random_tables(5, n_cards=25)
     base = spark_feed(spark, cards, events, 20)
+    engaged = {}
+    for _, u, c, _, _ in events:
+        if c in cards:
+            engaged.setdefault(u, set()).add(c)
     for u, feed in base.items():
         ids = [c for c, _ in feed]
+        assert not [c for c, s in feed if s in ("continue", "fresh", "backfill") and c in engaged[u]]
         assert len(ids) == len(set(ids)) == min(20, len(cards))
         order = ["continue", "fresh", "bridge", "resurface", "backfill", "fill"]
         ranks = [order.index(s) for _, s in feed]

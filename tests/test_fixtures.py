@@ -170,3 +170,18 @@ def test_upsert_snapshots_and_partitioned_append(spark, tmp_path):
     assert sorted(str(r.day) for r in log.select("day").distinct().collect()) == ["2024-01-03", "2024-01-31"]
     assert "PartitionFilters: [isnotnull(day" in log.filter(F.col("day") == "2024-01-03")._jdf.queryExecution() \
         .executedPlan().toString()
+
+
+def test_concept_merge_idempotent_except_updated(spark):
+    research = spark.createDataFrame([("a-b", "clu", "fundamentals text", [("z", "Z", "rel")])],
+                                     "concept string, cluster string, fundamentals string, "
+                                     "connections_discovered array<struct<slug:string,name:string,relationship:string>>")
+    existing = spark.createDataFrame([("a-b", "", "", 2, "old", [], None, None), ("other", "O", "c", 1, "d", [], None, None)],
+                                     "slug string, name string, cluster string, depth int, description string, "
+                                     "connections array<struct<to:string,weight:double,relationship:string>>, "
+                                     "created date, updated date")
+    once = gen.concept_merge(research, existing, "2024-01-31")
+    twice = gen.concept_merge(research, once, "2024-02-05")
+    strip = lambda df: sorted(tuple(r) for r in df.drop("updated").collect())
+    assert strip(once) == strip(twice)
+    assert {str(r.updated) for r in twice.filter("slug = 'a-b'").collect()} == {"2024-02-05"}

@@ -78,3 +78,9 @@ def by_type(kind: str, frame: DataFrame, **kw) -> DataFrame:
     if kind == "text":
         return text_drop(frame, **kw)
     raise ValueError(f"Unknown source type: {kind}")
+
+
+def signals_or_none(signals: DataFrame) -> DataFrame | None:
+    """A04's early stop: ``None`` when there are no signals (``isEmpty`` reads
+    at most one row), so the rest of the build path is not started."""
+    return None if signals.isEmpty() else signals

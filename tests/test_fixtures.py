@@ -39,10 +39,13 @@ def test_text_and_pages(spark):
     assert sorted((r.source_id, r.text) for r in p.collect()) == [("doc:page-1", "one"), ("doc:page-4", "four")]
 
 
-def test_router_rejects_unknown_kind(spark):
+def test_router_rejects_unknown_kind_and_stops_when_empty(spark):
     import pytest
     with pytest.raises(ValueError):
         S.by_type("csv", spark.range(1))
+    empty = S.bookmarks(spark.createDataFrame([(1, "[]"), (2, '{"data": []}')], ["export_id", "doc"]))
+    assert S.signals_or_none(empty) is None
+    assert S.signals_or_none(S.text_drop(spark.createDataFrame([(1, "x")], ["id", "text"]))) is not None
 
 
 CARD = """---\nconcept: "c"\ntitle: "T: yes"\ntopic: top\nconnections: ["a", "b"]\nsource: "x"\n---\nintro\n## Idea\n i1 \n### not a heading\n## Example\n```\n## fenced\n```\n## idea\nlast\n## \nempty\n"""

@@ -4,8 +4,11 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from deckflow.plans import catalog
 
-KEYS = sorted(E.queries())
+catalog.load_all()
+
+KEYS = sorted(catalog.QUERIES)  # the subpackage llm has its own tests
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +18,8 @@ def results(spark):
 
 
 def test_every_key_has_oracle():
-    assert set(E.oracle_sql()) == set(KEYS)
+    assert set(catalog.SQL) == set(KEYS)
+    assert set(KEYS) <= set(E.queries()) and set(KEYS) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)

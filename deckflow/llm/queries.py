@@ -44,6 +44,64 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+# --- 6 URL lists ----------------------------------------------------------
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """The pages with a fetch day of 2024, which the table lacks: by page_id."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")).alias("day"))
+
+
+def page_list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries of three lists, derived from the hosts of all pages by the
+    digits of a host's md5: ``abuse`` adds the registered domain of some hosts
+    and removes it again later, ``adult`` adds single hosts, ``trusted`` allows
+    some hosts for a while."""
+    from deckflow.llm.urllists import url_host
+    hosts = pages.select(url_host(F.col("url")).alias("host")).filter("host is not null").distinct()
+    parts = F.split("host", r"\.")
+    named = hosts.withColumn("domain", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.least(F.lit(3), F.size(parts))), "."))
+
+    def log(key: str, name: str, role: str, kind: str, below: str, days: int) -> DataFrame:
+        h = F.md5(F.concat(F.lit(name), F.col("key")))
+        at = F.date_add(F.lit("2024-01-01").cast("date"), F.conv(F.substring(h, 2, 2), 16, 10).cast("int"))
+        on = named.select(F.col(key).alias("key")).distinct().filter(F.substring(h, 1, 1) < below).select("key", at.alias("day"))
+        again = F.substring(F.md5("key"), 3, 1) < "8"
+        logs = [(F.lit("add"), F.col("day"), F.lit(True)), (F.lit("remove"), F.date_add("day", days), F.lit(True)), (F.lit("add"), F.date_add("day", 2 * days), again)]
+        out = on.select("key", F.explode(F.array(*[F.struct(a.alias("action"), d.alias("day"), c.alias("on")) for a, d, c in logs])).alias("x")).filter("x.on")
+        return out.select(F.lit(name).alias("list"), F.lit(role).alias("role"), F.lit(kind).alias("kind"), "key", F.col("x.action").alias("action"), F.col("x.day").alias("day"), F.lit(0).alias("seq"))
+
+    return log("domain", "abuse", "block", "domain", "6", 60).union(log("host", "adult", "block", "host", "4", 90)).union(log("host", "trusted", "allow", "host", "3", 45))
+
+
+def _log_sql(key: str, name: str, role: str, kind: str, below: str, days: int) -> str:
+    return f"""SELECT '{name}' AS list, '{role}' AS role, '{kind}' AS kind, key, x.action AS action, day + x.plus AS day FROM (
+  SELECT key, DATE '2024-01-01' + CAST(CAST('0x' || substr(md5('{name}' || key), 2, 2) AS INTEGER) AS INTEGER) AS day, substr(md5(key), 3, 1) < '8' AS again
+  FROM (SELECT DISTINCT {key} AS key FROM named) WHERE substr(md5('{name}' || key), 1, 1) < '{below}'),
+  (VALUES ('add', 0, true), ('remove', {days}, true), ('add', {2 * days}, false)) x(action, plus, always) WHERE x.always OR again"""
+
+
+@query("op6_url_lists_asof", f"""
+WITH cap AS (SELECT page_id, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS DATE) AS day,
+  nullif(rtrim(lower(regexp_extract(trim(url), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') AS host FROM pages),
+named AS (SELECT DISTINCT host, array_to_string(string_split(host, '.')[-3:], '.') AS domain FROM cap WHERE host IS NOT NULL),
+entries AS ({_log_sql("domain", "abuse", "block", "domain", "6", 60)} UNION ALL {_log_sql("host", "adult", "block", "host", "4", 90)} UNION ALL {_log_sql("host", "trusted", "allow", "host", "3", 45)}),
+valid AS (SELECT * FROM (SELECT *, coalesce(lead(day) OVER (PARTITION BY list, kind, key ORDER BY day), DATE '9999-12-01') AS stop FROM entries) WHERE action = 'add'),
+hit AS (SELECT c.page_id, c.host, c.day, v.role, v.list, v.key, v.day AS start FROM cap c JOIN valid v
+  ON (c.host = v.key OR (v.kind = 'domain' AND ends_with(c.host, '.' || v.key))) AND v.day <= c.day AND c.day < v.stop),
+one AS (SELECT page_id, host, day, count(DISTINCT CASE WHEN role = 'block' THEN list END) AS block_lists, count(DISTINCT CASE WHEN role = 'allow' THEN list END) AS allow_lists,
+  max(CASE WHEN role = 'block' THEN lpad(CAST(strlen(key) AS VARCHAR), 6, '0') || list || ':' || key || '@' || CAST(CAST(start AS DATE) AS VARCHAR) END) AS b,
+  max(CASE WHEN role = 'allow' THEN lpad(CAST(strlen(key) AS VARCHAR), 6, '0') || list || ':' || key || '@' || CAST(CAST(start AS DATE) AS VARCHAR) END) AS a
+  FROM hit GROUP BY ALL)
+SELECT c.page_id, c.host, c.day, coalesce(b IS NOT NULL AND (a IS NULL OR substr(b, 1, 6) > substr(a, 1, 6)), false) AS blocked,
+  coalesce(block_lists, 0) AS block_lists, coalesce(allow_lists, 0) AS allow_lists,
+  CASE WHEN b IS NOT NULL AND (a IS NULL OR substr(b, 1, 6) > substr(a, 1, 6)) THEN substr(b, 7) ELSE substr(coalesce(a, b), 7) END AS evidence
+FROM cap c LEFT JOIN one o ON c.page_id = o.page_id AND c.host = o.host AND c.day = o.day""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deckflow.llm.urllists import evaluate
+    pages = table(spark, sf_dir, "pages")
+    return evaluate(page_captures(pages), page_list_entries(pages))
+
+
 # --- 8 SimHash ------------------------------------------------------------
 
 @query("op8_simhash_groups")
@@ -131,3 +189,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = mix(docs, mix_levels(docs), mix_weights(), (1, 2), MIX_EPOCHS, MIX_SEED)
     return got.select(F.col("doc.doc_id").alias("doc_id"), F.col("l1").alias("domain"), F.col("l2").alias("lang"), F.col("l3").alias("source"), "n_tokens", "budget", "epoch")
+
+
+# --- 1 language ID --------------------------------------------------------
+
+def remainder(n: int) -> Column:
+    """crc32 of the doc_id as text, mod n (a null id counts as empty text)."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
+
+
+@query("op1_crf_langid")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deckflow.llm.langid import identify, labelled_sample, train
+    docs = table(spark, sf_dir, "documents")
+    model = train(labelled_sample(docs, remainder(4) != 2))
+    got = identify(docs, model)
+    return got.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "shares", "switches")
+
+
+# --- 5 toxicity -----------------------------------------------------------
+
+@query("op5_knn_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deckflow.llm.toxicity import learn, score_documents
+    docs = table(spark, sf_dir, "documents")
+    got = score_documents(docs, learn(docs, table(spark, sf_dir, "labels"), remainder(3) != 1))
+    return got.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+# --- 7 benchmark decontamination -------------------------------------------
+
+@query("op7_cgk_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deckflow.llm.decontam import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

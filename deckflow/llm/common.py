@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deckflow.session import cut, ensure_checkpoint_dir
+from deckflow import session
+from deckflow.session import ensure_checkpoint_dir
 
 __all__ = ["cut", "table", "slim", "components", "total_prefix", "new_folder", "small_batches", "put_file",
            "get_file", "is_empty"]
@@ -18,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder (zstandard pages) and go
+    on from there: a lost executor costs no step before this one."""
+    path = new_folder(df.sparkSession, "deckflow")
+    df.write.option("compression", "zstd").parquet(path)
+    session._CUTS.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def slim(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns, under the operator's own names; whatever else
     the input carries (clashing names included) is left behind."""

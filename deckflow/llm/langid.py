@@ -299,3 +299,20 @@ def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
     best = p.argmax(1)
     cuts = np.concatenate([[0], np.flatnonzero(best[1:] != best[:-1]) + 1, [len(best)]])
     return [(int(a), int(b), model.langs[best[a]]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least_share: float) -> DataFrame:
+    """The rows of ``docs`` with a language that holds ``least_share`` of the
+    words, all columns as they are (``und`` goes)."""
+    small_batches(docs.sparkSession, 400, 8)
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        model = held.value
+        for b in batches:
+            probs = label_words(model, b.column(at).to_pylist())[1] if model else [np.zeros((0, 0))] * b.num_rows
+            yield b.filter(pa.array([len(p) > 0 and float(p.mean(0).max()) >= least_share for p in probs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

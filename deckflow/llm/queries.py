@@ -223,3 +223,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deckflow.llm.decontam import contaminated
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- 3 near-duplicate passages ----------------------------------------------
+
+@query("op3_compact_window_passages")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deckflow.llm.passages import passages
+    return passages(table(spark, sf_dir, "documents"))
+
+
+# --- the pipeline -----------------------------------------------------------
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

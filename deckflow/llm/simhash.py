@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deckflow.llm.common import components, cut, is_empty, slim, small_batches
@@ -213,10 +213,9 @@ def keep_one_per_group(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group one row stays,
     that with the least doc_id (null ids last; of rows under one id, the least
     key of id and text). All columns of ``docs`` are kept."""
-    from pyspark.sql import Window
-    names = docs.columns
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    winners = cut(simhash_groups(docs, **kw).groupBy("root").agg(F.min(order).alias("w"))).select(F.col("w.row").alias("_row"))
-    kept = docs.withColumn("_row", row_key()).join(winners, "_row", "left_semi")
-    once = Window.partitionBy("_row").orderBy("_row")
-    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select(*names)
+    winners = cut(simhash_groups(docs, **kw).groupBy("root").agg(F.min(order).alias("w"))).select(F.col("w.row").alias("row"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), row_key().alias("row"))
+    once = Window.partitionBy("row").orderBy("row")
+    kept = packed.join(winners, "row", "left_semi").withColumn("n", F.row_number().over(once)).filter("n = 1")
+    return kept.select("doc.*")

@@ -161,11 +161,11 @@ def seeded_order(seed: str, card_id) -> Column:
 
 
 def _accent_table() -> tuple[str, str]:
-    """Letters of Latin-1 Supplement and Latin Extended-A/B whose canonical
-    decomposition is an ASCII letter plus marks, mapped to that letter (the
+    """Letters of Latin-1 Supplement, Latin Extended-A/B and Latin Extended
+    Additional whose canonical decomposition is an ASCII letter plus marks, mapped to that letter (the
     full-text tokenizer's diacritic folding). Built by rule from Unicode data."""
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         ch = chr(cp)
         base = unicodedata.normalize("NFD", ch)[0]
         if base != ch and base.isascii() and base.isalpha():
@@ -182,5 +182,7 @@ def fold_accents(x) -> Column:
 
 
 def tokens(x) -> Column:
-    """Case-folded, accent-folded runs of letters and digits (unicode61 style)."""
-    return F.regexp_extract_all(fold_accents(F.lower(_c(x))), F.lit(r"[\p{L}\p{N}]+"), 0)
+    """Case-folded, accent-folded runs of letters and digits (unicode61 style);
+    combining marks belong to their letter and are dropped."""
+    bare = F.regexp_replace(F.lower(_c(x)), r"\p{M}+", "")
+    return F.regexp_extract_all(fold_accents(bare), F.lit(r"[\p{L}\p{N}]+"), 0)

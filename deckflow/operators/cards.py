@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckflow.operators.ranking import global_rank, rank_within, top_n
+from deckflow.operators.ranking import global_rank, null_safe_join, rank_within, top_n
 
 
 def lookup(requests: DataFrame, cards: DataFrame, cols: list[str]) -> DataFrame:
@@ -43,8 +43,8 @@ def deck_position(cards: DataFrame) -> DataFrame:
     """E02: 'i / N' inside the topic deck; the rank is skew-safe and N is a
     partial aggregate joined back."""
     r = rank_within(cards.select("card_id", "topic"), ["topic"], ["card_id"], "pos")
-    n = cards.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    return r.join(n, "topic").select(
+    n = cards.groupBy(F.col("topic").alias("_k_topic")).agg(F.count(F.lit(1)).alias("n"))
+    return null_safe_join(r, n, ["topic"]).select(
         "card_id", "topic", "pos", "n",
         F.concat(F.col("pos").cast("string"), F.lit(" / "), F.col("n").cast("string")).alias("label"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deckflow.functions.text import (card_file_id, depth_cap, format_example, format_probe,
                                      hint_suffix, pluck, title_from_slug, truncate, truncate_dots)
 from deckflow.operators.ranking import global_rank
+from deckflow.operators.upsert import last_per_key
 
 # Prompt layout and card-generation constants of the reference.
 RESEARCH_PROMPT = ["Research this concept deeply:", "", "Name: {name}", "Slug: {slug}", "Cluster: {cluster}",
@@ -22,9 +23,10 @@ SOURCE_TYPE = "pipeline"
 
 
 def _py_json_list(arr: Column) -> Column:
-    """json.dumps of a list of strings (", " separator)."""
-    return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "),
-                    F.lit("]"))
+    """json.dumps of a list of strings (", " separator, letters as they are);
+    each element is escaped by ``to_json``."""
+    text = F.transform(arr, lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1))
+    return F.concat(F.lit("["), F.array_join(text, ", "), F.lit("]"))
 
 
 def research_prompts(concepts: DataFrame) -> DataFrame:
@@ -51,7 +53,9 @@ def cluster_carry(research: DataFrame, concepts: DataFrame) -> DataFrame:
 def generate_cards(research: DataFrame, as_of: str) -> DataFrame:
     """Research rows -> card rows. Card 1 has the full fundamentals and the
     first example/probe; cards 2.. pair the remaining examples and probes
-    (zip-longest), depth min(n, 3), idea cut to 200 chars + '...'."""
+    (zip-longest), depth min(n, 3), idea cut to 200 chars + '...'. Of research
+    rows for one concept the last counts (``last_per_key``), so ids are unique."""
+    research = last_per_key(research, F.coalesce("concept", F.lit("unknown")))
     ex_t = "array<struct<title:string,body:string>>"
     pr_t = "array<struct<question:string,hint:string>>"
     ex = F.coalesce("examples", F.array().cast(ex_t))
@@ -87,7 +91,9 @@ def generate_cards(research: DataFrame, as_of: str) -> DataFrame:
 def concept_merge(research: DataFrame, existing: DataFrame, as_of: str) -> DataFrame:
     """Merged concept snapshot. Researched concepts keep an existing
     non-empty name/cluster, depth and created; description (first 300 chars),
-    connections (weight 1.0) and updated are replaced. Untouched concepts stay."""
+    connections (weight 1.0) and updated are replaced. Untouched concepts stay.
+    Of research rows for one concept the last counts (``last_per_key``)."""
+    research = last_per_key(research, "concept")
     conn = F.transform(F.coalesce("connections_discovered",
                                   F.array().cast("array<struct<slug:string,name:string,relationship:string>>")),
                        lambda c: F.struct(c["slug"].alias("to"), F.lit(1.0).alias("weight"),

@@ -54,8 +54,17 @@ def global_rank(df: DataFrame, order: list, name: str = "rank",
 def rank_within(df: DataFrame, group: list[str], order: list, name: str = "rank") -> DataFrame:
     """1-based rank of each row inside ``group`` by ``order`` (total within group)."""
     g = global_rank(df, [*group, *order], "_g")
-    first = g.groupBy(*group).agg(F.min("_g").alias("_g0"))
-    return g.join(first, group).withColumn(name, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+    first = g.groupBy(*[F.col(c).alias(f"_k_{c}") for c in group]).agg(F.min("_g").alias("_g0"))
+    return (null_safe_join(g, first, group).withColumn(name, F.col("_g") - F.col("_g0") + 1)
+            .drop("_g", "_g0", *[f"_k_{c}" for c in group]))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``keys`` with ``right``'s ``_k_<key>``; null keys are equal."""
+    on = left[keys[0]].eqNullSafe(right[f"_k_{keys[0]}"])
+    for k in keys[1:]:
+        on = on & left[k].eqNullSafe(right[f"_k_{k}"])
+    return left.join(right, on)
 
 
 def expand_ranks(req: DataFrame, keys: list[str], bound: str, name: str,

@@ -8,22 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def last_per_key(df: DataFrame, key) -> DataFrame:
+    """One row per key: the last in ``_seq`` order where the rows have one, and
+    of equal ``_seq`` (or without it) the row whose JSON text is greatest, so
+    the winner is defined."""
+    order = [F.col("_seq").desc()] if "_seq" in df.columns else []
+    w = Window.partitionBy(key).orderBy(*order, F.to_json(F.struct(*[c for c in df.columns if c != "_seq"])).desc())
+    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Insert-or-replace by ``key``, last write wins, no deletes.
-    ``new`` rows may repeat a key; the last one in (batch, _seq) order wins."""
-    o = old.withColumn("_batch", F.lit(0))
-    n = new.withColumn("_batch", F.lit(1))
-    seq = "_seq" if "_seq" in new.columns else None
-    if seq is None:
-        o = o.withColumn("_seq", F.lit(0).cast("long"))
-        n = n.withColumn("_seq", F.lit(0).cast("long"))
-    else:
-        o = o.withColumn("_seq", F.lit(0).cast("long"))
-    w = Window.partitionBy(key).orderBy(F.col("_batch").desc(), F.col("_seq").desc())
-    # only keys present in both inputs need ranking; the window sees at most one
-    # old row plus the new rows of a key
-    return (o.unionByName(n).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .drop("_rn", "_batch", "_seq"))
+    Only ``new`` is ranked; ``old`` keeps the rows whose key isn't in it."""
+    won = last_per_key(new, key).drop("_seq")
+    kept = old.join(won.select(F.col(key).alias("_new")), old[key].eqNullSafe(F.col("_new")), "left_anti")
+    return kept.unionByName(won)
 
 
 def write_snapshot(df: DataFrame, base: str, version: int, partitions: int | None = None) -> str:

@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 
 from deckflow.operators.search import postings, write_postings
 from deckflow.operators.upsert import upsert, write_snapshot
-from deckflow.session import shuffle_partitions
+from deckflow.session import committed, shuffle_partitions, started
 from deckflow.sources.documents import parse_cards, parse_concepts
 from deckflow.sources.signals import read_documents
 
 
 def _latest(spark: SparkSession, base: str) -> tuple[DataFrame | None, int]:
-    """Newest snapshot version under ``base`` (folders v000001, v000002, ...)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None, 0
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(path)
-                      if s.isDirectory() and s.getPath().getName().startswith("v"))
-    if not versions:
-        return None, 0
-    return spark.read.parquet(f"{base}/v{versions[-1]:06d}"), versions[-1]
+    """Newest committed snapshot version under ``base`` (folders v000001,
+    v000002, ...) and the number that the next one must exceed; a folder whose
+    write didn't end is never read, nor is its number used again."""
+    done = committed(spark, base, "v")
+    if not done:
+        return None, max(started(spark, base, "v"), default=0)
+    return spark.read.parquet(f"{base}/v{done[-1]:06d}"), max(started(spark, base, "v"))
 
 
 def reindex_all(spark: SparkSession, cards_dir: str, concepts_dir: str, out_dir: str, as_of: str) -> DataFrame:

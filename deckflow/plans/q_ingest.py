@@ -199,7 +199,7 @@ def engagement_scan(spark, sf):
 SELECT slug, 'Research this concept deeply:' || {NL} || {NL} || 'Name: ' || coalesce(name, '') || {NL}
   || 'Slug: ' || coalesce(slug, '') || {NL} || 'Cluster: ' || coalesce(cluster, '') || {NL}
   || 'Description: ' || coalesce(description, '') || {NL}
-  || 'Known connections: [' || array_to_string(list_transform(connections, lambda x: '"' || x || '"'), ', ') || ']'
+  || 'Known connections: [' || array_to_string(list_transform(connections, lambda x: CAST(to_json(x) AS VARCHAR)), ', ') || ']'
   || {NL} || {NL} || 'Produce teaching material at multiple depth levels.' AS prompt
 FROM cr""")
 def research_prompts(spark, sf):

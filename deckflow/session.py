@@ -90,6 +90,29 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _file_system(spark: SparkSession, base: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def started(spark: SparkSession, base: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``<prefix><number>`` below ``base``. A missing
+    ``base`` has none; any other failure to list it is raised."""
+    path, fs = _file_system(spark, base)
+    if not fs.exists(path(base)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path(base)) if s.isDirectory()]
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+
+
+def committed(spark: SparkSession, base: str, prefix: str) -> list[int]:
+    """Those of them whose write was committed (the folder holds ``_SUCCESS``)."""
+    path, fs = _file_system(spark, base)
+    name = {int(s.getPath().getName()[len(prefix):]): s.getPath() for s in (fs.listStatus(path(base)) if fs.exists(path(base)) else [])
+            if s.isDirectory() and s.getPath().getName().startswith(prefix) and s.getPath().getName()[len(prefix):].isdigit()}
+    return [n for n in sorted(name) if fs.exists(path(name[n], "_SUCCESS"))]
+
+
 _CUTS: list[str] = []
 
 

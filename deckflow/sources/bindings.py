@@ -67,7 +67,7 @@ def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("id"),
         "user_id",
-        F.get_json_object("props", "$.k").cast("bigint").alias("card_id"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("card_id"),
         F.col("event_type").alias("event"),
         F.round(F.col("value") * 1000).cast("bigint").alias("duration_ms"),
         F.col("props").alias("metadata"),

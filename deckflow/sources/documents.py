@@ -71,7 +71,7 @@ def parse_cards(docs: DataFrame, as_of: str) -> DataFrame:
                 F.coalesce(_scalar(_key(meta, "concept")), F.lit("")).alias("concept"),
                 F.coalesce(_scalar(_key(meta, "title")), F.lit("")).alias("title"),
                 F.coalesce(_scalar(_key(meta, "topic")), F.lit("")).alias("topic"),
-                F.coalesce(_key(meta, "depth").cast("int"), F.lit(1)).alias("depth"),
+                F.coalesce(_key(meta, "depth").try_cast("int"), F.lit(1)).alias("depth"),
                 F.coalesce(sec["idea"], F.lit("")).alias("idea"),
                 F.coalesce(sec["example"], F.lit("")).alias("example"),
                 F.coalesce(sec["probe"], F.lit("")).alias("probe"),
@@ -79,7 +79,7 @@ def parse_cards(docs: DataFrame, as_of: str) -> DataFrame:
                 F.coalesce(src["type"], F.lit("")).alias("source_type"),
                 F.coalesce(src["id"], F.lit("")).alias("source_id"),
                 F.col("path").alias("file_path"),
-                F.coalesce(_scalar(_key(meta, "created")), F.lit(as_of)).cast("date").alias("created_at")))
+                F.coalesce(_scalar(_key(meta, "created")).try_cast("date"), F.lit(as_of).cast("date")).alias("created_at")))
 
 
 def card_rejects(docs: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def parse_concepts(docs: DataFrame) -> DataFrame:
         stem.alias("concept"),
         F.coalesce(_scalar(_key(c, "name")), stem).alias("name"),
         F.coalesce(_scalar(_key(c, "cluster")), F.lit("")).alias("cluster"),
-        F.coalesce(_key(c, "depth").cast("int"), F.lit(1)).alias("depth"),
+        F.coalesce(_key(c, "depth").try_cast("int"), F.lit(1)).alias("depth"),
         F.coalesce(F.from_json(_key(c, "connections"), CONN), F.array().cast(CONN)).alias("connections"))
 
 

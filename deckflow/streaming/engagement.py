@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from deckflow.operators import engagement as eng
-from deckflow.session import ensure_checkpoint_dir
+from deckflow.session import committed, ensure_checkpoint_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -135,11 +135,7 @@ def run_card_upsert(docs: DataFrame, snapshot_base: str, ckpt: str, as_of: str,
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = parse_cards(batch, as_of)
-        try:
-            versions = sorted(r.v for r in spark.read.parquet(snapshot_base).select(F.col("v")).distinct().collect()
-                              if r.v < batch_id)
-        except Exception:  # noqa: BLE001  (no snapshot yet)
-            versions = []
+        versions = [v for v in committed(spark, snapshot_base, "v=") if v < batch_id]
         if versions:
             old = spark.read.parquet(f"{snapshot_base}/v={versions[-1]}")
             merged = upsert(old, new, "card_id")

@@ -188,3 +188,63 @@ def test_concept_merge_idempotent_except_updated(spark):
     strip = lambda df: sorted(tuple(r) for r in df.drop("updated").collect())
     assert strip(once) == strip(twice)
     assert {str(r.updated) for r in twice.filter("slug = 'a-b'").collect()} == {"2024-02-05"}
+
+
+def test_null_topics_keep_their_cards(spark):
+    from deckflow.operators.cards import deck_position
+    rows = [(1, "a"), (2, None), (3, "a"), (4, None)]
+    got = deck_position(spark.createDataFrame(rows, "card_id long, topic string")).collect()
+    assert sorted((r.card_id, r.label) for r in got) == [(1, "1 / 2"), (2, "1 / 2"), (3, "2 / 2"), (4, "2 / 2")]
+
+
+def test_only_committed_snapshots_are_read(spark, tmp_path):
+    from deckflow.plans.jobs import _latest
+    base = str(tmp_path / "cards")
+    spark.range(10).write.parquet(f"{base}/v000001")
+    spark.range(2).write.parquet(f"{base}/v000002")
+    (tmp_path / "cards" / "v000002" / "_SUCCESS").unlink()
+    df, last = _latest(spark, base)
+    assert df.count() == 10 and last == 2
+    assert _latest(spark, str(tmp_path / "none")) == (None, 0)
+
+
+def test_unreadable_snapshot_fails_the_batch(spark, tmp_path):
+    """A broken file beside the snapshot must not empty it, nor pass silently."""
+    import pytest
+
+    from deckflow.streaming import engagement as S_
+    cards, base = tmp_path / "cards", str(tmp_path / "snap")
+    cards.mkdir()
+    doc = '---\nconcept: "c"\ntitle: "t"\ntopic: "x"\ndepth: 1\nconnections: []\n---\n\n## Idea\ni\n'
+    for i in range(3):
+        (cards / f"c-{i}.md").write_text(doc)
+    S_.run_card_upsert(S_.card_folder_stream(spark, str(cards)), base, str(tmp_path / "ck"), "2024-01-31").awaitTermination()
+    assert spark.read.parquet(f"{base}/v=0").count() == 3
+    for p in (tmp_path / "snap" / "v=0").glob("*.parquet"):
+        p.write_bytes(b"broken")
+    (cards / "c-9.md").write_text(doc)
+    with pytest.raises(Exception):
+        S_.run_card_upsert(S_.card_folder_stream(spark, str(cards)), base, str(tmp_path / "ck"), "2024-01-31").awaitTermination()
+
+
+def test_upsert_reduces_new_rows_and_keeps_old(spark):
+    from deckflow.operators.upsert import upsert
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    new = spark.createDataFrame([("b", 5, 1), ("b", 4, 2), ("c", 7, 1)], "k string, v int, _seq long")
+    assert sorted(map(tuple, upsert(old, new, "k").collect())) == [("a", 1), ("b", 4), ("c", 7)]
+
+
+def test_prompt_connections_are_escaped(spark):
+    df = spark.createDataFrame([("s", "n", "c", "d", ['a"b', "é"])], "slug string, name string, cluster string, description string, connections array<string>")
+    assert '["a\\"b", "é"]' in gen.research_prompts(df).first().prompt
+
+
+def test_tokens_fold_marks_and_latin_additional(spark):
+    df = spark.createDataFrame([("Tiếng Việt résumé",)], "t string")
+    assert df.select(T.tokens("t").alias("w")).first().w == ["tieng", "viet", "resume"]
+
+
+def test_bad_scalars_do_not_end_the_job(spark):
+    doc = '---\nconcept: "c"\ntitle: "t"\ntopic: "x"\ndepth: two\ncreated: "soon"\nconnections: []\n---\n\n## Idea\ni\n'
+    r = D.parse_cards(spark.createDataFrame([("cards/c-001.md", doc)], "path string, content string"), "2024-01-31").first()
+    assert (r.depth, str(r.created_at)) == (1, "2024-01-31")

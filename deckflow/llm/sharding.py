@@ -10,8 +10,9 @@ check over known fences alone proves a capacity feasible, and a check that
 supposes a group end wherever one may be hidden proves one infeasible. The two
 searches bracket the answer; one Spark pass then fetches finer fences only in
 the stretches where a cut may fall, and this repeats until both searches agree.
-Every round divides those stretches by ``FENCES``, so even 10^12 groups take
-four or five rounds, and the answer is exact.
+Every round divides those stretches by ``FENCES`` and makes known at least one
+hidden end, so it ends; even 10^12 groups take four or five rounds, and the
+answer is exact.
 
 Below the least capacity, cuts may still be chosen: each goes to the fence
 nearest to an equal share of what is left, as long as the rest still fits.
@@ -81,9 +82,10 @@ class Fences:
         return out
 
 
-def _stretch(groups: DataFrame, stretches: list[tuple[int, int]], fences: int) -> list[tuple[int, int, int]]:
-    """For equal parts of each stretch (lo, hi]: the largest end in the part
-    and the number of ends, at most ``fences`` parts in all."""
+def _stretch(groups: DataFrame, stretches: list[tuple[int, int]], fences: int) -> list[tuple[int, bool]]:
+    """For equal parts of each stretch (lo, hi], at most ``fences`` parts in
+    all: the least and the largest end in the part, each with whether no other
+    end lies between it and the one before."""
     each = max(2, fences // len(stretches))
     part = F.lit(None)
     for k, (lo, hi) in enumerate(stretches):
@@ -91,8 +93,8 @@ def _stretch(groups: DataFrame, stretches: list[tuple[int, int]], fences: int) -
         inside = (F.col("upto") > lo) & (F.col("upto") <= hi)
         at = F.floor((F.col("upto") - 1 - lo).cast("decimal(38,0)") * n / F.lit(hi - lo).cast("decimal(38,0)"))
         part = F.when(inside, F.lit(k * each) + at.cast("long")).otherwise(part)
-    rows = groups.select(part.alias("part"), "upto").filter("part is not null").groupBy("part").agg(F.max("upto").alias("e"), F.count("*").alias("n")).collect()
-    return sorted((r["e"], r["n"]) for r in rows)
+    rows = groups.select(part.alias("part"), "upto").filter("part is not null").groupBy("part").agg(F.min("upto").alias("a"), F.max("upto").alias("e"), F.count("*").alias("n")).collect()
+    return sorted([(r["a"], True) for r in rows] + [(r["e"], r["n"] == 2) for r in rows if r["n"] > 1])
 
 
 def least_capacity(groups: DataFrame, shards: int, fences: int = FENCES) -> tuple[int, list[int]]:
@@ -101,7 +103,7 @@ def least_capacity(groups: DataFrame, shards: int, fences: int = FENCES) -> tupl
     if total is None:
         return 0, [0] * (shards - 1)
     ends = [(0, True)]  # (end, no hidden end since the one before)
-    ends += [(e, n == 1) for e, n in _stretch(groups, [(0, total)], fences)]
+    ends += _stretch(groups, [(0, total)], fences)
     while True:
         known = Fences([e for e, _ in ends], [w for _, w in ends[1:]] + [True])
         low, high = known.search(shards, True), known.search(shards, False)
@@ -122,7 +124,7 @@ def least_capacity(groups: DataFrame, shards: int, fences: int = FENCES) -> tupl
             else:
                 stretches.append([lo, hi])
         gone = {known.ends[i + 1] for i in unsure}
-        finer = [(e, n == 1) for e, n in _stretch(groups, [tuple(x) for x in stretches], fences)]
+        finer = _stretch(groups, [tuple(x) for x in stretches], fences)
         ends = sorted([x for x in ends if x[0] not in gone] + finer)
 
 

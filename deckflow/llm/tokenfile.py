@@ -18,10 +18,11 @@ A frame ends where the next begins (the last where the index begins). Files
 hold ascending doc_ids (null ids first) and are numbered in that order; the
 manifest gives their paths and the number of ids before each.
 
-The tokenizer's pre-tokenization always starts a new piece at a space between
-two characters that aren't white space, so texts are cut there and each
-different piece is encoded once by the library; the ids are those of the whole
-text (tested against whole-text encoding).
+The tokenizer's pre-tokenization always starts a new piece at a space or line
+end between two characters that aren't white space, after such a line end, and
+at a stop or comma after a letter, so texts are cut there and each different
+piece is encoded once by the library; the ids are those of the whole text
+(tested against whole-text encoding).
 
 Null and empty texts hold the end id alone. Repeated rows are written each
 time. An empty table gives no file and no rows.
@@ -30,9 +31,11 @@ time. An empty table gives no file and no rows.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,37 +48,80 @@ DICT_BYTES = 64 * 1024
 FILE_BYTES = 64 << 20
 HEAD, TAIL = b"DFTOK1\0\0", b"DFTOKEND"
 ENTRY = [("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u8"), ("has_id", "u1")]
-CACHE = 400_000
+CACHE = 600_000
+
+
+class Pieces(dict):
+    """Pieces by number; one that isn't known yet gets the next."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
 
 
 class Encoder:
-    """Whole-text encoding that asks the library once for each piece."""
+    """Whole-text encoding that asks the library once for each piece. The ids
+    of all known pieces lie in one array, so a batch is put together by index."""
 
-    cut = re.compile(r"(?<=\S)(?= \S)")
+    cut = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z0-9])(?=[,.;:!?])")
+    odd = re.compile(r"(?<![A-Za-z0-9])[,.;:!?]")
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(tokenizer_path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        import numpy as np
+        self.known = Pieces()
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1, np.int64)  # of the piece before each number
+
+    def split(self, text: str) -> list[str]:
+        """The pieces of ``cut``; by plain replacement where all white space is
+        single, and there cut at stops only if each follows a letter or digit."""
+        if " ".join(text.split()) != text.replace("\n", " ") or "\0" in text:
+            return self.cut.split(text)
+        if not self.odd.search(text):
+            for stop in ",.;:!?":
+                text = text.replace(stop, "\0" + stop)
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def learn(self) -> None:
+        """Encode the pieces that are new."""
+        import numpy as np
+        new, self.known.new = self.known.new, []
+        for i in range(0, len(new), 20_000):
+            ids = [e.ids for e in self.tok.encode_batch_fast(new[i:i + 20_000], add_special_tokens=False)]
+            at = int(self.ends[-1])
+            self.ends = np.append(self.ends, at + np.cumsum([len(x) for x in ids]))
+            to = int(self.ends[-1])
+            if to > len(self.ids):
+                self.ids = np.append(self.ids, np.zeros(to, np.uint32))
+            self.ids[at:to] = np.fromiter(chain.from_iterable(ids), np.uint32, to - at)
 
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> list:
         import numpy as np
-        split = [self.cut.split(t) if t else [] for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = list({p for pieces in split for p in pieces}.difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            self.known.update(zip(part, [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]))
-        out, known = [], self.known
-        for pieces in split:
-            ids: list[int] = []
-            for p in pieces:
-                ids += known[p]
-            ids.append(end_id)
-            out.append(np.array(ids, np.uint32))
-        return out
+            self.forget()
+        pieces: list[str] = []
+        last = [0]
+        for t in texts:
+            pieces += self.split(t) if t else []
+            last.append(len(pieces))
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.learn()
+        begin = self.ends[number]
+        size = self.ends[number + 1] - begin
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        stops = upto[last]
+        return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(stops, stops[1:])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -84,6 +130,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One per worker process; its cache serves all the tasks of the worker."""
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks take the cores
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -181,7 +228,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     from tokenizers import Tokenizer
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    small_batches(spark)
+    small_batches(spark, 1000, 4)
     vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size()
     width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
     words = train_dictionary(docs, tokenizer_path, width)

@@ -66,6 +66,7 @@ class FeedInputs:
     limit: int = 20
     as_of: str = "2024-01-31"
     seed: str = "42"
+    users: DataFrame | None = None  # user_id of users that may have no events (cold start)
 
 
 class BlendedFeed:
@@ -84,55 +85,34 @@ class BlendedFeed:
         # need; everything below reads this, so it is materialised once.
         self.pairs = cut(eng.engaged_pairs(accepted)
                          .join(cards.select("card_id", "concept", "depth", "connections"), "card_id"))
-        self.users = cut(self.pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("m")))
-        # picks per user never exceed the sum of all slots (continue <= limit)
-        self.max_picks = max(self.inp.limit, 0) + sum(v for k, v in self.slots.items() if k != "continue")
+        # Every user gets a feed; one without accepted events has m = 0.
+        engaged = self.pairs.select("user_id", F.lit(1).alias("one"))
+        known = inp.events.select("user_id")
+        if inp.users is not None:
+            known = known.union(inp.users.select("user_id"))
+        known = known.filter("user_id is not null").select("user_id", F.lit(0).alias("one"))
+        self.users = cut(engaged.union(known).groupBy("user_id").agg(F.sum("one").alias("m")))
         self._ranks: dict[str, DataFrame] = {}
-        self._reach: int | None = None
         self._steps: dict[str, DataFrame] = {}
 
     # ---- ranked card tables (computed once, shared by all users) -------------
-    def reach(self) -> int:
-        """B* = the largest rank any user can need in any order: most engaged
-        cards of one user + most picks + largest quota (one scalar aggregate)."""
-        if self._reach is None:
-            m_max = self.users.agg(F.max("m")).first()[0] or 0
-            self._reach = int(m_max) + self.max_picks + max(max(self.slots.values()), self.inp.limit)
-        return self._reach
-
-    def _small(self) -> bool:
-        """Top-B* tables are used when B* is within Spark's partial window-limit
-        threshold: then ranking is a map-side top-k, not a sort of all cards."""
-        limit = int(self.cards.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-        return self.reach() <= limit
-
-    def _global(self, df: DataFrame, order: list, name: str) -> DataFrame:
-        if self._small():
-            # at most B* rows reach one task (TakeOrdered merges per-partition top-B*)
-            top = df.orderBy(*order).limit(self.reach())
-            return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-        return global_rank(df, order, name)
-
-    def _within(self, df: DataFrame, group: list[str], order: list, name: str) -> DataFrame:
-        if self._small():
-            return top_n(df, group, order, self.reach(), name).withColumn(name, F.col(name).cast("long"))
-        return rank_within(df, group, order, name)
-
     def rank(self, name: str) -> DataFrame:
         if name not in self._ranks:
             c = self.cards
             if name == "concept":      # within concept by (depth, card_id); read by three steps
-                r = cut(self._within(c.select("card_id", "concept", "depth"), ["concept"], ["depth", "card_id"],
-                                     "crank"))
+                r = cut(rank_within(c.select("card_id", "concept", "depth"), ["concept"], ["depth", "card_id"],
+                                    "crank"))
             elif name == "fresh":      # newest first, nulls last
-                r = self._global(c.select("card_id", "created_at"),
-                                 [F.col("created_at").desc_nulls_last(), F.col("card_id")], "frank")
-            elif name == "random":     # seeded stand-in for ORDER BY RANDOM()
-                r = self._global(c.select("card_id", seeded_order(self.inp.seed, "card_id").alias("h")),
-                                 [F.col("h"), F.col("card_id")], "mrank")
+                r = global_rank(c.select("card_id", "created_at"),
+                                [F.col("created_at").desc_nulls_last(), F.col("card_id")], "frank")
+            elif name == "random":     # seeded stand-in for ORDER BY RANDOM(); fill reads the first ``limit``
+                order = [F.col("h"), F.col("card_id")]
+                top = c.select("card_id", seeded_order(self.inp.seed, "card_id").alias("h")).orderBy(*order).limit(
+                    self.inp.limit)
+                r = top.withColumn("mrank", F.row_number().over(Window.orderBy(*order)).cast("long"))
             elif name == "backfill":   # depth-1 cards within concept by card_id
-                r = self._within(c.filter(F.col("depth") == 1).select("card_id", "concept"),
-                                 ["concept"], ["card_id"], "brank")
+                r = rank_within(c.filter(F.col("depth") == 1).select("card_id", "concept"),
+                                ["concept"], ["card_id"], "brank")
             else:
                 raise KeyError(name)
             self._ranks[name] = r
@@ -151,8 +131,6 @@ class BlendedFeed:
         """Rank-table rows a request can reach: rank <= max(bound). The max is
         a scalar subquery (partial + final aggregate), so a global card order of
         any size shrinks to the few leading ranks, which AQE can broadcast."""
-        if self._small():       # already cut to the top B* per order
-            return ranked
         return ranked.filter(F.col(rank_col) <= req.select(F.max("bound")).scalar())
 
     def _before(self, source: str) -> int:
@@ -177,8 +155,7 @@ class BlendedFeed:
         n_in = self.pairs.join(lastc, ["user_id", "concept"], "left_semi").groupBy("user_id", "concept").count()
         req = lastc.join(n_in, ["user_id", "concept"], "left").select(
             "user_id", "concept", (F.coalesce("count", F.lit(0)) + q).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", chunk=self.CHUNK,
-                            max_bound=self.reach()).join(
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", chunk=self.CHUNK).join(
             self._upto(self.rank("concept"), "crank", req).select("concept", "crank", "card_id"), ["concept", "crank"])
         return cand.select("user_id", "card_id", F.struct(F.col("crank").alias("k"), F.col("card_id").alias("id"))
                            .alias("key"))
@@ -186,7 +163,7 @@ class BlendedFeed:
     def _raw_fresh(self, n: int) -> DataFrame:
         """Newest cards, ranks 1..(engaged + n)."""
         req = self.users.select("user_id", (F.col("m") + n).alias("bound"))
-        cand = expand_ranks(req, ["user_id"], "bound", "frank", chunk=self.CHUNK, max_bound=self.reach()).join(
+        cand = expand_ranks(req, ["user_id"], "bound", "frank", chunk=self.CHUNK).join(
             self._upto(self.rank("fresh"), "frank", req), "frank")
         return cand.select("user_id", "card_id", F.struct(F.col("frank").alias("k"), F.col("card_id").alias("id"))
                            .alias("key"))
@@ -197,8 +174,7 @@ class BlendedFeed:
         seen1 = self.pairs.filter(F.col("depth") == 1).groupBy("user_id", "concept").count()
         req = deep.join(seen1, ["user_id", "concept"], "left").select(
             "user_id", "concept", (F.coalesce("count", F.lit(0)) + n).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", chunk=self.CHUNK,
-                            max_bound=self.reach()).join(
+        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", chunk=self.CHUNK).join(
             self._upto(self.rank("backfill"), "brank", req), ["concept", "brank"])
         return cand.select("user_id", "card_id", F.struct(F.lit(0).cast("long").alias("k"),
                                                           F.col("card_id").alias("id")).alias("key"))
@@ -313,5 +289,5 @@ class BlendedFeed:
 
 
 def blended_feed(cards: DataFrame, events: DataFrame, limit: int = 20,
-                 as_of: str = "2024-01-31", seed: str = "42") -> DataFrame:
-    return BlendedFeed(FeedInputs(cards, events, limit, as_of, seed)).feed()
+                 as_of: str = "2024-01-31", seed: str = "42", users: DataFrame | None = None) -> DataFrame:
+    return BlendedFeed(FeedInputs(cards, events, limit, as_of, seed, users)).feed()

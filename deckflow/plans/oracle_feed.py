@@ -12,7 +12,7 @@ def feed_sql(limit: int = 20, as_of: str = "2024-01-31", seed: str = "42", only:
     body = f""",
 ec AS (SELECT a.user_id, a.card_id, a.created_at, c.concept, c.depth, c.connections
        FROM acc a JOIN cards c ON c.card_id = a.card_id),
-users AS (SELECT DISTINCT user_id FROM acc),
+users AS (SELECT user_id FROM events WHERE user_id IS NOT NULL UNION SELECT c_custkey FROM customer),
 seen AS (SELECT DISTINCT user_id, card_id FROM acc),
 lastc AS (SELECT user_id, concept FROM ec
           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, concept DESC) = 1),

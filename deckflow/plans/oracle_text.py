@@ -43,7 +43,7 @@ RESEARCH = f"""r AS (
           FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber % 2 = 0) AS probes,
          [struct_pack(slug := 'status-' || lower(o.o_orderstatus), name := o.o_orderstatus,
                       relationship := o.o_orderpriority)] AS connections_discovered
-  FROM orders o LEFT JOIN documents d ON d.doc_id = o.o_orderkey % 200 AND d.doc_id < 200)"""
+  FROM orders o LEFT JOIN documents d ON d.doc_id = o.o_orderkey % (SELECT max(doc_id) + 1 FROM documents))"""
 
 CONCEPT_RECORDS = f"""cr AS (
   SELECT {SLUG} AS slug, 'Order ' || CAST(o.o_orderkey AS VARCHAR) AS name, o.o_orderstatus AS cluster,
@@ -59,15 +59,16 @@ EXISTING = f"""ex AS (
          CAST(DATE '2024-01-01' + CAST(o.o_orderkey % 28 AS INTEGER) AS DATE) AS created
   FROM orders o WHERE o.o_orderkey % 3 <> 2)"""
 
-BOOKMARK_SIGNALS = f"""conv AS (
-  SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS t0, max(CASE WHEN turn = 1 THEN text END) AS t1,
-         list(role ORDER BY turn) AS roles
-  FROM conversations GROUP BY conv_id),
+BOOKMARK_SIGNALS = f"""turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+         row_number() OVER w - 1 AS pos, lead(text) OVER w AS quoted
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 sig AS (
-  SELECT conv_id AS export_id, 0 AS idx,
-         {strip(f"CASE WHEN coalesce(t1, '') <> '' THEN coalesce(t0, '') || {NL} || {NL} || '> ' || t1 ELSE coalesce(t0, '') END")} AS text,
-         'twitter_bookmark' AS source_type, CAST(conv_id AS VARCHAR) AS source_id, roles AS topics_hint
-  FROM conv)"""
+  SELECT conv_id AS export_id, CAST(pos // 2 AS INTEGER) AS idx,
+         {strip(f"CASE WHEN coalesce(quoted, '') <> '' THEN text || {NL} || {NL} || '> ' || quoted ELSE text END")} AS text,
+         'twitter_bookmark' AS source_type, CAST(conv_id AS VARCHAR) || '-' || CAST(pos // 2 AS VARCHAR) AS source_id,
+         [role] AS topics_hint
+  FROM turns WHERE pos % 2 = 0)"""
 
 PAGES = f"""pg AS (
   SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, {strip('page')} AS text, 'pdf' AS source_type,

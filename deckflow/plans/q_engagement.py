@@ -289,7 +289,8 @@ def random_n(spark, sf):
 
 
 def _feed(spark, sf, limit=B.LIMIT):
-    return BlendedFeed(FeedInputs(_cards(spark, sf), B.engagement(spark, sf), limit, B.AS_OF, B.SEED))
+    return BlendedFeed(FeedInputs(_cards(spark, sf), B.engagement(spark, sf), limit, B.AS_OF, B.SEED,
+                                  B.users(spark, sf)))
 
 
 @register("feed_cut", feed_sql(3, B.AS_OF, B.SEED))

@@ -12,7 +12,7 @@ from deckflow.sources import bindings as B
 
 def _feed(spark, sf_dir) -> BlendedFeed:
     return BlendedFeed(FeedInputs(B.cards(spark, sf_dir), B.engagement(spark, sf_dir),
-                                  B.LIMIT, B.AS_OF, B.SEED))
+                                  B.LIMIT, B.AS_OF, B.SEED, B.users(spark, sf_dir)))
 
 
 @register("feed", feed_sql(B.LIMIT, B.AS_OF, B.SEED))

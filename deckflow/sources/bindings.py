@@ -75,6 +75,11 @@ def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered users: the customers, most of whom have no events."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+
+
 def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("card_id"), F.col("source").alias("title"),
@@ -83,23 +88,26 @@ def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bookmark_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One export document per conversation: the first turn is the tweet, the
-    second its quoted tweet, the roles its hashtags; the document shape
+    """One export document per conversation: every other turn is a tweet, the
+    turn after it its quoted tweet, its role the hashtag; the document shape
     (array / {data} / {tweets}) rotates with conv_id."""
     c = table(spark, sf_dir, "conversations")
-    g = c.groupBy("conv_id").agg(
-        F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("t0"),
-        F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("t1"),
-        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("roles"))
-    tweet = F.to_json(F.struct(
-        F.col("conv_id").alias("id"), F.col("t0").alias("full_text"),
-        F.struct(F.col("t1").alias("full_text")).alias("quoted_status"),
-        F.struct(F.transform("roles", lambda r: F.struct(r["role"].alias("tag"))).alias("hashtags")).alias("entities")))
+    turns = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+
+    def tweet(i):
+        t = lambda k: F.get("t", k)
+        return F.struct(
+            F.concat(F.col("conv_id").cast("string"), F.lit("-"), i.cast("string")).alias("id"),
+            t(i * 2)["text"].alias("full_text"),
+            F.struct(t(i * 2 + 1)["text"].alias("full_text")).alias("quoted_status"),
+            F.struct(F.array(F.struct(t(i * 2)["role"].alias("tag"))).alias("hashtags")).alias("entities"))
+
+    tweets = F.to_json(F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 2).cast("int")), tweet))
     shape = F.col("conv_id") % 3
-    doc = (F.when(shape == 0, F.concat(F.lit("["), tweet, F.lit("]")))
-           .when(shape == 1, F.concat(F.lit('{"data":['), tweet, F.lit("]}")))
-           .otherwise(F.concat(F.lit('{"tweets":['), tweet, F.lit("]}"))))
-    return g.select(F.col("conv_id").alias("export_id"), doc.alias("doc"))
+    doc = (F.when(shape == 0, tweets)
+           .when(shape == 1, F.concat(F.lit('{"data":'), tweets, F.lit("}")))
+           .otherwise(F.concat(F.lit('{"tweets":'), tweets, F.lit("}"))))
+    return turns.select(F.col("conv_id").alias("export_id"), doc.alias("doc"))
 
 
 def _slug():
@@ -111,8 +119,9 @@ def research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RESEARCH records from orders / lineitem / documents."""
     o = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem")
-    docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") < 200).select(
-        F.col("doc_id").alias("_doc"), F.col("text").alias("fundamentals"))
+    documents = table(spark, sf_dir, "documents")
+    docs = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("fundamentals"))
+    n_docs = documents.select(F.max("doc_id") + 1).scalar()
     key = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
     ex = (li.filter(F.col("l_linenumber") % 2 == 1).groupBy(F.col("l_orderkey").alias("o_orderkey"))
           .agg(F.array_sort(F.collect_list(F.struct(*key, F.struct(F.col("l_returnflag").alias("title"),
@@ -124,7 +133,8 @@ def research(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.col("l_returnflag").alias("hint")).alias("x")))).alias("_p"))
           .select("o_orderkey", F.transform("_p", lambda s: s["x"]).alias("probes")))
     return (o.join(ex, "o_orderkey", "left").join(pr, "o_orderkey", "left")
-            .join(docs, F.col("o_orderkey") % 200 == F.col("_doc"), "left")
+            .withColumn("_d", F.col("o_orderkey") % n_docs)
+            .join(docs, F.col("_d") == F.col("_doc"), "left")
             .select(F.col("o_orderkey"), _slug().alias("concept"),
                     F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("cluster"),
                     "fundamentals", "examples", "probes",

@@ -98,37 +98,35 @@ def test_one_user_alone_equals_batch(spark):
 
 
 @pytest.mark.parametrize("limit", [4, 20])
-def test_feed_large_reach_path_matches_model(spark, limit):
-    """With a tiny window-limit threshold the ranked card tables take the
-    distributed global-rank path; the answer must not change."""
+def test_feed_of_cold_users(spark, limit):
+    """Users without events, or with rejected ones only, get fresh and fill cards."""
     cards, events = random_tables(17)
-    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
-    try:
-        got = spark_feed(spark, cards, events, limit)
-    finally:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
-    for u in sorted({u for _, u, c, _, _ in events if c in cards}):
+    events += [(900, 77, 10_000, "seen", datetime(2024, 1, 20))]
+    cdf = spark.createDataFrame([(k, v["concept"], f"t{k}", "x", v["depth"], v["created_at"], v["connections"])
+                                 for k, v in cards.items()], CARD_SCHEMA)
+    users = spark.createDataFrame([(1,), (88,), (88,), (None,)], "user_id long")
+    f = BlendedFeed(FeedInputs(cdf, spark.createDataFrame(events, EVENT_SCHEMA), limit, "2024-01-31", "7", users))
+    got = {}
+    for r in sorted(f.feed().collect(), key=lambda r: (r.user_id, r.position)):
+        got.setdefault(r.user_id, []).append((r.card_id, r.source))
+    assert set(got) == {u for _, u, _, _, _ in events} | {88}
+    for u in got:
         ev = [(c, t) for _, uu, c, _, t in events if uu == u]
-        assert got.get(u, []) == feed_model.feed(cards, ev, limit, "2024-01-31", "7"), (u, limit)
+        assert got[u] == feed_model.feed(cards, ev, limit, "2024-01-31", "7"), (u, limit)
+    nothing = spark.createDataFrame([], EVENT_SCHEMA)
+    alone = BlendedFeed(FeedInputs(cdf, nothing, limit, "2024-01-31", "7", users)).feed().collect()
+    assert {r.user_id for r in alone} == {1, 88} and len(alone) == 2 * limit
 
 
 def test_feed_hot_user_chunked_expansion_matches_model(spark):
-    """A tiny chunk size sends every user through the chunked (hot-user)
-    rank expansion, together with the distributed-rank path."""
+    """A tiny chunk size sends every user through the chunked (hot-user) rank expansion."""
     cards, events = random_tables(23, n_users=3, n_events=150)
     cdf = spark.createDataFrame([(k, v["concept"], f"t{k}", "x", v["depth"], v["created_at"], v["connections"])
                                  for k, v in cards.items()], CARD_SCHEMA)
     edf = spark.createDataFrame(events, EVENT_SCHEMA)
-    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
-    try:
-        f = BlendedFeed(FeedInputs(cdf, edf, 20, "2024-01-31", "7"))
-        f.CHUNK = 4
-        assert f.reach() > f.CHUNK
-        rows = f.feed().collect()
-    finally:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    f = BlendedFeed(FeedInputs(cdf, edf, 20, "2024-01-31", "7"))
+    f.CHUNK = 4
+    rows = f.feed().collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r.user_id, r.position)):
         got.setdefault(r.user_id, []).append((r.card_id, r.source))

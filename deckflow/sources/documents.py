@@ -1,10 +1,14 @@
 """Card and concept documents.
 
 A card document is front matter between ``---`` lines followed by ``## Idea``,
-``## Example`` and ``## Probe`` sections. The front matter dialect read here
-is the one written by ``render_cards``: one ``key: value`` per line, scalars as
-JSON strings or plain words/numbers, lists and maps as JSON flow collections
-(all valid YAML). Parsing is column expressions, so it runs in codegen."""
+``## Example`` and ``## Probe`` sections. The front matter read here: a
+``key: value`` per line, the value plain, in single or in double quotes, a flow
+list or map with or without quotes (``[a, b]``, ``{to: a, weight: 0.8}``), or a
+block list or map on the indented lines below; values go on over indented lines,
+comments are left out. ``render_cards`` writes the JSON form of the same. No
+general YAML (anchors, tags, block scalars, deeper nesting). A list or map that
+doesn't parse is empty and named by ``document_errors``. Parsing is column
+expressions, no UDF."""
 
 from __future__ import annotations
 
@@ -22,15 +26,49 @@ def _js(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("null")).otherwise(F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2))
 
 
+DQ, SQ = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"'[^']*+(?:''[^']*+)*+'"
+# Parts of a flow value: quoted text, punctuation, plain text (a colon inside it has no space after it).
+FLOW_PART = rf"""{DQ}|{SQ}|[\[\]{{}},]|:(?=[\s"'\[\]{{}},]|$)|[^\s\[\]{{}},"'][^\[\]{{}},:]*+(?::(?=[^\s\[\]{{}},])[^\[\]{{}},:]*+)*+"""
+
+
 def _key(meta: Column, key: str) -> Column:
-    """Raw text after ``key:`` on its own line, or null when the key is absent."""
-    raw = F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*(.*?)[ \t]*$", 1)
-    return F.when(F.regexp_like(meta, F.lit(rf"(?m)^{key}:")), raw)
+    """Raw text after ``key:``, further indented lines and list lines included; null when the key is absent."""
+    raw = F.regexp_extract(meta, rf"(?m)^{key}:[ \t]*(.*(?:\n(?:[ \t]+|-[ \t]).*)*+)", 1)
+    return F.when(F.regexp_like(meta, F.lit(rf"(?m)^{key}:")), F.regexp_replace(raw, r"[ \t]+$", ""))
+
+
+def _unquote(part: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(part, r"^'|'$", ""), "''", "'")
 
 
 def _scalar(raw: Column) -> Column:
-    """YAML scalar: a JSON-quoted string is decoded, a plain one kept as is."""
-    return F.when(raw.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")).otherwise(raw)
+    """A scalar: double quotes are decoded as JSON, single ones taken off, a
+    plain one is kept without its comment; ``null``, ``~`` and nothing are null."""
+    line = F.regexp_replace(raw, r"[ \t]*\n[ \t]*", " ")
+    plain = F.regexp_replace(line, r"(^|[ \t]+)#.*$", "")
+    return (F.when(line.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), F.regexp_extract(line, f"^{DQ}", 0), F.lit("}")), "$.v"))
+            .when(line.startswith("'"), _unquote(F.regexp_extract(line, f"^{SQ}", 0)))
+            .when(~plain.isin("", "~", "null"), plain))
+
+
+def _flow(raw: Column) -> Column:
+    """A list or map, flow or block, as JSON text."""
+    clean = F.regexp_replace(raw, r"(?m)(^|[ \t]+)#[^\"'\n]*$", "")
+
+    def pairs(lines: Column) -> Column:
+        return F.concat(F.lit("{"), F.regexp_replace(lines, r"[ \t]*\n[ \t]*", ", "), F.lit("}"))
+
+    def item(x: Column) -> Column:
+        one = F.regexp_replace(x, r"\s+$", "")
+        return F.when(F.regexp_like(one, F.lit(r"^[\[{\"']")), one).when(F.regexp_like(one, F.lit(r"^\w+:\s")), pairs(one)).otherwise(_js(one))
+
+    items = F.transform(F.filter(F.split(clean, r"(?:^|\n)[ \t]*-[ \t]+"), lambda x, i: i > 0), item)
+    flow = (F.when(F.regexp_like(clean, F.lit(r"^\s*\n[ \t]*-[ \t]")), F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
+            .when(F.regexp_like(clean, F.lit(r"^\s*\n[ \t]+\w+:")), pairs(F.regexp_replace(clean, r"^\s+|\s+$", "")))
+            .otherwise(F.regexp_replace(clean, r"\s*\n\s*", " ")))
+    part = lambda t: (F.when(F.regexp_like(t, F.lit(r"^(?:\"|[\[\]{},:]$|-?\d+(?:\.\d+)?$|null$|true$|false$)")), t)
+                      .when(t == "~", F.lit("null")).when(t.startswith("'"), _js(_unquote(t))).otherwise(_js(t)))
+    return F.array_join(F.transform(F.regexp_extract_all(flow, F.lit(FLOW_PART), 0), lambda t: part(F.regexp_replace(t, r"\s+$", ""))), "")
 
 
 def render_cards(cards: DataFrame) -> DataFrame:
@@ -62,16 +100,16 @@ def parse_cards(docs: DataFrame, as_of: str) -> DataFrame:
                      F.regexp_extract(content, FRONT, 2).alias("_body")))
     meta = F.col("_meta")
     sec = sections_map(F.col("_body"))
-    src_raw = _key(meta, "source")
-    src = F.when(src_raw.startswith("{"), F.from_json(src_raw, "struct<type:string,id:string>"))
-    conns = _key(meta, "connections")
+    src_json = _flow(_key(meta, "source"))
+    src = F.when(src_json.startswith("{"), F.from_json(src_json, "struct<type:string,id:string>"))
+    conns = _flow(_key(meta, "connections"))
     return (split
             .select(
                 file_stem("path").alias("card_id"),
                 F.coalesce(_scalar(_key(meta, "concept")), F.lit("")).alias("concept"),
                 F.coalesce(_scalar(_key(meta, "title")), F.lit("")).alias("title"),
                 F.coalesce(_scalar(_key(meta, "topic")), F.lit("")).alias("topic"),
-                F.coalesce(_key(meta, "depth").try_cast("int"), F.lit(1)).alias("depth"),
+                F.coalesce(_scalar(_key(meta, "depth")).try_cast("int"), F.lit(1)).alias("depth"),
                 F.coalesce(sec["idea"], F.lit("")).alias("idea"),
                 F.coalesce(sec["example"], F.lit("")).alias("example"),
                 F.coalesce(sec["probe"], F.lit("")).alias("probe"),
@@ -87,6 +125,19 @@ def card_rejects(docs: DataFrame) -> DataFrame:
     return docs.filter(~F.regexp_like(F.regexp_replace("content", "\r\n", "\n"), F.lit(FRONT))).select("path")
 
 
+def document_errors(docs: DataFrame) -> DataFrame:
+    """``(path, key, value)``: lists, maps and numbers that were given but
+    don't parse, of card or concept documents."""
+    c = F.regexp_replace("content", "\r\n", "\n")
+    meta = F.when(F.regexp_like(c, F.lit(FRONT)), F.regexp_extract(c, FRONT, 1)).otherwise(c)
+    at = docs.select("path", meta.alias("_meta"))
+    conns, depth = _key(F.col("_meta"), "connections"), _key(F.col("_meta"), "depth")
+    given = lambda raw: raw.isNotNull() & ~F.trim(raw).isin("", "~", "null")
+    bad = F.array(F.struct(F.lit("connections").alias("key"), conns.alias("value"), (given(conns) & (F.json_array_length(_flow(conns)).isNull())).alias("bad")),
+                  F.struct(F.lit("depth").alias("key"), depth.alias("value"), (given(depth) & _scalar(depth).try_cast("int").isNull()).alias("bad")))
+    return at.select("path", F.inline(bad)).filter("bad").select("path", "key", "value")
+
+
 CONN = "array<struct<to:string,weight:double,relationship:string>>"
 
 
@@ -114,8 +165,8 @@ def parse_concepts(docs: DataFrame) -> DataFrame:
         stem.alias("concept"),
         F.coalesce(_scalar(_key(c, "name")), stem).alias("name"),
         F.coalesce(_scalar(_key(c, "cluster")), F.lit("")).alias("cluster"),
-        F.coalesce(_key(c, "depth").try_cast("int"), F.lit(1)).alias("depth"),
-        F.coalesce(F.from_json(_key(c, "connections"), CONN), F.array().cast(CONN)).alias("connections"))
+        F.coalesce(_scalar(_key(c, "depth")).try_cast("int"), F.lit(1)).alias("depth"),
+        F.coalesce(F.from_json(_flow(_key(c, "connections")), CONN), F.array().cast(CONN)).alias("connections"))
 
 
 def export_json(cards: DataFrame) -> DataFrame:

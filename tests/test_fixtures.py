@@ -248,3 +248,35 @@ def test_bad_scalars_do_not_end_the_job(spark):
     doc = '---\nconcept: "c"\ntitle: "t"\ntopic: "x"\ndepth: two\ncreated: "soon"\nconnections: []\n---\n\n## Idea\ni\n'
     r = D.parse_cards(spark.createDataFrame([("cards/c-001.md", doc)], "path string, content string"), "2024-01-31").first()
     assert (r.depth, str(r.created_at)) == (1, "2024-01-31")
+
+
+def test_documents_in_plain_front_matter(spark):
+    def card(front):
+        return f"---\n{front}\n---\n\n## Idea\ni\n"
+    fronts = {
+        "flow": "concept: stocks-and-flows\ntitle: \"Stocks: and flows\"\ntopic: Systems Thinking # note\ndepth: 2 # two\nconnections: [a-b, c]\nsource: {type: seed}\ncreated: 2026-04-10",
+        "block": "concept: k\ntitle: 'It''s: a title'\ndepth: 3\nconnections:\n- a-b\n- 'c, d'\n- e # last\nsource:\n  type: twitter\n  id: '7'\ncreated: '2026-04-10'",
+        "wrapped": "concept: k\ntitle: one\n  two\nconnections: [a-b,\n  c]\nsource: {type: pdf, id: x:page-1}\ntopic: null",
+        "bad": "concept: k\ntitle: t\nconnections: [a, {b\ndepth: deep",
+    }
+    docs = spark.createDataFrame([(f"cards/{k}.md", card(v)) for k, v in fronts.items()], "path string, content string")
+    got = {r.card_id: r for r in D.parse_cards(docs, "2024-01-31").collect()}
+    r = got["flow"]
+    assert (r.concept, r.title, r.topic, r.depth, r.connections, r.source_type, r.source_id, str(r.created_at)) == (
+        "stocks-and-flows", "Stocks: and flows", "Systems Thinking", 2, ["a-b", "c"], "seed", "", "2026-04-10")
+    r = got["block"]
+    assert (r.title, r.topic, r.depth, r.connections, r.source_type, r.source_id, str(r.created_at)) == (
+        "It's: a title", "", 3, ["a-b", "c, d", "e"], "twitter", "7", "2026-04-10")
+    r = got["wrapped"]
+    assert (r.title, r.topic, r.connections, r.source_type, r.source_id) == ("one two", "", ["a-b", "c"], "pdf", "x:page-1")
+    assert (got["bad"].connections, got["bad"].depth) == ([], 1)
+    assert sorted((r.path, r.key) for r in D.document_errors(docs).collect()) == [("cards/bad.md", "connections"), ("cards/bad.md", "depth")]
+
+
+def test_concepts_with_block_lists(spark):
+    text = "name: Stocks and flows\ncluster: systems-thinking\ndepth: 1\nconnections:\n  - {to: loops, weight: 0.8}\n  - to: delay\n    weight: 0.7\n    relationship: 'slows: it'\n"
+    docs = spark.createDataFrame([("concepts/stocks.yaml", text)], "path string, content string")
+    r = D.parse_concepts(docs).first()
+    assert (r.concept, r.name, r.cluster, r.depth) == ("stocks", "Stocks and flows", "systems-thinking", 1)
+    assert [(c.to, c.weight, c.relationship) for c in r.connections] == [("loops", 0.8, None), ("delay", 0.7, "slows: it")]
+    assert D.document_errors(docs).count() == 0

@@ -27,8 +27,8 @@ def _js(c: Column) -> Column:
 
 
 DQ, SQ = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"'[^']*+(?:''[^']*+)*+'"
-# Parts of a flow value: quoted text, punctuation, plain text (a colon inside it has no space after it).
-FLOW_PART = rf"""{DQ}|{SQ}|[\[\]{{}},]|:(?=[\s"'\[\]{{}},]|$)|[^\s\[\]{{}},"'][^\[\]{{}},:]*+(?::(?=[^\s\[\]{{}},])[^\[\]{{}},:]*+)*+"""
+# Parts of a flow value: quoted text, punctuation, plain text (a colon inside it has no space after it, one after quotes ends a key).
+FLOW_PART = rf"""{DQ}|{SQ}|[\[\]{{}},]|:(?=[\s"'\[\]{{}},]|$)|(?<=["']):|[^\s\[\]{{}},"'][^\[\]{{}},:]*+(?::(?=[^\s\[\]{{}},])[^\[\]{{}},:]*+)*+"""
 
 
 def _key(meta: Column, key: str) -> Column:

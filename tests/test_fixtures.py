@@ -280,3 +280,5 @@ def test_concepts_with_block_lists(spark):
     assert (r.concept, r.name, r.cluster, r.depth) == ("stocks", "Stocks and flows", "systems-thinking", 1)
     assert [(c.to, c.weight, c.relationship) for c in r.connections] == [("loops", 0.8, None), ("delay", 0.7, "slows: it")]
     assert D.document_errors(docs).count() == 0
+    docs = spark.createDataFrame([("concepts/j.yaml", 'connections: [{"to":"B#2","weight":1.0,"relationship":"a: #b"}]\n')], "path string, content string")
+    assert [(c.to, c.weight, c.relationship) for c in D.parse_concepts(docs).first().connections] == [("B#2", 1.0, "a: #b")]

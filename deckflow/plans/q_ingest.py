@@ -25,6 +25,14 @@ def signals_bookmarks(spark, sf):
     return S.bookmarks(B.bookmark_exports(spark, sf))
 
 
+@register("bookmark_rejects", "SELECT DISTINCT conv_id AS export_id, 'not JSON' AS reason FROM conversations WHERE conv_id % 7 = 0")
+def bookmark_rejects(spark, sf):
+    """A01's rejects: every seventh export has lost its last character."""
+    exports = B.bookmark_exports(spark, sf)
+    broken = F.when(F.col("export_id") % 7 == 0, F.expr("left(doc, length(doc) - 1)")).otherwise(F.col("doc"))
+    return S.bookmark_rejects(exports.withColumn("doc", broken))
+
+
 @register("signals_text", f"""SELECT doc_id, {strip('text')} AS text, 'manual' AS source_type, '' AS source_id,
        []::VARCHAR[] AS topics_hint FROM documents""")
 def signals_text(spark, sf):

@@ -51,6 +51,14 @@ def bookmarks(exports: DataFrame, doc_col: str = "doc") -> DataFrame:
                     tags.alias("topics_hint")))
 
 
+def bookmark_rejects(exports: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """Exports that A01 can't read, ``(export_id, reason)``: a null document, or
+    one that is neither a JSON array nor a JSON object."""
+    d = F.col(doc_col)
+    bad = exports.filter(F.json_array_length(d).isNull() & F.json_object_keys(d).isNull())
+    return bad.select("export_id", F.when(F.col(doc_col).isNull(), "no document").otherwise("not JSON").alias("reason"))
+
+
 def text_drop(texts: DataFrame, text_col: str = "text", source_type: str = TEXT_TYPE) -> DataFrame:
     """Every text -> one stripped signal without hints."""
     return texts.select(*[c for c in texts.columns if c != text_col],

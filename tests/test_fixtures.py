@@ -32,6 +32,12 @@ def test_bookmark_shapes(spark):
         (2, "q\n\n> inner", "7", []), (3, "no quote", "", [])]
 
 
+def test_bookmark_rejects(spark):
+    docs = [(1, "[]"), (2, '{"data": []}'), (3, '[{"text": "a"'), (4, None), (5, ""), (6, "text"), (7, '{"data": [{"text": "a"}]')]
+    got = S.bookmark_rejects(spark.createDataFrame(docs, "export_id int, doc string")).collect()
+    assert {r.export_id: r.reason for r in got} == {3: "not JSON", 4: "no document", 5: "not JSON", 6: "not JSON", 7: "not JSON"}
+
+
 def test_text_and_pages(spark):
     t = S.text_drop(spark.createDataFrame([(1, "  x \n"), (2, "")], ["id", "text"]))
     assert sorted(one(t, "text")) == ["", "x"]

@@ -369,3 +369,48 @@ def test_passages(spark, odd, none):
             want.setdefault(d % 4, set()).add(d)
     assert sorted(map(sorted, got.values())) == sorted([*map(sorted, want.values()), [0, 100, 101]])
     assert passages(none).count() == 0 and passages(odd).count() == 0
+
+
+def _similar_runs(a, b, t, similarity):
+    """Whether any run of ``a`` and of ``b`` of ``t`` tokens and more are similar, by trying them all."""
+    runs = [[frozenset(x[i:j]) for i in range(len(x)) for j in range(i + t, len(x) + 1)] for x in (a, b)]
+    return any(len(p & q) >= similarity * len(p | q) for p in set(runs[0]) for q in set(runs[1]))
+
+
+def test_verified_equals_brute_force():
+    from deckflow.llm.passages import verified
+    rng = random.Random(3)
+    seen = set()
+    for _ in range(400):
+        t, n = rng.randint(4, 6), rng.randint(9, 14)
+        pool = rng.choice((8, 40))
+        a = [rng.randrange(pool) for _ in range(n)]
+        b = [x if rng.random() < 0.85 else rng.randrange(pool) for x in a]
+        if rng.random() < 0.5:
+            i = rng.randrange(n)
+            b = b[i:] + b[:i]
+        found = verified(np.array(a, np.uint64), np.array(b, np.uint64), t, 0.8)
+        assert bool(found) == _similar_runs(a, b, t, 0.8)
+        seen.add(bool(found))
+        for s, e, os_, oe, x in found:
+            p, q = set(a[s:e]), set(b[os_:oe])
+            assert min(e - s, oe - os_) >= t and x == pytest.approx(len(p & q) / len(p | q)) and x >= 0.8
+    assert seen == {True, False}
+
+
+def test_one_changed_word():
+    from deckflow.llm.passages import MIN_WORDS, SHINGLE, tokens, verified
+    rng = np.random.default_rng(4)
+    t = MIN_WORDS - SHINGLE + 1
+    for words in (50, 55, 60, 67, 74, 80):
+        for at in range(words):
+            x = rng.integers(1, 1 << 62, words).astype(np.uint64)
+            y = x.copy()
+            y[at] += np.uint64(1)
+            a, b = (tokens(np.concatenate([rng.integers(1, 1 << 62, 30).astype(np.uint64), z, rng.integers(1, 1 << 62, 30).astype(np.uint64)])) for z in (x, y))
+            # only runs at the same place can be similar; runs as long as they are, or with one token more or less, share no more
+            want = any(2 * int((p == q).sum()) - (j - i) >= 0 and int((p == q).sum()) >= 0.8 * (2 * (j - i) - int((p == q).sum()))
+                       for i in range(len(a)) for j in range(i + t, len(a) + 1) for p, q in [(a[i:j], b[i:j])])
+            found = verified(a, b, t)
+            assert bool(found) == want, (words, at)
+            assert all(min(f[0], f[2]) >= 30 and max(f[1], f[3]) <= 30 + words - SHINGLE + 1 for f in found) or 55 > words  # a run of t tokens may need a miss

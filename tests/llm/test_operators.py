@@ -414,3 +414,24 @@ def test_one_changed_word():
             found = verified(a, b, t)
             assert bool(found) == want, (words, at)
             assert all(min(f[0], f[2]) >= 30 and max(f[1], f[3]) <= 30 + words - SHINGLE + 1 for f in found) or 55 > words  # a run of t tokens may need a miss
+
+
+def test_windows_meet_behind_other_groups():
+    from deckflow.llm.passages import overlapping, verified
+    # a passage at 1000..1080: one function's window starts far to the left, others open groups in between
+    met = [(0, 1080, 0, 1080, 0), *[(100 * i, 100 * i + 60, 5000 + 100 * i, 5060 + 100 * i, 2) for i in range(1, 10)], (1000, 1080, 1000, 1080, 1)]
+    assert [g[4] for g in overlapping(sorted(met), 46) if len(g[4]) > 1] == [{0, 1}]
+    rng = random.Random(5)
+    for _ in range(200):
+        met = sorted((l := rng.randrange(300), l + rng.randint(10, 80), m := rng.randrange(300), m + rng.randint(10, 80), rng.randrange(4)) for _ in range(30))
+        where = [{i for i, g in enumerate(overlapping(met, 11)) if g[0] <= l and r <= g[1] and g[2] <= al and ar <= g[3] and k in g[4]} for l, r, al, ar, k in met]
+        for x, p in zip(met, where):
+            for y, q in zip(met, where):
+                if min(x[1], y[1]) - max(x[0], y[0]) >= 10 and min(x[3], y[3]) - max(x[2], y[2]) >= 10:
+                    assert p & q
+    # one stretch of windows may hold a passage of one text twice in the other
+    draw = np.random.default_rng(6)
+    word = lambda n: draw.integers(1, 1 << 62, n).astype(np.uint64)
+    passage = word(60)
+    found = verified(np.concatenate([word(30), passage, word(30)]), np.concatenate([passage, word(50), passage]), 46)
+    assert sorted(f[2:4] for f in found) == [(0, 60), (110, 170)]

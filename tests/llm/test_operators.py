@@ -435,3 +435,26 @@ def test_windows_meet_behind_other_groups():
     passage = word(60)
     found = verified(np.concatenate([word(30), passage, word(30)]), np.concatenate([passage, word(50), passage]), 46)
     assert sorted(f[2:4] for f in found) == [(0, 60), (110, 170)]
+
+
+def test_passages_around_a_common_line(spark):
+    from deckflow.llm.passages import passages
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("etaoinshrdlu") for _ in range(9)) for _ in range(n)]
+    line, rows = words(40), []
+    for d in range(0, 60, 2):  # pairs share a passage around a line that all texts hold
+        shared = [*words(8), *line, *words(8)]
+        rows += [(i, " ".join([*words(60), *shared, *words(60)]), "en", "s") for i in (d, d + 1)]
+    for d in range(100, 190, 3):  # the second text shares one passage with the first and another with the third; the first holds a line of it
+        one, short = words(60), words(40)
+        two = [*words(8), *short, *words(8)]
+        rows += [(d, " ".join([*one, *words(60), *short, *words(60)]), "en", "s"), (d + 1, " ".join([*one, *words(60), *two]), "en", "s"),
+                 (d + 2, " ".join([*words(60), *two, *words(30)]), "en", "s")]
+    classes = {}
+    for r in passages(docs_of(spark, rows)).collect():
+        classes.setdefault(r.class_id, set()).add(r.doc_id)
+    found = list(classes.values())
+    missing = [(d, d + 1) for d in range(0, 60, 2) if not any({d, d + 1} <= x for x in found)]
+    missing += [(d, d + 1) for d in range(100, 190, 3) if not any({d, d + 1} <= x for x in found)]
+    missing += [(d + 1, d + 2) for d in range(100, 190, 3) if not any({d + 1, d + 2} <= x for x in found)]
+    assert not missing

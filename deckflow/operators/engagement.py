@@ -100,6 +100,13 @@ def adjacent_concepts(events: DataFrame, cards: DataFrame) -> DataFrame:
             .select("user_id", F.explode("connections").alias("neighbour")).distinct())
 
 
+def adjacent_card_rows(events: DataFrame, cards: DataFrame) -> DataFrame:
+    """All cards whose concept is a neighbour of any user's, with ``neighbour``;
+    linear in the cards. ``adjacent_concepts`` says whose neighbours they are."""
+    near = adjacent_concepts(events, cards).select("neighbour").distinct()
+    return cards.join(near, cards["concept"] == near["neighbour"])
+
+
 def concept_edges(concepts: DataFrame) -> DataFrame:
     """Weighted edges (from, to, weight, relationship) of concept records."""
     return concepts.select(F.col("concept").alias("src"), F.inline("connections")).select(

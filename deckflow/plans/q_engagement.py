@@ -143,13 +143,23 @@ adj AS (SELECT DISTINCT a.user_id, unnest(c.connections) AS neighbour FROM acc a
 SELECT adj.user_id, adj.neighbour, count(*) AS n_cards FROM adj JOIN cards c ON c.concept = adj.neighbour
 GROUP BY adj.user_id, adj.neighbour""")
 def adjacent_cards(spark, sf):
-    """Cards of each neighbour concept, counted per (user, neighbour):
-    the join on concept against per-concept counts, not the card rows."""
+    """C06, counted per (user, neighbour); the cards are in ``adjacent_card_rows``,
+    once per neighbour concept, and the pairs in ``adjacent_concepts``."""
     c = _cards(spark, sf)
     per_concept = c.groupBy(F.col("concept").alias("neighbour")).agg(F.count(F.lit(1)).alias("n_cards"))
     return eng.adjacent_concepts(_acc(spark, sf), c).join(per_concept, "neighbour")
 
 
+@register("adjacent_card_rows", V + """,
+adj AS (SELECT DISTINCT unnest(c.connections) AS neighbour FROM acc a JOIN cards c ON c.card_id = a.card_id)
+SELECT adj.neighbour, c.card_id, c.depth FROM adj JOIN cards c ON c.concept = adj.neighbour""")
+def adjacent_card_rows(spark, sf):
+    """The cards of each neighbour concept, once for all users. A user's
+    cards are these joined with ``adjacent_concepts`` on the neighbour."""
+    c = _cards(spark, sf)
+    return eng.adjacent_card_rows(_acc(spark, sf), c).select("neighbour", "card_id", "depth")
+
+
 @register("picked_anti", V + f"""
 SELECT DISTINCT user_id, card_id FROM acc a
 WHERE NOT EXISTS (SELECT 1 FROM acc b WHERE b.user_id = a.user_id AND b.card_id = a.card_id

@@ -34,3 +34,12 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["user_id", "position", "source", "card_id", "concept", "title", "topic", "depth"]
     assert df.count() > 0
+
+
+def test_adjacent_cards_are_whole(spark):
+    """The card rows of the neighbour concepts give every count of adjacent_cards."""
+    q = E.queries()
+    rows, near, counts = (q[k](spark, SF_SMALL) for k in ("adjacent_card_rows", "adjacent_concepts", "adjacent_cards"))
+    got = near.join(rows, "neighbour").groupBy("user_id", "neighbour").count()
+    want = {tuple(r) for r in counts.select("user_id", "neighbour", "n_cards").collect()}
+    assert want and {tuple(r) for r in got.select("user_id", "neighbour", "count").collect()} == want

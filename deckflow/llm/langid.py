@@ -48,12 +48,11 @@ CACHE = 200_000
 
 
 def features(word: str, lexicon: dict[str, str]) -> list[int]:
-    w = word[:40]
-    b = f"<{w}>"
-    names = [f"p{w[:i]}" for i in range(1, min(4, len(w)) + 1)] + [f"s{w[-i:]}" for i in range(1, min(4, len(w)) + 1)]
+    b = f"<{word}>"
+    names = [f"p{word[:i]}" for i in range(1, min(4, len(word)) + 1)] + [f"s{word[-i:]}" for i in range(1, min(4, len(word)) + 1)]
     names += [b[i:i + n] for n in (2, 3) for i in range(len(b) - n + 1)]
-    if w in lexicon:
-        names.append(f"l{lexicon[w]}")
+    if word in lexicon:
+        names.append(f"l{lexicon[word]}")
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 

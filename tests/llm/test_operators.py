@@ -458,3 +458,9 @@ def test_passages_around_a_common_line(spark):
     missing += [(d, d + 1) for d in range(100, 190, 3) if not any({d, d + 1} <= x for x in found)]
     missing += [(d + 1, d + 2) for d in range(100, 190, 3) if not any({d + 1, d + 2} <= x for x in found)]
     assert not missing
+
+
+def test_features_read_the_whole_word():
+    from deckflow.llm.langid import features
+    assert features("a" * 50 + "xyz", {}) != features("a" * 50 + "uvw", {})
+    assert zlib.crc32(b"swxyz") % (1 << 17) in features("a" * 50 + "wxyz", {})

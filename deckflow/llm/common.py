@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from deckflow import session
 from deckflow.session import ensure_checkpoint_dir
 
-__all__ = ["cut", "table", "slim", "components", "total_prefix", "new_folder", "small_batches", "put_file",
+__all__ = ["cut", "drop", "table", "slim", "components", "total_prefix", "new_folder", "small_batches", "put_file",
            "get_file", "is_empty"]
 
 
@@ -28,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table written by ``cut`` that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 1)[-1].startswith("deckflow-"):
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def slim(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns, under the operator's own names; whatever else
     the input carries (clashing names included) is left behind."""

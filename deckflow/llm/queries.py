@@ -233,6 +233,37 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
 
 
+# --- 13 centroid clustering ---------------------------------------------------
+
+def lloyd_sql(k: int, rounds: int, dim: int, scale: int, seed: str) -> str:
+    """The same rounds in SQL: one relation per assignment and update."""
+    def near(n: int) -> str:
+        return f"""
+a{n} AS MATERIALIZED (SELECT r, j, dist FROM (SELECT x.r, c.j, sum((x.x - c.x) * (x.x - c.x)) AS dist FROM x JOIN c{n} c ON c.d = x.d GROUP BY x.r, c.j)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, j) = 1)"""
+
+    def moved(n: int) -> str:
+        return f"""
+c{n} AS MATERIALIZED (SELECT o.j, o.d, CAST(coalesce((s - ((s % m) + m) % m) // m, o.x) AS BIGINT) AS x FROM c{n - 1} o
+  LEFT JOIN (SELECT a.j, x.d, sum(x.x) AS s, count(*) AS m FROM a{n - 1} a JOIN x ON x.r = a.r GROUP BY a.j, x.d) u ON u.j = o.j AND u.d = o.d)"""
+    steps = ",".join([near(0), *[t for n in range(1, rounds + 1) for t in (moved(n), near(n))]])
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v),
+c0 AS MATERIALIZED (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM (
+  SELECT v, row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR)), v) - 1 AS j FROM v WHERE vec_id IS NOT NULL) WHERE j < {k}),{steps},
+h AS (SELECT j, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY j)
+SELECT v.vec_id, CAST(a.j AS INTEGER) AS cluster, CAST(a.dist AS BIGINT) AS distance, CAST(sum(a.dist) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.dist) OVER () AS BIGINT) AS inertia, h.centroid_sha256 FROM a{rounds} a JOIN v ON v.r = a.r JOIN h ON h.j = a.j"""
+
+
+@query("op13_drift_clusters", lloyd_sql(8, 10, 64, 1024, "3"))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deckflow.llm.clusters import cluster, with_inertia
+    return with_inertia(cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed="3"))
+
+
 # --- the pipeline -----------------------------------------------------------
 
 @query("pipeline")

@@ -233,6 +233,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
 
 
+# --- 11 collocations ------------------------------------------------------------
+
+def phrases_sql(least: int, top: int, longest: int) -> str:
+    cut_at = " UNION ALL ".join(f"SELECT *, {k} AS k FROM c WHERE c.size > {k}" for k in range(1, longest))
+    inner = " UNION ALL ".join(f"SELECT lang, a, array_to_string(w[{i}:{i + m - 1}], ' ') AS phrase FROM c WHERE c.size >= {max(i + m - 1, m + 1)}"
+                               for m in range(2, longest) for i in range(1, longest - m + 2))
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+  SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, size, w[i:i + size - 1] AS w FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, (SELECT unnest(range(1, {longest + 1})) AS size) WHERE len(w) >= size)),
+f AS MATERIALIZED (SELECT lang, size, w, array_to_string(w, ' ') AS phrase, count(*) AS a FROM g GROUP BY lang, size, w HAVING count(*) >= {least}),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang),
+c AS (SELECT * FROM f WHERE size >= 2),
+x AS (SELECT x.lang, x.phrase, x.a, x.k, l.a AS l, r.a AS r, t.n, CAST(1000 AS HUGEINT) * x.a * t.n // (CAST(l.a AS HUGEINT) * r.a) AS score
+  FROM ({cut_at}) x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.k], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1:], ' ') JOIN t ON t.lang = x.lang),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS a FROM ({inner}) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.a IS NULL OR 100 * i.a < 100 * b.a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= {top}"""
+
+
+@query("op11_collocations", phrases_sql(100, 2000, 5))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deckflow.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 # --- 13 centroid clustering ---------------------------------------------------
 
 def lloyd_sql(k: int, rounds: int, dim: int, scale: int, seed: str) -> str:

@@ -1,15 +1,15 @@
 """Phrase collocations: frequent runs of 2 to 5 words by Rabin-Karp fingerprints.
 
-Counting goes level by level, from words to runs of five. At each level a task
-reads its texts, hashes every run by prefix polynomials (``grams``) and counts
-its own runs: runs of one fingerprint are sorted together and their bytes are
+Counting takes three passes: words, pairs, and runs of three to five. In each a
+task reads its texts, hashes runs by prefix polynomials (``grams``) and counts
+its own: runs of one fingerprint are sorted together and their bytes are
 compared, so a count never mixes two texts. It emits language, fingerprint,
 count and a pointer to one occurrence, no text. Spark sums the counts of a
 fingerprint over all tasks and keeps the counts of the frequent ones.
-A run can only be frequent if both its shorter runs are, so the next level
-counts those that pass the membership filter of this one's frequent
-fingerprints. The filter never denies a member, whatever its size, so nothing
-is lost; it is bounded, and what it lets through in vain is only work.
+A run can only be frequent if the shorter runs in it are, so the next pass
+counts those whose parts are all in the membership filter of this one's
+frequent fingerprints. The filter never denies a member, whatever its size, so
+nothing is lost; it is bounded, and what it lets through in vain is only work.
 
 At last the pointers of the frequent fingerprints are joined with the texts: the
 phrase of every one is read, and counts are summed by phrase. So two phrases
@@ -34,9 +34,9 @@ LONGEST = 5
 # What parts words, and what ends a piece of text.
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 CHUNK = 1 << 16       # bytes of a text taken as one
-SEGMENT = 1 << 21     # bytes hashed at once
-FLUSH = 3_000_000     # runs counted at once
-FOUND = "lang string, fp long, cnt long, row long, off int, len int"
+SEGMENT = 1 << 20     # bytes hashed at once
+FLUSH = 1_500_000     # runs counted at once
+FOUND = "lang string, n int, fp long, cnt long, row long, off int, len int"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -66,88 +66,102 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 class _Tally:
-    """The runs of a task so far, counted by text when ``flush`` is called."""
+    """The runs of a task so far, counted by text when ``flush`` is called. A
+    run is its fingerprint, its first word and its number of words."""
 
     def __init__(self):
-        self.clear()
+        self.norm, self.words, self.texts, self.runs = [], [], [], []
+        self.bytes, self.size, self.held, self.pending = 0, 0, 0, 0
 
-    def clear(self):
-        self.norm, self.parts, self.size, self.runs = [], [], 0, 0
-
-    def add(self, norm, fp, lang, start, length, row, off, span):
+    def add(self, w, starts, rows, langs, runs):
+        """``runs``: (fingerprints, first words, n) of the words ``w``."""
         import numpy as np
-        self.parts.append((fp, lang.astype(np.int32), start + self.size, length.astype(np.int32), row, off.astype(np.int32), span.astype(np.int32)))
-        self.norm.append(norm)
-        self.size += len(norm)
-        self.runs += len(fp)
+        off = w.raw - starts[w.text]
+        self.words.append([x.astype(np.int32) for x in (w.start + self.bytes, w.stop + self.bytes, off, w.raw_stop - w.raw + off, w.text + self.held)])
+        self.norm.append(w.norm)
+        self.texts.append((rows, langs))
+        for fp, at, n in runs:
+            self.runs.append((fp, (at + self.size).astype(np.int32), np.full(len(at), n, np.int8)))
+            self.pending += len(at)
+        self.bytes, self.size, self.held = self.bytes + len(w.norm), self.size + len(w.raw), self.held + len(rows)
 
     def flush(self, names: list[str]):
         import numpy as np
         import pyarrow as pa
 
         from deckflow.llm.grams import same_spans
-        if not self.runs:
+        if not self.pending:
             return
         buffer = np.concatenate([*self.norm, np.zeros(8, np.uint8)])
-        fp, lang, start, length, row, off, span = (np.concatenate(x) for x in zip(*self.parts))
-        self.clear()
+        start, stop, off, off_stop, text = (np.concatenate(x) for x in zip(*self.words))
+        rows, langs = (np.concatenate(x) for x in zip(*self.texts))
+        fp, word, n = (np.concatenate(x) for x in zip(*self.runs))
+        self.__init__()
         order = np.argsort(fp)
-        sorted_fp = fp[order]
-        near = np.flatnonzero(sorted_fp[1:] == sorted_fp[:-1])
-        a, b = order[near], order[near + 1]
-        alike = (lang[a] == lang[b]) & (length[a] == length[b])
-        alike[alike] = same_spans(buffer, start[a[alike]], start[b[alike]], length[a[alike]])
-        first = np.ones(len(order), bool)
+        fp, word, n = fp[order], word[order], n[order]
+        near = np.flatnonzero(fp[1:] == fp[:-1])
+        a, b = word[near], word[near + 1]
+        size = stop[a + n[near] - 1] - start[a]
+        alike = (size == stop[b + n[near + 1] - 1] - start[b]) & (langs[text[a]] == langs[text[b]])
+        alike[alike] = same_spans(buffer, start[a[alike]], start[b[alike]], size[alike])
+        first = np.ones(len(fp), bool)
         first[near[alike] + 1] = False
         first = np.flatnonzero(first)
-        count = np.diff(np.append(first, len(order)))
-        one = order[first + (sorted_fp[first] % count.astype(np.uint64)).astype(np.int64)]  # any of them, so pointers spread over the texts
+        count = np.diff(np.append(first, len(fp)))
+        one = first + (fp[first] % count.astype(np.uint64)).astype(np.int64)  # any of them, so pointers spread over the texts
         for at in range(0, len(one), 100_000):
             o, c = one[at:at + 100_000], count[at:at + 100_000]
-            lang_names = pa.DictionaryArray.from_arrays(pa.array(lang[o]), pa.array(names, pa.string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang_names, pa.array(fp[o].astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(row[o]), pa.array(off[o]), pa.array(span[o])],
-                                             names=["lang", "fp", "cnt", "row", "off", "len"])
+            w, last = word[o], word[o] + n[o] - 1
+            lang_names = pa.DictionaryArray.from_arrays(pa.array(langs[text[w]].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([lang_names, pa.array(n[o].astype(np.int32)), pa.array(fp[o].view(np.int64)), pa.array(c.astype(np.int64)), pa.array(rows[text[w]]),
+                                              pa.array(off[w]), pa.array(off_stop[last] - off[w])], names=["lang", "n", "fp", "cnt", "row", "off", "len"])
 
 
-def runs_of(texts: DataFrame, n: int, passes) -> DataFrame:
-    """Counts of the runs of n words per task. ``passes`` is the broadcast
-    filter of the runs of n - 1 words. At level 1 further rows of fingerprint
-    -1 count all words of a language."""
+def runs_of(texts: DataFrame, sizes: list[int], passes) -> DataFrame:
+    """Counts per task of the runs of ``sizes`` words. ``passes`` is the
+    broadcast filter of the frequent runs one word shorter than the least of
+    them: of a run, every part of that size must pass. For single words further
+    rows of n = 0 count all words of a language."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import xxhash
 
-        from deckflow.llm.grams import MASK62, Fingerprints, Membership, Powers, Words
+        from deckflow.llm.grams import Fingerprints, Membership, Powers, Words
         powers, tally, names, total = Powers(), _Tally(), {}, {}
-        shorter = Membership(*passes.value) if n > 1 else None
+        part = sizes[0] - 1
+        shorter = Membership(*passes.value) if part else None
         marks: list[int] = []
 
         def code(name):
             if name not in names:
                 names[name] = len(names)
-                marks.append(xxhash.xxh64_intdigest(name.encode(), 7) & int(MASK62))
+                marks.append(xxhash.xxh64_intdigest(name.encode(), 7))
             return names[name]
 
         def count(data, starts, upto, rows, langs):
             w = Words(data, starts, BLANKS, BREAKS)
             own = w.raw - starts[w.text] < upto[w.text]
-            if n == 1:
+            if not part:
                 for c, k in enumerate(np.bincount(langs[w.text[own]], minlength=len(marks)).tolist()):
                     total[c] = total.get(c, 0) + k
-            if len(w.raw) < n:
-                return
-            hashed, mark = Fingerprints(w.norm, powers), np.array(marks, np.uint64)[langs[w.text]]
-            at = np.arange(len(w.raw) - n + 1)
-            at = at[own[at] & (w.piece[at] == w.piece[at + n - 1])]
-            if n > 1:
-                part = np.unique(np.concatenate([at, at + 1]))
-                good = np.zeros(len(w.raw) + 1, bool)
-                good[part] = shorter.has(hashed.of(w.start[part], w.stop[part + n - 2]) ^ mark[part])
-                at = at[good[at] & good[at + 1]]
-            last = at + n - 1
-            tally.add(w.norm, hashed.of(w.start[at], w.stop[last]) ^ mark[at], langs[w.text[at]], w.start[at], w.stop[last] - w.start[at],
-                      rows[w.text[at]], w.raw[at] - starts[w.text[at]], w.raw_stop[last] - w.raw[at])
+            hashed, mark = Fingerprints(w.norm, powers), np.array(marks, np.uint64)[langs][w.text]
+            if part:
+                at = np.arange(max(0, len(w.raw) - part + 1))
+                at = at[w.piece[at] == w.piece[at + part - 1]]
+                at = at[shorter.has(hashed.of(w.start[at], w.stop[at + part - 1]) ^ mark[at])]
+                good = np.zeros(len(w.raw) + sizes[-1], bool)
+                good[at] = True
+                at = at[own[at]]
+            else:
+                good, at = np.ones(len(w.raw) + 1, bool), np.flatnonzero(own)
+            runs = []
+            for n in sizes:  # a run of n words needs its n - part further parts too
+                if n > 1:
+                    at = at[good[at + n - part]]
+                    at = at[w.piece[at] == w.piece[np.minimum(at + n - 1, len(w.piece) - 1)]]
+                runs.append((hashed.of(w.start[at], w.stop[at + n - 1]) ^ mark[at], at, n))
+            tally.add(w, starts, rows, langs, runs)
 
         for b in batches:
             if not b.num_rows:
@@ -162,12 +176,13 @@ def runs_of(texts: DataFrame, n: int, passes) -> DataFrame:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SEGMENT, "right")) - 1)
                 count(data[offsets[i]:offsets[j]], offsets[i:j] - offsets[i], upto[i:j], rows[i:j], langs[i:j])
                 i = j
-                if tally.runs >= FLUSH:
+                if tally.pending >= FLUSH or tally.size >= 2 * FLUSH:
                     yield from tally.flush(list(names))
         yield from tally.flush(list(names))
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(names)), pa.array([-1] * len(names), pa.int64()), pa.array([total.get(c, 0) for c in names.values()], pa.int64()),
-                                              pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int32()), pa.nulls(len(names), pa.int32())], names=["lang", "fp", "cnt", "row", "off", "len"])
+            none = [pa.nulls(len(names), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(names)), pa.array([0] * len(names), pa.int32()), none[0], pa.array([total.get(c, 0) for c in names.values()], pa.int64()), *none[1:]],
+                                             names=["lang", "n", "fp", "cnt", "row", "off", "len"])
 
     return texts.mapInArrow(run, FOUND)
 
@@ -183,7 +198,7 @@ def membership(spark: SparkSession, fps: DataFrame):
     def mark(batches):
         import pyarrow as pa
         for b in batches:
-            words, bits = Membership.marks(b.column("fp").to_numpy().astype(np.uint64), log2)
+            words, bits = Membership.marks(b.column("fp").to_numpy().view(np.uint64), log2)
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
     got = fps.mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -199,23 +214,23 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tup
     small_batches(spark, 2000, 8)
     texts, levels, passes = chunks(docs), [], None
     whole = Window.partitionBy("fp", "lang")
-    for n in range(1, longest + 1):
-        counted = runs_of(texts, n, passes).withColumn("all", F.sum("cnt").over(whole))
-        levels.append(cut(counted.filter(F.col("all") >= least).select(F.lit(n).alias("n"), "lang", "fp", "cnt", "row", "off", "len")))
-        if n < longest:
+    for sizes in [[1], [2], list(range(3, longest + 1))][:min(longest, 3)]:
+        counted = runs_of(texts, sizes, passes).withColumn("all", F.sum("cnt").over(whole))
+        levels.append(cut(counted.filter(F.col("all") >= least).drop("all")))
+        if sizes[-1] < longest:
             if passes is not None:
                 passes.unpersist()
-            passes = membership(spark, levels[-1].filter("fp >= 0").select("fp").distinct())
+            passes = membership(spark, levels[-1].filter("n > 0").select("fp").distinct())
     found = levels[0]
     for more in levels[1:]:
         found = found.union(more)
     raw = F.expr("cast(substring(text, off + 1, len) as string)")
     lower = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     phrase = F.regexp_replace(lower, "[ \t]+", " ")
-    read = (found.filter("fp >= 0").join(texts.select("row", "text"), "row")
+    read = (found.filter("n > 0").join(texts.select("row", "text"), "row")
             .select("lang", "n", phrase.alias("phrase"), "cnt"))
     counts = cut(read.groupBy("lang", "n", "phrase").agg(F.sum("cnt").alias("a")).filter(F.col("a") >= least))
-    words = levels[0].filter("fp = -1").groupBy("lang").agg(F.sum("cnt").alias("words"))
+    words = levels[0].filter("n = 0").groupBy("lang").agg(F.sum("cnt").alias("words"))
     return counts, words
 
 

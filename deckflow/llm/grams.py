@@ -1,30 +1,19 @@
 """Words and n-grams of text as numpy arrays, and Rabin-Karp fingerprints.
 
-A *span* is a stretch of a byte buffer (start and length). Its fingerprint is
-the polynomial of its bytes modulo two primes, taken from prefix sums, so any
-span costs a few array operations. Fingerprints only propose equality:
-``same_spans`` compares the bytes.
+A *span* is a stretch of a byte buffer. Its fingerprint is the polynomial of its
+bytes modulo 2**64, taken from prefix sums, so any span costs a few array
+operations. Fingerprints only propose equality: ``same_spans`` compares bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-# The two greatest primes below 2**31, and a base for each.
-PRIMES = (2147483647, 2147483629)
-BASES = (1000003, 972663749)
-MASK62 = np.uint64(2 ** 62 - 1)
+BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse
 A_TO_Z = np.arange(256, dtype=np.uint8)
 A_TO_Z[65:91] += 32
 
 
-def byte_class(chars: bytes) -> np.ndarray:
-    """Truth per byte value: is it one of ``chars``?"""
-    out = np.zeros(256, bool)
-    out[list(chars)] = True
-    return out
-
-
 class Words:
     """The words of the bytes of several texts, one after another.
 
@@ -36,66 +25,59 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, blanks: bytes, breaks: bytes):
-        blank, stop = byte_class(blanks), byte_class(breaks)
+        kind = np.zeros(256, np.uint8)
+        kind[list(blanks)] = 1
+        kind[list(breaks)] = 2
         lut = A_TO_Z.copy()
         lut[list(blanks)] = 32
-        is_stop, word = stop[data], ~(blank | stop)[data]
-        n = len(data)
-        first = np.zeros(n + 1, bool)
-        first[starts] = True  # empty texts at the end mark n, which is no byte
+        kind = kind[data]
+        word, n = kind == 0, len(data)
+        inner = starts[(starts > 0) & (starts < n)]
         begins = word.copy()
-        begins[1:] &= ~word[:-1] | first[1:n]
+        begins[1:] &= ~word[:-1]
+        begins[inner] = word[inner]
         ends = word.copy()
-        ends[:-1] &= ~word[1:] | first[1:n]
+        ends[:-1] &= ~word[1:]
+        ends[inner - 1] = word[inner - 1]
         self.raw, self.raw_stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        keep = word.copy()
-        keep[1:] |= blank[data[1:]] & word[:-1]
-        upto = np.cumsum(keep)
+        keep = kind == 1
+        keep[1:] &= word[:-1]
+        keep[:1] = False
+        keep |= word
+        upto = np.cumsum(keep, dtype=np.int32)
         self.start, self.stop = upto[self.raw] - 1, upto[self.raw_stop - 1]
         self.norm = lut[data[keep]]
         self.text = np.searchsorted(starts, self.raw, "right") - 1
-        self.piece = np.cumsum(is_stop)[self.raw] + self.text if n else self.text
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.raw) + self.text if breaks else self.text
 
 
 class Powers:
-    """Powers of the bases and of their inverses, grown as needed."""
+    """Powers of the base modulo 2**64 and of its inverse, grown as needed."""
 
     def __init__(self):
-        self.size, self.up, self.down = 0, [], []
+        self.up = self.down = np.ones(0, np.uint64)
 
     def get(self, n: int):
-        if n > self.size:
+        if n > len(self.up):
             size = max(1 << 16, 1 << (n - 1).bit_length())
-            self.up = [self._table(b, p, size) for b, p in zip(BASES, PRIMES)]
-            self.down = [self._table(pow(b, -1, p), p, size) for b, p in zip(BASES, PRIMES)]
-            self.size = size
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, pow(BASE, -1, 2 ** 64)))
         return self.up, self.down
 
-    @staticmethod
-    def _table(b: int, p: int, size: int) -> np.ndarray:
-        out, done, step = np.ones(size, np.uint64), 1, b
-        while done < size:
-            out[done:2 * done] = out[:min(done, size - done)] * np.uint64(step) % np.uint64(p)
-            done, step = 2 * done, step * step % p
-        return out
-
 
 class Fingerprints:
-    """Prefix polynomials of a buffer; ``of(start, stop)`` gives 62 bits."""
+    """Prefix polynomials of a buffer, modulo 2**64; ``of(start, stop)`` is the
+    value of a span with its bits mixed."""
 
     def __init__(self, norm: np.ndarray, powers: Powers):
         up, self.down = powers.get(len(norm) + 1)
-        x = norm.astype(np.uint64) + np.uint64(1)
-        self.sums = []
-        for u, p in zip(up, PRIMES):
-            term = x * u[:len(x)]  # below 2**40
-            if len(x) > 1 << 23:
-                term %= np.uint64(p)
-            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(term, dtype=np.uint64)]))
+        self.sums = np.zeros(len(norm) + 1, np.uint64)
+        np.cumsum((norm.astype(np.uint64) + np.uint64(1)) * up[:len(norm)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        one, two = (((s[stop] - s[start]) % np.uint64(p)) * d[start] % np.uint64(p) for s, d, p in zip(self.sums, self.down, PRIMES))
-        return one << np.uint64(31) | two
+        h = (self.sums[stop] - self.sums[start]) * self.down[start]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ h >> np.uint64(29)
 
 
 def same_spans(buffer: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:

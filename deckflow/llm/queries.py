@@ -261,6 +261,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
 
 
+# --- 12 quality rules -------------------------------------------------------------
+
+@query("op12_kneser_ney_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deckflow.llm.perplexity import judge
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "bits", "perplexity", "low", "high")
+
+
 # --- 13 centroid clustering ---------------------------------------------------
 
 def lloyd_sql(k: int, rounds: int, dim: int, scale: int, seed: str) -> str:

@@ -42,8 +42,9 @@ ORDER = 5
 # What parts words, and what counts as a symbol.
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-SLICE = 1 << 21          # bytes of texts taken at once
-RUNS = 6_000_000         # runs of characters sorted at once
+SLICE = 1 << 20          # bytes of texts taken at once
+RUNS = 1_500_000         # different runs that a counting task holds
+SLOTS = 21               # log2 of the scored runs that a scoring task remembers
 SEGMENT, HELD = 1 << 20, 12   # entries of a model segment; segments a task holds
 # A band reaches this many median deviations below and above the median, at least so many bits.
 BELOW, ABOVE, LEAST_BITS = 8.0, 8.0, 0.1
@@ -59,18 +60,31 @@ def _multipliers(n: int) -> list[int]:
     return out
 
 
-def run_hash(chars, kind, mark):
-    """Hashes of runs of characters, given as one array per place, of a kind
-    (its order, or 8 + length for a context) in the language of ``mark``."""
+_M = _multipliers(ORDER + 1)
+
+
+def run_sum(chars):
+    """The linear part of the hash of runs, given as one array per place."""
     import numpy as np
-    m = _multipliers(ORDER + 1)
-    h = mark + np.uint64(int(kind) * m[ORDER] % 2 ** 64)
-    for c, by in zip(chars, m):
-        h = h + (c.astype(np.uint64) + np.uint64(1)) * np.uint64(by)
-    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    out = np.zeros(len(chars[0]) if chars else 1, np.uint64)
+    for c, by in zip(chars, _M):
+        out += (c.astype(np.uint64) + np.uint64(1)) * np.uint64(by)
+    return out
+
+
+def mixed(h, kind: int):
+    """The hash of runs of a kind (its order, or 8 + length for a context)."""
+    import numpy as np
+    h = h + np.uint64(int(kind) * _M[ORDER] % 2 ** 64)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ h >> np.uint64(29)
 
 
+def run_hash(chars, kind: int, mark):
+    return mixed(run_sum(chars) + mark, kind)
+
+
 def lang_mark(name: str) -> int:
     import xxhash
     return xxhash.xxh64_intdigest(name.encode(), 12)
@@ -135,77 +149,81 @@ def _slices(texts, wide: int):
 
 
 def _runs(s: _Slice, marks, wide: int):
-    """Places of all runs of ``wide`` characters inside one text, with the
-    number of the text and the language mark of each."""
+    """Hash, place and number of the text of all runs of ``wide`` characters
+    that lie inside one text."""
     import numpy as np
     n = np.maximum(s.end - s.begin - wide + 1, 0)
-    text = np.repeat(np.arange(len(n)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s.begin, n)
-    return place, s.number[text], marks[s.number[text]]
-
+    total = int(n.sum())
+    if not total:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.repeat(s.number, n)
+    place = np.arange(total) + np.repeat(s.begin - (np.cumsum(n) - n), n)
+    sums = run_sum([s.chars[j:len(s.chars) - wide + 1 + j] for j in range(wide)])
+    return mixed(sums[place] + marks[text], wide), place, text
 
-class _Pile:
-    """Runs of several slices, until there are enough to sort."""
 
-    def __init__(self):
-        self.parts, self.chars, self.size, self.runs = [], [], 0, 0
+class _Counts:
+    """The different runs of a task so far, by hash: characters, language, count."""
 
-    def add(self, chars, place, text, mark, lang):
-        self.parts.append((place + self.size, text, mark, lang))
-        self.chars.append(chars)
-        self.size += len(chars)
-        self.runs += len(place)
+    def __init__(self, wide: int):
+        import numpy as np
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.chars, self.langs = np.zeros((0, wide), np.uint32), np.zeros(0, np.int32)
 
-    def sort(self, wide: int):
-        """Different runs: characters per place, mark, language and count; then
-        for every run its different one, and its text."""
+    def add(self, h, place, text, chars, langs):
         import numpy as np
-        chars = np.concatenate(self.chars)
-        place, text, mark, lang = (np.concatenate(x) for x in zip(*self.parts))
-        key = run_hash([chars[place + j] for j in range(wide)], wide, mark)
-        order = np.argsort(key)
-        key = key[order]
-        new = np.ones(len(order), bool)
-        new[1:] = key[1:] != key[:-1]
+        ordered = np.sort(h)
+        new = np.ones(len(ordered), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
         first = np.flatnonzero(new)
-        one = order[first]
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        return [chars[place[one] + j] for j in range(wide)], mark[one], lang[one], np.diff(np.append(first, len(order))), which, text
+        keys, counts = ordered[first], np.diff(np.append(first, len(ordered)))
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        old = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.counts[at[old]] += counts[old]
+        keys, counts = keys[~old], counts[~old]
+        if not len(keys):
+            return
+        seen = np.zeros(1 << 22, bool)  # finds the new runs' places without sorting all
+        seen[keys >> np.uint64(42)] = True
+        some = np.flatnonzero(seen[h >> np.uint64(42)])
+        some = some[np.argsort(h[some])]
+        one = some[np.searchsorted(h[some], keys)]
+        wide = self.chars.shape[1]
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], np.concatenate([self.counts, counts])[order]
+        self.chars = np.concatenate([self.chars, np.stack([chars[place[one] + j] for j in range(wide)], axis=1)])[order]
+        self.langs = np.concatenate([self.langs, langs[text[one]].astype(np.int32)])[order]
+
+    def rows(self, names: list[str]):
+        import numpy as np
+        import pyarrow as pa
+        for at in range(0, len(self.keys), 100_000):
+            block = self.chars[at:at + 100_000]
+            text = block.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+            size = (1 + (block > 0x7F).astype(np.int32) + (block > 0x7FF) + (block > 0xFFFF)).sum(axis=1)
+            grams = pa.StringArray.from_buffers(len(block), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(text))
+            langs = pa.DictionaryArray.from_arrays(pa.array(self.langs[at:at + 100_000]), pa.array(names, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([langs, grams, pa.array(self.counts[at:at + 100_000])], names=["lang", "g", "c"])
 
 
 def run_counts(docs: DataFrame, wide: int = ORDER) -> DataFrame:
     """``(lang, g, c)``: how often each run of ``wide`` characters occurs."""
     def run(batches):
         import numpy as np
-        import pyarrow as pa
         names: dict[str, int] = {}
-        pile = _Pile()
-
-        def emit():
-            nonlocal pile
-            if not pile.runs:
-                return
-            chars, _, lang, count, _, _ = pile.sort(wide)
-            pile = _Pile()
-            for at in range(0, len(count), 100_000):
-                block = np.stack([c[at:at + 100_000] for c in chars], axis=1)
-                text = block.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
-                size = (1 + (block > 0x7F).astype(np.int32) + (block > 0x7FF) + (block > 0xFFFF)).sum(axis=1)
-                grams = pa.StringArray.from_buffers(len(block), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(text))
-                langs = pa.DictionaryArray.from_arrays(pa.array(lang[at:at + 100_000].astype(np.int32)), pa.array(list(names), pa.string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([langs, grams, pa.array(count[at:at + 100_000].astype(np.int64))], names=["lang", "g", "c"])
-
+        counts = _Counts(wide)
         for b in batches:
             langs = np.array([names.setdefault(x, len(names)) for x in b.column("lang").to_pylist()], np.int64)
-            marks = np.array([lang_mark(x) for x in names], np.uint64)[langs] if len(langs) else np.zeros(0, np.uint64)
+            marks = np.array([lang_mark(x) for x in names], np.uint64)[langs]
             for s in _slices(b.column("text").cast("binary").to_pylist(), wide):
-                place, text, mark = _runs(s, marks, wide)
-                if len(place):
-                    pile.add(s.chars, place, text, mark, langs[text])
-                if pile.runs >= RUNS:
-                    yield from emit()
-        yield from emit()
+                h, place, text = _runs(s, marks, wide)
+                if len(h):
+                    counts.add(h, place, text, s.chars, langs)
+                if len(counts.keys) >= RUNS:
+                    yield from counts.rows(list(names))
+                    counts = _Counts(wide)
+        yield from counts.rows(list(names))
 
     return _texts(docs).select("lang", "text").mapInArrow(run, "lang string, g string, c long").groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
@@ -374,12 +392,22 @@ def measures(docs: DataFrame, segments: list[tuple[int, str, int]], wide: int =
             full = [x for x in lines if x.strip(BLANKS)]
             return len(full) - len(set(full))
 
-        def flush(pile, total, scored):
-            if pile.runs:
-                chars, mark, _, _, which, text = pile.sort(wide)
-                b = model.bits(chars, mark)[which]
-                total += np.bincount(text, weights=b, minlength=len(total))
-                scored += np.bincount(text, minlength=len(total))
+        seen, known = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
+        seen[0] = 1 << 63  # no hash of slot 0
+
+        def bits_of(h, place, text, chars, marks):
+            """Bits of all runs: from those scored before, else by the model."""
+            slot = (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+            out = known[slot]
+            left = np.flatnonzero(seen[slot] != h)
+            if len(left):
+                new, one, which = np.unique(h[left], return_index=True, return_inverse=True)
+                at = place[left[one]]
+                b = model.bits([chars[at + j] for j in range(wide)], marks[text[left[one]]])
+                out[left] = b[which]
+                slot = (new >> np.uint64(64 - SLOTS)).astype(np.int64)
+                seen[slot], known[slot] = new, b  # of two in one slot the last stays
+            return out
 
         for b in batches:
             n = b.num_rows
@@ -388,7 +416,7 @@ def measures(docs: DataFrame, segments: list[tuple[int, str, int]], wide: int =
             texts = b.column("text").cast(pa.binary()).to_pylist()
             marks = np.array([lang_mark(x) for x in b.column("lang").to_pylist()], np.uint64)
             n_words, word_chars, repeat = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            total, scored, pile, long_words = np.zeros(n), np.zeros(n, np.int64), _Pile(), {}
+            total, scored, long_words = np.zeros(n), np.zeros(n, np.int64), {}
             for s in _slices(texts, wide):
                 n_words[s.number] += s.words
                 word_chars[s.number] += s.word_chars
@@ -397,13 +425,10 @@ def measures(docs: DataFrame, segments: list[tuple[int, str, int]], wide: int =
                     long_words.setdefault(int(s.number[0]), []).append(own)
                 else:
                     repeat[s.number] += _repeated(*own, s.w.text, len(s.number))
-                place, text, mark = _runs(s, marks, wide)
-                if len(place):
-                    pile.add(s.chars, place, text, mark, text)
-                if pile.runs >= RUNS:
-                    flush(pile, total, scored)
-                    pile = _Pile()
-            flush(pile, total, scored)
+                h, place, text = _runs(s, marks, wide)
+                if len(h):
+                    total += np.bincount(text, weights=bits_of(h, place, text, s.chars, marks), minlength=n)
+                    scored += np.bincount(text, minlength=n)
             for i, parts in long_words.items():
                 before = np.cumsum([0, *[len(p[3]) for p in parts]])
                 fp, start, size, norm = (np.concatenate(x) for x in zip(*[(p[0], p[1] + o, p[2], p[3]) for p, o in zip(parts, before)]))

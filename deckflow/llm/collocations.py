@@ -3,18 +3,21 @@
 Counting takes three passes: words, pairs, and runs of three to five. In each a
 task reads its texts, hashes runs by prefix polynomials (``grams``) and counts
 its own: runs of one fingerprint are sorted together and their bytes are
-compared, so a count never mixes two texts. It emits language, fingerprint,
-count and a pointer to one occurrence, no text. Spark sums the counts of a
-fingerprint over all tasks and keeps the counts of the frequent ones.
-A run can only be frequent if the shorter runs in it are, so the next pass
-counts those whose parts are all in the membership filter of this one's
-frequent fingerprints. The filter never denies a member, whatever its size, so
-nothing is lost; it is bounded, and what it lets through in vain is only work.
-
-At last the pointers of the frequent fingerprints are joined with the texts: the
-phrase of every one is read, and counts are summed by phrase. So two phrases
-that share a fingerprint are told apart, and only frequent phrases are ever
-materialised. Scores are exact (decimals of 38 digits).
+compared, so a count never mixes two texts. Fingerprints and counts are
+shuffled and summed, no text. A run can only be frequent if the shorter runs in
+it are, so the next pass counts those whose parts are all in the membership
+filter of this one's frequent fingerprints. The filter never denies a member,
+whatever its size, so nothing is lost; it is bounded, and what it lets through
+in vain is only work.
+
+A last pass meets the frequent fingerprints again. Every task emits for each its
+count, a second hash of the text (XXH64) and a pointer to one occurrence; the
+shuffle sums what agrees in language, fingerprint, second hash and length and
+keeps the first and the last pointer. Both are read from the texts: if they
+show one phrase, that is the phrase and the sum its count. If they should not,
+every task's text of that fingerprint is read and counted by itself. Phrases
+that share a fingerprint are so told apart, and only frequent ones are ever
+read out. Scores are exact (decimals of 38 digits).
 
 A null text is empty, a null language is ``und``; repeated rows count each;
 other columns are left behind; an empty table gives no rows. Long texts are cut
@@ -36,7 +39,10 @@ BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 CHUNK = 1 << 16       # bytes of a text taken as one
 SEGMENT = 1 << 20     # bytes hashed at once
 FLUSH = 1_500_000     # runs counted at once
-FOUND = "lang string, n int, fp long, cnt long, row long, off int, len int"
+COUNTED = "fp long, cnt long"
+POINTED = "lang string, fp long, check long, size int, cnt long, row long, off int, len int"
+
+_POINTED = ["lang", "fp", "check", "size", "cnt", "row", "off", "len"]
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -85,9 +91,10 @@ class _Tally:
             self.pending += len(at)
         self.bytes, self.size, self.held = self.bytes + len(w.norm), self.size + len(w.raw), self.held + len(rows)
 
-    def flush(self, names: list[str]):
+    def flush(self, names: list[str], pointers: bool):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         from deckflow.llm.grams import same_spans
         if not self.pending:
@@ -107,21 +114,27 @@ class _Tally:
         first = np.ones(len(fp), bool)
         first[near[alike] + 1] = False
         first = np.flatnonzero(first)
-        count = np.diff(np.append(first, len(fp)))
+        count = np.diff(np.append(first, len(fp))).astype(np.int64)
         one = first + (fp[first] % count.astype(np.uint64)).astype(np.int64)  # any of them, so pointers spread over the texts
+        held = memoryview(buffer)
         for at in range(0, len(one), 100_000):
-            o, c = one[at:at + 100_000], count[at:at + 100_000]
+            o, c = one[at:at + 100_000], pa.array(count[at:at + 100_000])
+            if not pointers:
+                yield pa.RecordBatch.from_arrays([pa.array(fp[o].view(np.int64)), c], names=["fp", "cnt"])
+                continue
             w, last = word[o], word[o] + n[o] - 1
+            second = np.array([xxhash.xxh64_intdigest(held[i:j], 11) for i, j in zip(start[w].tolist(), stop[last].tolist())], np.uint64)
             lang_names = pa.DictionaryArray.from_arrays(pa.array(langs[text[w]].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang_names, pa.array(n[o].astype(np.int32)), pa.array(fp[o].view(np.int64)), pa.array(c.astype(np.int64)), pa.array(rows[text[w]]),
-                                              pa.array(off[w]), pa.array(off_stop[last] - off[w])], names=["lang", "n", "fp", "cnt", "row", "off", "len"])
+            yield pa.RecordBatch.from_arrays([lang_names, pa.array(fp[o].view(np.int64)), pa.array(second.view(np.int64)), pa.array(stop[last] - start[w]), c,
+                                              pa.array(rows[text[w]]), pa.array(off[w]), pa.array(off_stop[last] - off[w])], names=_POINTED)
 
 
-def runs_of(texts: DataFrame, sizes: list[int], passes) -> DataFrame:
-    """Counts per task of the runs of ``sizes`` words. ``passes`` is the
-    broadcast filter of the frequent runs one word shorter than the least of
-    them: of a run, every part of that size must pass. For single words further
-    rows of n = 0 count all words of a language."""
+def runs_of(texts: DataFrame, sizes: list[int], passes, pointers: bool = False) -> DataFrame:
+    """Counts per task of the runs of ``sizes`` words. ``passes`` is a broadcast
+    filter of frequent runs. Without ``pointers`` it holds those one word
+    shorter than the least of ``sizes``, and of a run every part of that size must
+    pass. With ``pointers`` the runs themselves must; further rows without a
+    fingerprint then count all words of a language."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -130,7 +143,7 @@ def runs_of(texts: DataFrame, sizes: list[int], passes) -> DataFrame:
         from deckflow.llm.grams import Fingerprints, Membership, Powers, Words
         powers, tally, names, total = Powers(), _Tally(), {}, {}
         part = sizes[0] - 1
-        shorter = Membership(*passes.value) if part else None
+        known = Membership(*passes.value) if passes is not None else None
         marks: list[int] = []
 
         def code(name):
@@ -142,25 +155,42 @@ def runs_of(texts: DataFrame, sizes: list[int], passes) -> DataFrame:
         def count(data, starts, upto, rows, langs):
             w = Words(data, starts, BLANKS, BREAKS)
             own = w.raw - starts[w.text] < upto[w.text]
-            if not part:
+            hashed, mark = Fingerprints(w.norm, powers), np.array(marks, np.uint64)[langs][w.text]
+
+            def of(at, n):
+                return hashed.of(w.start[at], w.stop[at + n - 1]) ^ mark[at]
+
+            def whole(at, n):
+                return at[w.piece[at] == w.piece[np.minimum(at + n - 1, len(w.piece) - 1)]]
+
+            runs = []
+            if pointers:
                 for c, k in enumerate(np.bincount(langs[w.text[own]], minlength=len(marks)).tolist()):
                     total[c] = total.get(c, 0) + k
-            hashed, mark = Fingerprints(w.norm, powers), np.array(marks, np.uint64)[langs][w.text]
-            if part:
-                at = np.arange(max(0, len(w.raw) - part + 1))
-                at = at[w.piece[at] == w.piece[at + part - 1]]
-                at = at[shorter.has(hashed.of(w.start[at], w.stop[at + part - 1]) ^ mark[at])]
-                good = np.zeros(len(w.raw) + sizes[-1], bool)
-                good[at] = True
-                at = at[own[at]]
+                at = np.arange(len(w.raw))
+                for n in sizes:  # a run of n words is frequent only if the two of n - 1 words are
+                    if n > 1:
+                        good = np.zeros(len(w.raw) + 1, bool)
+                        good[at] = True
+                        at = whole(at[good[at + 1]], n)
+                    fp = of(at, n)
+                    passed = known.has(fp)
+                    at = at[passed]
+                    mine = own[at]
+                    runs.append((fp[passed][mine], at[mine], n))
             else:
-                good, at = np.ones(len(w.raw) + 1, bool), np.flatnonzero(own)
-            runs = []
-            for n in sizes:  # a run of n words needs its n - part further parts too
-                if n > 1:
-                    at = at[good[at + n - part]]
-                    at = at[w.piece[at] == w.piece[np.minimum(at + n - 1, len(w.piece) - 1)]]
-                runs.append((hashed.of(w.start[at], w.stop[at + n - 1]) ^ mark[at], at, n))
+                good = np.ones(len(w.raw) + sizes[-1], bool)
+                at = np.flatnonzero(own)
+                if part:
+                    good[:] = False
+                    at = whole(np.arange(max(0, len(w.raw) - part + 1)), part)
+                    at = at[known.has(of(at, part))]
+                    good[at] = True
+                    at = at[own[at]]
+                for n in sizes:  # a run of n words needs its n - part further parts too
+                    if n > 1:
+                        at = whole(at[good[at + n - part]], n)
+                    runs.append((of(at, n), at, n))
             tally.add(w, starts, rows, langs, runs)
 
         for b in batches:
@@ -177,14 +207,13 @@ def runs_of(texts: DataFrame, sizes: list[int], passes) -> DataFrame:
                 count(data[offsets[i]:offsets[j]], offsets[i:j] - offsets[i], upto[i:j], rows[i:j], langs[i:j])
                 i = j
                 if tally.pending >= FLUSH or tally.size >= 2 * FLUSH:
-                    yield from tally.flush(list(names))
-        yield from tally.flush(list(names))
+                    yield from tally.flush(list(names), pointers)
+        yield from tally.flush(list(names), pointers)
         if total:
-            none = [pa.nulls(len(names), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(names)), pa.array([0] * len(names), pa.int32()), none[0], pa.array([total.get(c, 0) for c in names.values()], pa.int64()), *none[1:]],
-                                             names=["lang", "n", "fp", "cnt", "row", "off", "len"])
+            none = [pa.nulls(len(names), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(names)), *none[:3], pa.array([total.get(c, 0) for c in names.values()], pa.int64()), *none[3:]], names=_POINTED)
 
-    return texts.mapInArrow(run, FOUND)
+    return texts.mapInArrow(run, POINTED if pointers else COUNTED)
 
 
 def membership(spark: SparkSession, fps: DataFrame):
@@ -207,31 +236,37 @@ def membership(spark: SparkSession, fps: DataFrame):
     return spark.sparkContext.broadcast((log2, whole))
 
 
+def _read(pointers: DataFrame, texts: DataFrame) -> DataFrame:
+    """The phrase that each pointer (row, off, len) shows."""
+    raw = F.expr("cast(substring(text, off + 1, len) as string)")
+    lower = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return pointers.join(texts.select("row", "text"), "row").withColumn("phrase", F.regexp_replace(lower, "[ \t]+", " ")).drop("text")
+
+
 def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``(lang, n, phrase, a)`` for all runs of 1 to ``longest`` words that
     occur ``least`` times or more, and ``(lang, words)`` for all languages."""
     spark = docs.sparkSession
     small_batches(spark, 2000, 8)
-    texts, levels, passes = chunks(docs), [], None
-    whole = Window.partitionBy("fp", "lang")
+    texts, frequent, passes = chunks(docs), None, None
     for sizes in [[1], [2], list(range(3, longest + 1))][:min(longest, 3)]:
-        counted = runs_of(texts, sizes, passes).withColumn("all", F.sum("cnt").over(whole))
-        levels.append(cut(counted.filter(F.col("all") >= least).drop("all")))
-        if sizes[-1] < longest:
-            if passes is not None:
-                passes.unpersist()
-            passes = membership(spark, levels[-1].filter("n > 0").select("fp").distinct())
-    found = levels[0]
-    for more in levels[1:]:
-        found = found.union(more)
-    raw = F.expr("cast(substring(text, off + 1, len) as string)")
-    lower = F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    phrase = F.regexp_replace(lower, "[ \t]+", " ")
-    read = (found.filter("n > 0").join(texts.select("row", "text"), "row")
-            .select("lang", "n", phrase.alias("phrase"), "cnt"))
-    counts = cut(read.groupBy("lang", "n", "phrase").agg(F.sum("cnt").alias("a")).filter(F.col("a") >= least))
-    words = levels[0].filter("n = 0").groupBy("lang").agg(F.sum("cnt").alias("words"))
-    return counts, words
+        found = cut(runs_of(texts, sizes, passes).groupBy("fp").agg(F.sum("cnt").alias("a")).filter(F.col("a") >= least).select("fp"))
+        frequent = found if frequent is None else frequent.union(found)
+        passes = membership(spark, found)
+    pointed = runs_of(texts, list(range(1, longest + 1)), membership(spark, frequent), pointers=True)
+    key = ["lang", "fp", "check", "size"]
+    at = F.struct("row", "off", "len")
+    groups = cut(pointed.groupBy(key).agg(F.sum("cnt").alias("a"), F.min(at).alias("first"), F.max(at).alias("last")).filter((F.col("a") >= least) | F.col("fp").isNull()))
+    ends = F.explode(F.array_distinct(F.array("first", "last"))).alias("p")
+    shown = _read(groups.filter("fp is not null").select(*key, "a", ends).select(*key, "a", "p.row", "p.off", "p.len"), texts)
+    shown = cut(shown.groupBy(*key, "a").agg(F.min("phrase").alias("phrase"), F.max("phrase").alias("other")))
+    disputed = shown.filter("phrase <> other").select(key)
+    counts = shown.filter("phrase = other").select("lang", "phrase", "a")
+    if disputed.limit(1).count():
+        every = _read(pointed.filter("fp is not null").join(disputed, key, "left_semi"), texts)
+        counts = counts.union(every.groupBy("lang", "phrase").agg(F.sum("cnt").alias("a")))
+    counts = cut(counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least).withColumn("n", F.size(F.split("phrase", " "))))
+    return counts, groups.filter("fp is null").select("lang", F.col("a").alias("words"))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, covered_percent: int = 100, longest: int = LONGEST) -> DataFrame:

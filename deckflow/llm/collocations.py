@@ -39,6 +39,7 @@ BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 CHUNK = 1 << 16       # bytes of a text taken as one
 SEGMENT = 1 << 20     # bytes hashed at once
 FLUSH = 1_500_000     # runs counted at once
+FOUND = 1_000_000     # groups that a task holds in the pass with pointers
 COUNTED = "fp long, cnt long"
 POINTED = "lang string, fp long, check long, size int, cnt long, row long, off int, len int"
 
@@ -76,6 +77,10 @@ class _Tally:
     run is its fingerprint, its first word and its number of words."""
 
     def __init__(self):
+        self.found = None
+        self.clear()
+
+    def clear(self):
         self.norm, self.words, self.texts, self.runs = [], [], [], []
         self.bytes, self.size, self.held, self.pending = 0, 0, 0, 0
 
@@ -103,7 +108,7 @@ class _Tally:
         start, stop, off, off_stop, text = (np.concatenate(x) for x in zip(*self.words))
         rows, langs = (np.concatenate(x) for x in zip(*self.texts))
         fp, word, n = (np.concatenate(x) for x in zip(*self.runs))
-        self.__init__()
+        self.clear()
         order = np.argsort(fp)
         fp, word, n = fp[order], word[order], n[order]
         near = np.flatnonzero(fp[1:] == fp[:-1])
@@ -116,17 +121,40 @@ class _Tally:
         first = np.flatnonzero(first)
         count = np.diff(np.append(first, len(fp))).astype(np.int64)
         one = first + (fp[first] % count.astype(np.uint64)).astype(np.int64)  # any of them, so pointers spread over the texts
-        held = memoryview(buffer)
-        for at in range(0, len(one), 100_000):
-            o, c = one[at:at + 100_000], pa.array(count[at:at + 100_000])
-            if not pointers:
-                yield pa.RecordBatch.from_arrays([pa.array(fp[o].view(np.int64)), c], names=["fp", "cnt"])
-                continue
-            w, last = word[o], word[o] + n[o] - 1
-            second = np.array([xxhash.xxh64_intdigest(held[i:j], 11) for i, j in zip(start[w].tolist(), stop[last].tolist())], np.uint64)
-            lang_names = pa.DictionaryArray.from_arrays(pa.array(langs[text[w]].astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang_names, pa.array(fp[o].view(np.int64)), pa.array(second.view(np.int64)), pa.array(stop[last] - start[w]), c,
-                                              pa.array(rows[text[w]]), pa.array(off[w]), pa.array(off_stop[last] - off[w])], names=_POINTED)
+        if not pointers:
+            for at in range(0, len(one), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[one[at:at + 100_000]].view(np.int64)), pa.array(count[at:at + 100_000])], names=["fp", "cnt"])
+            return
+        w, last = word[one], word[one] + n[one] - 1
+        shown = memoryview(buffer)
+        check = np.array([xxhash.xxh64_intdigest(shown[i:j], 11) for i, j in zip(start[w].tolist(), stop[last].tolist())], np.uint64)
+        new = langs[text[w]].astype(np.int32), fp[one], check, stop[last] - start[w], count, rows[text[w]], off[w], off_stop[last] - off[w]
+        self.found = _merged([np.concatenate(x) for x in zip(self.found, new)] if self.found else list(new))
+        if len(self.found[0]) > FOUND:
+            yield from self.emit(names)
+
+    def emit(self, names: list[str]):
+        """The groups found so far, for the pass with pointers."""
+        import numpy as np
+        import pyarrow as pa
+        lang, fp, check, *rest = self.found or [np.zeros(0)] * 8
+        self.found = None
+        for at in range(0, len(lang), 100_000):
+            cut_ = slice(at, at + 100_000)
+            lang_names = pa.DictionaryArray.from_arrays(pa.array(lang[cut_]), pa.array(names, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([lang_names, pa.array(fp[cut_].view(np.int64)), pa.array(check[cut_].view(np.int64)), *[pa.array(x[cut_]) for x in rest]], names=_POINTED)
+
+
+def _merged(groups: list):
+    """Groups (lang, fp, check, size, count, pointer) that agree in the first
+    four as one, with the sum of their counts and the first's pointer."""
+    import numpy as np
+    order = np.argsort(groups[1] ^ groups[2] * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+    groups = [x[order] for x in groups]
+    first = np.ones(len(order), bool)
+    first[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in groups[:4]])
+    first = np.flatnonzero(first)
+    return [*[x[first] for x in groups[:4]], np.add.reduceat(groups[4], first) if len(first) else groups[4], *[x[first] for x in groups[5:]]]
 
 
 def runs_of(texts: DataFrame, sizes: list[int], passes, pointers: bool = False) -> DataFrame:
@@ -209,6 +237,7 @@ def runs_of(texts: DataFrame, sizes: list[int], passes, pointers: bool = False)
                 if tally.pending >= FLUSH or tally.size >= 2 * FLUSH:
                     yield from tally.flush(list(names), pointers)
         yield from tally.flush(list(names), pointers)
+        yield from tally.emit(list(names))
         if total:
             none = [pa.nulls(len(names), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(list(names)), *none[:3], pa.array([total.get(c, 0) for c in names.values()], pa.int64()), *none[3:]], names=_POINTED)

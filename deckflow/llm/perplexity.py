@@ -42,9 +42,9 @@ ORDER = 5
 # What parts words, and what counts as a symbol.
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-SLICE = 1 << 20          # bytes of texts taken at once
-RUNS = 1_500_000         # different runs that a counting task holds
-SLOTS = 21               # log2 of the scored runs that a scoring task remembers
+SLICE = 1 << 19          # bytes of texts taken at once
+RUNS = 800_000           # different runs that a counting task holds
+SLOTS = 20               # log2 of the scored runs that a scoring task remembers
 SEGMENT, HELD = 1 << 20, 12   # entries of a model segment; segments a task holds
 # A band reaches this many median deviations below and above the median, at least so many bits.
 BELOW, ABOVE, LEAST_BITS = 8.0, 8.0, 0.1
@@ -467,7 +467,7 @@ def bands(scored: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, ``base_failed``, ``bits``, the band and ``kept`` per row."""
-    small_batches(docs.sparkSession, 5000, 16)
+    small_batches(docs.sparkSession, 1000, 4)
     model = write_model(model_entries(docs))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = cut(measures(docs, model).withColumn("base_failed", failed).withColumn("size", size_class(F.col("n_words"))))

@@ -61,6 +61,8 @@ def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
 
 def _store(path: str):
     from pyarrow import fs
+    if path.startswith("s3a://"):
+        path = "s3" + path[3:]  # the name that pyarrow has for it
     if "://" in path:
         return fs.FileSystem.from_uri(path)
     if path.startswith("file:"):

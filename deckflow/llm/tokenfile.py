@@ -24,6 +24,7 @@ at a stop or comma after a letter, so texts are cut there and each different
 piece is encoded once by the library; the ids are those of the whole text
 (tested against whole-text encoding).
 
+Strings of special tokens in a text get the ids that the library gives them.
 Null and empty texts hold the end id alone. Repeated rows are written each
 time. An empty table gives no file and no rows.
 """
@@ -35,7 +36,6 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,14 +73,35 @@ class Encoder:
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(tokenizer_path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.forget()
-
-    def forget(self) -> None:
         import numpy as np
         self.known = Pieces()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)  # of the piece before each number
+        self.used = np.zeros(0, np.int64)  # how often each piece came
+        self.line = self._line()
+
+    def _line(self) -> int | None:
+        """The id of a line end that never joins what stands around it, or None
+        if this tokenizer has none."""
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        probe = ["ab", " cd", ",", " 12", "é", " <x>", "it's"]
+        line = ids("\n")
+        parts = [x for p in probe for x in (*line, *ids(p))][1:]
+        return line[0] if len(line) == 1 and ids("\n".join(probe)) == parts else None
+
+    def forget(self) -> None:
+        """Keep the pieces that came more than once, and of those the more
+        frequent half of what the cache holds at most."""
+        import numpy as np
+        least = max(2, int(np.partition(self.used, -CACHE // 2)[-CACHE // 2]) + 1 if len(self.used) > CACHE // 2 else 2)
+        stay = np.flatnonzero(self.used >= least)
+        begin, size = self.ends[stay], self.ends[stay + 1] - self.ends[stay]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        names = list(self.known)
+        self.known = Pieces()
+        self.known.update((names[n], i) for i, n in enumerate(stay.tolist()))
+        self.ids, self.ends, self.used = np.append(ids, np.zeros(1 << 16, np.uint32)), upto, self.used[stay] // 2
 
     def split(self, text: str) -> list[str]:
         """The pieces of ``cut``; by plain replacement where all white space is
@@ -92,18 +113,43 @@ class Encoder:
                 text = text.replace(stop, "\0" + stop)
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
+    # one word, with at most one space before it, of letters and signs that no tokenizer takes for white space
+    plain = re.compile("[ ]?[!-~\u00a1-\u024f]+")
+
+    def _encode(self, pieces: list[str]) -> list:
+        """The ids of each piece. Plain pieces go through the library many at a
+        time, parted by line ends: the ids between two are those of a piece."""
+        import numpy as np
+        out: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if self.plain.fullmatch(p)] if self.line is not None else []
+        for a in range(0, len(plain), 4096):
+            some = plain[a:a + 4096]
+            ids = np.array(self.tok.encode_batch_fast(["\n".join([pieces[i] for i in some])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            if len(ends) == len(some):
+                for i, x, y in zip(some, [0, *(ends[:-1] + 1).tolist()], ends.tolist()):
+                    out[i] = ids[x:y]
+        left = [i for i, x in enumerate(out) if x is None]
+        for a in range(0, len(left), 20_000):
+            some = left[a:a + 20_000]
+            for i, e in zip(some, self.tok.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
+                out[i] = np.array(e.ids, np.uint32)
+        return out
+
     def learn(self) -> None:
         """Encode the pieces that are new."""
         import numpy as np
         new, self.known.new = self.known.new, []
-        for i in range(0, len(new), 20_000):
-            ids = [e.ids for e in self.tok.encode_batch_fast(new[i:i + 20_000], add_special_tokens=False)]
-            at = int(self.ends[-1])
-            self.ends = np.append(self.ends, at + np.cumsum([len(x) for x in ids]))
-            to = int(self.ends[-1])
-            if to > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros(to, np.uint32))
-            self.ids[at:to] = np.fromiter(chain.from_iterable(ids), np.uint32, to - at)
+        if not new:
+            return
+        ids = self._encode(new)
+        at = int(self.ends[-1])
+        self.ends = np.append(self.ends, at + np.cumsum([len(x) for x in ids]))
+        to = int(self.ends[-1])
+        if to > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros(to, np.uint32))
+        self.ids[at:to] = np.concatenate(ids)
+        self.used = np.append(self.used, np.zeros(len(new), np.int64))
 
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> list:
         import numpy as np
@@ -116,6 +162,7 @@ class Encoder:
             last.append(len(pieces))
         number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         self.learn()
+        self.used += np.bincount(number, minlength=len(self.used))
         begin = self.ends[number]
         size = self.ends[number + 1] - begin
         upto = np.concatenate([[0], np.cumsum(size)])
@@ -145,8 +192,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int) -> bytes:
             ids = encoder(tokenizer_path).encode(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for x in ids], pa.binary())], ["ids"])
 
-    own = slim(docs, doc_id="doc_id", text="text")
-    sample = own.filter("text != ''").orderBy(F.xxhash64(F.lit("dictionary"), "doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
+    # the hashes alone are ordered first; texts are read up to the last hash
+    key = F.xxhash64(F.lit("dictionary"), "doc_id", F.xxhash64("text"))
+    own = slim(docs, doc_id="doc_id", text="text").filter("text != ''").withColumn("key", key)
+    last = own.select("key").orderBy("key").limit(SAMPLE_DOCS).agg(F.max("key")).first()[0]
+    sample = own.filter(F.col("key") <= F.lit(last)).orderBy("key", "doc_id", "text").limit(SAMPLE_DOCS)
     parts = [bytes(r["ids"]) for r in sample.select("text").mapInArrow(run, "ids binary").collect()]  # at most SAMPLE_DOCS * SAMPLE_IDS ids
     try:
         return zstandard.train_dictionary(DICT_BYTES, parts).as_bytes()
@@ -266,7 +316,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     own = slim(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
     frames = cut(own.mapInArrow(encode, "doc_id long, ids long, frame binary"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = frames.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids", "frame")
+    order = ["doc_id", "ids", F.xxhash64("frame")]  # so one id with many rows is dealt over tasks too
+    ordered = frames.repartitionByRange(n, *order).sortWithinPartitions(*order)
     files = cut(ordered.mapInArrow(write, "part int, number int, path string, docs long, ids long"))
     placed = total_prefix(files, ["part", "number"], "ids", ["path", "docs", "ids"])
     return placed.select("path", F.lit(f"{folder}/{sha.hex()}.dict").alias("dictionary"), "docs", "ids", "before")

@@ -143,8 +143,7 @@ def test_token_files_round_trip(spark, odd, none, tmp_path):
     from deckflow.llm import tokenfile as TF
     from deckflow.llm.queries import tokenizer_path
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
-    texts = ["a  b\n c\t d", " x", "<|endoftext|> y", "ñandú z", None, "", "it's  we'll 'tis", "tab em  \n\n end "]
+    texts = ["a  b\n c\t d", " x", "<|endoftext|> y", "x<|endoftext|>.  <|endoftext|>\n\n<|endoftext|>z, w <|endo ftext|>", "ñandú z", None, "", "it's  we'll 'tis", "tab em  \n\n end "]
     docs = docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])
     for df in (docs, odd):
         rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
@@ -164,6 +163,23 @@ def test_token_files_round_trip(spark, odd, none, tmp_path):
     assert TF.read_token_files(TF.write_token_files(none, tokenizer_path())).count() == 0
 
 
+def test_encoder_equals_whole_texts(monkeypatch):
+    """Pieces many at a time, a cache that is thinned again and again, texts of
+    odd characters, special strings and line ends."""
+    from deckflow.llm import tokenfile as TF
+    from deckflow.llm.queries import tokenizer_path
+    rng = random.Random(9)
+    own = TF.Encoder(tokenizer_path())
+    assert own.line is not None
+    monkeypatch.setattr(TF, "CACHE", 200)
+    parts = ["the", " fox", "'s", "\n", "  ", "\t", "é", "ñu", "日本", "\u00a0", "\u2003", "12", "<|endoftext|>", ".", ",", "!?", "\x1c", "\x85", "\u00ad", "🙂", "a" * 40, "\0"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts) if rng.random() < 0.7 else " " + "".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        for text, ids in zip(texts, own.encode([*texts, None])):
+            assert ids.tolist() == own.tok.encode(text, add_special_tokens=False).ids + [2], text
+        assert len(own.known) < 1500
+
+
 # --- 9 ---------------------------------------------------------------------
 
 def test_top_k_equals_brute_force(spark):

@@ -48,36 +48,41 @@ DICT_BYTES = 64 * 1024
 FILE_BYTES = 64 << 20
 HEAD, TAIL = b"DFTOK1\0\0", b"DFTOKEND"
 ENTRY = [("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u8"), ("has_id", "u1")]
-CACHE = 600_000
-
-
-class Pieces(dict):
-    """Pieces by number; one that isn't known yet gets the next."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = n = len(self)
-        return n
+CACHE = 1_000_000
 
 
 class Encoder:
-    """Whole-text encoding that asks the library once for each piece. The ids
-    of all known pieces lie in one array, so a batch is put together by index."""
+    """Whole-text encoding that asks the library once for each piece.
+
+    Pieces are cut and hashed for a whole batch as byte arrays. A known piece has
+    a hash, its bytes, its ids and how often it came; every occurrence is compared
+    with the bytes, so a hash never decides alone. The ids of all known pieces
+    lie in one array, and a batch is put together by index."""
 
     cut = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)|(?<=[A-Za-z0-9])(?=[,.;:!?])")
-    odd = re.compile(r"(?<![A-Za-z0-9])[,.;:!?]")
+    # white space beyond ASCII's, and signs that are white space to some: such texts are cut by the expression
+    odd = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf|[\x1c-\x1f]")
+    signs = [b"\xc2\x85", b"\xc2\xa0", b"\xe1", b"\xe2", b"\xe3\x80\x80", b"\xef\xbb\xbf", b"\x1c", b"\x1d", b"\x1e", b"\x1f"]  # a match has one
+    # one word, with at most one space before it, of letters and signs that no tokenizer takes for white space
+    plain = re.compile("[ ]?[!-~\u00a1-\u024f]+")
 
     def __init__(self, tokenizer_path: str):
+        import numpy as np
         from tokenizers import Tokenizer
+
+        from deckflow.llm.grams import Powers
         self.tok = Tokenizer.from_file(tokenizer_path)
-        import numpy as np
-        self.known = Pieces()
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1, np.int64)  # of the piece before each number
-        self.used = np.zeros(0, np.int64)  # how often each piece came
+        self.powers = Powers()
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+        self.bytes, self.begin, self.size = np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        self.full = ~space
+        self.alnum, self.stop = np.zeros(256, bool), np.zeros(256, bool)
+        self.alnum[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+        self.stop[list(b",.;:!?")] = True
         self.line = self._line()
 
     def _line(self) -> int | None:
@@ -89,33 +94,6 @@ class Encoder:
         parts = [x for p in probe for x in (*line, *ids(p))][1:]
         return line[0] if len(line) == 1 and ids("\n".join(probe)) == parts else None
 
-    def forget(self) -> None:
-        """Keep the pieces that came more than once, and of those the more
-        frequent half of what the cache holds at most."""
-        import numpy as np
-        least = max(2, int(np.partition(self.used, -CACHE // 2)[-CACHE // 2]) + 1 if len(self.used) > CACHE // 2 else 2)
-        stay = np.flatnonzero(self.used >= least)
-        begin, size = self.ends[stay], self.ends[stay + 1] - self.ends[stay]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
-        names = list(self.known)
-        self.known = Pieces()
-        self.known.update((names[n], i) for i, n in enumerate(stay.tolist()))
-        self.ids, self.ends, self.used = np.append(ids, np.zeros(1 << 16, np.uint32)), upto, self.used[stay] // 2
-
-    def split(self, text: str) -> list[str]:
-        """The pieces of ``cut``; by plain replacement where all white space is
-        single, and there cut at stops only if each follows a letter or digit."""
-        if " ".join(text.split()) != text.replace("\n", " ") or "\0" in text:
-            return self.cut.split(text)
-        if not self.odd.search(text):
-            for stop in ",.;:!?":
-                text = text.replace(stop, "\0" + stop)
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-
-    # one word, with at most one space before it, of letters and signs that no tokenizer takes for white space
-    plain = re.compile("[ ]?[!-~\u00a1-\u024f]+")
-
     def _encode(self, pieces: list[str]) -> list:
         """The ids of each piece. Plain pieces go through the library many at a
         time, parted by line ends: the ids between two are those of a piece."""
@@ -136,38 +114,122 @@ class Encoder:
                 out[i] = np.array(e.ids, np.uint32)
         return out
 
-    def learn(self) -> None:
-        """Encode the pieces that are new."""
+    def _cuts(self, data, raw: list[bytes], starts):
+        """Where a piece begins, as truth per byte: at text starts and by ``cut``."""
+        import numpy as np
+        n = len(data)
+        flags = np.zeros(n, bool)
+        if n > 2:
+            full = self.full[data]
+            one = full[:-2] & full[2:] & ((data[1:-1] == 32) | (data[1:-1] == 10))
+            flags[1:-1] |= one
+            flags[starts[(starts > 0) & (starts < n)] - 1] = False  # the white space that ends a text
+            two = full[:-2] & full[2:] & (data[1:-1] == 10)
+            after = np.zeros(n, bool)
+            after[2:] = two
+            inner = starts[starts + 1 < n]
+            after[inner + 1] = False  # a line end that begins a text
+            flags |= after
+            flags[1:] |= self.alnum[data[:-1]] & self.stop[data[1:]]
+        flags[starts[starts < n]] = True
+        whole = data.tobytes()
+        for t, at in zip(raw, starts.tolist()) if any(x in whole for x in self.signs) else ():
+            if self.odd.search(t):
+                flags[at:at + len(t)] = False
+                flags[at + np.cumsum([0, *[len(p.encode()) for p in self.cut.split(t.decode())[:-1]]])] = True
+        return flags
+
+    def _thin(self) -> None:
+        """Keep the pieces that came more than once, and of those the more
+        frequent half of what the cache holds at most."""
+        import numpy as np
+        least = max(2, int(np.partition(self.used, -CACHE // 2)[-CACHE // 2]) + 1 if len(self.used) > CACHE // 2 else 2)
+        stay = np.flatnonzero(self.used >= least)
+        new = np.full(len(self.used), -1)
+        new[stay] = np.arange(len(stay))
+        kept = new[self.numbers] >= 0
+        self.hashes, self.numbers = self.hashes[kept], new[self.numbers[kept]]
+
+        def packed(values, begin, size):
+            upto = np.concatenate([[0], np.cumsum(size)])
+            return values[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])], upto
+        data, upto = packed(self.bytes, self.begin[stay], self.size[stay])
+        self.bytes, self.begin, self.size = np.append(data, np.zeros(8, np.uint8)), upto[:-1], self.size[stay]
+        self.ids, self.ends = packed(self.ids, self.ends[stay], self.ends[stay + 1] - self.ends[stay])
+        self.used = self.used[stay] // 2
+
+    def _learn(self, data, begin, size, hashes):
+        """Takes new pieces (spans of ``data``) up; returns their numbers. Those
+        without a hash are for this batch only."""
+        import numpy as np
+        raw = data.tobytes()
+        ids = self._encode([raw[a:a + n].decode() for a, n in zip(begin.tolist(), size.tolist())])
+        numbers = np.arange(len(self.used), len(self.used) + len(begin))
+        at = len(self.bytes) - 8
+        upto = np.concatenate([[0], np.cumsum(size)])
+        self.bytes = np.concatenate([self.bytes[:-8], data[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])], np.zeros(8, np.uint8)])
+        self.begin, self.size = np.concatenate([self.begin, at + upto[:-1]]), np.concatenate([self.size, size])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids])])
+        self.ids = np.concatenate([self.ids, *ids])
+        self.used = np.append(self.used, np.zeros(len(begin), np.int64))
+        if hashes is not None:
+            place = np.searchsorted(self.hashes, hashes)
+            self.hashes, self.numbers = np.insert(self.hashes, place, hashes), np.insert(self.numbers, place, numbers)
+        return numbers
+
+    def _number(self, data, begin, size, hashes):
+        """The number of every piece."""
         import numpy as np
-        new, self.known.new = self.known.new, []
-        if not new:
-            return
-        ids = self._encode(new)
-        at = int(self.ends[-1])
-        self.ends = np.append(self.ends, at + np.cumsum([len(x) for x in ids]))
-        to = int(self.ends[-1])
-        if to > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros(to, np.uint32))
-        self.ids[at:to] = np.concatenate(ids)
-        self.used = np.append(self.used, np.zeros(len(new), np.int64))
+
+        from deckflow.llm.grams import same_spans
+        order = np.argsort(hashes)
+        key = hashes[order]
+        new = np.ones(len(order), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        key = key[first]
+        place = np.minimum(np.searchsorted(self.hashes, key), max(len(self.hashes) - 1, 0))
+        known = self.hashes[place] == key if len(self.hashes) else np.zeros(len(key), bool)
+        of_key = np.zeros(len(key), np.int64)
+        of_key[known] = self.numbers[place[known]]
+        if not known.all():
+            one = order[first[~known]]
+            of_key[~known] = self._learn(data, begin[one], size[one], key[~known])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.repeat(of_key, np.diff(np.append(first, len(order))))
+        # every occurrence against the bytes of its piece
+        both = np.concatenate([self.bytes, data, np.zeros(8, np.uint8)])
+        alike = self.size[number] == size
+        alike[alike] = same_spans(both, self.begin[number[alike]], begin[alike] + len(self.bytes), size[alike])
+        if not alike.all():
+            other = np.flatnonzero(~alike)
+            number[other] = self._learn(data, begin[other], size[other], None)
+        self.used += np.bincount(number, minlength=len(self.used))
+        return number
 
     def encode(self, texts: list[str | None], end_id: int = END_ID) -> list:
         import numpy as np
-        if len(self.known) > CACHE:
-            self.forget()
-        pieces: list[str] = []
-        last = [0]
-        for t in texts:
-            pieces += self.split(t) if t else []
-            last.append(len(pieces))
-        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        self.learn()
-        self.used += np.bincount(number, minlength=len(self.used))
-        begin = self.ends[number]
-        size = self.ends[number + 1] - begin
+
+        from deckflow.llm.grams import Fingerprints
+        if len(self.used) > CACHE:
+            self._thin()
+        raw = [t.encode() if t else b"" for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        starts = np.cumsum([0, *[len(t) for t in raw]])
+        if not len(data):
+            return [np.array([end_id], np.uint32) for _ in texts]
+        begin = np.flatnonzero(self._cuts(data, raw, starts[:-1]))
+        stop = np.append(begin[1:], len(data))
+        hashes = np.empty(len(begin), np.uint64)
+        for a in range(0, len(begin), 200_000):  # prefix sums over a stretch at a time
+            b = min(len(begin), a + 200_000)
+            lo = int(begin[a])
+            hashes[a:b] = Fingerprints(data[lo:int(stop[b - 1])], self.powers).of(begin[a:b] - lo, stop[a:b] - lo)
+        number = self._number(data, begin, stop - begin, hashes)
+        size = self.ends[number + 1] - self.ends[number]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
-        stops = upto[last]
+        ids = self.ids[np.repeat(self.ends[number] - upto[:-1], size) + np.arange(upto[-1])]
+        stops = upto[np.searchsorted(begin, starts)]
         return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(stops, stops[1:])]
 
 

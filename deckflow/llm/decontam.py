@@ -12,26 +12,28 @@ by the windows of 2^(c-1) words at each of its positions, and every position of
 every document starts a walk, so a leak needs no alignment and an edit
 spoils only the windows it lies in. Walks are repeated with new random bits
 until simulated leaks at the largest allowed distance are found with
-probability ``RECALL`` (measured on the benchmark's own items, at most
-``MAX_WALKS`` walks); the first sampled places are near the start, so most
-positions of a document leave a walk after a few steps.
+probability ``RECALL`` for items of every size (measured on the benchmark's own
+items, at most ``MAX_WALKS`` walks; a size that stays below ``LEAST_RECALL`` ends
+the job with an error that names it); the first sampled places are near the
+start, so most positions of a document leave a walk after a few steps.
 
 A signature holds 2 + ``FAR`` places. ``HITS`` signatures at different positions
 that place the item alike (within the allowed edits) make a candidate; the
 simulation counts a leak as found by the same rule.
 
-Candidates are verified exactly: the least edit distance, in characters of the
-normalised text, between the item and any stretch of the document around the
-candidate place (bit-parallel, Myers 1999) must be at most
-``MAX_EDITS`` = 20 % of the item's characters (a similarity of 0.8).
+Candidates are verified exactly: the least edit distance, in words, between the
+item and any stretch of the document around the candidate place (bit-parallel,
+Myers 1999) must be at most ``MAX_EDITS`` = 20 % of the item's words (a similarity
+of 0.8). The walks, the simulated leaks and the check all count the same edits:
+words left out, put in or replaced.
 
 The benchmark is read in blocks of about ``BLOCK_WORDS`` words, so what is
 broadcast is bounded; each block passes over all documents. Documents are
 never shuffled: matches, or a filter, come out of one pass per block.
 
 Defined results: null and empty texts match nothing. Items of fewer than
-``MIN_WORDS`` words are too short to tell a leak from chance and are skipped,
-as are null items. Repeated rows each match. Items equal in text all match.
+``MIN_WORDS`` words are too short for windows; a document matches one that it
+holds word for word. Null items and items without a word match nothing. Repeated rows each match. Items equal in text all match.
 Empty tables give no matches.
 """
 
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from deckflow.llm.common import slim, small_batches
 
 WORD = re.compile(r"\w+")
-MAX_EDITS, RECALL, MIN_WORDS = 0.2, 0.97, 8
+MAX_EDITS, RECALL, LEAST_RECALL, MIN_WORDS = 0.2, 0.97, 0.9, 8
 MIN_WALKS, MAX_WALKS = 4, 24
 BLOCK_WORDS = 400_000
 FAR, HITS = 4, 4
@@ -127,22 +129,33 @@ def _bits(sig):
 class Index:
     """Signatures of a block of items."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], max_edits: float = MAX_EDITS, recall: float = RECALL):
+    def __init__(self, items: list[tuple[int, list[str]]], max_edits: float = MAX_EDITS, recall: float = RECALL, min_words: int = MIN_WORDS):
         import numpy as np
-        self.items = [(i, w, " ".join(w)) for i, w in items]
+        ids: dict[tuple[str, ...], list[int]] = {}
+        for i, w in items:  # items of one text are one
+            ids.setdefault(tuple(w), []).append(i)
+        self.short: dict[int, dict[int, list[tuple[tuple[str, ...], list[int]]]]] = {}
+        for w, own in ids.items():
+            if len(w) < min_words:
+                self.short.setdefault(len(w), {}).setdefault(int(_run_keys(symbols(list(w)), len(w))[0]), []).append((w, own))
+        self.items = [(own, w) for w, own in ids.items() if len(w) >= min_words]
         self.max_edits = max_edits
-        self.sizes = sorted({window_size(len(w)) for _, w, _ in self.items})
+        self.sizes = sorted({window_size(len(w)) for _, w in self.items})
         self.starts = np.zeros(1 << TABLE_BITS, bool)
-        self.walks, self.tables = [], []
-        self.coded = [symbols(w) for _, w, _ in self.items]
+        self.walks, self.tables, self.recall = [], [], {}
+        self.coded = [symbols(list(w)) for _, w in self.items]
         for x in self.coded:
             self.starts[_bits(x)] = True
         leaks = self.leaks()
-        for r in range(MAX_WALKS):
+        for r in range(MAX_WALKS if self.items else 0):
             self.add(Walk(r))
-            if r + 1 >= MIN_WALKS and np.mean([n in self.candidates(x)[:, 0] for n, x in leaks]) >= recall:
-                break
+            if r + 1 >= MIN_WALKS:
+                self.recall = {m: float(np.mean([n in self.candidates(x)[:, 0] for n, x in own])) for m, own in leaks.items()}
+                if min(self.recall.values()) >= recall:
+                    break
         del self.coded
+        if low := {m: x for m, x in self.recall.items() if x < LEAST_RECALL}:
+            raise ValueError(f"recall of simulated leaks by window size stays below {LEAST_RECALL}: {low}")
 
     def add(self, walk: Walk) -> None:
         import numpy as np
@@ -164,18 +177,21 @@ class Index:
         self.tables.append((near, table))
 
     def leaks(self):
-        """``(item, symbols)`` of leaks simulated at the largest distance, amid other words."""
+        """Per window size ``(item, symbols)`` of leaks simulated at the largest
+        distance, amid other words."""
         import numpy as np
         rng = np.random.default_rng(SEED)
-        pick = sorted(rng.permutation(len(self.items))[:48].tolist())
-        out = []
-        for n in pick * 3:
-            x, leak = self.coded[n], rng.integers(1, 2**63, 40).tolist()
-            edits = set(rng.choice(len(x), int(self.max_edits * len(x)), replace=False).tolist())
-            for i, s in enumerate(x.tolist()):
-                kind = int(rng.integers(3)) if i in edits else 3  # left out, replaced, one put in front, kept
-                leak += [int(rng.integers(1, 2**63))] * (kind in (1, 2)) + [s] * (kind >= 2)
-            out.append((n, np.array(leak + rng.integers(1, 2**63, 400).tolist(), np.uint64)))
+        out: dict[int, list] = {}
+        for m in self.sizes:
+            own = [n for n, x in enumerate(self.coded) if window_size(len(x)) == m]
+            pick = rng.permutation(own)[:48].tolist()
+            for n in (pick * -(-144 // len(pick)))[:144]:
+                x, leak = self.coded[n], rng.integers(1, 2**63, 40).tolist()
+                edits = set(rng.choice(len(x), int(self.max_edits * len(x)), replace=False).tolist())
+                for i, s in enumerate(x.tolist()):
+                    kind = int(rng.integers(3)) if i in edits else 3  # left out, replaced, one put in front, kept
+                    leak += [int(rng.integers(1, 2**63))] * (kind in (1, 2)) + [s] * (kind >= 2)
+                out.setdefault(m, []).append((n, np.array(leak + rng.integers(1, 2**63, 400).tolist(), np.uint64)))
         return out
 
     def slack(self, words: int) -> int:
@@ -212,7 +228,7 @@ class Index:
             return none
         h = np.concatenate(found)
         h = h[np.lexsort((h[:, 2], h[:, 1], h[:, 0]))]
-        slack = np.array([self.slack(len(w)) for _, w, _ in self.items])[h[:, 0]]
+        slack = np.array([self.slack(len(w)) for _, w in self.items])[h[:, 0]]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:, 0] != h[:-1, 0]) | (h[1:, 1] - h[:-1, 1] > slack[1:])
         group = np.cumsum(new) - 1
@@ -229,10 +245,15 @@ class Index:
         words = [words_of(t) for t in texts]
         out: list[list[tuple[int, int, int, int, float]]] = [[] for _ in texts]
         flat = [w for x in words for w in x]
-        if not flat or not self.items:
+        if not flat:
             return out
         ends = np.cumsum([len(x) for x in words])
-        found = self.candidates(symbols(flat))
+        coded = symbols(flat)
+        for d, i, at, n in self.exact(flat, coded, ends):
+            out[d].append((i, at, at + n, 0, 1.0))
+        if not self.items:
+            return out
+        found = self.candidates(coded)
         regions: dict[tuple[int, int], list[list[int]]] = {}
         for n, low, high in found.tolist():
             length = len(self.items[n][1])
@@ -246,24 +267,47 @@ class Index:
                 elif lo < hi:
                     spans.append([lo, hi])
         for (d, n), spans in regions.items():
-            item_id, _, item = self.items[n]
+            ids, item = self.items[n]
             best = None
             for lo, hi in spans:
-                part = words[d][lo:hi]
-                dist, a, b = fit(item, " ".join(part), int(self.max_edits * len(item)))
+                dist, a, b = fit(item, words[d][lo:hi], int(self.max_edits * len(item)))
                 if dist is not None and (best is None or dist < best[0]):
-                    offsets = np.cumsum([0] + [len(w) + 1 for w in part])
-                    best = dist, lo + int(np.searchsorted(offsets, a, side="right")) - 1, lo + int(np.searchsorted(offsets, b, side="left"))
+                    best = dist, lo + a, lo + b
             if best:
-                out[d].append((item_id, best[1], best[2], best[0], 1 - best[0] / len(item)))
+                out[d] += [(i, best[1], best[2], best[0], 1 - best[0] / len(item)) for i in ids]
         return out
 
+    def exact(self, flat, coded, ends):
+        """``(text, item, place in it, words)`` of the first place where a text holds
+        a short item word for word."""
+        import numpy as np
+        for n, keys in self.short.items():
+            if len(coded) < n:
+                continue
+            seen = set()
+            for at in np.flatnonzero(np.isin(_run_keys(coded, n), np.array(list(keys), np.uint64))).tolist():
+                d = int(np.searchsorted(ends, at, "right"))
+                for w, ids in keys.get(int(_run_keys(coded[at:at + n], n)[0]), ()):
+                    if at + n <= ends[d] and (d, w) not in seen and tuple(flat[at:at + n]) == w:
+                        seen.add((d, w))
+                        for i in ids:
+                            yield d, i, at - (int(ends[d - 1]) if d else 0), n
+
+
+def _run_keys(x, n: int):
+    """A number for every run of n words."""
+    import numpy as np
+    out = np.zeros(max(0, len(x) - n + 1), np.uint64)
+    for j in range(n):
+        out = (out ^ x[j:len(x) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
 
-def _ends(pattern: str, text: str, whole_start: bool = False) -> tuple[int, int]:
+def _ends(pattern, text, whole_start: bool = False) -> tuple[int, int]:
     """Least edit distance of ``pattern`` to a stretch of ``text`` and the
     earliest end that has it (a stretch from the start with ``whole_start``)."""
     m = len(pattern)
-    peq: dict[str, int] = {}
+    peq: dict = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -287,8 +331,9 @@ def _ends(pattern: str, text: str, whole_start: bool = False) -> tuple[int, int]
     return best, end
 
 
-def fit(item: str, text: str, most: int) -> tuple[int | None, int, int]:
-    """``(distance, start, end)`` of the best stretch of ``text``, or None."""
+def fit(item, text, most: int) -> tuple[int | None, int, int]:
+    """``(distance, start, end)`` of the best stretch of ``text``, or None; both
+    are strings or sequences of words."""
     dist, end = _ends(item, text)
     if dist > most:
         return None, 0, 0
@@ -304,9 +349,9 @@ def indexes(benchmark: DataFrame, max_edits: float = MAX_EDITS, block_words: int
     blocks = max(1, -(-total // block_words))
     for b in range(blocks):
         rows = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()  # about block_words words
-        items = sorted((r["item_id"], w) for r in rows if len(w := words_of(r["text"])) >= min_words)
+        items = sorted((r["item_id"], w) for r in rows if (w := words_of(r["text"])))
         if items:
-            yield Index(items, max_edits, recall)
+            yield Index(items, max_edits, recall, min_words)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

@@ -1,29 +1,33 @@
 """Toxicity by nearest labelled examples, exact under TF-IDF cosine.
 
 Terms are words and word beginnings of four to nine letters (inflected insults
-share those), and such a beginning once more where it occurs again in the text. From the labelled examples the vocabulary keeps the terms whose
-documents differ from the base rate of toxic documents by more than chance: a
-binomial tail below 1 in the number of terms tried. Vectors over it have weights
-(1 + ln tf) * idf and unit length, so a shared ordinary word is no likeness.
+share those), and such a beginning once more where it occurs again in the text.
+All terms of the labelled examples span the space: none is left out. A term
+weighs its idf over all documents, times a factor from 1 to 1 + ``BOOST`` that
+grows with the evidence that it goes with a label (binomial tail of the labels
+of the examples that hold it, less than chance in the number of terms tried), so
+that one insult outweighs much ordinary text. Vectors have the weights
+(1 + ln tf) * weight and unit length; a copy of an example has cosine 1.
 
 The index holds the examples in blocks of ``BLOCK``, similar examples side by
-side, and for every term its postings per block with their largest weight. A
-document's bound for a block is the sum over its terms of weight times block
-maximum. Blocks are read in falling order of the bound until the k-th best
-cosine is above it, so the neighbours are exact (ties: the smaller doc_id).
-Votes are weighted by closeness 1 / (0.05 + 1 - cosine).
+side: for every term its postings; for terms that many examples hold, which make
+nearly all the work, a row of weights and the largest weight per block. A
+document's bound for a block is the sum over its common terms of weight times
+block maximum, plus the largest sum that its other terms reach there. Blocks are
+scored in falling order of the bound, a few at a time and many documents at
+once, until the k-th best cosine is above it, so the neighbours are exact (ties:
+the smaller doc_id). Votes are weighted by closeness 1 / (0.05 + 1 - cosine).
 
 Calibration: each example's vote share is found from the other examples (its
-own entry left out), as is that of examples without any vocabulary term (the
-base rate among those); a monotone fit (pool adjacent violators) over vote
-shares, smoothed by the base rate, turns a share into a probability.
+own entry left out); a monotone fit (pool adjacent violators) over vote shares,
+smoothed by the base rate, turns a share into a probability.
 
 The sample of labelled rows is bounded by ``EXAMPLES`` per label (rows of least
-hash): a documented bound of the classifier. Only texts and ``toxic`` are
-learned from; every whole text is scored.
+hash): a documented bound of the classifier. Document frequencies come from all
+documents. Only texts and ``toxic`` are learned from; every whole text is scored.
 
-Defined results: texts without a vocabulary term (null and empty ones too) get
-the base rate of such examples and no evidence. Without labelled rows every
+Defined results: texts without a term of the examples (null and empty ones too)
+get the base rate of such examples and no evidence. Without labelled rows every
 score is 0; with labels of one kind every score is that label's smoothed rate.
 Documents with conflicting repeated labels count as toxic. Repeated rows get
 equal results. An empty table gives no rows.
@@ -37,88 +41,223 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deckflow.llm.common import cut, slim, small_batches
+from deckflow.llm.common import slim, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 EXAMPLES = 2000
 NEIGHBOURS = 15
-BLOCK = 64
-VOCABULARY = 4000
+BLOCK, WAVE = 64, 8
 STEMS = (4, 5, 6, 7, 8, 9)
-CACHE = 300_000
+CACHE = 200_000
+BOOST, STRONG = 40.0, 20.0
 
 
 def terms(word: str) -> list[str]:
     return [word, *[f"{word[:n]}*" for n in STEMS if len(word) >= n]]
 
 
-def repeated(tf: dict[str, int]) -> dict[str, int]:
-    """Adds a term of its own for a word beginning that occurs twice or more."""
-    return tf | {f"{t}2": c for t, c in tf.items() if c > 1 and t[-1] == "*"}
-
-
-def _log_tail(a: Column, n: Column, p: float) -> Column:
-    """ln of P(X >= a), X binomial(n, p), bounded by Chernoff; 0 where a is no more than expected."""
-    q = a / n
-    rest = F.when(q >= 1, F.lit(0.0)).otherwise((1 - q) * F.ln((1 - q) / F.lit(1 - p)))
-    return F.when(q <= p, F.lit(0.0)).otherwise(-n * (q * F.ln(q / F.lit(p)) + rest))
+def term_hash(term: str) -> int:
+    import xxhash
+    return xxhash.xxh64_intdigest(term, 5)
+
+
+def twice(h):
+    """The hash of the further term of a beginning that occurs again."""
+    import numpy as np
+    return h * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D)
+
+
+class _Numbers(dict):
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = n = len(self)
+        return n
+
+
+class Terms:
+    """Term counts of many texts at once. With ``vocabulary`` (sorted hashes)
+    terms are places in it and others are left out; else they are hashes."""
+
+    def __init__(self, vocabulary=None):
+        self.vocabulary = vocabulary
+        self.clear()
+
+    def clear(self) -> None:
+        import numpy as np
+        self.words, self.ends = _Numbers(), np.zeros(1, np.int64)
+        self.of, self.again = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _learn(self) -> None:
+        import numpy as np
+        new, self.words.new = self.words.new, []
+        if not new:
+            return
+        names = [terms(w) for w in new]
+        h = np.array([term_hash(t) for ts in names for t in ts], np.uint64)
+        stem = np.array([t[-1] == "*" for ts in names for t in ts])
+        again = np.where(stem, twice(h), np.uint64(0))
+        owner = np.repeat(np.arange(len(new)), [len(ts) for ts in names])
+        if self.vocabulary is not None:
+            h, again = self.places(h), self.places(again)
+            none = np.uint64(len(self.vocabulary))
+            some = (h != none) | (again != none)
+            h, again, owner = h[some], again[some], owner[some]
+        self.of, self.again = np.concatenate([self.of, h]), np.concatenate([self.again, again])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
+
+    def places(self, h):
+        """Place in the vocabulary, or its length."""
+        import numpy as np
+        if not len(self.vocabulary):
+            return np.zeros(len(h), np.uint64)
+        at = np.searchsorted(self.vocabulary, h)
+        at[at == len(self.vocabulary)] = 0
+        return np.where(self.vocabulary[at] == h, at, len(self.vocabulary)).astype(np.uint64)
+
+    def counts(self, texts: list[str | None]):
+        """``(text, term, tf)`` arrays, sorted by text and term."""
+        import numpy as np
+        if len(self.words) > CACHE:
+            self.clear()
+        flat, size = [], []
+        for t in texts:
+            own = WORD.findall(t.lower()) if t else []
+            flat += own
+            size.append(len(own))
+        number = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        self._learn()
+        text = np.repeat(np.arange(len(texts)), size)
+        key, tf = np.unique(text * max(len(self.words), 1) + number, return_counts=True)  # words of a text once
+        text, number = np.divmod(key, max(len(self.words), 1))
+        n = self.ends[number + 1] - self.ends[number]
+        at = np.arange(n.sum()) + np.repeat(self.ends[number] - (np.cumsum(n) - n), n)
+        text, tf = np.repeat(text, n), np.repeat(tf, n)
+        term, again = self.of[at], self.again[at]
+        order = np.lexsort((term, text))
+        text, term, tf, again = text[order], term[order], tf[order], again[order]
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
+        first = np.flatnonzero(first)
+        if not len(first):
+            return text, term, tf
+        text, term, again, tf = text[first], term[first], again[first], np.add.reduceat(tf, first)
+        more = tf > 1
+        none = np.uint64(0) if self.vocabulary is None else np.uint64(len(self.vocabulary))
+        more &= again != none
+        text, term, tf = np.concatenate([text, text[more]]), np.concatenate([term, again[more]]), np.concatenate([tf, tf[more]])
+        known = np.flatnonzero(term != none)
+        order = known[np.lexsort((term[known], text[known]))]
+        return text[order], term[order], tf[order]
+
+
+def unit(text, values, number: int):
+    """Values scaled so that those of each text have length 1."""
+    import numpy as np
+    norm = np.sqrt(np.bincount(text, weights=values * values, minlength=number))
+    return values / np.maximum(norm, 1e-300)[text]
 
 
 class Index:
-    """Block-max inverted index over the labelled examples."""
+    """Block-max inverted index over the labelled examples, given as sorted
+    arrays (example, term, tf) over a vocabulary with a weight per term."""
 
-    def __init__(self, idf: dict[str, float], ids: list[int], labels: list[int], vectors: list[dict[str, float]]):
+    def __init__(self, vocabulary, weight, ids: list[int], labels: list[int], example, term, tf):
+        import numpy as np
+        self.vocabulary, self.weight, n = vocabulary, weight, len(ids)
+        value = unit(example, (1 + np.log(tf)) * weight[term], n)
         # examples whose heaviest term is the same stand side by side
-        self.idf = idf
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t), default=""), ids[i]))
-        self.ids, self.labels = [ids[i] for i in order], [labels[i] for i in order]
-        self.postings: dict[str, dict[int, tuple[float, list[tuple[int, float]]]]] = {}
-        for n, i in enumerate(order):
-            for t, w in vectors[i].items():
-                top, items = self.postings.setdefault(t, {}).get(n // BLOCK, (0.0, []))
-                items.append((n, w))
-                self.postings[t][n // BLOCK] = (max(top, w), items)
+        top = np.zeros(n, np.int64)
+        order = np.lexsort((term, value, example))
+        top[example[order]] = term[order]  # the last of an example is its heaviest
+        place = np.lexsort((np.array(ids), top))
+        self.ids, self.labels = np.array(ids, np.int64)[place], np.array(labels, np.int64)[place]
+        back = np.empty(n, np.int64)
+        back[place] = np.arange(n)
+        example = back[example]
+        order = np.lexsort((example, term))
+        example, term, value = example[order], term[order], value[order]
+        df = np.bincount(term, minlength=len(vocabulary))
+        self.blocks = -(-n // BLOCK) if n else 0
+        # terms of many examples: a row each
+        self.common = np.full(len(vocabulary), -1, np.int32)
+        many = np.flatnonzero(df > max(32, n // 12))
+        self.common[many] = np.arange(len(many))
+        row = self.common[term]
+        self.rows = np.zeros((len(many), self.blocks * BLOCK))
+        self.rows[row[row >= 0], example[row >= 0]] = value[row >= 0]
+        self.row_max = self.rows.reshape(len(many), self.blocks, BLOCK).max(axis=2) if len(many) else np.zeros((0, self.blocks))
+        # the others: postings
+        few = row < 0
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(term[few], minlength=len(vocabulary)))])
+        self.post, self.value = example[few].astype(np.int32), value[few]
         self.knots: list[tuple[float, float]] = []
         self.bare = 0.0
-        self.words: dict[str, tuple[str, ...]] = {}
-
-    def vector(self, text: str | None) -> dict[str, float]:
-        tf: dict[str, int] = {}
-        if len(self.words) > CACHE:
-            self.words.clear()
-        known, idf = self.words, self.idf
-        for w in WORD.findall(text.lower()) if text else ():
-            ts = known.get(w)
-            if ts is None:
-                ts = known[w] = tuple(t for t in terms(w[:40]) if t in idf or f"{t}2" in idf)
-            for t in ts:
-                tf[t] = tf.get(t, 0) + 1
-        return unit(repeated(tf), idf)
-
-    def nearest(self, v: dict[str, float], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, int]]:
-        """``(cosine, doc_id, label)`` of the k nearest examples; those without a shared term don't count."""
-        bound: dict[int, float] = {}
-        for t, w in v.items():
-            for b, (top, _) in self.postings.get(t, {}).items():
-                bound[b] = bound.get(b, 0.0) + w * top
-        best: list[tuple[float, int, int]] = []
-        for b, most in sorted(bound.items(), key=lambda x: (-x[1], x[0])):
-            if len(best) == k and most < -best[-1][0] - 1e-12:
+        self._terms = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_terms": None}
+
+    def vectors(self, texts: list[str | None]):
+        import numpy as np
+        if self._terms is None:
+            self._terms = Terms(self.vocabulary)
+        text, term, tf = self._terms.counts(texts)
+        term = term.astype(np.int64)
+        return text, term, unit(text, (1 + np.log(tf)) * self.weight[term], len(texts))
+
+    def nearest(self, text, term, value, number: int, k: int = NEIGHBOURS, without=None) -> list[list[tuple[float, int, int]]]:
+        """Per text ``(cosine, doc_id, label)`` of the k nearest examples; those
+        without a shared term don't count. ``without``: an example per text that
+        is left out."""
+        import numpy as np
+        n, width = len(self.ids), self.blocks * BLOCK
+        if not number or not n:
+            return [[] for _ in range(number)]
+        row = self.common[term]
+        heavy = np.zeros((number, len(self.rows)))
+        heavy[text[row >= 0], row[row >= 0]] = value[row >= 0]
+        few = np.flatnonzero(row < 0)
+        size = self.begin[term[few] + 1] - self.begin[term[few]]
+        at = np.arange(size.sum()) + np.repeat(self.begin[term[few]] - (np.cumsum(size) - size), size)
+        cell = np.repeat(text[few], size) * width + self.post[at]
+        light = np.bincount(cell, weights=np.repeat(value[few], size) * self.value[at], minlength=number * width).reshape(number, width)
+        # of the postings their sum in a block bounds as well as their maxima do
+        bound = heavy @ self.row_max + light.reshape(number, self.blocks, BLOCK).max(axis=2)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        score = np.full((number, width), -1.0)
+        least, active = np.full(number, -1.0), np.arange(number)
+        for wave in range(0, self.blocks, WAVE):
+            nxt = bound[active, order[active, wave]]
+            active = active[(nxt > 0) & (nxt >= least[active] - 1e-12)]
+            if not len(active):
                 break
-            score: dict[int, float] = {}
-            for t, w in v.items():
-                for n, x in self.postings.get(t, {}).get(b, (0.0, ()))[1]:
-                    score[n] = score.get(n, 0.0) + w * x
-            best = sorted(best + [(-round(s, 12), self.ids[n], self.labels[n]) for n, s in score.items() if self.ids[n] != without])[:k]
-        return [(-s, i, y) for s, i, y in best]
+            for b in np.unique(order[active, wave:wave + WAVE]).tolist():
+                own = active[(order[active, wave:wave + WAVE] == b).any(axis=1)]
+                at = slice(b * BLOCK, (b + 1) * BLOCK)
+                score[own, at] = heavy[own] @ self.rows[:, at] + light[own, at]
+            if without is not None:
+                score[np.arange(number), without] = -1.0
+            if width > k:
+                least[active] = np.partition(score[active], width - k, axis=1)[:, width - k]
+        if without is not None:
+            score[np.arange(number), without] = -1.0
+        out = []
+        for d in range(number):
+            got = np.flatnonzero((score[d, :n] > 1e-12) & (score[d, :n] >= least[d] - 1e-9))
+            best = sorted((-round(float(score[d, i]), 12), int(self.ids[i]), int(self.labels[i])) for i in got.tolist())[:k]
+            out.append([(-s, i, y) for s, i, y in best])
+        return out
 
     def share(self, near: list[tuple[float, int, int]]) -> float:
         vote = [(1 / (0.05 + max(0.0, 1 - s)), y) for s, _, y in near]
         return sum(w * y for w, y in vote) / sum(w for w, _ in vote)
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int, int]]]:
-        near = self.nearest(self.vector(text))
-        return (self.probability(self.share(near)), near) if near else (self.bare, [])
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int, int]]]]:
+        found = self.nearest(*self.vectors(texts), len(texts))
+        return [(self.probability(self.share(near)), near) if near else (self.bare, []) for near in found]
 
     def probability(self, share: float) -> float:
         xs = self.knots
@@ -131,19 +270,19 @@ class Index:
                 return p + (q - p) * (share - a) / (b - a)
         return xs[-1][1]
 
-    def calibrate(self, vectors: dict[int, dict[str, float]], labels: dict[int, int], rate: float) -> None:
-        """rate: toxic share of all labelled rows; the examples' two labels are weighted back to it."""
-        n1 = sum(labels.values())
+    def calibrate(self, near: list[list[tuple[float, int, int]]], labels: list[int], rate: float) -> None:
+        """near: neighbours of the examples, their own entries left out; rate: toxic
+        share of all labelled rows, to which the examples' labels are weighted back."""
+        n1 = sum(labels)
         n0 = len(labels) - n1
         w = {1: rate / max(n1, 1), 0: (1 - rate) / max(n0, 1)}
         scale = len(labels)
         points, bare = [], [0.0, 0.0]
-        for i, v in vectors.items():
-            near = self.nearest(v, without=i)
-            if near:
-                points.append((self.share(near), labels[i], w[labels[i]] * scale))
+        for found, y in zip(near, labels):
+            if found:
+                points.append((self.share(found), y, w[y] * scale))
             else:
-                bare[labels[i]] += w[labels[i]] * scale
+                bare[y] += w[y] * scale
         self.bare = (bare[1] + rate) / (sum(bare) + 1)
         pools: list[list[float]] = []  # share sum, toxic weight, weight
         for s, y, c in sorted(points):
@@ -153,82 +292,99 @@ class Index:
                 pools[-1] = [a + b for a, b in zip(pools[-1], x)]
         self.knots = [(a / c, (y + rate) / (c + 1)) for a, y, c in pools if c > 0]
 
-    def __reduce__(self):
-        return _index, (self.idf, self.ids, self.labels, self.postings, self.knots, self.bare)
-
 
-def _index(idf, ids, labels, postings, knots, bare) -> Index:
-    x = Index(idf, [], [], [])
-    x.ids, x.labels, x.postings, x.knots, x.bare = ids, labels, postings, knots, bare
-    return x
+def strength(toxic, df, share: float):
+    """Factor of a term that ``df`` examples hold, ``toxic`` of them toxic: from
+    1 up to 1 + BOOST by the Chernoff bound of the binomial tail, beyond what
+    chance gives among so many terms."""
+    import numpy as np
+    q, p = toxic / df, min(max(share, 1e-6), 1 - 1e-6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(q > 0, q * np.log(np.maximum(q, 1e-300) / p), 0.0) + np.where(q < 1, (1 - q) * np.log(np.maximum(1 - q, 1e-300) / (1 - p)), 0.0)
+    beyond = df * kl - math.log(max(len(df), 2)) - 2
+    return 1 + BOOST * np.clip(beyond / STRONG, 0.0, 1.0)
 
 
-def unit(tf: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
-    v = {t: (1 + math.log(c)) * idf[t] for t, c in tf.items() if t in idf}
-    norm = math.sqrt(sum(x * x for x in v.values()))
-    return {t: x / norm for t, x in v.items()}
-
-
-def build(examples: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], rate: float) -> Index | None:
-    """Index over ``(doc_id, label, vocabulary term counts)``."""
-    if not examples:
+def build(ids: list[int], labels: list[int], text, term, tf, df, documents: int, rate: float, vocabulary) -> Index | None:
+    """Index of examples, given their term counts (places in the vocabulary) and
+    the document frequencies of all terms."""
+    import numpy as np
+    if not ids:
         return None
-    vectors = [unit(tf, idf) for _, _, tf in examples]
-    index = Index(idf, [i for i, _, _ in examples], [y for _, y, _ in examples], vectors)
-    index.calibrate({i: v for (i, _, _), v in zip(examples, vectors)}, {i: y for i, y, _ in examples}, rate)
+    y = np.array(labels)
+    own = np.bincount(term, minlength=len(vocabulary))
+    toxic = np.bincount(term, weights=y[text], minlength=len(vocabulary))
+    idf = np.log(1 + documents / np.maximum(df, 1))
+    index = Index(vocabulary, idf * strength(toxic, np.maximum(own, 1), float(y.mean())), ids, labels, text, term, tf)
+    near: list = []
+    place = {i: n for n, i in enumerate(index.ids.tolist())}
+    value = unit(text, (1 + np.log(tf)) * index.weight[term], len(ids))
+    for a in range(0, len(ids), 256):
+        b = min(len(ids), a + 256)
+        lo, hi = np.searchsorted(text, [a, b])
+        near += index.nearest(text[lo:hi] - a, term[lo:hi], value[lo:hi], b - a, without=[place[i] for i in ids[a:b]])
+    index.calibrate(near, labels, rate)
     return index
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = EXAMPLES) -> Index | None:
     """Index from the labelled rows that satisfy ``usable`` (over doc_id)."""
-    small_batches(docs.sparkSession)
+    import numpy as np
+    spark = docs.sparkSession
+    small_batches(spark, 400, 8)
     marks = slim(labels, doc_id="doc_id", toxic="toxic").filter(usable & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     count = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     h = F.xxhash64(F.lit("toxicity"), "doc_id")
-    chosen = [marks.filter(F.col("toxic") == y).orderBy(h, "doc_id").limit(per_label) for y in (0, 1)]
-    texts = slim(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * per_label rows at most
+    chosen = [marks.filter(F.col("toxic") == y).select("doc_id", "toxic", h.alias("h")).orderBy("h", "doc_id").limit(per_label).drop("h") for y in (0, 1)]
+    all_docs = slim(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    texts = all_docs.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))  # 2 * per_label rows at most
 
-    def run(batches):
+    def count_terms(batches):
         import pyarrow as pa
-        schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("tf", pa.map_(pa.string(), pa.int32()))])
+        own = Terms()
         for b in batches:
-            out = []
-            for i, y, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))):
-                tf: dict[str, int] = {}
-                for w in WORD.findall(text.lower()) if text else ():
-                    for t in terms(w[:40]):
-                        tf[t] = tf.get(t, 0) + 1
-                out.append((i, y, list(repeated(tf).items())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-
-    own = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text")
-    counted = cut(own.mapInArrow(run, "doc_id long, toxic int, tf map<string,int>"))
-    seen: dict[int, tuple[int, dict[str, int]]] = {r["doc_id"]: (r["toxic"], {}) for r in counted.select("doc_id", "toxic").distinct().collect()}
-    if not seen:
+            text, term, tf = own.counts(b.column("text").to_pylist())
+            ends = np.searchsorted(text, np.arange(b.num_rows + 1))
+            cells = [(term[a:z].astype("<u8").tobytes(), tf[a:z].astype("<u4").tobytes()) for a, z in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "toxic", "term", "tf"])
+
+    got = texts.select("doc_id", "toxic", "text").mapInArrow(count_terms, "doc_id long, toxic int, term binary, tf binary").toArrow().sort_by("doc_id")
+    ids, marked = got.column("doc_id").to_pylist(), got.column("toxic").to_pylist()
+    if not ids:
         return None
-    n = len(seen)
-    p = min(max(sum(y for y, _ in seen.values()) / n, 1e-6), 1 - 1e-6)
-    pairs = counted.select("doc_id", "toxic", F.explode("tf").alias("t", "c"))
-    stats = cut(pairs.groupBy("t").agg(F.count_distinct("doc_id").alias("df"), F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("toxic")).filter("df >= 3"))
-    tried = stats.count()
-    strength = F.least(_log_tail(F.col("toxic"), F.col("df"), p), _log_tail(F.col("df") - F.col("toxic"), F.col("df"), 1 - p))
-    kept = stats.withColumn("s", strength).filter(F.col("s") < -math.log(max(tried, 2)) - 2).orderBy("s", "t").limit(VOCABULARY)
-    vocabulary = {r["t"]: r["df"] for r in kept.collect()}
-    if vocabulary:
-        found = pairs.filter(F.col("t").isin(list(vocabulary))).groupBy("doc_id", "t").agg(F.max("c").alias("c"))
-        for r in found.collect():  # of 2 * per_label examples, VOCABULARY terms at most
-            seen[r["doc_id"]][1][r["t"]] = r["c"]
+    parts = got.column("term").to_pylist()
+    term = np.frombuffer(b"".join(parts), np.uint64)
+    tf = np.frombuffer(b"".join(got.column("tf").to_pylist()), np.uint32).astype(np.int64)
+    text = np.repeat(np.arange(len(ids)), [len(x) // 8 for x in parts])
+    del got, parts
+    vocabulary, term = np.unique(term, return_inverse=True)
+    held = spark.sparkContext.broadcast(vocabulary)  # the terms of 2 * per_label examples
+
+    def frequencies(batches):
+        import pyarrow as pa
+        own, df = Terms(held.value), np.zeros(len(held.value) + 1, np.int64)
+        for b in batches:
+            _, term, _ = own.counts(b.column("text").to_pylist())
+            df += np.bincount(term.astype(np.int64), minlength=len(df))
+            df[-1] += b.num_rows
+        some = np.flatnonzero(df)
+        for a in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[a:a + 100_000]), pa.array(df[some[a:a + 100_000]])], names=["term", "df"])
+
+    sums = all_docs.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row per term of the examples
+    df = np.zeros(len(vocabulary) + 1, np.int64)
+    df[sums.column("term").to_numpy()] = sums.column("df").to_numpy()
+    held.unpersist()
     rate = count.get(1, 0) / sum(count.values())
-    return build([(i, y, tf) for i, (y, tf) in sorted(seen.items())], {t: math.log(1 + n / df) for t, df in vocabulary.items()}, rate)
+    return build(ids, marked, text, term.astype(np.int64), tf, df[:-1], int(df[-1]), rate, vocabulary)
 
 
 def score_documents(docs: DataFrame, index: Index | None) -> DataFrame:
     """``(doc_id, score, evidence)``; evidence lists the neighbours' doc_id,
     cosine and label, nearest first."""
-    small_batches(docs.sparkSession, 400, 8)
-    held = docs.sparkSession.sparkContext.broadcast(index)  # 2 * EXAMPLES examples over VOCABULARY terms at most
+    small_batches(docs.sparkSession, 200, 4)
+    held = docs.sparkSession.sparkContext.broadcast(index)  # 2 * EXAMPLES examples
 
     def run(batches):
         import pyarrow as pa
@@ -236,7 +392,7 @@ def score_documents(docs: DataFrame, index: Index | None) -> DataFrame:
         near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", near_type)])
         for b in batches:
-            scored = [index.score(t) if index else (0.0, []) for t in b.column("text").to_pylist()]
+            scored = index.scores(b.column("text").to_pylist()) if index else [(0.0, [])] * b.num_rows
             near = [[{"doc_id": i, "cosine": s, "toxic": y} for s, i, y in n[:3]] for _, n in scored]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([min(1.0, max(0.0, s)) for s, _ in scored], pa.float64()), pa.array(near, near_type)], schema=schema)
 

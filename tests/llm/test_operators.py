@@ -177,7 +177,13 @@ def test_encoder_equals_whole_texts(monkeypatch):
         texts = ["".join(rng.choice(parts) if rng.random() < 0.7 else " " + "".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(rng.randint(0, 30))) for _ in range(20)]
         for text, ids in zip(texts, own.encode([*texts, None])):
             assert ids.tolist() == own.tok.encode(text, add_special_tokens=False).ids + [2], text
-        assert len(own.known) < 1500
+        assert len(own.used) < 1500
+    t = "a"
+    while len(t) < 2048:
+        t += t.translate(str.maketrans("ab", "ba"))  # equal hashes, see test_collocations
+    u = t.translate(str.maketrans("ab", "ba"))
+    for text, ids in zip([t, f"{u} {t}", u], own.encode([t, f"{u} {t}", u])):
+        assert ids.tolist() == own.tok.encode(text, add_special_tokens=False).ids + [2]
 
 
 # --- 9 ---------------------------------------------------------------------
@@ -261,16 +267,47 @@ def test_language_odd(spark, odd, none):
 
 # --- 5 ---------------------------------------------------------------------
 
-def test_nearest_equals_brute_force():
-    from deckflow.llm.toxicity import Index, unit
+def naive_terms(text):
+    from deckflow.llm.toxicity import terms
+    from collections import Counter
+    tf = Counter(t for w in re.findall(r"[^\W\d_]+", (text or "").lower()) for t in terms(w))
+    return {**tf, **{t + "2": c for t, c in tf.items() if c > 1 and t[-1] == "*"}}
+
+
+def test_neighbours_equal_brute_force(spark):
+    """Exact cosines over all terms, idf over all documents; every example is its
+    own nearest neighbour."""
+    import math
+
+    from deckflow.llm.toxicity import learn, strength
     rng = random.Random(4)
-    idf = {f"t{i}": 1 + i % 5 for i in range(40)}
-    made = [unit({f"t{rng.randrange(40)}": rng.randint(1, 4) for _ in range(6)}, idf) for _ in range(300)]
-    index = Index(idf, list(range(300)), [i % 2 for i in range(300)], made)
-    for q in made[:40]:
-        want = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(made) if set(q) & set(v))[:15]
-        got = [(-round(s, 9), i) for s, i, _ in index.nearest(q)]
-        assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-8)
+    common = ["and", "the", "of"]
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(3, 30))) + (" stupidly stupid" if i % 5 == 0 else "") + (" x" * 50 if i == 7 else ""), "en", "s") for i in range(300)]
+    rows += [(400, "nothing " + "y" * 5000, "en", "s"), (401, "", "en", "s")]
+    labels = spark.createDataFrame([(i, 0, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    index = learn(docs_of(spark, rows), labels, F.lit(True))
+    tf = {i: naive_terms(t) for i, t, _, _ in rows}
+    df = {}
+    for v in tf.values():
+        for t in v:
+            df[t] = df.get(t, 0) + 1
+    own = sorted({t for i in range(200) for t in tf[i]})
+    held = {t: [i for i in range(200) if t in tf[i]] for t in own}
+    factor = dict(zip(own, strength(np.array([sum(i % 5 == 0 for i in held[t]) for t in own], float), np.array([len(held[t]) for t in own], float), 0.2)))
+    assert factor["stupi*"] > 30 and factor["and"] < 2
+
+    def vector(i):
+        v = {t: (1 + math.log(c)) * math.log(1 + len(rows) / df[t]) * factor[t] for t, c in tf[i].items() if t in factor}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+    made = {i: vector(i) for i in tf}
+    texts = [t for _, t, _, _ in rows]
+    for (i, *_), near in zip(rows, index.nearest(*index.vectors(texts), len(texts))):
+        want = sorted((-round(sum(w * made[j].get(t, 0) for t, w in made[i].items()), 9), j) for j in range(200) if set(made[i]) & set(made[j]))[:15]
+        assert np.allclose([s for s, _, _ in near], [-s for s, _ in want], atol=1e-8), i
+        if i < 200:
+            assert near[0][0] > 1 - 1e-9 and (near[0][1] == i or rows[near[0][1]][1] == rows[i][1])
 
 
 def test_toxicity(spark, odd, none):
@@ -327,30 +364,50 @@ def test_edit_distance_is_exact():
 
 
 def test_leaks_are_found(spark, odd, none):
-    from deckflow.llm.decontam import contaminated, decontaminate
+    """Leaks of every size at up to 20 % of their words, against the edit
+    distance by dynamic programming; nothing else is reported."""
+    from deckflow.llm.decontam import contaminated, decontaminate, words_of
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7)))
-    items = [(i, " ".join(word() for _ in range(rng.randint(15, 60)))) for i in range(30)]
-    rows, leaked = [], set()
-    for d in range(120):
+    items = {i: " ".join(word() for _ in range(rng.choice([9, 15, 25, 60, 140]))) for i in range(40)}
+    rows, leaked = [], {}
+    for d in range(240):
         text = [word() for _ in range(200)]
         if d % 2:
-            i = rng.randrange(30)
-            part = items[i][1].split()
-            for _ in range(len(part) // 10):
-                part[rng.randrange(len(part))] = word()
+            i = rng.randrange(40)
+            part = items[i].split()
+            edits = int(len(part) * rng.choice([0, 0.05, 0.1, 0.2]))
+            for at in sorted(rng.sample(range(len(part)), edits), reverse=True):
+                kind = rng.randrange(3)
+                part[at:at + 1] = [[], [word()], [word(), part[at]]][kind]
             text[50:50] = part
-            leaked.add((d, i))
+            leaked[d, i] = edits
         rows.append((d, " ".join(text).capitalize() + ".", "en", "s"))
-    bench = spark.createDataFrame([*items, (98, None), (99, "too short")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in contaminated(docs_of(spark, rows), bench).collect()}
-    assert got <= leaked and len(got) >= 0.95 * len(leaked)
+    bench = spark.createDataFrame([*items.items(), (98, None), (97, "...")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in contaminated(docs_of(spark, rows), bench).collect()}
+    texts = {d: words_of(t) for d, t, _, _ in rows}
+    assert set(got) <= set(leaked) and len(got) >= 0.95 * len(leaked)
+    for (d, i), r in got.items():
+        assert r.distance == naive_fit(items[i].split(), texts[d]) <= leaked[d, i]
+        assert naive_fit(items[i].split(), texts[d][r.first_word:r.end_word]) == r.distance
+    for part in ((0, 15), (16, 60), (61, 200)):
+        own = [k for k in leaked if part[0] <= len(items[k[1]].split()) <= part[1]]
+        assert len([k for k in own if k in got]) >= 0.9 * len(own)
     clean = decontaminate(docs_of(spark, rows), bench)
-    assert {r.doc_id for r in clean.collect()} == set(range(120)) - {d for d, _ in got}
+    assert {r.doc_id for r in clean.collect()} == set(range(240)) - {d for d, _ in got}
     assert decontaminate(odd, bench).count() == 8 and decontaminate(odd, bench).columns == odd.columns
     assert contaminated(none, bench).count() == 0 and contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_short_and_equal_items_match(spark):
+    from deckflow.llm.decontam import contaminated
+    long_ = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, "Red fox!"), (2, "red fox"), (3, "zebra"), (4, long_), (5, long_.upper())], "item_id long, text string")
+    rows = [(1, "a red fox, red fox", None, None), (2, "red", None, None), (3, "fox zebra red", None, None), (4, f"x {long_} y", None, None), (5, "red", None, None), (6, "fox", None, None)]
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.end_word, r.distance) for r in contaminated(docs_of(spark, rows), bench).collect())
+    assert got == [(1, 1, 1, 3, 0), (1, 2, 1, 3, 0), (3, 3, 1, 2, 0), (4, 4, 1, 11, 0), (4, 5, 1, 11, 0)]
+
+
 # --- 3 ---------------------------------------------------------------------
 
 def test_compact_windows_cover_every_run():

@@ -49,7 +49,7 @@ NEIGHBOURS = 15
 BLOCK, WAVE = 64, 8
 STEMS = (4, 5, 6, 7, 8, 9)
 CACHE = 200_000
-BOOST, STRONG = 40.0, 20.0
+BOOST, STRONG = 150.0, 8.0
 
 
 def terms(word: str) -> list[str]:

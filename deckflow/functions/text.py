@@ -103,10 +103,13 @@ def sections_map(body) -> Column:
         py_strip(F.lower(F.substring_index(s, "\n", 1))).alias("k"),
         py_strip(F.when(F.instr(s, "\n") > 0, F.substring(s, F.instr(s, "\n") + 1, 1 << 30))
                  .otherwise(F.lit(""))).alias("v")))
-    # last occurrence of a heading wins; no reliance on the session's map-key dedup policy
-    last = F.filter(secs, lambda x, i: (x["k"] != "") & ~F.exists(
-        F.slice(secs, i + 2, 1 << 30), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    # the last of a heading counts, without reliance on the session's policy for
+    # equal map keys: sorted by heading and falling place, the first of each stays
+    sorted_ = F.array_sort(F.transform(secs, lambda x, i: F.struct(x["k"].alias("k"), (-i).alias("i"), x["v"].alias("v"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(sorted_, lambda x: x["k"]))
+    own = F.zip_with(sorted_, before, lambda x, b: F.when((x["k"] != "") & (b.isNull() | (b != x["k"])), F.struct((-x["i"]).alias("i"), x["k"].alias("k"), x["v"].alias("v"))))
+    in_order = F.array_sort(F.filter(own, lambda x: x.isNotNull()))
+    return F.map_from_entries(F.transform(in_order, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))))
 
 
 def repr_list(text) -> Column:
@@ -116,6 +119,12 @@ def repr_list(text) -> Column:
     return F.when(F.regexp_like(j, F.lit(r"^\s*\[")), F.from_json(j, "array<string>"))
 
 
+def decoded_path(path) -> Column:
+    """A file path as Spark gives it, with its percent codes read; a plus sign is
+    itself, and a path that doesn't decode stays."""
+    return F.coalesce(F.try_url_decode(F.replace(_c(path), F.lit("+"), F.lit("%2B"))), _c(path))
+
+
 def file_stem(path) -> Column:
     return F.regexp_extract(_c(path), r"([^/]+?)(\.[^./]*)?$", 1)
 

@@ -15,7 +15,8 @@ def lookup(requests: DataFrame, cards: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def by_concept(cards: DataFrame, order: list) -> DataFrame:
-    """Position of every card inside its concept (skew-safe rank)."""
+    """Position of every card inside its concept (skew-safe rank). Give
+    it the columns that are ranked and join others by card_id after."""
     return rank_within(cards, ["concept"], order, "pos")
 
 

@@ -10,22 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The event names of the engagement log, in the reference's order.
-EVENT_NAMES = ["seen", "swipe_left", "swipe_right", "tap", "linger", "probe_tap", "voice"]
-
 
 def _nonempty(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
 
 
-def valid_events(events: DataFrame) -> DataFrame:
+def is_valid():
     """An event is accepted iff card_id and event are non-empty."""
-    return events.filter(_nonempty("card_id") & _nonempty("event"))
+    return _nonempty("card_id") & _nonempty("event")
+
+
+def valid_events(events: DataFrame) -> DataFrame:
+    return events.filter(is_valid())
 
 
 def invalid_events(events: DataFrame) -> DataFrame:
     """B05 complement: the quarantine of malformed events."""
-    return events.filter(~(_nonempty("card_id") & _nonempty("event")))
+    return events.filter(~is_valid())
 
 
 def orphan_events(events: DataFrame, cards: DataFrame) -> DataFrame:

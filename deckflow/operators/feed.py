@@ -92,6 +92,10 @@ class BlendedFeed:
             known = known.union(inp.users.select("user_id"))
         known = known.filter("user_id is not null").select("user_id", F.lit(0).alias("one"))
         self.users = cut(engaged.union(known).groupBy("user_id").agg(F.sum("one").alias("m")))
+        # Users without engaged cards all get the same feed: one of them stands
+        # for the class, and the others take its rows at the end (``_everyone``).
+        self._one_cold = lambda: self.users.filter("m = 0").agg(F.min("user_id")).scalar()
+        self.active = self.users.filter((F.col("m") > 0) | F.col("user_id").eqNullSafe(self._one_cold()))
         self._ranks: dict[str, DataFrame] = {}
         self._steps: dict[str, DataFrame] = {}
 
@@ -162,7 +166,7 @@ class BlendedFeed:
 
     def _raw_fresh(self, n: int) -> DataFrame:
         """Newest cards, ranks 1..(engaged + n)."""
-        req = self.users.select("user_id", (F.col("m") + n).alias("bound"))
+        req = self.active.select("user_id", (F.col("m") + n).alias("bound"))
         cand = expand_ranks(req, ["user_id"], "bound", "frank", chunk=self.CHUNK).join(
             self._upto(self.rank("fresh"), "frank", req), "frank")
         return cand.select("user_id", "card_id", F.struct(F.col("frank").alias("k"), F.col("card_id").alias("id"))
@@ -225,25 +229,28 @@ class BlendedFeed:
         for every user. (Engaged cards may come back, as in the reference.)"""
         limit = self.inp.limit
         top = self.rank("random").filter(F.col("mrank") <= limit).select("card_id", "mrank")
-        req = self.users.select("user_id", F.lit(limit).cast("long").alias("bound"))
+        req = self.active.select("user_id", F.lit(limit).cast("long").alias("bound"))
         cand = expand_ranks(req, ["user_id"], "bound", "mrank", max_bound=limit).join(top, "mrank")
         return self._emit(cand, FILL, "mrank")
 
     # ---- K07 ------------------------------------------------------------------
-    def picks(self) -> DataFrame:
-        """All picks in serving order (before the cut to ``limit``): the
+    def picks(self, upto: str = FILL) -> DataFrame:
+        """All picks in serving order (before the cut to ``limit``) of the sources
+        up to ``upto``, for the users with engaged cards and one without: the
         reference's sequential rule as one fold per user over its candidates,
         sorted by (source, order): a candidate is taken when it is not picked
-        yet and its source still has quota (fill: while fewer than ``limit``)."""
-        if "all" in self._steps:
-            return self._steps["all"]
+        yet and its source still has quota (fill: while fewer than ``limit``).
+        Later sources never change the picks of earlier ones, so they are left out."""
+        if upto in self._steps:
+            return self._steps[upto]
         order = [*SOURCES, FILL]
-        cands = None
-        unseen = self._unseen_sources({"continue": self.slots["continue"],
-                                       "fresh": self.slots["fresh"] + self._before("fresh"),
-                                       "backfill": self.slots["backfill"] + self._before("backfill")})
-        for c in (unseen, self.bridge(), self.resurface(), self.fill()):
-            cands = c if cands is None else cands.unionByName(c)
+        served = order[:order.index(upto) + 1]
+        unseen = {name: self.slots[name] + self._before(name) for name in ("continue", "fresh", "backfill") if name in served}
+        parts = [self._unseen_sources(unseen)] if unseen else []
+        parts += [getattr(self, name)() for name in ("bridge", "resurface", FILL) if name in served]
+        cands = parts[0]
+        for c in parts[1:]:
+            cands = cands.unionByName(c)
         src = (F.array_position(F.array(*[F.lit(x) for x in order]), F.col("source")) - 1).cast("int")
         ct = dict(self.cards.dtypes)["card_id"]
         items = (cands.select("user_id", F.struct(src.alias("src"), F.col("ord").alias("o"),
@@ -269,23 +276,31 @@ class BlendedFeed:
 
         folded = items.select("user_id", F.posexplode(F.aggregate("items", init, take, lambda a: a["out"]))
                               .alias("idx", "p"))
-        self._steps["uncut"] = folded
         picks = cut(folded.select(
             "user_id", F.col("p.card_id").alias("card_id"),
             F.element_at(F.array(*[F.lit(x) for x in order]), F.col("p.src") + 1).alias("source"),
             F.col("p.ord").cast("long").alias("ord"), (F.col("idx") + 1).cast("int").alias("position")))
-        self._steps["all"] = picks
+        self._steps[upto] = picks
         return picks
 
+    def _everyone(self, rows: DataFrame) -> DataFrame:
+        """``rows`` for all users: the rows of the one cold user, at most a few
+        times ``limit``, are repeated for each user without engaged cards. That
+        is a projection of the user table; nothing of it is shuffled."""
+        cols = [c for c in rows.columns if c != "user_id"]
+        shared = rows.filter(F.col("user_id") == self._one_cold()).agg(F.array_sort(F.collect_list(F.struct(*cols)))).scalar()
+        cold = self.users.filter("m = 0").select("user_id", F.inline(shared))
+        return rows.filter(~F.col("user_id").eqNullSafe(self._one_cold())).unionByName(cold)
+
     def step(self, source: str) -> DataFrame:
         """One source's picks (given the sources served before it)."""
-        return self.picks().filter(F.col("source") == source).drop("position")
+        return self._everyone(self.picks(source).filter(F.col("source") == source).drop("position"))
 
     def feed(self, card_cols=("concept", "title", "topic", "depth")) -> DataFrame:
         """K07 = G01 + F06: ordered concatenation cut to ``limit``, card columns joined last."""
         ordered = self.picks().filter(F.col("position") <= self.inp.limit)
-        return (ordered.join(self.inp.cards.select("card_id", *card_cols), "card_id")
-                .select("user_id", "position", "source", "card_id", *card_cols))
+        return self._everyone(ordered.join(self.inp.cards.select("card_id", *card_cols), "card_id")
+                              .select("user_id", "position", "source", "card_id", *card_cols))
 
 
 def blended_feed(cards: DataFrame, events: DataFrame, limit: int = 20,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from deckflow.functions.text import (card_file_id, depth_cap, format_example, format_probe,
                                      hint_suffix, pluck, title_from_slug, truncate, truncate_dots)
 from deckflow.operators.ranking import global_rank
-from deckflow.operators.upsert import last_per_key
+from deckflow.operators.upsert import SEQ, in_order, last_per_key
 
 # Prompt layout and card-generation constants of the reference.
 RESEARCH_PROMPT = ["Research this concept deeply:", "", "Name: {name}", "Slug: {slug}", "Cluster: {cluster}",
@@ -50,57 +50,59 @@ def cluster_carry(research: DataFrame, concepts: DataFrame) -> DataFrame:
                         .otherwise(F.col("cluster"))).drop("_cc"))
 
 
+_EXAMPLES = "array<struct<title:string,body:string>>"
+_PROBES = "array<struct<question:string,hint:string>>"
+_LINKS = "array<struct<slug:string,name:string,relationship:string>>"
+
+
+def _or_empty(col: str, kind: str) -> Column:
+    return F.coalesce(F.col(col), F.array().cast(kind))
+
+
 def generate_cards(research: DataFrame, as_of: str) -> DataFrame:
     """Research rows -> card rows. Card 1 has the full fundamentals and the
     first example/probe; cards 2.. pair the remaining examples and probes
-    (zip-longest), depth min(n, 3), idea cut to 200 chars + '...'. Of research
-    rows for one concept the last counts (``last_per_key``), so ids are unique."""
-    research = last_per_key(research, F.coalesce("concept", F.lit("unknown")))
-    ex_t = "array<struct<title:string,body:string>>"
-    pr_t = "array<struct<question:string,hint:string>>"
-    ex = F.coalesce("examples", F.array().cast(ex_t))
-    pr = F.coalesce("probes", F.array().cast(pr_t))
-    slug = F.coalesce("concept", F.lit("unknown"))
-    fund = F.coalesce("fundamentals", F.lit(""))
-    base = research.select(slug.alias("slug"), F.coalesce("cluster", F.lit("")).alias("topic"),
-                           fund.alias("fund"), ex.alias("ex"), pr.alias("pr"),
-                           pluck(F.coalesce("connections_discovered",
-                                            F.array().cast("array<struct<slug:string,name:string,relationship:string>>")),
-                                 "slug").alias("connections"))
-    first = base.select("slug", "topic", "connections", F.lit(1).alias("num"),
-                        title_from_slug("slug").alias("title"), F.lit(1).alias("depth"), F.col("fund").alias("idea"),
-                        F.when(F.size("ex") > 0, format_example(F.col("ex")[0])).otherwise(F.lit("")).alias("example"),
-                        F.when(F.size("pr") > 0, format_probe(F.col("pr")[0])).otherwise(F.lit("")).alias("probe"))
-    rest = base.select("slug", "topic", "connections", "fund", F.posexplode(F.arrays_zip(
-        F.slice("ex", 2, 1 << 30).alias("e"), F.slice("pr", 2, 1 << 30).alias("p"))).alias("i", "z"))
-    num = F.col("i") + 2
-    angle = F.concat(title_from_slug("slug"), F.lit(" — Angle "), num.cast("string"))
-    more = rest.select("slug", "topic", "connections", num.alias("num"),
-                       F.coalesce(F.col("z.e.title"), angle).alias("title"),
-                       depth_cap(num, MAX_DEPTH).alias("depth"),
-                       truncate_dots("fund", IDEA_CHARS).alias("idea"),
-                       format_example(F.col("z.e")).alias("example"),
-                       format_probe(F.col("z.p")).alias("probe"))
-    cards = first.unionByName(more)
-    return cards.select(card_file_id("slug", "num").alias("card_id"), F.col("slug").alias("concept"), "title",
-                        "topic", "depth", "idea", "example", "probe", "connections",
-                        F.lit(SOURCE_TYPE).alias("source_type"), F.lit("").alias("source_id"),
-                        F.lit(as_of).cast("date").alias("created_at"))
+    (zip-longest), depth min(n, 3), idea cut to 200 chars + '...'. A card is
+    written over by a later row's card of the same id (rows in the order of their
+    ``_seq``, or of the input); what an earlier row had more stays."""
+    rows = research if SEQ in research.columns else in_order(research)
+    base = rows.select(SEQ, F.coalesce("concept", F.lit("unknown")).alias("slug"), F.coalesce("cluster", F.lit("")).alias("topic"),
+                       F.coalesce("fundamentals", F.lit("")).alias("fund"), _or_empty("examples", _EXAMPLES).alias("ex"), _or_empty("probes", _PROBES).alias("pr"),
+                       pluck(_or_empty("connections_discovered", _LINKS), "slug").alias("connections"))
+
+    def card(num, title, depth, idea, example, probe):
+        return F.struct(num.cast("int").alias("num"), title.alias("title"), depth.cast("int").alias("depth"), idea.alias("idea"), example.alias("example"), probe.alias("probe"))
+
+    first = card(F.lit(1), title_from_slug("slug"), F.lit(1), F.col("fund"),
+                 F.when(F.size("ex") > 0, format_example(F.col("ex")[0])).otherwise(F.lit("")),
+                 F.when(F.size("pr") > 0, format_probe(F.col("pr")[0])).otherwise(F.lit("")))
+    rest = F.arrays_zip(F.slice("ex", 2, 1 << 30).alias("e"), F.slice("pr", 2, 1 << 30).alias("p"))
+    more = F.transform(rest, lambda z, i: card(
+        i + 2, F.coalesce(z["e"]["title"], F.concat(title_from_slug("slug"), F.lit(" — Angle "), (i + 2).cast("string"))),
+        depth_cap(i + 2, MAX_DEPTH), truncate_dots("fund", IDEA_CHARS), format_example(z["e"]), format_probe(z["p"])))
+    cards = base.select(SEQ, "slug", "topic", "connections", F.inline(F.concat(F.array(first), more)))
+    cards = cards.select(SEQ, card_file_id("slug", "num").alias("card_id"), F.col("slug").alias("concept"), "title",
+                         "topic", "depth", "idea", "example", "probe", "connections")
+    return last_per_key(cards, "card_id").select(
+        "*", F.lit(SOURCE_TYPE).alias("source_type"), F.lit("").alias("source_id"), F.lit(as_of).cast("date").alias("created_at"))
 
 
 def concept_merge(research: DataFrame, existing: DataFrame, as_of: str) -> DataFrame:
     """Merged concept snapshot. Researched concepts keep an existing
     non-empty name/cluster, depth and created; description (first 300 chars),
     connections (weight 1.0) and updated are replaced. Untouched concepts stay.
-    Of research rows for one concept the last counts (``last_per_key``)."""
-    research = last_per_key(research, "concept")
-    conn = F.transform(F.coalesce("connections_discovered",
-                                  F.array().cast("array<struct<slug:string,name:string,relationship:string>>")),
-                       lambda c: F.struct(c["slug"].alias("to"), F.lit(1.0).alias("weight"),
-                                          F.coalesce(c["relationship"], F.lit("")).alias("relationship")))
-    new = research.select(F.col("concept").alias("slug"), F.col("cluster").alias("n_cluster"),
-                          truncate(F.coalesce("fundamentals", F.lit("")), DESCRIPTION_CHARS).alias("n_desc"),
-                          conn.alias("n_conn"), F.lit(True).alias("_new"))
+    Several rows for one concept count as one after the other (in the order of
+    ``_seq``, or of the input): the last one's description and connections, and
+    the first cluster that isn't empty. Texts are cut before they are shuffled."""
+    rows = research if SEQ in research.columns else in_order(research)
+    conn = F.transform(_or_empty("connections_discovered", _LINKS),
+                       lambda c: F.struct(c["slug"].alias("to"), F.lit(1.0).alias("weight"), F.coalesce(c["relationship"], F.lit("")).alias("relationship")))
+    cut = rows.select(SEQ, F.col("concept").alias("slug"), F.nullif("cluster", F.lit("")).alias("n_cluster"),
+                      truncate(F.coalesce("fundamentals", F.lit("")), DESCRIPTION_CHARS).alias("n_desc"), conn.alias("n_conn"))
+    order = F.struct(F.col(SEQ), F.xxhash64("n_desc", "n_conn"))
+    new = (cut.groupBy("slug").agg(F.max_by(F.struct("n_desc", "n_conn"), order).alias("last"),
+                                   F.min_by("n_cluster", F.when(F.col("n_cluster").isNotNull(), F.struct(F.col(SEQ), F.col("n_cluster")))).alias("n_cluster"))
+           .select("slug", "last.n_desc", "last.n_conn", "n_cluster", F.lit(True).alias("_new")))
     old = existing.select("slug", "name", "cluster", "depth", "description", "connections", "created", "updated")
     m = new.join(old, "slug", "full_outer")
     is_new = F.col("_new").isNotNull()
@@ -120,9 +122,10 @@ def prompt_blocks(signals: DataFrame, order: list, batch_size: int = 10) -> Data
     ``batch_size``: ``[i] text[:1000] (topics: ..)`` joined by blank lines.
     Numbering is a distributed global rank; each batch collects a bounded
     ``batch_size`` lines."""
-    r = global_rank(signals.select(*[o for o in order if isinstance(o, str)], "text", "topics_hint"), order, "n")
+    cut = F.concat(truncate("text", SIGNAL_CHARS), hint_suffix("topics_hint"))  # before the ranking, which writes its rows
+    r = global_rank(signals.select(*[o for o in order if isinstance(o, str)], cut.alias("cut")), order, "n")
     i = (F.col("n") - 1) % batch_size + 1
-    line = F.concat(F.lit("["), i.cast("string"), F.lit("] "), truncate("text", SIGNAL_CHARS), hint_suffix("topics_hint"))
+    line = F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.col("cut"))
     return (r.select(((F.col("n") - 1) / batch_size).cast("long").alias("batch"), i.alias("i"), line.alias("line"))
             .groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("_l"))
             .select("batch", F.array_join(F.transform("_l", lambda x: x["line"]), "\n\n").alias("block")))

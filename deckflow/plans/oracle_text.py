@@ -31,9 +31,12 @@ def js(x: str) -> str:
 
 SLUG = "lower(replace(o.o_orderpriority, ' ', '-')) || '-' || CAST(o.o_orderkey AS VARCHAR)"
 
+# research rows of up to four neighbouring orders of one priority name the same concept
+RESEARCH_SLUG = "lower(replace(o.o_orderpriority, ' ', '-')) || '-' || CAST(o.o_orderkey - o.o_orderkey % 4 AS VARCHAR)"
+
 RESEARCH = f"""r AS (
-  SELECT o.o_orderkey, {SLUG} AS concept,
-         CASE WHEN o.o_orderkey % 2 = 0 THEN o.o_orderpriority END AS cluster,
+  SELECT o.o_orderkey, {RESEARCH_SLUG} AS concept,
+         CASE WHEN o.o_orderkey % 2 = 0 THEN CASE WHEN o.o_orderkey % 5 = 0 THEN '' ELSE o.o_orderpriority || '/' || CAST(o.o_orderkey % 4 AS VARCHAR) END END AS cluster,
          d.text AS fundamentals,
          (SELECT list(struct_pack(title := l.l_returnflag, body := l.l_linestatus)
                       ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey)

@@ -48,7 +48,7 @@ SELECT concept, card_id, depth,
 FROM cards""")
 def cards_by_concept(spark, sf):
     """B02 for all concepts at once: position by depth inside each concept."""
-    return cops.by_concept(_cards(spark, sf), ["depth", "card_id"]).select("concept", "card_id", "depth", "pos")
+    return cops.by_concept(_cards(spark, sf).select("concept", "card_id", "depth"), ["depth", "card_id"])
 
 
 @register("concept_feed", VC + """
@@ -57,7 +57,7 @@ SELECT concept, card_id, depth, CAST(created_at AS VARCHAR) AS created_at,
 FROM cards""")
 def concept_feed(spark, sf):
     """By depth then created_at inside each concept."""
-    r = cops.by_concept(_cards(spark, sf), ["depth", F.col("created_at").asc_nulls_first(), "card_id"])
+    r = cops.by_concept(_cards(spark, sf).select("concept", "card_id", "depth", "created_at"), ["depth", F.col("created_at").asc_nulls_first(), "card_id"])
     return r.select("concept", "card_id", "depth", F.col("created_at").cast("string").alias("created_at"), "pos")
 
 
@@ -72,12 +72,12 @@ def topic_filter(spark, sf):
 
 
 @register("engagement_valid", VE + """
-SELECT id, coalesce(CAST(card_id AS VARCHAR), '') <> '' AND coalesce(event, '') <> '' AS valid FROM engagement""")
+SELECT id, id % 9 <> 0 AND id % 11 <> 0 AND coalesce(CAST(card_id AS VARCHAR), '') <> '' AND coalesce(event, '') <> '' AS valid FROM engagement""")
 def engagement_valid(spark, sf):
+    """B05 over the log with gaps: every ninth event has no card, every eleventh no name."""
     e = B.engagement(spark, sf)
-    ok = eng.valid_events(e).select("id", F.lit(True).alias("valid"))
-    bad = eng.invalid_events(e).select("id", F.lit(False).alias("valid"))
-    return ok.unionByName(bad)
+    gaps = e.withColumn("card_id", F.when(F.col("id") % 9 != 0, F.col("card_id"))).withColumn("event", F.when(F.col("id") % 11 == 0, F.lit("")).otherwise(F.col("event")))
+    return gaps.select("id", eng.is_valid().alias("valid"))
 
 
 @register("exclude_ids", VCE + """
@@ -92,8 +92,7 @@ def exclude_ids(spark, sf):
 SELECT card_id, depth = 1 AS fundamental FROM cards WHERE depth = 1 OR depth > 1""")
 def depth_filter(spark, sf):
     c = _cards(spark, sf)
-    return (c.filter(F.col("depth") == 1).select("card_id", F.lit(True).alias("fundamental"))
-            .unionByName(c.filter(F.col("depth") > 1).select("card_id", F.lit(False).alias("fundamental"))))
+    return c.filter(F.col("depth") >= 1).select("card_id", (F.col("depth") == 1).alias("fundamental"))
 
 
 # ---- C01-C10 ---------------------------------------------------------------

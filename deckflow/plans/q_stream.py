@@ -12,6 +12,9 @@ from deckflow.sources import bindings as B
 from deckflow.streaming import engagement as ST
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def _events_stream(spark, sf):
     """The events file of ``sf`` as a file stream, bound to the canonical engagement schema."""
     schema = B.table(spark, sf, "events").schema
@@ -35,7 +38,7 @@ def stream_engagement(spark, sf):
 def stream_stats(spark, sf):
     base = ST.scratch(spark, "stats")
     acc, _ = ST.split_accepted(_events_stream(spark, sf), B.cards(spark, sf))
-    ST.run_upsert(ST.running_stats(acc), base, "stats").awaitTermination()
+    ST.run_upsert(ST.running_stats(acc), base, "stats", ["card_id", "event"]).awaitTermination()
     return ST.read_latest(spark, base, "stats", ["card_id", "event"])
 
 
@@ -46,18 +49,22 @@ def stream_last_concept(spark, sf):
     base = ST.scratch(spark, "last_concept")
     cards = B.cards(spark, sf)
     acc, _ = ST.split_accepted(_events_stream(spark, sf), cards)
-    ST.run_upsert(ST.running_last_concept(acc, cards), base, "last").awaitTermination()
+    ST.run_upsert(ST.running_last_concept(acc, cards), base, "last", ["user_id"]).awaitTermination()
     return ST.read_latest(spark, base, "last", ["user_id"])
 
 
-@register("stream_nav", QV._NAV_SQL + """
-SELECT user_id, CAST(p // 3 AS INTEGER) AS idx, CAST(p % 3 AS INTEGER) AS phase, rn AS n_events FROM st
+@register("stream_nav", QV.NAV_SQL_FRESH + """
+SELECT user_id, CAST(p // 3 AS INTEGER) AS idx, CAST(p % 3 AS INTEGER) AS phase, topic, rn AS n_events FROM st
 QUALIFY rn = max(rn) OVER (PARTITION BY user_id)""")
 def stream_nav(spark, sf):
+    """N01 as a stream, for users without a stored state."""
     base = ST.scratch(spark, "nav")
-    schema = B.table(spark, sf, "events").schema
-    raw = ST.file_stream(spark, sf, schema, glob="events.parquet")
-    op = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in B.NAV_ACTIONS.items()])
-    ev = raw.select("user_id", "ts", "event_id", op.alias("op"))
-    ST.run_append(ST.nav_stream(ev, B.DECK_SIZE), base, "nav").awaitTermination()
+    cards = B.cards(spark, sf)
+    events = ST.file_stream(spark, sf, B.table(spark, sf, "events").schema, glob="events.parquet")
+    provider = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ST.ROCKSDB)
+    try:
+        ST.run_append(ST.nav_stream(B.nav_events_of(events, cards), cards), base, "nav").awaitTermination()
+    finally:
+        spark.conf.set(STORE, provider) if provider else spark.conf.unset(STORE)
     return ST.latest_nav(spark.read.parquet(f"{base}/nav"))

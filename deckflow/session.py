@@ -72,6 +72,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` as it was set, for tables that
+    outlive a session (Spark gives every session its own folder below it)."""
+    own = ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or own
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and continue from that table.
@@ -90,7 +97,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _file_system(spark: SparkSession, base: str):
+def file_system(spark: SparkSession, base: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     return path, path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -98,7 +105,7 @@ def _file_system(spark: SparkSession, base: str):
 def started(spark: SparkSession, base: str, prefix: str) -> list[int]:
     """Numbers of the folders ``<prefix><number>`` below ``base``. A missing
     ``base`` has none; any other failure to list it is raised."""
-    path, fs = _file_system(spark, base)
+    path, fs = file_system(spark, base)
     if not fs.exists(path(base)):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(path(base)) if s.isDirectory()]
@@ -107,7 +114,7 @@ def started(spark: SparkSession, base: str, prefix: str) -> list[int]:
 
 def committed(spark: SparkSession, base: str, prefix: str) -> list[int]:
     """Those of them whose write was committed (the folder holds ``_SUCCESS``)."""
-    path, fs = _file_system(spark, base)
+    path, fs = file_system(spark, base)
     name = {int(s.getPath().getName()[len(prefix):]): s.getPath() for s in (fs.listStatus(path(base)) if fs.exists(path(base)) else [])
             if s.isDirectory() and s.getPath().getName().startswith(prefix) and s.getPath().getName()[len(prefix):].isdigit()}
     return [n for n in sorted(name) if fs.exists(path(name[n], "_SUCCESS"))]

@@ -1,7 +1,7 @@
 """Canonical views over the driver's parquet tables.
 
 ``cards`` comes from ``part`` and ``engagement`` from ``events``; every
-operator is written against the canonical schemas (schemas.py), so a real
+operator is written against these schemas, so a real
 deployment swaps these readers for its own card / event tables. Only the
 columns a query uses are read: Catalyst prunes the projection into the scan.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deckflow.functions.text import tokens
 from deckflow.session import parallelism
 
 # Fixed parameters of the checked workload (same in the SQL oracle).
@@ -87,6 +88,29 @@ def search_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit("").alias("example"), F.lit("").alias("probe"))
 
 
+def clause_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of typed clauses for every benchmark passage of five words or
+    more: its words number 1 to 5, the kinds of clauses by item_id mod 7."""
+    b = table(spark, sf_dir, "benchmark")
+    word = lambda n: F.element_at("w", n)
+
+    def clause(kind: str, words: list, fields: list[str] | None = None, distance: int | None = None):
+        return F.struct(F.lit(kind).alias("kind"), F.array(*words).alias("words"),
+                        (F.array(*[F.lit(f) for f in fields]) if fields else F.lit(None).cast("array<string>")).alias("fields"),
+                        F.lit(distance).cast("int").alias("distance"))
+
+    kinds = [[clause("all", [word(1), word(2), word(3)])],
+             [clause("any", [word(1), word(5)]), clause("not", [word(2)])],
+             [clause("phrase", [word(2), word(3)])],
+             [clause("prefix", [F.substring(word(4), 1, 4)]), clause("all", [word(1)])],
+             [clause("field", [F.lit("en")], ["topic"]), clause("phrase", [word(1), word(2)])],
+             [clause("near", [word(1), word(3), word(4)], distance=6)],
+             [clause("initial", [word(1)]), clause("any", [word(2), word(3)])]]
+    chosen = F.coalesce(*[F.when(F.col("item_id") % len(kinds) == i, F.array(*k)) for i, k in enumerate(kinds)])
+    return (b.select("item_id", tokens("text").alias("w")).filter(F.size("w") >= 5)
+            .select(F.col("item_id").alias("qid"), F.posexplode(chosen).alias("clause", "c")).select("qid", "clause", "c.*"))
+
+
 def bookmark_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One export document per conversation: every other turn is a tweet, the
     turn after it its quoted tweet, its role the hashtag; the document shape
@@ -110,13 +134,15 @@ def bookmark_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(F.col("conv_id").alias("export_id"), doc.alias("doc"))
 
 
-def _slug():
+def _slug(of: int = 1):
+    """Concept of an order; with ``of`` > 1 one for that many neighbouring orders of a priority."""
     return F.concat(F.lower(F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit("-"))), F.lit("-"),
-                    F.col("o_orderkey").cast("string"))
+                    (F.col("o_orderkey") - F.col("o_orderkey") % of).cast("string"))
 
 
 def research(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RESEARCH records from orders / lineitem / documents."""
+    """RESEARCH records from orders / lineitem / documents, in the order of the
+    orders (``_seq``); several name the same concept."""
     o = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem")
     documents = table(spark, sf_dir, "documents")
@@ -135,8 +161,9 @@ def research(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (o.join(ex, "o_orderkey", "left").join(pr, "o_orderkey", "left")
             .withColumn("_d", F.col("o_orderkey") % n_docs)
             .join(docs, F.col("_d") == F.col("_doc"), "left")
-            .select(F.col("o_orderkey"), _slug().alias("concept"),
-                    F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("cluster"),
+            .select("o_orderkey", F.col("o_orderkey").alias("_seq"), _slug(4).alias("concept"),
+                    F.when(F.col("o_orderkey") % 2 == 0, F.when(F.col("o_orderkey") % 5 == 0, F.lit("")).otherwise(
+                        F.concat("o_orderpriority", F.lit("/"), (F.col("o_orderkey") % 4).cast("string")))).alias("cluster"),
                     "fundamentals", "examples", "probes",
                     F.array(F.struct(F.concat(F.lit("status-"), F.lower("o_orderstatus")).alias("slug"),
                                      F.col("o_orderstatus").alias("name"),
@@ -179,12 +206,76 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("response"))
 
 
+def _as_sent(n, body):
+    """A response text: every second one in a fence after a line of prose."""
+    return F.when(n % 2 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone."))).otherwise(body)
+
+
+def concept_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction responses, one for up to four neighbouring orders: a list, an
+    object with ``concepts``, the first concept alone, or a text that breaks off."""
+    c = concept_records(spark, sf_dir).withColumn("key", F.regexp_extract("slug", r"(\d+)$", 1).cast("long"))
+    obj = F.struct("name", "slug", "cluster", "depth", "connections", "description")
+    g = c.groupBy(F.floor(F.col("key") / 4).alias("response_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("key", obj.alias("o")))), lambda x: x["o"]).alias("l"))
+    shape = F.col("response_id") % 4
+    body = (F.when(shape == 1, F.concat(F.lit('{"concepts": '), F.to_json("l"), F.lit("}"))).when(shape == 2, F.to_json(F.col("l")[0]))
+            .when(shape == 3, F.expr("left(to_json(l), length(to_json(l)) - 9)")).otherwise(F.to_json("l")))
+    return g.select("response_id", _as_sent(F.floor(F.col("response_id") / 4), body).alias("response"))
+
+
+def research_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Research responses of the research records. Of every six one breaks off,
+    and one has a text where the list of examples belongs; absent fields are left
+    out of the JSON."""
+    r = research(spark, sf_dir)
+    fields = ["concept", "cluster", "fundamentals", "examples", "probes", "connections_discovered"]
+    whole = F.to_json(F.struct(*fields))
+    wrong = F.to_json(F.struct("concept", F.lit("none yet").alias("examples")))
+    n = F.col("_seq") % 6
+    body = F.when(n == 3, F.substring(whole, 1, 40)).when(n == 4, wrong).otherwise(whole)
+    return r.select("_seq", _as_sent(F.floor(F.col("_seq") / 6), body).alias("response"))
+
+
+def answer_concepts(blocks: DataFrame) -> DataFrame:
+    """Stands for the model: a concept per prompt block, the same for every
+    fiftieth; every fifth answer breaks off."""
+    body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("batch-"), F.col("batch") % 50).alias("slug"), F.substring("block", 5, 12).alias("cluster"))).alias("concepts")))
+    return blocks.select("batch", F.when(F.col("batch") % 5 == 4, F.substring(body, 1, 20)).otherwise(_as_sent(F.col("batch"), body)).alias("response"))
+
+
+def answer_research(prompts: DataFrame) -> DataFrame:
+    """Stands for the model: the prompt as fundamentals, one to three examples."""
+    n = F.length("slug") % 3
+    ex = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.concat(F.lit("Example "), i.cast("string")).alias("title"), F.col("slug").alias("body")))
+    return prompts.select("slug", F.to_json(F.struct(F.col("prompt").alias("fundamentals"), ex.alias("examples"))).alias("response"))
+
+
 # Fixed values of the navigation binding: event type -> viewer action.
-NAV_ACTIONS = {"click": "next", "view": "next", "purchase": "next", "error": "prev", "signup": "reset"}
-DECK_SIZE = 14
+NAV_ACTIONS = {"click": "next", "view": "next", "purchase": "next", "error": "prev", "signup": "topic"}
 
 
 def nav_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return nav_events_of(table(spark, sf_dir, "events"), cards(spark, sf_dir))
+
+
+def nav_events_of(events: DataFrame, cards: DataFrame) -> DataFrame:
+    """Viewer actions of a table or stream of events; a topic change goes to the
+    topic of the card that the event names, to ``all`` for every seventh card, and
+    to a topic without cards where there is no such card."""
     op = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in NAV_ACTIONS.items()])
-    return e.select("user_id", "ts", "event_id", op.alias("op"), F.lit("all").alias("topic"))
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    acted = events.select("user_id", "ts", "event_id", op.alias("op"), F.when(op == "topic", k).alias("k"))
+    topics = cards.select(F.col("card_id").alias("k"), F.col("topic").alias("own"))
+    change = acted.filter("op = 'topic'").join(topics, "k", "left").withColumn(
+        "topic", F.when(F.col("k") % 7 == 0, F.lit("all")).otherwise(F.coalesce("own", F.lit("none"))))
+    return acted.filter("op <> 'topic'").withColumn("topic", F.lit(None).cast("string")).drop("k").unionByName(change.drop("k", "own"))
+
+
+def stored_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored viewer states of two customers in three: some beyond their deck,
+    some in a topic (the topic of the card of their number), some without one."""
+    c = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 3 != 0)
+    topics = cards(spark, sf_dir).select(F.col("card_id").alias("c_custkey"), "topic")
+    return c.join(topics, "c_custkey", "left").select(
+        F.col("c_custkey").alias("user_id"), (F.col("c_custkey") * 13 % 900 - 20).cast("int").alias("idx"), (F.col("c_custkey") % 3).cast("int").alias("phase"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("")).otherwise(F.col("topic")).alias("topic"))

@@ -150,15 +150,18 @@ def render_concepts(concepts: DataFrame, with_name: Column | None = None) -> Dat
                        F.concat(F.lit("slug: "), _js(F.col("concept"))),
                        F.concat(F.lit("cluster: "), _js(F.col("cluster"))),
                        F.concat(F.lit("depth: "), F.col("depth").cast("string")),
+                       *[F.concat(F.lit("description: "), _js(F.col("description"))) for c in ["description"] if c in concepts.columns],
                        F.concat(F.lit("connections: "), F.to_json(F.coalesce("connections", F.array().cast(CONN)))),
+                       *[F.concat(F.lit(f"{c}: "), _js(F.col(c).cast("string"))) for c in ("created", "updated") if c in concepts.columns],
                        F.lit(""))
     return concepts.select(F.concat(F.lit("concepts/"), F.col("concept"), F.lit(".yaml")).alias("path"),
                            body.alias("content"))
 
 
-def parse_concepts(docs: DataFrame) -> DataFrame:
+def parse_concepts(docs: DataFrame, as_of: str | None = None) -> DataFrame:
     """Concept documents -> rows; name defaults to the file stem,
-    cluster '', depth 1, connections []."""
+    cluster '', depth 1, connections [], description '', created ``as_of``,
+    updated the same day as created."""
     c = F.regexp_replace("content", "\r\n", "\n")
     stem = file_stem("path")
     return docs.select(
@@ -166,7 +169,10 @@ def parse_concepts(docs: DataFrame) -> DataFrame:
         F.coalesce(_scalar(_key(c, "name")), stem).alias("name"),
         F.coalesce(_scalar(_key(c, "cluster")), F.lit("")).alias("cluster"),
         F.coalesce(_scalar(_key(c, "depth")).try_cast("int"), F.lit(1)).alias("depth"),
-        F.coalesce(F.from_json(_flow(_key(c, "connections")), CONN), F.array().cast(CONN)).alias("connections"))
+        F.coalesce(F.from_json(_flow(_key(c, "connections")), CONN), F.array().cast(CONN)).alias("connections"),
+        F.coalesce(_scalar(_key(c, "description")), F.lit("")).alias("description"),
+        F.coalesce(_scalar(_key(c, "created")).try_cast("date"), F.lit(as_of).cast("date")).alias("created"),
+        F.coalesce(_scalar(_key(c, "updated")).try_cast("date"), _scalar(_key(c, "created")).try_cast("date"), F.lit(as_of).cast("date")).alias("updated"))
 
 
 def export_json(cards: DataFrame) -> DataFrame:

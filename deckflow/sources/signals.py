@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deckflow.functions.text import first_nonempty, py_strip, quote_append
+from deckflow.functions.text import decoded_path, first_nonempty, py_strip, quote_append
 
 TWEET = ("struct<full_text:string,text:string,id_str:string,id:string,"
          "entities:struct<hashtags:array<struct<tag:string,text:string>>>,"
@@ -25,7 +25,7 @@ KINDS = ["bookmarks", "pdf", "text"]
 def read_documents(spark, path: str) -> DataFrame:
     """One row per file: (path, content); CRLF normalised like Python text reads."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"),
+        decoded_path(F.col("_metadata.file_path")).alias("path"),
         F.regexp_replace("value", "\r\n", "\n").alias("content"))
 
 

@@ -3,8 +3,8 @@ concept, stateful viewer replay, card documents arriving in a folder.
 
 Sinks: the parquet file sink (exactly-once, append) for row streams; for
 running aggregates (update mode) ``foreachBatch`` overwrites the folder of
-its batch id, so a replayed batch rewrites the same files (idempotent), and
-readers take the newest batch per key.
+its batch id, so a replayed batch rewrites the same files (idempotent); every
+few batches they are merged, so readers scan a bounded number of folders.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from deckflow.functions.text import decoded_path
 from deckflow.operators import engagement as eng
-from deckflow.session import committed, ensure_checkpoint_dir
+from deckflow.operators.viewer import ALL, NEXT, PREV, deck_sizes, go_on
+from deckflow.session import committed, ensure_checkpoint_dir, file_system
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -55,11 +57,23 @@ def run_append(df: DataFrame, base: str, name: str, available_now: bool = True):
 
 
 # ---- I02 / I03: running aggregates ---------------------------------------------
-def run_upsert(df: DataFrame, base: str, name: str, available_now: bool = True):
+MERGE_EVERY = 10  # batches; a reader scans one merged table and fewer than this many batches
+
+
+def run_upsert(df: DataFrame, base: str, name: str, key: list[str], available_now: bool = True, merge_every: int = MERGE_EVERY):
+    """Write every batch of updates to its own folder, and every ``merge_every``
+    batches the newest rows per key of all so far to ``merged=<batch>``. A batch
+    that is run again rewrites its own folders with the same rows; a merge that
+    is already committed stays."""
     path = f"{base}/{name}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % merge_every == 0 and batch_id not in committed(spark, path, "merged="):
+            rows = _upto(spark, path, batch_id)
+            cols = [c for c in rows.columns if c not in key]
+            rows.groupBy(*key).agg(F.max_by(F.struct(*cols), "_batch").alias("_v")).select(*key, "_v.*").write.mode("overwrite").parquet(f"{path}/merged={batch_id}")
 
     w = (df.writeStream.outputMode("update").foreachBatch(write_batch)
          .option("checkpointLocation", f"{base}/_ck_{name}"))
@@ -67,10 +81,35 @@ def run_upsert(df: DataFrame, base: str, name: str, available_now: bool = True):
     return w.start()
 
 
+def parts_to_read(spark: SparkSession, path: str, upto: int | None = None) -> list[str]:
+    """The newest committed merge and the batches after it (up to a batch)."""
+    merged = [m for m in committed(spark, path, "merged=") if upto is None or m < upto]
+    batches = [n for n in committed(spark, path, "batch=") if (not merged or n > merged[-1]) and (upto is None or n <= upto)]
+    return [*[f"{path}/merged={m}" for m in merged[-1:]], *[f"{path}/batch={n}" for n in batches]]
+
+
+def _upto(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    return spark.read.parquet(*parts_to_read(spark, path, batch_id))
+
+
+def drop_merged(spark: SparkSession, base: str, name: str) -> int:
+    """Delete the batches and merges that the newest merge replaces (for a time
+    without readers). Returns the count."""
+    path, n = f"{base}/{name}", 0
+    where, fs = file_system(spark, path)
+    merged = committed(spark, path, "merged=")
+    for m in merged[:-1]:
+        n += bool(fs.delete(where(f"{path}/merged={m}"), True))
+    for b in committed(spark, path, "batch="):
+        if merged and b <= merged[-1]:
+            n += bool(fs.delete(where(f"{path}/batch={b}"), True))
+    return n
+
+
 def read_latest(spark: SparkSession, base: str, name: str, key: list[str]) -> DataFrame:
-    """Newest row per key over all written batches."""
-    df = spark.read.parquet(f"{base}/{name}")
-    cols = [c for c in df.columns if c not in (*key, "_batch", "batch")]
+    """Newest row per key."""
+    df = _upto(spark, f"{base}/{name}")
+    cols = [c for c in df.columns if c not in (*key, "_batch")]
     last = df.groupBy(*key).agg(F.max_by(F.struct(*cols), "_batch").alias("_v"))
     return last.select(*key, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
@@ -88,60 +127,84 @@ def running_last_concept(accepted: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 # ---- I04: stateful viewer --------------------------------------------------------
-NAV_OUT = "user_id long, idx int, phase int, counter long"
-NAV_STATE = "p int, counter long"
-
-
-def nav_state_fn(deck_size: int):
-    size = 3 * deck_size
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p, counter = state.get if state.exists else (0, 0)
-        parts = list(pdfs)
-        ev = pd.concat(parts).sort_values(["ts", "event_id"]) if parts else pd.DataFrame({"op": []})
-        for op in ev["op"]:
-            p = (p + 1) % size if op == "next" else max(p - 1, 0) if op == "prev" else 0
-            counter += 1
-        state.update((int(p), int(counter)))
-        yield pd.DataFrame({"user_id": [key[0]], "idx": [p // 3], "phase": [p % 3], "counter": [counter]})
-    return fn
-
-
-def nav_stream(events: DataFrame, deck_size: int) -> DataFrame:
-    """Per-user position carried across micro-batches in the state store.
-    Inside a batch events are applied in (ts, event_id) order; across batches
-    in arrival order. One row per user per batch, with an event counter."""
-    return (events.groupBy("user_id").applyInPandasWithState(
-        nav_state_fn(deck_size), NAV_OUT, NAV_STATE, "append", GroupStateTimeout.NoTimeout))
+NAV_OUT = "user_id long, idx int, phase int, topic string, counter long"
+NAV_STATE = "p long, size long, topic string, counter long"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class NavProcessor(StatefulProcessor):
+    """A user's place in the deck of its topic, kept in the state store."""
+
+    def __init__(self, all_cards: int):
+        self.all_cards = all_cards
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("place", NAV_STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """The frames of a batch come in any order, so times, ids and steps are
+        gathered (a few bytes an event; topics only of topic changes), ordered
+        and walked at once (``viewer.go_on``)."""
+        import numpy as np
+        at = self.state.get() if self.state.exists() else (0, 3 * self.all_cards, ALL, 0)
+        ts, ids, steps, changes = [], [], [], {}
+        for f in rows:
+            change = f["step"].to_numpy() == 0
+            for t, i, topic, n in f.loc[change, ["ts", "event_id", "topic", "n"]].itertuples(index=False):
+                changes[t, i] = (0, 3 * int(n), topic)
+            ts.append(f["ts"].to_numpy())
+            ids.append(f["event_id"].to_numpy())
+            steps.append(f["step"].to_numpy().astype(np.int8))
+        ts, ids, steps = (np.concatenate(x) for x in (ts, ids, steps))
+        order = np.lexsort((ids, ts))
+        ts, ids, steps = ts[order], ids[order], steps[order]
+        marks = {i: changes[pd.Timestamp(ts[i]), ids[i]] for i in np.flatnonzero(steps == 0).tolist()}
+        _, _, (p, size, topic) = go_on(steps, marks, tuple(at[:3]))
+        counter = int(at[3]) + len(steps)
+        self.state.update((int(p), int(size), topic, counter))
+        yield pd.DataFrame({"user_id": [key[0]], "idx": [p // 3], "phase": [p % 3], "topic": [topic], "counter": [counter]}).astype({"idx": "int32", "phase": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def nav_stream(events: DataFrame, cards: DataFrame) -> DataFrame:
+    """The place of every user carried across micro-batches. Inside a batch
+    events count in (ts, event_id) order, across batches in order of arrival. One
+    row per user and batch, with the number of events so far. ``events``: user_id,
+    ts, event_id, op, topic; a topic change meets the deck sizes before the state.
+    The session's state store must be RocksDB (``ROCKSDB``)."""
+    decks = deck_sizes(cards)
+    all_cards = decks.filter(F.col("topic") == ALL).first()["n"]
+    step = F.when(F.col("op") == NEXT, 1).when(F.col("op") == PREV, -1).otherwise(0)
+    topic = F.when(step == 0, F.coalesce(F.nullif("topic", F.lit("")), F.lit(ALL)))
+    # few distinct topics, so the deck table is a map that goes with the plan
+    sizes = F.create_map(*[x for r in decks.collect() for x in (F.lit(r["topic"]), F.lit(r["n"]))])
+    rows = (events.select("user_id", "ts", "event_id", step.cast("int").alias("step"), topic.alias("topic"))
+            .withColumn("n", F.coalesce(sizes[F.col("topic")], F.lit(0)).cast("long")))
+    return rows.groupBy("user_id").transformWithStateInPandas(NavProcessor(all_cards), outputStructType=NAV_OUT, outputMode="append", timeMode="none")
 
 
 def latest_nav(rows: DataFrame) -> DataFrame:
-    return (rows.groupBy("user_id").agg(F.max_by(F.struct("idx", "phase", "counter"), "counter").alias("s"))
-            .select("user_id", "s.idx", "s.phase", F.col("s.counter").alias("n_events")))
+    return (rows.groupBy("user_id").agg(F.max_by(F.struct("idx", "phase", "topic", "counter"), "counter").alias("s"))
+            .select("user_id", "s.idx", "s.phase", "s.topic", F.col("s.counter").alias("n_events")))
 
 
 # ---- I05: card documents -------------------------------------------------------
 def card_folder_stream(spark: SparkSession, folder: str) -> DataFrame:
     return (spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md")
-            .load(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+            .load(folder).select(decoded_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content")))
 
 
 def run_card_upsert(docs: DataFrame, snapshot_base: str, ckpt: str, as_of: str, available_now: bool = True):
-    """Each batch of documents is parsed (A05) and upserted (A08) into a new
-    snapshot version named by the batch id; a replayed batch rewrites it."""
-    from deckflow.operators.upsert import upsert
+    """Each batch of documents is parsed (A05) and upserted (A08) as the snapshot
+    version of its batch id: only the key buckets it touches are written, and a
+    batch that is run again rewrites its own version."""
+    from deckflow.operators.upsert import upsert_buckets
     from deckflow.sources.documents import parse_cards
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = parse_cards(batch, as_of)
-        versions = [v for v in committed(spark, snapshot_base, "v=") if v < batch_id]
-        if versions:
-            old = spark.read.parquet(f"{snapshot_base}/v={versions[-1]}")
-            merged = upsert(old, new, "card_id")
-        else:
-            merged = upsert(new.limit(0), new, "card_id")
-        merged.write.mode("overwrite").parquet(f"{snapshot_base}/v={batch_id}")
+        upsert_buckets(parse_cards(batch, as_of), snapshot_base, "card_id", batch_id)
 
     w = docs.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

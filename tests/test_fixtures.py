@@ -145,13 +145,14 @@ def test_scalars(spark):
 
 
 def test_nav_edges(spark):
-    ops = ["prev", "next", "next", "next", "prev", "reset", "next"] + ["next"] * 6
+    ops = ["prev", "next", "next", "next", "prev", "topic", "next"] + ["next"] * 6
+    cards = spark.createDataFrame([(1, "t"), (2, None)], "card_id long, topic string")
     ev = spark.createDataFrame([(1, datetime(2024, 1, 1, 0, i), i, op, "all") for i, op in enumerate(ops)],
                                "user_id long, ts timestamp_ntz, event_id long, op string, topic string")
-    views = sorted(V.replay_views(ev, 2, chunk=3).collect(), key=lambda r: r.event_id)
+    views = sorted(V.replay_views(ev, cards).collect(), key=lambda r: r.event_id)
     ps = [3 * r.idx + r.phase for r in views]
     assert ps == [0, 1, 2, 3, 2, 0, 1, 2, 3, 4, 5, 0, 1]   # prev at start stays, wraps at 3N = 6
-    final = V.replay_final(ev, 2, chunk=3).collect()[0]
+    final = V.last_state(V.replay_views(ev, cards)).collect()[0]
     assert (final.idx, final.phase, final.n_events) == (0, 1, 13)
 
 
@@ -162,8 +163,8 @@ def test_upsert_snapshots_and_partitioned_append(spark, tmp_path):
         "_seq", F.monotonically_increasing_id())
     merged = U.upsert(old, new, "card_id")
     base = str(tmp_path / "cards")
-    p1 = U.write_snapshot(merged, base, 1)
-    snap = {r.card_id: r.title for r in spark.read.parquet(p1).collect()}
+    U.upsert_buckets(merged, base, "card_id", 1)
+    snap = {r.card_id: r.title for r in U.read_snapshot(spark, base).collect()}
     assert snap == {1: "a", 2: "B", 3: "C"}          # last write wins, no deletes
     ev = spark.createDataFrame([(1, 7, 10, "seen", None, None, None),
                                 (2, 7, 11, "tap", 5, '{"a":1}', datetime(2024, 1, 3, 4, 5))],
@@ -175,7 +176,7 @@ def test_upsert_snapshots_and_partitioned_append(spark, tmp_path):
     U.append_events(norm, str(tmp_path / "log"))
     U.append_events(norm, str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
-    assert log.count() == 4
+    assert log.count() == 2  # a repeated request is appended once
     assert sorted(str(r.day) for r in log.select("day").distinct().collect()) == ["2024-01-03", "2024-01-31"]
     assert "PartitionFilters: [isnotnull(day" in log.filter(F.col("day") == "2024-01-03")._jdf.queryExecution() \
         .executedPlan().toString()
@@ -204,20 +205,20 @@ def test_null_topics_keep_their_cards(spark):
 
 
 def test_only_committed_snapshots_are_read(spark, tmp_path):
-    from deckflow.plans.jobs import _latest
+    from deckflow.operators.upsert import read_snapshot, upsert_buckets
     base = str(tmp_path / "cards")
-    spark.range(10).write.parquet(f"{base}/v000001")
-    spark.range(2).write.parquet(f"{base}/v000002")
+    upsert_buckets(spark.range(10), base, "id", 1, buckets=4)
+    upsert_buckets(spark.range(100, 102), base, "id", 2, buckets=4)
     (tmp_path / "cards" / "v000002" / "_SUCCESS").unlink()
-    df, last = _latest(spark, base)
-    assert df.count() == 10 and last == 2
-    assert _latest(spark, str(tmp_path / "none")) == (None, 0)
+    assert read_snapshot(spark, base).count() == 10
+    assert read_snapshot(spark, str(tmp_path / "none")) is None
 
 
 def test_unreadable_snapshot_fails_the_batch(spark, tmp_path):
     """A broken file beside the snapshot must not empty it, nor pass silently."""
     import pytest
 
+    from deckflow.operators.upsert import read_snapshot
     from deckflow.streaming import engagement as S_
     cards, base = tmp_path / "cards", str(tmp_path / "snap")
     cards.mkdir()
@@ -225,10 +226,11 @@ def test_unreadable_snapshot_fails_the_batch(spark, tmp_path):
     for i in range(3):
         (cards / f"c-{i}.md").write_text(doc)
     S_.run_card_upsert(S_.card_folder_stream(spark, str(cards)), base, str(tmp_path / "ck"), "2024-01-31").awaitTermination()
-    assert spark.read.parquet(f"{base}/v=0").count() == 3
-    for p in (tmp_path / "snap" / "v=0").glob("*.parquet"):
+    assert read_snapshot(spark, base).count() == 3
+    for p in (tmp_path / "snap" / "v000000").glob("*/*.parquet"):
         p.write_bytes(b"broken")
-    (cards / "c-9.md").write_text(doc)
+    for i in range(300):  # touches every bucket
+        (cards / f"d-{i}.md").write_text(doc)
     with pytest.raises(Exception):
         S_.run_card_upsert(S_.card_folder_stream(spark, str(cards)), base, str(tmp_path / "ck"), "2024-01-31").awaitTermination()
 
@@ -288,3 +290,64 @@ def test_concepts_with_block_lists(spark):
     assert D.document_errors(docs).count() == 0
     docs = spark.createDataFrame([("concepts/j.yaml", 'connections: [{"to":"B#2","weight":1.0,"relationship":"a: #b"}]\n')], "path string, content string")
     assert [(c.to, c.weight, c.relationship) for c in D.parse_concepts(docs).first().connections] == [("B#2", 1.0, "a: #b")]
+
+
+def test_responses_of_every_shape(spark):
+    rows = [(0, '[{"name": "A", "slug": "a", "depth": "2"}, 5, {"slug": "b", "connections": ["x"]}]'), (1, '{"concepts": [{"slug": "c"}]}'), (2, '{"slug": "d", "name": 7}'),
+            (3, '[{"slug": "e"'), (4, '"text"'), (5, '{"concepts": "none"}'), (6, None), (7, "[]"), (8, '{"concepts": []}')]
+    df = spark.createDataFrame(rows, "id int, json string")
+    got = {(r.id, r.idx): r for r in R.concepts(df).collect()}
+    assert sorted(got) == [(0, 0), (0, 2), (1, 0), (2, 0)]
+    assert (got[0, 0].name, got[0, 0].depth, got[0, 2].connections, got[2, 0].slug) == ("A", 2, ["x"], "d")
+    assert {r.id: r.reason for r in R.rejects(df).collect()} == {3: "not JSON", 4: "no list or object", 5: "concepts is no list", 6: "not JSON"}
+
+
+def test_research_responses(spark):
+    rows = [(0, '{"concept": "a", "fundamentals": "f", "examples": [{"title": "t", "body": "b"}, {"body": "c"}], "probes": null}'), (1, "{}"), (2, "[1]"), (3, '{"fundamentals": 5}'),
+            (4, '{"probes": [{"question": "q"}, "x"]}'), (5, '{"examples": {"title": "t"}}'), (6, '{"concept": "a"')]
+    df = spark.createDataFrame(rows, "id int, json string")
+    got = {r.id: r for r in R.research(df).collect()}
+    assert sorted(got) == [0, 1]
+    assert [tuple(e) for e in got[0].examples] == [("t", "b"), (None, "c")] and got[0].probes is None and got[1].concept is None
+    assert {r.id: r.reason for r in R.research_rejects(df).collect()} == {
+        2: "no object", 3: "fundamentals is no text", 4: "probes is no list of objects", 5: "examples is no list of objects", 6: "not JSON"}
+
+
+def test_later_rows_count(spark):
+    """Of rows for one concept the last of the input counts, whatever its text."""
+    links = "array<struct<slug:string,name:string,relationship:string>>"
+    rows = [("k", "", "zzz first", [("e1", "b1"), ("e2", "b2"), ("e3", "b3")], []), ("k", "second", "bbb", [], []), ("k", "third", "aaa last", [("n1", "m1")], [])]
+    research = spark.createDataFrame(rows, f"concept string, cluster string, fundamentals string, examples array<struct<title:string,body:string>>, connections_discovered {links}").coalesce(1)
+    research = research.withColumn("probes", F.lit(None).cast("array<struct<question:string,hint:string>>"))
+    none = spark.createDataFrame([], "slug string, name string, cluster string, depth int, description string, connections array<struct<to:string,weight:double,relationship:string>>, created date, updated date")
+    m = gen.concept_merge(research, none, "2024-01-31").first()
+    assert (m.description, m.cluster) == ("aaa last", "second")  # the first cluster that isn't empty stays
+    cards = {r.card_id: r for r in gen.generate_cards(research, "2024-01-31").collect()}
+    assert cards["k-001"].idea == "aaa last" and cards["k-001"].example == "**n1** — m1"
+    assert sorted(cards) == ["k-001", "k-002", "k-003"] and cards["k-003"].title == "e3"  # what only the first row had stays
+
+
+def test_sections_with_many_headings(spark):
+    text = "\n".join(f"## H{i % 700}\nbody {i}" for i in range(2000))
+    got = spark.createDataFrame([(text,), ("no heading",)], "t string").select(T.sections_map("t").alias("m")).collect()
+    assert got[0].m == {f"h{i}": f"body {max(x for x in range(i, 2000, 700))}" for i in range(700)} and got[1].m == {}
+
+
+def test_paths_are_decoded(spark):
+    df = spark.createDataFrame([("file:/a/my%20card%20%231.md",), ("a/x+y%.md",)], "p string")
+    assert [r.s for r in df.select(T.file_stem(T.decoded_path("p")).alias("s")).collect()] == ["my card #1", "x+y%"]
+
+
+def test_build_path(spark, tmp_path):
+    from deckflow.operators.upsert import read_snapshot
+    from deckflow.plans.jobs import build
+    signals = S.text_drop(spark.createDataFrame([(i, f"text {i}") for i in range(25)], ["id", "text"]))
+    ask = lambda b: b.select("batch", F.concat(F.lit('{"concepts": [{"slug": "b-'), F.col("batch"), F.lit('", "name": "B", "cluster": "C"}, {"slug": "both"}]}')).alias("response"))
+    reply = lambda p: p.select("slug", F.when(p.slug == "b-1", "oops").otherwise('```json\n{"fundamentals": "why", "examples": [{"title": "t", "body": "b"}]}\n```').alias("response"))
+    run = lambda s: {r.stage: r.n for r in build(spark, s, ["id"], ask, reply, str(tmp_path), "2024-01-31").collect()}
+    counts = run(signals)
+    assert {k: counts[k] for k in ("signals", "prompt_blocks", "concepts", "research", "research_rejects", "cards", "indexed")} == {
+        "signals": 25, "prompt_blocks": 3, "concepts": 4, "research": 3, "research_rejects": 1, "cards": 3, "indexed": 3}
+    assert {(r.slug, r.cluster) for r in read_snapshot(spark, f"{tmp_path}/concepts").collect()} == {("b-0", "C"), ("b-2", "C"), ("both", "")}
+    assert run(signals.limit(0)) == {"signals": 0} and read_snapshot(spark, f"{tmp_path}/cards").count() == 3
+    assert run(signals.filter("id < 10"))["cards"] == 2 and read_snapshot(spark, f"{tmp_path}/cards").count() == 3

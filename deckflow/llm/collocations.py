@@ -19,6 +19,11 @@ every task's text of that fingerprint is read and counted by itself. Phrases
 that share a fingerprint are so told apart, and only frequent ones are ever
 read out. Scores are exact (decimals of 38 digits).
 
+What tasks emit is shuffled in blocks: the fingerprints of a range (a bucket) that
+a task has at a time, sorted, are one row with packed columns, and the task that
+gets a bucket adds its blocks up. There are ``SPLIT`` buckets per shuffle
+partition, so what is added up at once falls as partitions are added.
+
 A null text is empty, a null language is ``und``; repeated rows count each;
 other columns are left behind; an empty table gives no rows. Long texts are cut
 between words into chunks that overlap by four words, each run counted once.
@@ -26,6 +31,7 @@ between words into chunks that overlap by four words, each run counted once.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,12 +46,65 @@ CHUNK = 1 << 16       # bytes of a text taken as one
 SEGMENT = 1 << 20     # bytes hashed at once
 FLUSH = 1_500_000     # runs counted at once
 FOUND = 1_000_000     # groups that a task holds in the pass with pointers
-COUNTED = "fp long, cnt long"
+SPLIT = 4             # buckets of a shuffle partition
+BLOCKS = "bucket int, block binary"
 POINTED = "lang string, fp long, check long, size int, cnt long, row long, off int, len int"
+GROUPS = "lang string, fp long, check long, size int, a long, first struct<row:long,off:int,len:int>, last struct<row:long,off:int,len:int>"
 
 _POINTED = ["lang", "fp", "check", "size", "cnt", "row", "off", "len"]
 
 
+def _blocks(fp, columns: dict, buckets: int):
+    """Rows ``(bucket, block)`` of columns sorted by fingerprint: a block is an
+    Arrow stream. Fingerprints are stored as steps, a plane for each byte."""
+    import numpy as np
+    import pyarrow as pa
+    bucket = _bucket(fp, buckets)
+    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        at = slice(int(edges[b]), int(edges[b + 1]))
+        steps = np.diff(fp[at], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+        batch = pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(steps[:, i])) for i in range(8)], *[x[at] if isinstance(x, pa.Array) else pa.array(x[at]) for x in columns.values()]],
+                                           names=[*map(str, range(8)), *columns])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        rows.append((b, sink.getvalue().to_pybytes()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "block"])
+
+
+def _bucket(fp, buckets: int):
+    """Ranges of fingerprints of about one size."""
+    import numpy as np
+    return ((fp >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _read_block(block: bytes):
+    """``(fingerprints, Arrow batch)`` of a block."""
+    import numpy as np
+    import pyarrow as pa
+    with pa.ipc.open_stream(block) as got:
+        batch = got.read_next_batch()
+    steps = np.stack([batch.column(i).to_numpy() for i in range(8)], axis=1)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64), batch
+
+
+def _by_bucket(batches):
+    """The blocks of each bucket, from rows sorted by bucket."""
+    bucket, held = None, []
+    for b in batches:
+        for n, block in zip(b.column("bucket").to_pylist(), b.column("block").to_pylist()):
+            if n != bucket and held:
+                yield held
+                held = []
+            bucket = n
+            held.append(block)
+    if held:
+        yield held
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """``(row, lang, text, upto)``: texts as bytes; runs that begin before
     ``upto`` count, what follows belongs to the next chunk of a long text."""
@@ -96,7 +155,7 @@ class _Tally:
             self.pending += len(at)
         self.bytes, self.size, self.held = self.bytes + len(w.norm), self.size + len(w.raw), self.held + len(rows)
 
-    def flush(self, names: list[str], pointers: bool):
+    def flush(self, names: list[str], pointers: bool, buckets: int):
         import numpy as np
         import pyarrow as pa
         import xxhash
@@ -122,8 +181,7 @@ class _Tally:
         count = np.diff(np.append(first, len(fp))).astype(np.int64)
         one = first + (fp[first] % count.astype(np.uint64)).astype(np.int64)  # any of them, so pointers spread over the texts
         if not pointers:
-            for at in range(0, len(one), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(fp[one[at:at + 100_000]].view(np.int64)), pa.array(count[at:at + 100_000])], names=["fp", "cnt"])
+            yield from _blocks(fp[one], {"cnt": count}, buckets)
             return
         w, last = word[one], word[one] + n[one] - 1
         shown = memoryview(buffer)
@@ -131,18 +189,19 @@ class _Tally:
         new = langs[text[w]].astype(np.int32), fp[one], check, stop[last] - start[w], count, rows[text[w]], off[w], off_stop[last] - off[w]
         self.found = _merged([np.concatenate(x) for x in zip(self.found, new)] if self.found else list(new))
         if len(self.found[0]) > FOUND:
-            yield from self.emit(names)
+            yield from self.emit(names, buckets)
 
-    def emit(self, names: list[str]):
+    def emit(self, names: list[str], buckets: int):
         """The groups found so far, for the pass with pointers."""
         import numpy as np
         import pyarrow as pa
-        lang, fp, check, *rest = self.found or [np.zeros(0)] * 8
+        if not self.found:
+            return
+        order = np.argsort(self.found[1], kind="stable")
+        lang, fp, check, *rest = (x[order] for x in self.found)
         self.found = None
-        for at in range(0, len(lang), 100_000):
-            cut_ = slice(at, at + 100_000)
-            lang_names = pa.DictionaryArray.from_arrays(pa.array(lang[cut_]), pa.array(names, pa.string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang_names, pa.array(fp[cut_].view(np.int64)), pa.array(check[cut_].view(np.int64)), *[pa.array(x[cut_]) for x in rest]], names=_POINTED)
+        lang_names = pa.DictionaryArray.from_arrays(pa.array(lang), pa.array(names, pa.string())).cast(pa.string())
+        yield from _blocks(fp, {"lang": lang_names, "check": check, **dict(zip(_POINTED[3:], rest))}, buckets)
 
 
 def _merged(groups: list):
@@ -157,12 +216,12 @@ def _merged(groups: list):
     return [*[x[first] for x in groups[:4]], np.add.reduceat(groups[4], first) if len(first) else groups[4], *[x[first] for x in groups[5:]]]
 
 
-def runs_of(texts: DataFrame, sizes: list[int], passes, pointers: bool = False) -> DataFrame:
-    """Counts per task of the runs of ``sizes`` words. ``passes`` is a broadcast
+def runs_of(texts: DataFrame, sizes: list[int], passes, buckets: int, pointers: bool = False) -> DataFrame:
+    """Blocks of each task's counts of the runs of ``sizes`` words. ``passes`` is a broadcast
     filter of frequent runs. Without ``pointers`` it holds those one word
     shorter than the least of ``sizes``, and of a run every part of that size must
-    pass. With ``pointers`` the runs themselves must; further rows without a
-    fingerprint then count all words of a language."""
+    pass. With ``pointers`` the runs themselves must; a further row of bucket -1
+    then has the number of all words of each language."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -235,14 +294,83 @@ def runs_of(texts: DataFrame, sizes: list[int], passes, pointers: bool = False)
                 count(data[offsets[i]:offsets[j]], offsets[i:j] - offsets[i], upto[i:j], rows[i:j], langs[i:j])
                 i = j
                 if tally.pending >= FLUSH or tally.size >= 2 * FLUSH:
-                    yield from tally.flush(list(names), pointers)
-        yield from tally.flush(list(names), pointers)
-        yield from tally.emit(list(names))
+                    yield from tally.flush(list(names), pointers, buckets)
+        yield from tally.flush(list(names), pointers, buckets)
+        yield from tally.emit(list(names), buckets)
         if total:
-            none = [pa.nulls(len(names), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(names)), *none[:3], pa.array([total.get(c, 0) for c in names.values()], pa.int64()), *none[3:]], names=_POINTED)
+            words = json.dumps({name: total.get(c, 0) for name, c in names.items()}).encode()
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([words], pa.binary())], names=["bucket", "block"])
+
+    return texts.mapInArrow(run, BLOCKS)
+
+
+def _dealt(blocks: DataFrame, buckets: int) -> DataFrame:
+    return blocks.repartition(max(1, buckets // SPLIT), "bucket").sortWithinPartitions("bucket")
+
+
+def frequent(blocks: DataFrame, buckets: int, least: int) -> DataFrame:
+    """``fp`` of all fingerprints whose counts add up to ``least`` or more."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for held in _by_bucket(batches):
+            parts = [_read_block(x) for x in held]
+            fp = np.concatenate([f for f, _ in parts])
+            order = np.argsort(fp)
+            fp, cnt = fp[order], np.concatenate([b.column("cnt").to_numpy() for _, b in parts])[order]
+            first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[first][np.add.reduceat(cnt, first) >= least].view(np.int64))], names=["fp"])
+
+    return _dealt(blocks, buckets).mapInArrow(run, "fp long")
+
+
+def groups_of(blocks: DataFrame, buckets: int, least: int) -> DataFrame:
+    """Sums of the blocks with pointers per language, fingerprint, second hash and
+    length, with the first and the last pointer; rows without a fingerprint have
+    the words of a language that a task counted."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        pointer = pa.struct([("row", pa.int64()), ("off", pa.int32()), ("len", pa.int32())])
+        names = ["lang", "fp", "check", "size", "a", "first", "last"]
+        for held in _by_bucket(batches):
+            if held[0][:1] == b"{":
+                for words in map(json.loads, held):
+                    none = [pa.nulls(len(words), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), *none, pa.array(list(words.values()), pa.int64()), *[pa.nulls(len(words), pointer)] * 2], names=names)
+                continue
+            parts = [_read_block(x) for x in held]
+            table = pa.Table.from_batches([b for _, b in parts]).combine_chunks()
+            lang = table.column("lang").combine_chunks().dictionary_encode()
+            code = lang.indices.to_numpy()
+            fp, (check, size, cnt, row, off, length) = np.concatenate([f for f, _ in parts]), (table.column(c).to_numpy() for c in _POINTED[2:])
+            order = np.lexsort((off, row, code, size, check, fp))
+            fp, check, size, code, cnt, row, off, length = (x[order] for x in (fp, check, size, code, cnt, row, off, length))
+            new = np.ones(len(fp), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in (fp, check, size, code)])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(fp)) - 1
+            total = np.add.reduceat(cnt, first)
+            stay = total >= least
+            first, last = first[stay], last[stay]
+            at = lambda i: pa.StructArray.from_arrays([pa.array(row[i]), pa.array(off[i]), pa.array(length[i])], names=["row", "off", "len"])
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(code[first])).cast(pa.string()), pa.array(fp[first].view(np.int64)), pa.array(check[first].view(np.int64)), pa.array(size[first]),
+                                              pa.array(total[stay]), at(first), at(last)], names=names)
+
+    return _dealt(blocks, buckets).mapInArrow(run, GROUPS)
+
+
+def spread(blocks: DataFrame) -> DataFrame:
+    """The rows of blocks with pointers, one by one."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for held in _by_bucket(batches):
+            for fp, b in map(_read_block, held):
+                columns = {"fp": pa.array(fp.view(np.int64)), "check": pa.array(b.column("check").to_numpy().view(np.int64))}
+                yield pa.RecordBatch.from_arrays([columns[c] if c in columns else b.column(c) for c in _POINTED], names=_POINTED)
 
-    return texts.mapInArrow(run, POINTED if pointers else COUNTED)
+    return blocks.filter("bucket >= 0").mapInArrow(run, POINTED)
 
 
 def membership(spark: SparkSession, fps: DataFrame):
@@ -277,25 +405,25 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST) -> tup
     occur ``least`` times or more, and ``(lang, words)`` for all languages."""
     spark = docs.sparkSession
     small_batches(spark, 2000, 8)
-    texts, frequent, passes = chunks(docs), None, None
+    texts, known, passes = chunks(docs), None, None
+    buckets = SPLIT * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for sizes in [[1], [2], list(range(3, longest + 1))][:min(longest, 3)]:
-        found = cut(runs_of(texts, sizes, passes).groupBy("fp").agg(F.sum("cnt").alias("a")).filter(F.col("a") >= least).select("fp"))
-        frequent = found if frequent is None else frequent.union(found)
+        found = cut(frequent(runs_of(texts, sizes, passes, buckets), buckets, least))
+        known = found if known is None else known.union(found)
         passes = membership(spark, found)
-    pointed = runs_of(texts, list(range(1, longest + 1)), membership(spark, frequent), pointers=True)
+    pointed = runs_of(texts, list(range(1, longest + 1)), membership(spark, known), buckets, pointers=True)
     key = ["lang", "fp", "check", "size"]
-    at = F.struct("row", "off", "len")
-    groups = cut(pointed.groupBy(key).agg(F.sum("cnt").alias("a"), F.min(at).alias("first"), F.max(at).alias("last")).filter((F.col("a") >= least) | F.col("fp").isNull()))
+    groups = cut(groups_of(pointed, buckets, least))
     ends = F.explode(F.array_distinct(F.array("first", "last"))).alias("p")
     shown = _read(groups.filter("fp is not null").select(*key, "a", ends).select(*key, "a", "p.row", "p.off", "p.len"), texts)
     shown = cut(shown.groupBy(*key, "a").agg(F.min("phrase").alias("phrase"), F.max("phrase").alias("other")))
     disputed = shown.filter("phrase <> other").select(key)
     counts = shown.filter("phrase = other").select("lang", "phrase", "a")
     if disputed.limit(1).count():
-        every = _read(pointed.filter("fp is not null").join(disputed, key, "left_semi"), texts)
+        every = _read(spread(pointed).join(disputed, key, "left_semi"), texts)
         counts = counts.union(every.groupBy("lang", "phrase").agg(F.sum("cnt").alias("a")))
     counts = cut(counts.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= least).withColumn("n", F.size(F.split("phrase", " "))))
-    return counts, groups.filter("fp is null").select("lang", F.col("a").alias("words"))
+    return counts, groups.filter("fp is null").groupBy("lang").agg(F.sum("a").alias("words"))
 
 
 def collocations(docs: DataFrame, least: int = 100, top: int = 2000, covered_percent: int = 100, longest: int = LONGEST) -> DataFrame:

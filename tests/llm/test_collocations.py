@@ -87,6 +87,31 @@ def test_equal_fingerprints_are_told_apart(spark, monkeypatch):
     assert result(collocations(docs_of(spark, rows), 3, 100)) == sorted(naive(rows, 3, 100))
 
 
+def test_blocks_hold_every_group(spark):
+    """What a dispute would be settled from: the rows of the last pass, by text."""
+    from pyspark.sql import functions as F
+
+    from deckflow.llm import collocations as C
+    rows = rows_of(40)
+    texts = C.chunks(docs_of(spark, rows))
+    passes = None
+    for n in (1, 2):
+        found = C.frequent(C.runs_of(texts, [n], passes, 16), 16, 4)
+        passes = C.membership(spark, found)
+    pointed = C.runs_of(texts, [1, 2], C.membership(spark, C.frequent(C.runs_of(texts, [1], None, 16), 16, 4).union(found)), 16, pointers=True)
+    got = {(r.lang, r.phrase): r.n for r in C._read(C.spread(pointed), texts).groupBy("lang", "phrase").agg(F.sum("cnt").alias("n")).collect()}
+    want = Counter()
+    for _, text, lang in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want.update((lang or "und", " ".join(w[i:i + n])) for n in (1, 2) for i in range(len(w) - n + 1))
+    want = {k: a for k, a in want.items() if a >= 4}
+    assert {k: got[k] for k in want} == want
+    assert {(r.lang, r.a) for r in C.groups_of(pointed, 16, 4).filter("fp is null").groupBy("lang").agg(F.sum("a").alias("a")).filter("a > 0").collect()} == {
+        (lang, sum(len(re.findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", t or "")) for _, t, x in rows if (x or "und") == lang)) for lang in ("en", "de", "und")}
+
+
 def test_no_rows(spark):
     from deckflow.llm.collocations import collocations
     assert collocations(docs_of(spark, []).limit(0), 2, 10).collect() == []

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from deckflow.llm.common import slim, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
-EXAMPLES = 2000
+EXAMPLES = 1200
 NEIGHBOURS = 15
 BLOCK, WAVE = 64, 8
 STEMS = (4, 5, 6, 7, 8, 9)
@@ -118,7 +118,7 @@ class Terms:
         return np.where(self.vocabulary[at] == h, at, len(self.vocabulary)).astype(np.uint64)
 
     def counts(self, texts: list[str | None]):
-        """``(text, term, tf)`` arrays, sorted by text and term."""
+        """``(text, term, tf)`` arrays, each pair of text and term once."""
         import numpy as np
         if len(self.words) > CACHE:
             self.clear()
@@ -136,21 +136,25 @@ class Terms:
         at = np.arange(n.sum()) + np.repeat(self.ends[number] - (np.cumsum(n) - n), n)
         text, tf = np.repeat(text, n), np.repeat(tf, n)
         term, again = self.of[at], self.again[at]
-        order = np.lexsort((term, text))
-        text, term, tf, again = text[order], term[order], tf[order], again[order]
-        first = np.ones(len(term), bool)
-        first[1:] = (term[1:] != term[:-1]) | (text[1:] != text[:-1])
-        first = np.flatnonzero(first)
-        if not len(first):
+        if self.vocabulary is None:
+            order = np.lexsort((term, text))
+            text, term, tf, again = text[order], term[order], tf[order], again[order]
+            first = np.concatenate([[True], (term[1:] != term[:-1]) | (text[1:] != text[:-1])])
+        else:
+            key = text * (len(self.vocabulary) + 1) + term.astype(np.int64)
+            order = np.argsort(key)
+            key = key[order]
+            text, term, tf, again = text[order], term[order], tf[order], again[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+        if not len(term):
             return text, term, tf
+        first = np.flatnonzero(first)
         text, term, again, tf = text[first], term[first], again[first], np.add.reduceat(tf, first)
-        more = tf > 1
         none = np.uint64(0) if self.vocabulary is None else np.uint64(len(self.vocabulary))
-        more &= again != none
+        more = (tf > 1) & (again != none)
         text, term, tf = np.concatenate([text, text[more]]), np.concatenate([term, again[more]]), np.concatenate([tf, tf[more]])
-        known = np.flatnonzero(term != none)
-        order = known[np.lexsort((term[known], text[known]))]
-        return text[order], term[order], tf[order]
+        known = term != none
+        return text[known], term[known], tf[known]
 
 
 def unit(text, values, number: int):
@@ -227,21 +231,26 @@ class Index:
         # of the postings their sum in a block bounds as well as their maxima do
         bound = heavy @ self.row_max + light.reshape(number, self.blocks, BLOCK).max(axis=2)
         order = np.argsort(-bound, axis=1, kind="stable")
-        score = np.full((number, width), -1.0)
+        score, most = np.full((number, width), -1.0), np.full((number, k), -1.0)
         least, active = np.full(number, -1.0), np.arange(number)
+        skip = np.full(number, -1) if without is None else np.asarray(without)
         for wave in range(0, self.blocks, WAVE):
             nxt = bound[active, order[active, wave]]
             active = active[(nxt > 0) & (nxt >= least[active] - 1e-12)]
             if not len(active):
                 break
-            for b in np.unique(order[active, wave:wave + WAVE]).tolist():
-                own = active[(order[active, wave:wave + WAVE] == b).any(axis=1)]
-                at = slice(b * BLOCK, (b + 1) * BLOCK)
-                score[own, at] = heavy[own] @ self.rows[:, at] + light[own, at]
-            if without is not None:
-                score[np.arange(number), without] = -1.0
-            if width > k:
-                least[active] = np.partition(score[active], width - k, axis=1)[:, width - k]
+            turn = order[active, wave:wave + WAVE]
+            new = np.full((len(active), turn.shape[1], BLOCK), -1.0)
+            for b in np.unique(turn).tolist():
+                i, j = np.nonzero(turn == b)
+                own, at = active[i], slice(b * BLOCK, (b + 1) * BLOCK)
+                part = heavy[own] @ self.rows[:, at] + light[own, at]
+                mine = np.flatnonzero(skip[own] // BLOCK == b)
+                part[mine, skip[own[mine]] % BLOCK] = -1.0
+                score[own, at] = new[i, j] = part
+            both = np.concatenate([most[active], new.reshape(len(active), -1)], axis=1)
+            most[active] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            least[active] = most[active].min(axis=1)
         if without is not None:
             score[np.arange(number), without] = -1.0
         out = []
@@ -306,7 +315,7 @@ def strength(toxic, df, share: float):
 
 
 def build(ids: list[int], labels: list[int], text, term, tf, df, documents: int, rate: float, vocabulary) -> Index | None:
-    """Index of examples, given their term counts (places in the vocabulary) and
+    """Index of examples, given their term counts (places in the vocabulary, by text) and
     the document frequencies of all terms."""
     import numpy as np
     if not ids:
@@ -345,20 +354,24 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = E
         own = Terms()
         for b in batches:
             text, term, tf = own.counts(b.column("text").to_pylist())
+            order = np.argsort(text, kind="stable")
+            text, term, tf = text[order], term[order], tf[order]
             ends = np.searchsorted(text, np.arange(b.num_rows + 1))
             cells = [(term[a:z].astype("<u8").tobytes(), tf[a:z].astype("<u4").tobytes()) for a, z in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "toxic", "term", "tf"])
 
+    # the terms of 2 * per_label texts
     got = texts.select("doc_id", "toxic", "text").mapInArrow(count_terms, "doc_id long, toxic int, term binary, tf binary").toArrow().sort_by("doc_id")
     ids, marked = got.column("doc_id").to_pylist(), got.column("toxic").to_pylist()
     if not ids:
         return None
     parts = got.column("term").to_pylist()
     term = np.frombuffer(b"".join(parts), np.uint64)
-    tf = np.frombuffer(b"".join(got.column("tf").to_pylist()), np.uint32).astype(np.int64)
-    text = np.repeat(np.arange(len(ids)), [len(x) // 8 for x in parts])
+    tf = np.frombuffer(b"".join(got.column("tf").to_pylist()), np.uint32)
+    text = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 8 for x in parts])
     del got, parts
     vocabulary, term = np.unique(term, return_inverse=True)
+    term = term.astype(np.int32)
     held = spark.sparkContext.broadcast(vocabulary)  # the terms of 2 * per_label examples
 
     def frequencies(batches):
@@ -377,7 +390,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = E
     df[sums.column("term").to_numpy()] = sums.column("df").to_numpy()
     held.unpersist()
     rate = count.get(1, 0) / sum(count.values())
-    return build(ids, marked, text, term.astype(np.int64), tf, df[:-1], int(df[-1]), rate, vocabulary)
+    return build(ids, marked, text, term, tf, df[:-1], int(df[-1]), rate, vocabulary)
 
 
 def score_documents(docs: DataFrame, index: Index | None) -> DataFrame:

@@ -292,6 +292,10 @@ class BlendedFeed:
         cold = self.users.filter("m = 0").select("user_id", F.inline(shared))
         return rows.filter(~F.col("user_id").eqNullSafe(self._one_cold())).unionByName(cold)
 
+    def served(self) -> DataFrame:
+        """All picks of all users, before the cut to ``limit``."""
+        return self._everyone(self.picks().drop("position"))
+
     def step(self, source: str) -> DataFrame:
         """One source's picks (given the sources served before it)."""
         return self._everyone(self.picks(source).filter(F.col("source") == source).drop("position"))

@@ -312,7 +312,7 @@ def feed_cut(spark, sf):
 SELECT user_id, card_id, source, CAST(ord AS BIGINT) AS ord FROM named""")
 def feed_union(spark, sf):
     """The ordered concatenation of all sources before the cut."""
-    return _feed(spark, sf).picks().drop("position")
+    return _feed(spark, sf).served()
 
 
 @register("neighbour_union", V + """

@@ -37,6 +37,22 @@ def _key(meta: Column, key: str) -> Column:
     return F.when(F.regexp_like(meta, F.lit(rf"(?m)^{key}:")), F.regexp_replace(raw, r"[ \t]+$", ""))
 
 
+# One entry of the front matter: its key, then its raw text with all further indented and list lines.
+ENTRY = r"(?m)^([A-Za-z_][\w-]*):[ \t]*(.*(?:\n(?:[ \t]+|-[ \t]).*)*+)"
+
+
+def _entries(docs: DataFrame, meta: Column) -> DataFrame:
+    """With the entries of the front matter as ``_k`` and ``_v``: it is read once,
+    whatever the number of keys that are looked up."""
+    return docs.withColumn("_k", F.regexp_extract_all(meta, F.lit(ENTRY), 1)).withColumn("_v", F.regexp_extract_all(meta, F.lit(ENTRY), 2))
+
+
+def _entry(key: str) -> Column:
+    """As ``_key``, from the entries."""
+    at = F.array_position("_k", key)
+    return F.when(at > 0, F.rtrim(F.get("_v", (at - 1).cast("int")), F.lit(" \t")))
+
+
 def _unquote(part: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(part, r"^'|'$", ""), "''", "'")
 
@@ -98,18 +114,18 @@ def parse_cards(docs: DataFrame, as_of: str) -> DataFrame:
     split = (docs.filter(F.regexp_like(content, F.lit(FRONT)))
              .select("path", F.regexp_extract(content, FRONT, 1).alias("_meta"),
                      F.regexp_extract(content, FRONT, 2).alias("_body")))
-    meta = F.col("_meta")
+    split = _entries(split, F.col("_meta"))
     sec = sections_map(F.col("_body"))
-    src_json = _flow(_key(meta, "source"))
+    src_json = _flow(_entry("source"))
     src = F.when(src_json.startswith("{"), F.from_json(src_json, "struct<type:string,id:string>"))
-    conns = _flow(_key(meta, "connections"))
+    conns = _flow(_entry("connections"))
     return (split
             .select(
                 file_stem("path").alias("card_id"),
-                F.coalesce(_scalar(_key(meta, "concept")), F.lit("")).alias("concept"),
-                F.coalesce(_scalar(_key(meta, "title")), F.lit("")).alias("title"),
-                F.coalesce(_scalar(_key(meta, "topic")), F.lit("")).alias("topic"),
-                F.coalesce(_scalar(_key(meta, "depth")).try_cast("int"), F.lit(1)).alias("depth"),
+                F.coalesce(_scalar(_entry("concept")), F.lit("")).alias("concept"),
+                F.coalesce(_scalar(_entry("title")), F.lit("")).alias("title"),
+                F.coalesce(_scalar(_entry("topic")), F.lit("")).alias("topic"),
+                F.coalesce(_scalar(_entry("depth")).try_cast("int"), F.lit(1)).alias("depth"),
                 F.coalesce(sec["idea"], F.lit("")).alias("idea"),
                 F.coalesce(sec["example"], F.lit("")).alias("example"),
                 F.coalesce(sec["probe"], F.lit("")).alias("probe"),
@@ -117,7 +133,7 @@ def parse_cards(docs: DataFrame, as_of: str) -> DataFrame:
                 F.coalesce(src["type"], F.lit("")).alias("source_type"),
                 F.coalesce(src["id"], F.lit("")).alias("source_id"),
                 F.col("path").alias("file_path"),
-                F.coalesce(_scalar(_key(meta, "created")).try_cast("date"), F.lit(as_of).cast("date")).alias("created_at")))
+                F.coalesce(_scalar(_entry("created")).try_cast("date"), F.lit(as_of).cast("date")).alias("created_at")))
 
 
 def card_rejects(docs: DataFrame) -> DataFrame:
@@ -164,15 +180,15 @@ def parse_concepts(docs: DataFrame, as_of: str | None = None) -> DataFrame:
     updated the same day as created."""
     c = F.regexp_replace("content", "\r\n", "\n")
     stem = file_stem("path")
-    return docs.select(
+    return _entries(docs, c).select(
         stem.alias("concept"),
-        F.coalesce(_scalar(_key(c, "name")), stem).alias("name"),
-        F.coalesce(_scalar(_key(c, "cluster")), F.lit("")).alias("cluster"),
-        F.coalesce(_scalar(_key(c, "depth")).try_cast("int"), F.lit(1)).alias("depth"),
-        F.coalesce(F.from_json(_flow(_key(c, "connections")), CONN), F.array().cast(CONN)).alias("connections"),
-        F.coalesce(_scalar(_key(c, "description")), F.lit("")).alias("description"),
-        F.coalesce(_scalar(_key(c, "created")).try_cast("date"), F.lit(as_of).cast("date")).alias("created"),
-        F.coalesce(_scalar(_key(c, "updated")).try_cast("date"), _scalar(_key(c, "created")).try_cast("date"), F.lit(as_of).cast("date")).alias("updated"))
+        F.coalesce(_scalar(_entry("name")), stem).alias("name"),
+        F.coalesce(_scalar(_entry("cluster")), F.lit("")).alias("cluster"),
+        F.coalesce(_scalar(_entry("depth")).try_cast("int"), F.lit(1)).alias("depth"),
+        F.coalesce(F.from_json(_flow(_entry("connections")), CONN), F.array().cast(CONN)).alias("connections"),
+        F.coalesce(_scalar(_entry("description")), F.lit("")).alias("description"),
+        F.coalesce(_scalar(_entry("created")).try_cast("date"), F.lit(as_of).cast("date")).alias("created"),
+        F.coalesce(_scalar(_entry("updated")).try_cast("date"), _scalar(_entry("created")).try_cast("date"), F.lit(as_of).cast("date")).alias("updated"))
 
 
 def export_json(cards: DataFrame) -> DataFrame:

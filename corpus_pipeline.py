@@ -12,7 +12,8 @@ operators state: null, empty and letterless texts go in the first stage; of
 repeated rows one stays in the second; an empty table passes through empty.
 
 ``ORACLE_SQL`` is None: the field, XXH64 and the embedding have no SQL form.
-tests/llm compares the stages with brute force instead.
+tests/llm/test_queries.py compares every stage, on what its predecessor kept,
+with plain Python or SQL instead.
 """
 
 from __future__ import annotations

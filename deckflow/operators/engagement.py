@@ -78,12 +78,6 @@ def engagement_stats_map(events: DataFrame) -> DataFrame:
             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event", "count")))).alias("stats")))
 
 
-def unseen_cards(cards: DataFrame, pairs: DataFrame, users: DataFrame) -> DataFrame:
-    """C02 for an explicit (user, card) candidate table: candidates the user
-    never engaged with. ``users`` holds the (user_id, card_id) candidates."""
-    return users.join(pairs.select("user_id", "card_id"), ["user_id", "card_id"], "left_anti")
-
-
 def seen_before(events: DataFrame, cutoff) -> DataFrame:
     """One row per (user, card) having an event before ``cutoff``."""
     return events.filter(F.col("created_at") < cutoff).select("user_id", "card_id").distinct()

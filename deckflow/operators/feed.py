@@ -10,9 +10,10 @@ a *bounded* candidate set, never users x cards:
   candidates are generated as (user, rank) rows and equi-joined to a ranked
   card table (``ranking.expand_ranks``);
 * exclusions are anti joins on (user_id, card_id);
-* the picks after each step are checkpointed (they are at most ``limit`` rows
-  per user), which keeps the plan flat and makes a lost executor restart from
-  the last step instead of from the scans.
+* the engaged pairs, the users, the ranks within concepts and the picks are
+  written tables, which keeps the plan flat and makes a lost executor restart
+  from the last of them instead of from the scans;
+* users without engaged cards share one feed, which is computed once.
 
 Ties the reference leaves undefined are broken by ``card_id``; ORDER BY RANDOM()
 is replaced by the seeded md5 order, so Spark and SQL agree.

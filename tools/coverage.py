@@ -13,7 +13,7 @@ from deckflow.plans import catalog  # noqa: E402
 TESTED = {"reindex_all": "deckflow/plans/jobs.py:reindex_all (tests/test_plans_and_streams.py)",
           "stream_cards": "deckflow/streaming/engagement.py:run_card_upsert (tests/test_plans_and_streams.py)"}
 
-PARTIAL = {"search_near": "partial: NEAR of two terms only", "search_batch": "partial: AND clauses only"}
+PARTIAL: dict[str, str] = {}
 
 
 def main():

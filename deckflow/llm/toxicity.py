@@ -44,21 +44,33 @@ from pyspark.sql import functions as F
 from deckflow.llm.common import slim, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
-EXAMPLES = 1200
+EXAMPLES = 800
 NEIGHBOURS = 15
 BLOCK, WAVE = 64, 8
 STEMS = (4, 5, 6, 7, 8, 9)
-CACHE = 200_000
-BOOST, STRONG = 150.0, 8.0
+CACHE = 500_000
+BOOST, STRONG = 60.0, 2.0
 
 
-def terms(word: str) -> list[str]:
-    return [word, *[f"{word[:n]}*" for n in STEMS if len(word) >= n]]
-
-
-def term_hash(term: str) -> int:
-    import xxhash
-    return xxhash.xxh64_intdigest(term, 5)
+def term_hashes(words: list[str]):
+    """``(hashes, owners, stems)``: of every word and its beginnings, the word it
+    belongs to, and whether it is a beginning. A hash is the sum of its mixed
+    (place, letter) pairs, so beginnings come from running sums."""
+    import numpy as np
+    size = np.array([len(w) for w in words], np.int64)
+    off = np.cumsum(size) - size
+    x = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    x |= (np.arange(1, len(x) + 1) - np.repeat(off, size)).astype(np.uint64) << np.uint64(21)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x ^ x >> np.uint64(31), dtype=np.uint64)])
+    every = np.arange(len(words))
+    parts = [(total[off + size] - total[off], every, np.zeros(len(words), bool))]
+    for n in STEMS:
+        own = every[size >= n]
+        parts.append(((total[off[own] + n] - total[off[own]]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n), own, np.ones(len(own), bool)))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def twice(h):
@@ -95,16 +107,15 @@ class Terms:
         new, self.words.new = self.words.new, []
         if not new:
             return
-        names = [terms(w) for w in new]
-        h = np.array([term_hash(t) for ts in names for t in ts], np.uint64)
-        stem = np.array([t[-1] == "*" for ts in names for t in ts])
+        h, owner, stem = term_hashes(new)
         again = np.where(stem, twice(h), np.uint64(0))
-        owner = np.repeat(np.arange(len(new)), [len(ts) for ts in names])
         if self.vocabulary is not None:
             h, again = self.places(h), self.places(again)
             none = np.uint64(len(self.vocabulary))
             some = (h != none) | (again != none)
             h, again, owner = h[some], again[some], owner[some]
+        order = np.argsort(owner, kind="stable")
+        h, again, owner = h[order], again[order], owner[order]
         self.of, self.again = np.concatenate([self.of, h]), np.concatenate([self.again, again])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
 
@@ -192,7 +203,9 @@ class Index:
         row = self.common[term]
         self.rows = np.zeros((len(many), self.blocks * BLOCK))
         self.rows[row[row >= 0], example[row >= 0]] = value[row >= 0]
+        self.by_block = [np.ascontiguousarray(self.rows[:, b * BLOCK:(b + 1) * BLOCK]) for b in range(self.blocks)]
         self.row_max = self.rows.reshape(len(many), self.blocks, BLOCK).max(axis=2) if len(many) else np.zeros((0, self.blocks))
+        self.rows = self.rows[:, :0]
         # the others: postings
         few = row < 0
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(term[few], minlength=len(vocabulary)))])
@@ -244,7 +257,8 @@ class Index:
             for b in np.unique(turn).tolist():
                 i, j = np.nonzero(turn == b)
                 own, at = active[i], slice(b * BLOCK, (b + 1) * BLOCK)
-                part = heavy[own] @ self.rows[:, at] + light[own, at]
+                part = (heavy if len(own) == number else heavy[own]) @ self.by_block[b]
+                part += light[own, at]
                 mine = np.flatnonzero(skip[own] // BLOCK == b)
                 part[mine, skip[own[mine]] % BLOCK] = -1.0
                 score[own, at] = new[i, j] = part

@@ -198,7 +198,7 @@ class Index:
         self.blocks = -(-n // BLOCK) if n else 0
         # terms of many examples: a row each
         self.common = np.full(len(vocabulary), -1, np.int32)
-        many = np.flatnonzero(df > max(32, n // 12))
+        many = np.flatnonzero(df > max(32, n // 10))
         self.common[many] = np.arange(len(many))
         row = self.common[term]
         self.rows = np.zeros((len(many), self.blocks * BLOCK))
@@ -238,8 +238,10 @@ class Index:
         heavy[text[row >= 0], row[row >= 0]] = value[row >= 0]
         few = np.flatnonzero(row < 0)
         size = self.begin[term[few] + 1] - self.begin[term[few]]
-        at = np.arange(size.sum()) + np.repeat(self.begin[term[few]] - (np.cumsum(size) - size), size)
-        cell = np.repeat(text[few], size) * width + self.post[at]
+        few, size = few[size > 0], size[size > 0].astype(np.int32)
+        at = np.arange(size.sum(), dtype=np.int32) + np.repeat((self.begin[term[few]] - (np.cumsum(size) - size)).astype(np.int32), size)
+        cell = np.repeat((text[few] * width).astype(np.int32), size)
+        cell += self.post[at]
         light = np.bincount(cell, weights=np.repeat(value[few], size) * self.value[at], minlength=number * width).reshape(number, width)
         # of the postings their sum in a block bounds as well as their maxima do
         bound = heavy @ self.row_max + light.reshape(number, self.blocks, BLOCK).max(axis=2)

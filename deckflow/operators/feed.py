@@ -277,6 +277,7 @@ class BlendedFeed:
 
         folded = items.select("user_id", F.posexplode(F.aggregate("items", init, take, lambda a: a["out"]))
                               .alias("idx", "p"))
+        self._steps["uncut"] = folded  # for the plan digest
         picks = cut(folded.select(
             "user_id", F.col("p.card_id").alias("card_id"),
             F.element_at(F.array(*[F.lit(x) for x in order]), F.col("p.src") + 1).alias("source"),

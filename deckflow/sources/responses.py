@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the fence pattern (optional ``json`` tag, body up to the next closing fence).
 FENCE = r"```(?:json)?\s*\n([\s\S]*?)\n```"
+OPENING, CLOSING = r"```(?:json)?\s*\n", "\n```"
 
 # The fields of a research record and of its lists.
 CONCEPT_FIELDS = {"name": "string", "slug": "string", "cluster": "string", "depth": "int", "connections": "array<string>", "description": "string"}
@@ -18,9 +19,17 @@ RESEARCH_LISTS = {"examples": ["title", "body"], "probes": ["question", "hint"],
 
 
 def json_text(response) -> Column:
-    """Content of the first fence if there is one, else the whole text."""
+    """Content of the first fence if there is one, else the whole text.
+
+    ``FENCE`` tries its end at every letter of the content, so the fence is found by
+    its opening and the first end after it. Without such an end the pattern can match
+    only where the end begins in the opening's own line breaks."""
     r = F.col(response) if isinstance(response, str) else response
-    return F.when(F.regexp_like(r, F.lit(FENCE)), F.regexp_extract(r, FENCE, 1)).otherwise(r)
+    opening = F.regexp_extract(r, OPENING, 0)
+    rest = F.substring(r, F.instr(r, opening) + F.length(opening), F.length(r))
+    edge = F.concat(opening, F.substring(rest, 1, 3))
+    return (F.when(opening == "", r).when(F.instr(rest, CLOSING) > 0, F.substring_index(rest, CLOSING, 1))
+            .when(F.regexp_like(edge, F.lit(FENCE)), F.regexp_extract(edge, FENCE, 1)).otherwise(r))
 
 
 def _shape(v: Column) -> Column:
@@ -28,9 +37,16 @@ def _shape(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
 
 
+def _once(df: DataFrame, **cols: Column) -> DataFrame:
+    """``df`` with ``cols``, each computed once a row. A filter on a plain column is
+    moved below its projection, where every mention of the column is computed anew
+    (a response was built, matched and parsed for each field that the filter looks
+    at); it isn't moved below ``inline``."""
+    return df.select("*", F.inline(F.array(F.struct(*[x.alias(name) for name, x in cols.items()]))))
+
+
 def _parsed(df: DataFrame, json_col: str) -> DataFrame:
-    keep = [c for c in df.columns if c != json_col]
-    return df.select(*keep, F.try_parse_json(json_col).alias("v")).withColumn("shape", _shape(F.col("v")))
+    return _once(df, v=F.try_parse_json(json_col)).drop(json_col).withColumn("shape", _shape(F.col("v")))
 
 
 def _listed(df: DataFrame, json_col: str) -> DataFrame:
@@ -59,7 +75,7 @@ def rejects(df: DataFrame, json_col: str = "json") -> DataFrame:
     listed = _listed(df, json_col)
     reason = (F.when(F.col("v").isNull(), "not JSON").when(~F.col("shape").isin("ARRAY", "OBJECT"), "no list or object")
               .when(~F.col("wrapped") & (_shape(F.col("list")) != "ARRAY"), "concepts is no list"))
-    return listed.select(*keep, reason.alias("reason")).filter("reason is not null")
+    return _once(listed, reason=reason).select(*keep, "reason").filter("reason is not null")
 
 
 def _text(v: Column, path: str) -> Column:
@@ -91,7 +107,7 @@ def _research(df: DataFrame, json_col: str) -> DataFrame:
     fields = [F.when(_shape(F.col(f"_{f}")) == "STRING", _text(F.col("v"), f"$.{f}")).alias(f) for f in text]
     fields += [F.transform(items[f], _record(keys)).alias(f) for f, keys in RESEARCH_LISTS.items()]
     keep = [c for c in df.columns if c != json_col]
-    return v.select(*keep, reason.alias("reason"), *fields)
+    return _once(v, reason=reason).select(*keep, "reason", *fields)
 
 
 def research(df: DataFrame, json_col: str = "json") -> DataFrame:

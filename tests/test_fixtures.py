@@ -1,6 +1,8 @@
 """Edge cases of FIXTURES.md on small tables written by the tests themselves."""
 
+import itertools
 import json
+import re
 from datetime import datetime
 
 from pyspark.sql import Row
@@ -313,6 +315,25 @@ def test_research_responses(spark):
         2: "no object", 3: "fundamentals is no text", 4: "probes is no list of objects", 5: "examples is no list of objects", 6: "not JSON"}
 
 
+def test_responses_are_read_once(spark):
+    """No filter makes Spark match or parse a response again."""
+    replies = spark.createDataFrame([(1, "{}")], "id int, response string").select("id", R.json_text("response").alias("json"))
+    for read in (R.research, R.research_rejects, R.rejects):
+        plan = read(replies)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1, plan
+
+
+def test_fences_match_the_pattern(spark):
+    """``json_text`` gives what the fence pattern gives, without its steps a letter."""
+    parts, texts = ["```", "json", "\n", " ", "x"], ["", "`\n", "```\n```\n```", "é```json \n{}\n``` ```\nb\n```", "```json\n{"]
+    texts += ["".join(p) for p in itertools.product(parts, repeat=5)]
+    found = {t: re.search(R.FENCE, t) for t in texts}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "r string")
+    assert {r.r: r.j for r in df.select("r", R.json_text("r").alias("j")).collect()} == {None: None, **{t: m.group(1) if m else t for t, m in found.items()}}
+    plan = df.select(R.json_text("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE(r#" not in plan  # the lazy pattern isn't run over whole texts
+
+
 def test_later_rows_count(spark):
     """Of rows for one concept the last of the input counts, whatever its text."""
     links = "array<struct<slug:string,name:string,relationship:string>>"

@@ -59,32 +59,48 @@ def _or_empty(col: str, kind: str) -> Column:
     return F.coalesce(F.col(col), F.array().cast(kind))
 
 
-def generate_cards(research: DataFrame, as_of: str) -> DataFrame:
+def generate_cards(research: DataFrame, as_of: str, texts: DataFrame | None = None) -> DataFrame:
     """Research rows -> card rows. Card 1 has the full fundamentals and the
     first example/probe; cards 2.. pair the remaining examples and probes
     (zip-longest), depth min(n, 3), idea cut to 200 chars + '...'. A card is
     written over by a later row's card of the same id (rows in the order of their
-    ``_seq``, or of the input); what an earlier row had more stays."""
+    ``_seq``, or of the input); what an earlier row had more stays.
+
+    With ``texts`` (text_id, text) the rows name their fundamentals by ``text_id``:
+    the last row of each card is found first and the text joined to what is left,
+    so a text travels once and not with every card that is made of it."""
     rows = research if SEQ in research.columns else in_order(research)
+    fund = F.coalesce("fundamentals", F.lit("")) if texts is None else F.col("text_id")
     base = rows.select(SEQ, F.coalesce("concept", F.lit("unknown")).alias("slug"), F.coalesce("cluster", F.lit("")).alias("topic"),
-                       F.coalesce("fundamentals", F.lit("")).alias("fund"), _or_empty("examples", _EXAMPLES).alias("ex"), _or_empty("probes", _PROBES).alias("pr"),
+                       fund.alias("fund"), _or_empty("examples", _EXAMPLES).alias("ex"), _or_empty("probes", _PROBES).alias("pr"),
                        pluck(_or_empty("connections_discovered", _LINKS), "slug").alias("connections"))
 
-    def card(num, title, depth, idea, example, probe):
-        return F.struct(num.cast("int").alias("num"), title.alias("title"), depth.cast("int").alias("depth"), idea.alias("idea"), example.alias("example"), probe.alias("probe"))
+    def idea(text, num):
+        return F.when(num == 1, text).otherwise(truncate_dots(text, IDEA_CHARS))
+
+    def card(num, title, depth, example, probe):
+        return F.struct(num.cast("int").alias("num"), title.alias("title"), depth.cast("int").alias("depth"), example.alias("example"), probe.alias("probe"))
 
-    first = card(F.lit(1), title_from_slug("slug"), F.lit(1), F.col("fund"),
+    first = card(F.lit(1), title_from_slug("slug"), F.lit(1),
                  F.when(F.size("ex") > 0, format_example(F.col("ex")[0])).otherwise(F.lit("")),
                  F.when(F.size("pr") > 0, format_probe(F.col("pr")[0])).otherwise(F.lit("")))
     rest = F.arrays_zip(F.slice("ex", 2, 1 << 30).alias("e"), F.slice("pr", 2, 1 << 30).alias("p"))
     more = F.transform(rest, lambda z, i: card(
         i + 2, F.coalesce(z["e"]["title"], F.concat(title_from_slug("slug"), F.lit(" — Angle "), (i + 2).cast("string"))),
-        depth_cap(i + 2, MAX_DEPTH), truncate_dots("fund", IDEA_CHARS), format_example(z["e"]), format_probe(z["p"])))
-    cards = base.select(SEQ, "slug", "topic", "connections", F.inline(F.concat(F.array(first), more)))
-    cards = cards.select(SEQ, card_file_id("slug", "num").alias("card_id"), F.col("slug").alias("concept"), "title",
-                         "topic", "depth", "idea", "example", "probe", "connections")
-    return last_per_key(cards, "card_id").select(
-        "*", F.lit(SOURCE_TYPE).alias("source_type"), F.lit("").alias("source_id"), F.lit(as_of).cast("date").alias("created_at"))
+        depth_cap(i + 2, MAX_DEPTH), format_example(z["e"]), format_probe(z["p"])))
+    cards = base.select(SEQ, "slug", "topic", "connections", "fund", F.inline(F.concat(F.array(first), more)))
+    own = [card_file_id("slug", "num").alias("card_id"), F.col("slug").alias("concept"), "title", "topic", "depth"]
+    if texts is None:
+        cards = last_per_key(cards.select(SEQ, *own, idea(F.col("fund"), F.col("num")).alias("idea"), "example", "probe", "connections"), "card_id")
+    else:
+        won = last_per_key(cards.select(SEQ, *own, "num", "fund", "example", "probe", "connections"), "card_id")
+        of = texts.groupBy(F.col("text_id").alias("fund")).agg(F.collect_set(F.coalesce("text", F.lit(""))).alias("_texts"))
+        # of several texts by one name the card with the greatest hash wins, as among rows of one _seq
+        ideas = F.transform(F.coalesce("_texts", F.array(F.lit(""))), lambda t: idea(t, F.col("num")))
+        hashed = F.transform(ideas, lambda x: F.struct(F.xxhash64("card_id", "concept", "title", "topic", "depth", x, "example", "probe", "connections").alias("h"), x.alias("idea")))
+        cards = won.join(of, "fund", "left").select("card_id", "concept", "title", "topic", "depth", F.when(F.size(ideas) == 1, ideas[0]).otherwise(F.array_max(hashed)["idea"]).alias("idea"),
+                                                    "example", "probe", "connections")
+    return cards.select("*", F.lit(SOURCE_TYPE).alias("source_type"), F.lit("").alias("source_id"), F.lit(as_of).cast("date").alias("created_at"))
 
 
 def concept_merge(research: DataFrame, existing: DataFrame, as_of: str) -> DataFrame:

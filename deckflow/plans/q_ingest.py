@@ -297,7 +297,7 @@ FROM allc QUALIFY row_number() OVER (PARTITION BY slug, num ORDER BY seq DESC) =
 
 @register("generate_cards", _GEN_SQL)
 def generate_cards(spark, sf):
-    return gen.generate_cards(B.research(spark, sf), B.AS_OF).withColumn("created_at", F.col("created_at").cast("string"))
+    return gen.generate_cards(B.research_refs(spark, sf), B.AS_OF, B.research_texts(spark, sf)).withColumn("created_at", F.col("created_at").cast("string"))
 
 
 @register("concept_merge", with_views(RESEARCH, EXISTING) + f""",

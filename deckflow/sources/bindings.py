@@ -140,14 +140,24 @@ def _slug(of: int = 1):
                     (F.col("o_orderkey") - F.col("o_orderkey") % of).cast("string"))
 
 
+def research_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that ``research_refs`` names: ``text_id, text``."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+
+
 def research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RESEARCH records from orders / lineitem / documents, in the order of the
     orders (``_seq``); several name the same concept."""
+    return (research_refs(spark, sf_dir).join(research_texts(spark, sf_dir), "text_id", "left")
+            .select("o_orderkey", "_seq", "concept", "cluster", F.col("text").alias("fundamentals"), "examples", "probes", "connections_discovered"))
+
+
+def research_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with the name of their text (``text_id``) for the text itself,
+    which is stored once and named by many of them."""
     o = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem")
-    documents = table(spark, sf_dir, "documents")
-    docs = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("fundamentals"))
-    n_docs = documents.select(F.max("doc_id") + 1).scalar()
+    n_docs = table(spark, sf_dir, "documents").select(F.max("doc_id") + 1).scalar()
     key = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
     ex = (li.filter(F.col("l_linenumber") % 2 == 1).groupBy(F.col("l_orderkey").alias("o_orderkey"))
           .agg(F.array_sort(F.collect_list(F.struct(*key, F.struct(F.col("l_returnflag").alias("title"),
@@ -159,12 +169,10 @@ def research(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.col("l_returnflag").alias("hint")).alias("x")))).alias("_p"))
           .select("o_orderkey", F.transform("_p", lambda s: s["x"]).alias("probes")))
     return (o.join(ex, "o_orderkey", "left").join(pr, "o_orderkey", "left")
-            .withColumn("_d", F.col("o_orderkey") % n_docs)
-            .join(docs, F.col("_d") == F.col("_doc"), "left")
             .select("o_orderkey", F.col("o_orderkey").alias("_seq"), _slug(4).alias("concept"),
                     F.when(F.col("o_orderkey") % 2 == 0, F.when(F.col("o_orderkey") % 5 == 0, F.lit("")).otherwise(
                         F.concat("o_orderpriority", F.lit("/"), (F.col("o_orderkey") % 4).cast("string")))).alias("cluster"),
-                    "fundamentals", "examples", "probes",
+                    (F.col("o_orderkey") % n_docs).alias("text_id"), "examples", "probes",
                     F.array(F.struct(F.concat(F.lit("status-"), F.lower("o_orderstatus")).alias("slug"),
                                      F.col("o_orderstatus").alias("name"),
                                      F.col("o_orderpriority").alias("relationship"))).alias("connections_discovered")))

@@ -348,6 +348,22 @@ def test_later_rows_count(spark):
     assert sorted(cards) == ["k-001", "k-002", "k-003"] and cards["k-003"].title == "e3"  # what only the first row had stays
 
 
+def test_cards_of_named_texts(spark):
+    """Texts given by name make the same cards, also where a name is null, unknown
+    or has several texts; they are not part of the rows that are reduced."""
+    kinds = "_seq long, concept string, text_id long, examples array<struct<title:string,body:string>>"
+    rows = [(i, f"c{i % 3}" if i % 5 else None, None if i == 4 else i % 6, [(f"t{j}", "b") for j in range(i % 4)]) for i in range(24)]
+    rows += rows[-2:]
+    texts = spark.createDataFrame([(0, "x" * 300), (1, "one"), (1, "another"), (1, None), (2, None), (3, "three"), (3, "three")], "text_id long, text string")
+    refs = spark.createDataFrame(rows, kinds).select("*", F.lit("k").alias("cluster"), F.lit(None).cast("array<struct<question:string,hint:string>>").alias("probes"),
+                                                     F.lit(None).cast("array<struct<slug:string,name:string,relationship:string>>").alias("connections_discovered"))
+    whole = refs.join(texts, "text_id", "left").withColumnRenamed("text", "fundamentals")
+    named = gen.generate_cards(refs, "2024-01-31", texts)
+    assert sorted(map(str, named.collect())) == sorted(map(str, gen.generate_cards(whole, "2024-01-31").collect()))
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "max_by" in line and "idea" in line], plan
+
+
 def test_sections_with_many_headings(spark):
     text = "\n".join(f"## H{i % 700}\nbody {i}" for i in range(2000))
     got = spark.createDataFrame([(text,), ("no heading",)], "t string").select(T.sections_map("t").alias("m")).collect()

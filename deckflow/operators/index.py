@@ -18,30 +18,44 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deckflow.operators.search import postings
+from deckflow.operators.search import FIELDS, postings
 from deckflow.session import file_system, shared_folder, shuffle_partitions
 
-LAYOUT = "1"
+LAYOUT = "2"
 ROW_GROUP = 4 << 20  # bytes: what a lookup of one token reads at least
+PART = 4 << 20  # letters of the corpus a partition: some million postings, which a task sorts in memory
+COLUMNS = ["token", "card_id", "field", "pos"]
 
 
 class SearchIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.path = path
-        self.postings: DataFrame = spark.read.parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        self.postings: DataFrame = stored.select(*COLUMNS)
+        self.pairs: DataFrame = stored.filter("first").select("token", "card_id")
         self.terms: DataFrame = spark.read.parquet(f"{path}/terms")
 
 
+def parts_of(corpus: DataFrame, least: int) -> int:
+    """Partitions of the index: as many as the corpus has pieces of ``PART`` letters,
+    so that what a task sorts doesn't grow with the corpus."""
+    letters = sum((F.coalesce(F.length(F.col(f).cast("string")), F.lit(0)) for f in FIELDS if f != "id"), F.lit(0))
+    return max(least, (corpus.agg(F.sum(letters.cast("long"))).first()[0] or 0) // PART + 1)
+
+
 def write_index(corpus: DataFrame, path: str, partitions: int) -> SearchIndex:
+    """Writes the index in ``partitions`` ranges or more. All postings of a (token,
+    card) are in one range, so the first of them is marked there and the cards of a
+    token are counted from the marks: postings are shuffled once."""
     spark = corpus.sparkSession
-    (postings(corpus).select("token", "card_id", "field", "pos")
-     .repartitionByRange(partitions, "token", "card_id").sortWithinPartitions("token", "card_id", "field", "pos")
-     .write.option("parquet.block.size", ROW_GROUP).mode("overwrite").parquet(f"{path}/postings"))
-    (spark.read.parquet(f"{path}/postings").select("token", "card_id").distinct()
-     .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    n = parts_of(corpus, partitions)
+    mark = F.row_number().over(Window.partitionBy("token", "card_id").orderBy("field", "pos")) == 1
+    (postings(corpus).select(*COLUMNS).repartitionByRange(n, "token", "card_id").withColumn("first", mark)
+     .sortWithinPartitions(*COLUMNS).write.option("parquet.block.size", ROW_GROUP).mode("overwrite").parquet(f"{path}/postings"))
+    (spark.read.parquet(f"{path}/postings").filter("first").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
      .repartitionByRange(max(1, partitions // 8), "token").sortWithinPartitions("token")
      .write.option("parquet.block.size", ROW_GROUP).mode("overwrite").parquet(f"{path}/terms"))
     return SearchIndex(spark, path)

@@ -130,20 +130,24 @@ def initial(post: DataFrame, term: str) -> DataFrame:
     return post.filter((F.col("pos") == 0) & (F.col("token") == term)).select("card_id").distinct()
 
 
-def batch_all_terms(post: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def batch_all_terms(post: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, pairs: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """AND-search for a table of queries (qid, text) at once; empty
     query -> no rows; per query the first ``limit`` cards by card_id.
 
     Each query starts from its rarest token, so a query made of frequent words
     costs the postings of one word; the other tokens are then checked by an
-    equi-join on (card_id, token) against the distinct (card, token) pairs."""
+    equi-join on (card_id, token) against the distinct (card, token) pairs.
+    An index has those pairs and the cards of every token (``pairs``, ``terms``);
+    without them both are counted from ``post``."""
     qt = queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("token"))
     nq = qt.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    # only the batch's own tokens matter; the document-token set is read three
-    # times, so it is materialised once (after the semi join it is small)
+    # only the batch's own tokens matter
     qtok = qt.select("token").distinct()
-    dt = cut(post.join(qtok, "token", "left_semi").select("card_id", "token").distinct())
-    freq = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    if pairs is None:  # read three times, so it is materialised once (after the semi join it is small)
+        dt = cut(post.join(qtok, "token", "left_semi").select("card_id", "token").distinct())
+    else:
+        dt = pairs.join(qtok, "token", "left_semi").select("card_id", "token")
+    freq = dt.groupBy("token").agg(F.count(F.lit(1)).alias("df")) if terms is None else terms.join(qtok, "token", "left_semi")
     rare = (qt.join(freq, "token", "left").fillna(0, ["df"])
             .groupBy("qid").agg(F.min(F.struct("df", "token")).alias("_r"))
             .select("qid", F.col("_r.token").alias("token")))

@@ -127,7 +127,8 @@ def search_batch(spark, sf):
     """Every benchmark passage as an AND query over all documents (which
     documents contain every word of the passage), first 20 per query."""
     q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return S.batch_all_terms(_post(spark, sf), q)
+    index = _index(spark, sf)
+    return S.batch_all_terms(index.postings, q, pairs=index.pairs, terms=index.terms)
 
 
 MIXED_SQL = POST_SQL.rstrip("\n") + r""",

@@ -3,6 +3,7 @@ index, snapshots, streaming = batch, and the folder-driven jobs (A11, I05)."""
 
 import os
 import tempfile
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -252,3 +253,25 @@ def test_clauses_equal_brute_force(spark):
             clauses.append((q, n, rng.choice(kinds), words, rng.choice([None, None, ["idea", "title"], ["topic"]]), rng.randint(0, 4)))
     got = S.batch_clauses(index.postings, index.terms, spark.createDataFrame(clauses, CLAUSE))
     assert sorted((r.qid, r.card_id, r["rank"]) for r in got.collect()) == _naive_search(cards, clauses)
+
+
+def test_index_ranges_grow_with_the_corpus(spark, tmp_path, monkeypatch):
+    """The index has a partition for every ``PART`` letters, and its term table
+    counts each card of a token once, also where a card's row comes twice."""
+    from deckflow.operators import index
+    from deckflow.operators import search as S
+    rows = [(i % 90, "T", "t", " ".join(f"w{(i * j) % 13} the" for j in range(12)), None, "") for i in range(100)]
+    corpus = spark.createDataFrame(rows, "card_id long, title string, topic string, idea string, example string, probe string")
+    letters = sum(len(r[1]) + len(r[2]) + len(r[3]) for r in rows)
+    monkeypatch.setattr(index, "PART", 500)
+    assert index.parts_of(corpus, 2) == letters // 500 + 1 and index.parts_of(corpus, 10 ** 6) == 10 ** 6 and index.parts_of(corpus.limit(0), 2) == 2
+    built = index.write_index(corpus, str(tmp_path / "index"), 2)
+    want = S.postings(corpus)
+    assert len([f for f in built.postings.inputFiles() if "part-" in f]) > 2
+    assert sorted(map(tuple, built.postings.collect())) == sorted(map(tuple, want.select("token", "card_id", "field", "pos").collect()))
+    pairs = {(r.token, r.card_id) for r in want.collect()}
+    assert sorted(map(tuple, built.pairs.collect())) == sorted(pairs)
+    assert {r.token: r.df for r in built.terms.collect()} == Counter(t for t, _ in pairs)
+    queries = spark.createDataFrame([(1, "the w3 w9"), (2, "the"), (3, "nowhere the"), (4, "")], "qid long, text string")
+    asked = lambda **of: sorted(map(tuple, S.batch_all_terms(built.postings, queries, **of).collect()))
+    assert asked(pairs=built.pairs, terms=built.terms) == asked() != []

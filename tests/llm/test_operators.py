@@ -470,6 +470,23 @@ def test_verified_equals_brute_force():
     assert seen == {True, False}
 
 
+def test_repeated_tokens_are_bounded_before_the_search(monkeypatch):
+    from deckflow.llm import passages
+    rng = random.Random(8)
+    for _ in range(300):  # few tokens, so runs hold them again and again
+        t, pool = rng.randint(4, 6), rng.choice((2, 3, 5))
+        a, b = ([rng.randrange(pool) * (rng.random() < 0.7) for _ in range(rng.randint(8, 14))] for _ in "ab")
+        b = [x + rng.choice((0, 1, 9)) for x in b]
+        assert bool(passages.verified(np.array(a, np.uint64), np.array(b, np.uint64), t, 0.8)) == _similar_runs(a, b, t, 0.8)
+    before = passages._previous(np.array([3, 3, 4, 3, 5, 5]))
+    assert passages._distinct(before, 3).tolist() == [2, 2, 3, 2]
+    # one token in common, and no run of the second text holds so few tokens: nothing to search
+    tried = []
+    monkeypatch.setattr(passages, "_search", lambda *a: tried.append(a))
+    one, other = np.zeros(898, np.uint64), np.arange(46, dtype=np.uint64) % 6
+    assert passages.verified(one, other, 46) == [] and not tried
+
+
 def test_one_changed_word():
     from deckflow.llm.passages import MIN_WORDS, SHINGLE, tokens, verified
     rng = np.random.default_rng(4)

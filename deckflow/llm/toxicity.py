@@ -48,25 +48,47 @@ EXAMPLES = 800
 NEIGHBOURS = 15
 BLOCK, WAVE = 64, 8
 STEMS = (4, 5, 6, 7, 8, 9)
-CACHE = 500_000
+WORDS = 1 << 16
 BOOST, STRONG = 60.0, 2.0
+_LETTERS: list = []  # which code points are letters, once a worker
 
 
-def term_hashes(words: list[str]):
-    """``(hashes, owners, stems)``: of every word and its beginnings, the word it
-    belongs to, and whether it is a beginning. A hash is the sum of its mixed
-    (place, letter) pairs, so beginnings come from running sums."""
+def words_of(texts: list[str | None]):
+    """``(text, total, off, size)`` of up to ``WORDS`` words at a time: the text
+    that each belongs to, running sums over their letters, and each word's place
+    and length in them. A hash is the sum of mixed (place, letter) pairs, so those
+    of words and beginnings are differences of running sums."""
     import numpy as np
-    size = np.array([len(w) for w in words], np.int64)
-    off = np.cumsum(size) - size
-    x = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    x |= (np.arange(1, len(x) + 1) - np.repeat(off, size)).astype(np.uint64) << np.uint64(21)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x ^= x >> np.uint64(shift)
-        x *= np.uint64(factor)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x ^ x >> np.uint64(31), dtype=np.uint64)])
-    every = np.arange(len(words))
-    parts = [(total[off + size] - total[off], every, np.zeros(len(words), bool))]
+    if not _LETTERS:
+        table = np.zeros(0x110000, bool)
+        for m in WORD.finditer("".join(map(chr, range(0x110000)))):
+            table[m.start():m.end()] = True
+        _LETTERS.append(table)
+    low = [t.lower() if t else "" for t in texts]
+    upto = np.cumsum(np.array([len(t) + 1 for t in low], np.int64))
+    chars = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ok = _LETTERS[0][chars]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]])))
+    starts, ends = edge[::2], edge[1::2]
+    for i in range(0, len(starts), WORDS):
+        s, e = starts[i:i + WORDS], ends[i:i + WORDS]
+        size = e - s
+        off = np.cumsum(size) - size
+        x = chars[s[0]:e[-1]][ok[s[0]:e[-1]]].astype(np.uint64)
+        x |= (np.arange(1, len(x) + 1) - np.repeat(off, size)).astype(np.uint64) << np.uint64(21)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        yield np.searchsorted(upto, s, side="right"), np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]), off, size
+
+
+def term_hashes(total, off, size):
+    """``(hashes, owners, stems)``: of words and their beginnings, the word each
+    belongs to, and whether it is a beginning."""
+    import numpy as np
+    every = np.arange(len(off))
+    parts = [(total[off + size] - total[off], every, np.zeros(len(off), bool))]
     for n in STEMS:
         own = every[size >= n]
         parts.append(((total[off[own] + n] - total[off[own]]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n), own, np.ones(len(own), bool)))
@@ -79,45 +101,14 @@ def twice(h):
     return h * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D)
 
 
-class _Numbers(dict):
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = n = len(self)
-        return n
-
-
 class Terms:
     """Term counts of many texts at once. With ``vocabulary`` (sorted hashes)
     terms are places in it and others are left out; else they are hashes."""
 
     def __init__(self, vocabulary=None):
         self.vocabulary = vocabulary
-        self.clear()
-
-    def clear(self) -> None:
-        import numpy as np
-        self.words, self.ends = _Numbers(), np.zeros(1, np.int64)
-        self.of, self.again = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-
-    def _learn(self) -> None:
-        import numpy as np
-        new, self.words.new = self.words.new, []
-        if not new:
-            return
-        h, owner, stem = term_hashes(new)
-        again = np.where(stem, twice(h), np.uint64(0))
-        if self.vocabulary is not None:
-            h, again = self.places(h), self.places(again)
-            none = np.uint64(len(self.vocabulary))
-            some = (h != none) | (again != none)
-            h, again, owner = h[some], again[some], owner[some]
-        order = np.argsort(owner, kind="stable")
-        h, again, owner = h[order], again[order], owner[order]
-        self.of, self.again = np.concatenate([self.of, h]), np.concatenate([self.again, again])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
+        # a text with a beginning that occurs again has the beginning itself
+        self.again = None if vocabulary is None else self.places(twice(vocabulary))
 
     def places(self, h):
         """Place in the vocabulary, or its length."""
@@ -128,25 +119,37 @@ class Terms:
         at[at == len(self.vocabulary)] = 0
         return np.where(self.vocabulary[at] == h, at, len(self.vocabulary)).astype(np.uint64)
 
+    def _pairs(self, text, total, off, size):
+        """``(text, term, again, tf)`` of some words; a term comes once for each
+        word of a text that it belongs to."""
+        import numpy as np
+        word = total[off + size] - total[off]
+        order = np.argsort(word)
+        new = np.diff(word[order], prepend=~word[order[:1]]) != 0
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        own = order[new]  # each different word once
+        key, tf = np.unique(text * len(own) + number, return_counts=True)  # words of a text once
+        text, number = np.divmod(key, len(own))
+        term, owner, stem = term_hashes(total, off[own], size[own])
+        if self.vocabulary is None:
+            again = np.where(stem, twice(term), np.uint64(0))
+        else:
+            term = self.places(term)
+            some = term < len(self.vocabulary)
+            term, owner, stem = term[some], owner[some], stem[some]
+            again = np.where(stem, self.again[term], np.uint64(len(self.vocabulary)))
+        order = np.argsort(owner, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(own)))])
+        n = ends[number + 1] - ends[number]
+        at = order[np.arange(n.sum()) + np.repeat(ends[number] - (np.cumsum(n) - n), n)]
+        return np.repeat(text, n), term[at], again[at], np.repeat(tf, n)
+
     def counts(self, texts: list[str | None]):
         """``(text, term, tf)`` arrays, each pair of text and term once."""
         import numpy as np
-        if len(self.words) > CACHE:
-            self.clear()
-        flat, size = [], []
-        for t in texts:
-            own = WORD.findall(t.lower()) if t else []
-            flat += own
-            size.append(len(own))
-        number = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
-        self._learn()
-        text = np.repeat(np.arange(len(texts)), size)
-        key, tf = np.unique(text * max(len(self.words), 1) + number, return_counts=True)  # words of a text once
-        text, number = np.divmod(key, max(len(self.words), 1))
-        n = self.ends[number + 1] - self.ends[number]
-        at = np.arange(n.sum()) + np.repeat(self.ends[number] - (np.cumsum(n) - n), n)
-        text, tf = np.repeat(text, n), np.repeat(tf, n)
-        term, again = self.of[at], self.again[at]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        text, term, again, tf = (np.concatenate(x) for x in zip(none, *(self._pairs(*x) for x in words_of(texts))))
         if self.vocabulary is None:
             order = np.lexsort((term, text))
             text, term, tf, again = text[order], term[order], tf[order], again[order]

@@ -323,6 +323,44 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in score_documents(odd, None).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("size", [3, 1 << 16])
+def test_term_counts_equal_plain_ones(monkeypatch, size):
+    """Counts from running sums over letters, a few words at a time, against the words themselves."""
+    from collections import Counter
+
+    from deckflow.llm import toxicity as tox
+    monkeypatch.setattr(tox, "WORDS", size)
+    texts = ["Insult insulted, INSULT! x1y2_z \u0130stanbul stra\u00dfe \u0663\u0664 caf\u00e9-cafe\u0301", None, "", "12 _ 34", "insults insult " * 5, "\ud800lone caf\u00e9 \u4e2d\u6587\u4e2d\u6587"]
+
+    def of(word):
+        h, _, stem = tox.term_hashes(*next(tox.words_of([word]))[1:])
+        return h.tolist(), stem.tolist()
+
+    want = []
+    for t in texts:
+        once, further = Counter(), {}
+        for w in tox.WORD.findall((t or "").lower()):
+            for h, stem in zip(*of(w)):
+                once[h] += 1
+                if stem:
+                    further[h] = int(tox.twice(np.array([h], np.uint64))[0])
+        want.append({**once, **{further[h]: n for h, n in once.items() if n > 1 and h in further}})
+
+    def got(terms):
+        out = [{} for _ in texts]
+        for text, term, tf in zip(*(x.tolist() for x in terms.counts(texts))):
+            h = term if terms.vocabulary is None else int(terms.vocabulary[term])
+            assert h not in out[text]
+            out[text][h] = tf
+        return out
+
+    assert got(tox.Terms()) == want and len(want[0]) > 20 and want[1:4] == [{}, {}, {}]
+    vocabulary = np.unique(np.array([h for x in (want[0], want[4]) for h in x], np.uint64))
+    assert got(tox.Terms(vocabulary)) == [{h: n for h, n in x.items() if h in vocabulary} for x in want]
+    assert got(tox.Terms(np.zeros(0, np.uint64))) == [{} for _ in texts]
+    assert len(of("insulting")[0]) == 1 + len(tox.STEMS) and of("insult")[0][1:] == of("insulting")[0][1:4]
+
+
 # --- 6 ---------------------------------------------------------------------
 
 def test_url_lists(spark):

@@ -148,6 +148,20 @@ class BlendedFeed:
         return df.select("user_id", "card_id", F.lit(source).alias("source"),
                          F.col(order_col).cast("long").alias("ord"))
 
+    @staticmethod
+    def _ends(req: DataFrame, ranked: DataFrame, rank_col: str, key: Column, n: int) -> DataFrame:
+        """``req(user_id, concept, bound)`` with ``end``, a key beyond which none of
+        a user's first ``n`` of all its concepts lies. ``bound - n`` cards of a
+        concept may be excluded, so its first ``bound - n + m`` leave ``m``; with
+        ``m = n / concepts`` of each there are ``n``, the largest at ``end``. It is
+        null (no such key) where a concept has fewer cards."""
+        w = Window.partitionBy("user_id")
+        at = F.col("bound") - n + F.ceil(F.lit(n) / F.count(F.lit(1)).over(w))
+        last = ranked.select(F.col("concept").alias("_c"), F.col(rank_col).alias("_at"), key.alias("_key"))
+        found = req.withColumn("_r", at).join(last, (F.col("concept") == F.col("_c")) & (F.col("_r") == F.col("_at")), "left")
+        whole = F.count("_key").over(w) == F.count(F.lit(1)).over(w)
+        return found.withColumn("end", F.when(whole, F.max("_key").over(w))).select("user_id", "concept", "bound", "end")
+
     # ---- candidates of K01 .. K06 ----------------------------------------------
     # Each source needs at most quota + (picks of the earlier sources) of its
     # own candidates, because only those picks can still exclude one. The
@@ -179,8 +193,10 @@ class BlendedFeed:
         seen1 = self.pairs.filter(F.col("depth") == 1).groupBy("user_id", "concept").count()
         req = deep.join(seen1, ["user_id", "concept"], "left").select(
             "user_id", "concept", (F.coalesce("count", F.lit(0)) + n).alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "brank", chunk=self.CHUNK).join(
-            self._upto(self.rank("backfill"), "brank", req), ["concept", "brank"])
+        ranked = self._upto(self.rank("backfill"), "brank", req)
+        req = self._ends(req, ranked, "brank", F.col("card_id"), n)
+        cand = expand_ranks(req, ["user_id", "concept", "end"], "bound", "brank", chunk=self.CHUNK).join(
+            ranked, ["concept", "brank"]).filter(F.col("end").isNull() | (F.col("card_id") <= F.col("end")))
         return cand.select("user_id", "card_id", F.struct(F.lit(0).cast("long").alias("k"),
                                                           F.col("card_id").alias("id")).alias("key"))
 
@@ -211,8 +227,10 @@ class BlendedFeed:
         n = self.slots["bridge"] + self._before("bridge")
         adj = self.pairs.select("user_id", F.explode("connections").alias("concept")).distinct()
         req = adj.select("user_id", "concept", F.lit(n).cast("long").alias("bound"))
-        cand = expand_ranks(req, ["user_id", "concept"], "bound", "crank", max_bound=n).join(
-            self._upto(self.rank("concept"), "crank", req), ["concept", "crank"])
+        ranked, key = self._upto(self.rank("concept"), "crank", req), F.struct("depth", "card_id")
+        req = self._ends(req, ranked, "crank", key, n)
+        cand = expand_ranks(req, ["user_id", "concept", "end"], "bound", "crank", max_bound=n).join(
+            ranked, ["concept", "crank"]).filter(F.col("end").isNull() | (key <= F.col("end")))
         return self._emit(top_n(cand, ["user_id"], ["depth", "card_id"], n), "bridge", "rn")
 
     def resurface(self) -> DataFrame:

@@ -133,3 +133,25 @@ def test_feed_hot_user_chunked_expansion_matches_model(spark):
     for u in sorted({u for _, u, c, _, _ in events if c in cards}):
         ev = [(c, t) for _, uu, c, _, t in events if uu == u]
         assert got.get(u, []) == feed_model.feed(cards, ev, 20, "2024-01-31", "7"), u
+
+
+def test_candidates_end_where_a_users_first_ones_do(spark):
+    """A user of many concepts gets its first cards of all of them, from a part of the first of each."""
+    rnd = random.Random(4)
+    names = [f"c{i}" for i in range(20)]
+    cards = {c: {"concept": rnd.choice(names), "depth": rnd.randint(1, 2), "created_at": date(2024, 1, 1), "connections": names} for c in range(1, 1501)}
+    events = [(i, 1, c, "seen", datetime(2024, 1, 20)) for i, c in enumerate(rnd.sample(range(1, 400), 120))]
+    cdf = spark.createDataFrame([(k, v["concept"], "t", "x", v["depth"], v["created_at"], v["connections"]) for k, v in cards.items()], CARD_SCHEMA)
+    feed = BlendedFeed(FeedInputs(cdf, spark.createDataFrame(events, EVENT_SCHEMA), 20))
+    seen = {e[2] for e in events}
+    deep = {cards[c]["concept"] for c in seen if cards[c]["depth"] > 1}
+    n = 20
+    raw = [r.card_id for r in feed._raw_backfill(n).collect()]
+    want = sorted(c for c, v in cards.items() if v["depth"] == 1 and v["concept"] in deep and c not in seen)[:n]
+    assert sorted(set(raw) - seen)[:n] == want and len(deep) > 10 and len(set(raw) - seen) < n * len(deep) / 2
+    n = feed.slots["bridge"] + feed._before("bridge")
+    assert [r.card_id for r in feed.bridge().sort("ord").collect()] == sorted(cards, key=lambda c: (cards[c]["depth"], c))[:n]
+    # a concept of few cards: no end, nothing is left out
+    req = spark.createDataFrame([(1, "c0", 5), (1, "none", 5), (2, "c0", 5)], "user_id long, concept string, bound long")
+    ends = {(r.user_id, r.concept): r.end for r in feed._ends(req, feed.rank("backfill"), "brank", feed.rank("backfill")["card_id"], 5).collect()}
+    assert ends == {(1, "c0"): None, (1, "none"): None, (2, "c0"): sorted(c for c, v in cards.items() if v["depth"] == 1 and v["concept"] == "c0")[4]}

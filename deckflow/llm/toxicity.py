@@ -106,18 +106,29 @@ class Terms:
     terms are places in it and others are left out; else they are hashes."""
 
     def __init__(self, vocabulary=None):
+        import numpy as np
         self.vocabulary = vocabulary
+        if vocabulary is not None:
+            # where the terms begin that share their first bits, about one term in four
+            self.shift = np.uint64(64 - len(vocabulary).bit_length() - 2)
+            self.first = np.searchsorted(vocabulary >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64))
         # a text with a beginning that occurs again has the beginning itself
         self.again = None if vocabulary is None else self.places(twice(vocabulary))
 
     def places(self, h):
         """Place in the vocabulary, or its length."""
         import numpy as np
-        if not len(self.vocabulary):
-            return np.zeros(len(h), np.uint64)
-        at = np.searchsorted(self.vocabulary, h)
-        at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == h, at, len(self.vocabulary)).astype(np.uint64)
+        out = np.full(len(h), len(self.vocabulary), np.uint64)
+        bits = h >> self.shift
+        at, end = self.first[bits], self.first[bits + np.uint64(1)]
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            same = self.vocabulary[at[todo]] == h[todo]
+            out[todo[same]] = at[todo[same]]
+            todo = todo[~same]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return out
 
     def _pairs(self, text, total, off, size):
         """``(text, term, again, tf)`` of some words; a term comes once for each
@@ -212,7 +223,7 @@ class Index:
         # the others: postings
         few = row < 0
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(term[few], minlength=len(vocabulary)))])
-        self.post, self.value = example[few].astype(np.int32), value[few]
+        self.post, self.value = example[few].astype(np.intp), value[few]
         self.knots: list[tuple[float, float]] = []
         self.bare = 0.0
         self._terms = None
@@ -228,6 +239,25 @@ class Index:
         term = term.astype(np.int64)
         return text, term, unit(text, (1 + np.log(tf)) * self.weight[term], len(texts))
 
+    def _light(self, text, term, value, number: int, width: int):
+        """Sums over the postings, a row per text. Text by text, so that what a
+        text's postings need at a time stays small."""
+        import numpy as np
+        few = np.flatnonzero(self.begin[term + 1] > self.begin[term])
+        few = few[np.argsort(text[few], kind="stable")]
+        term, value, ends = term[few], value[few], np.searchsorted(text[few], np.arange(number + 1))
+        size = self.begin[term + 1] - self.begin[term]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        out, place = np.empty((number, width)), np.arange(int(np.diff(upto[ends]).max(initial=0)))
+        start = self.begin[term] - upto[:-1]
+        for d, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+            at = np.repeat(start[a:z] + upto[a], size[a:z])
+            at += place[:len(at)]
+            weight = np.repeat(value[a:z], size[a:z])
+            weight *= self.value.take(at)
+            out[d] = np.bincount(self.post.take(at), weights=weight, minlength=width)
+        return out
+
     def nearest(self, text, term, value, number: int, k: int = NEIGHBOURS, without=None) -> list[list[tuple[float, int, int]]]:
         """Per text ``(cosine, doc_id, label)`` of the k nearest examples; those
         without a shared term don't count. ``without``: an example per text that
@@ -239,13 +269,7 @@ class Index:
         row = self.common[term]
         heavy = np.zeros((number, len(self.rows)))
         heavy[text[row >= 0], row[row >= 0]] = value[row >= 0]
-        few = np.flatnonzero(row < 0)
-        size = self.begin[term[few] + 1] - self.begin[term[few]]
-        few, size = few[size > 0], size[size > 0].astype(np.int32)
-        at = np.arange(size.sum(), dtype=np.int32) + np.repeat((self.begin[term[few]] - (np.cumsum(size) - size)).astype(np.int32), size)
-        cell = np.repeat((text[few] * width).astype(np.int32), size)
-        cell += self.post[at]
-        light = np.bincount(cell, weights=np.repeat(value[few], size) * self.value[at], minlength=number * width).reshape(number, width)
+        light = self._light(text, term, value, number, width)
         # of the postings their sum in a block bounds as well as their maxima do
         bound = heavy @ self.row_max + light.reshape(number, self.blocks, BLOCK).max(axis=2)
         order = np.argsort(-bound, axis=1, kind="stable")

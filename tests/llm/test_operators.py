@@ -361,6 +361,40 @@ def test_term_counts_equal_plain_ones(monkeypatch, size):
     assert len(of("insulting")[0]) == 1 + len(tox.STEMS) and of("insult")[0][1:] == of("insulting")[0][1:4]
 
 
+def test_toxicity_postings():
+    """Sums over postings equal those of whole vectors and need memory for one
+    text at a time; terms with equal first bits are told apart."""
+    import tracemalloc
+
+    from deckflow.llm import toxicity as tox
+    rng = np.random.default_rng(5)
+    n, terms, number = 640, 2000, 200
+    dense = (rng.random((n, terms)) < 0.06) * rng.integers(1, 4, (n, terms))
+    dense[:, :5] = 1  # terms of many examples
+    example, term = np.nonzero(dense)
+    index = tox.Index(np.arange(terms).astype(np.uint64), np.ones(terms), list(range(n)), [i % 2 for i in range(n)], example, term, dense[example, term])
+    asked = (rng.random((number, terms)) < 0.2) * 1.0
+    asked[7] = 0
+    text, term = np.nonzero(asked)
+    value = tox.unit(text, np.ones(len(text)), number)
+    order = rng.permutation(len(text))
+    tracemalloc.start()
+    near = index.nearest(text[order], term[order], value[order], number)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    weights = np.where(dense > 0, 1 + np.log(np.maximum(dense, 1)), 0)
+    whole = (asked / np.maximum(np.linalg.norm(asked, axis=1), 1)[:, None]) @ (weights / np.linalg.norm(weights, axis=1)[:, None]).T
+    for d in range(number):
+        want = np.sort(whole[d])[::-1][:tox.NEIGHBOURS]
+        assert np.allclose([x[0] for x in near[d]], want[want > 1e-12], atol=1e-9)
+    assert near[7] == [] and peak < 20e6, peak  # all postings of the texts at once: over 60 MB
+
+    vocabulary = np.unique(np.concatenate([rng.integers(0, 1 << 63, 500), np.arange(40) + (1 << 62), [0, (1 << 63) - 1]]).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    asked = np.concatenate([vocabulary, vocabulary - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+    place = tox.Terms(vocabulary).places(asked)
+    assert place.tolist() == [{h: i for i, h in enumerate(vocabulary.tolist())}.get(h, len(vocabulary)) for h in asked.tolist()]
+
+
 # --- 6 ---------------------------------------------------------------------
 
 def test_url_lists(spark):

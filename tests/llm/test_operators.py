@@ -621,6 +621,35 @@ def test_passages_around_a_common_line(spark):
     assert not missing
 
 
+def test_unlike_texts_around_a_common_line_do_not_meet(spark, monkeypatch):
+    from deckflow.llm import passages
+    rng = random.Random(14)
+    words = lambda n: ["".join(rng.choice("etaoinshrdlu") for _ in range(9)) for _ in range(n)]
+    line, shared = words(40), words(12)
+    rows = [(d, " ".join([*words(60), *line, *words(60)]), "en", "s") for d in range(40)]
+    rows += [(d, " ".join([*words(60), *shared, *line, *words(60)]), "en", "s") for d in (50, 51)]
+    met, old = [], passages.verify
+    monkeypatch.setattr(passages, "verify", lambda found, *a: met.append(found.select("node", "other").distinct().count()) or old(found, *a))
+    got = {}
+    for r in passages.passages(docs_of(spark, rows)).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert list(got.values()) == [{50, 51}]
+    assert max(met[1:], default=0) <= 1  # the two that share a passage
+
+
+def test_able_stretches_hold_every_run_that_may_be_similar():
+    from deckflow.llm.passages import _able
+    rng = random.Random(15)
+    for _ in range(300):
+        t, pool, n = rng.randint(3, 6), rng.choice((4, 12, 60)), rng.randint(1, 24)
+        tok, shared = [rng.randrange(pool) for _ in range(n)], {x for x in range(pool) if rng.random() < 0.7}
+        inside = {i for p, q in _able(np.array(tok), np.array(sorted(shared), np.int64), t, 0.8) for i in range(p, q)}
+        for i in range(n):
+            for j in range(i + t, n + 1):
+                own = set(tok[i:j])
+                assert len(own & shared) < 0.8 * len(own) or inside >= set(range(i, j))
+
+
 def test_features_read_the_whole_word():
     from deckflow.llm.langid import features
     assert features("a" * 50 + "xyz", {}) != features("a" * 50 + "uvw", {})

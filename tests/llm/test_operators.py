@@ -559,6 +559,33 @@ def test_repeated_tokens_are_bounded_before_the_search(monkeypatch):
     assert passages.verified(one, other, 46) == [] and not tried
 
 
+def test_pieces_that_cannot_align_are_not_searched(monkeypatch):
+    from deckflow.llm import passages
+    draw = np.random.default_rng(7)
+    tried, old = [], passages._search
+    monkeypatch.setattr(passages, "_search", lambda *a: tried.append(a) or old(*a))
+    for step in (6, 7):  # more than 0.8 of the tokens are in common, but each text misses others: 0.78 together
+        x = draw.integers(1, 1 << 62, 400).astype(np.uint64)
+        y = x.copy()
+        y[::step] += np.uint64(1)
+        assert passages.verified(x, y, 46) == [] and passages.verified(y, x, 46) == []
+    assert not tried
+
+
+def test_runs_of_repeated_lines():
+    from deckflow.llm.passages import _repetitive
+    rng = random.Random(10)
+    for _ in range(300):
+        n, pool, t = rng.randint(6, 40), rng.randint(1, 6), rng.randint(2, 6)
+        ids = np.unique([rng.randrange(pool) for _ in range(n)], return_inverse=True)[1]
+        worth = np.array([rng.choice((1.0, -0.8)) for _ in range(ids.max() + 1)])
+        least = rng.randint(1, 4) * 0.8
+        runs = [(i, j) for i in range(n) for j in range(i + t, n + 1) if worth[np.unique(ids[i:j])].sum() >= least - 1e-9]
+        got = _repetitive(ids, worth, np.arange(n), least, t)
+        assert (got is None) == (not runs)
+        assert got is None or got in runs and got[1] - got[0] == max(j - i for i, j in runs)
+
+
 def test_one_changed_word():
     from deckflow.llm.passages import MIN_WORDS, SHINGLE, tokens, verified
     rng = np.random.default_rng(4)
